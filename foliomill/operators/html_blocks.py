@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomill.functions.constants import CODE_LANGUAGE_CLASS, HEADING_TAGS
 from foliomill.functions.text import clean_text, is_blank, non_empty, tidy_inline, trim_ws
 from foliomill.operators import html_inline
 from foliomill.operators.html_structure import (
-    LIST_TAGS, _ends, _starts, tagged_tokens, with_container, with_extents, with_nesting, with_totals,
+    LIST_TAGS, OG_TITLE, TW_TITLE, ends, has_flag, starts, tagged_tokens, with_container, with_extents, with_nesting, with_totals,
 )
 
 
@@ -36,10 +35,10 @@ def with_list_items(rows: DataFrame, id_col: str) -> DataFrame:
     run = Window.partitionBy(id_col, "list_depth").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     in_list = F.col("list_depth") > 0
-    reset = _starts(*LIST_TAGS) | _ends("li")
-    rows = rows.withColumn("_n", F.count_if(_starts("li")).over(run)).withColumns({
-        "_list": F.last(F.when(_starts(*LIST_TAGS), F.struct("tag", F.col("_n").alias("n"))), ignorenulls=True).over(run),
-        "_item": F.last(F.when(_starts("li"), F.col("pos")).when(reset, -1), ignorenulls=True).over(run),
+    reset = starts(*LIST_TAGS) | ends("li")
+    rows = rows.withColumn("_n", F.count_if(starts("li")).over(run)).withColumns({
+        "_list": F.last(F.when(starts(*LIST_TAGS), F.struct("tag", F.col("_n").alias("n"))), ignorenulls=True).over(run),
+        "_item": F.last(F.when(starts("li"), F.col("pos")).when(reset, -1), ignorenulls=True).over(run),
     })
     return rows.withColumns({
         "cur_li": F.when(in_list & (F.col("_item") >= 0), F.col("_item")),
@@ -59,11 +58,11 @@ def _memberships(whole_page: bool) -> Column:
         member("page", own, own <= 0),
         member("h", "cur_h"), member("p", "cur_p"), member("li", "cur_li"), member("cell", "cur_cell"),
         member("pre", "cur_pre"), member("code", "cur_code"),
-        member("tr", own, _starts("tr") & F.col("cur_row").isNotNull()),
-        member("list", own, _starts(*LIST_TAGS)), member("table", own, _starts("table")),
+        member("tr", own, starts("tr") & F.col("cur_row").isNotNull()),
+        member("list", own, starts(*LIST_TAGS)), member("table", own, starts("table")),
     ]
     if whole_page:
-        members += [member("og", own, F.col("og_title").isNotNull()), member("tw", own, F.col("tw_title").isNotNull()),
+        members += [member("og", own, has_flag(OG_TITLE)), member("tw", own, has_flag(TW_TITLE)),
                     member("title", own, (F.col("kind") == "raw") & (F.col("tag") == "title"))]
     return F.filter(F.array(*members), lambda m: m.isNotNull())
 
@@ -73,16 +72,17 @@ def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_
     key = F.col("m.key")
     inline = F.col("m.block").isin("p", "li")
     if whole_page:
-        skipped = (F.col("chrome_depth") > 0) | F.col("is_chrome") | F.col("is_hidden")
         inside = (F.col("pos") > F.coalesce("container.pos", F.lit(-2))) & (
             F.col("pos") < F.coalesce("container.end_pos", F.lit(2**31 - 1)))
-        title_part = F.when(F.col("m.block") == "og", F.col("og_title")).when(F.col("m.block") == "tw", F.col("tw_title"))
     else:
-        skipped, inside, title_part = F.lit(False), F.lit(True), F.lit(None).cast("string")
-    nested = (F.col("list_depth") > F.when(_starts(*LIST_TAGS), 1).otherwise(0)) \
-        | (F.col("table_depth") > F.when(_starts("table"), 1).otherwise(0)) \
+        inside = F.lit(True)
+    skipped = F.col("skipped") if whole_page else F.lit(False)
+    title_part = F.when(F.col("m.block").isin("og", "tw"), F.col("info"))
+    nested = (F.col("list_depth") > F.when(starts(*LIST_TAGS), 1).otherwise(0)) \
+        | (F.col("table_depth") > F.when(starts("table"), 1).otherwise(0)) \
         | (F.col("cur_p") < F.col("pos")) | (F.col("cur_h") < F.col("pos")) | (F.col("cur_pre") < F.col("pos"))
-    rows = rows.withColumn("m", F.explode(_memberships(whole_page)))
+    # The outer form keeps the optimizer from repeating the whole array in a filter below it.
+    rows = rows.withColumn("m", F.explode_outer(_memberships(whole_page))).where("m IS NOT NULL")
     rows = rows.select(
         id_col, F.col("m.block").alias("block"), F.col("m.key").alias("key"), "pos",
         F.coalesce(title_part, F.when(inline, html_inline.fragment(key)).otherwise(F.col("text"))).alias("piece"),
@@ -90,25 +90,22 @@ def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_
         F.when(inline, html_inline.closed(key)).alias("closed"),
         (F.col("text").isNotNull() & ~is_blank(F.coalesce("text", F.lit("")))).alias("_full"),
         F.when(F.col("pos") == key, F.struct(
-            "tag", *keep, "class_attr", "lang_attr", "end_pos", "list_depth", "top_list", "top_table", "cur_row",
+            "tag", *keep, "info", "end_pos", "list_depth", "top_list", "top_table", "cur_row",
             "cur_pre", "li_no", "li_ordered", "n_li", "end_li", skipped.alias("skipped"), inside.alias("inside"),
-            F.coalesce(nested, F.lit(False)).alias("nested"),
-            (F.col("main_depth") > 0).alias("in_main"))).alias("facts"),
+            F.coalesce(nested, F.lit(False)).alias("nested"), "in_main")).alias("facts"),
     )
     leaves = rows.groupBy(id_col, "block", "key").agg(
         F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY pos)").alias("piece"),
         F.collect_list("opened").alias("opened"), F.collect_list("closed").alias("closed"),
         F.max("_full").alias("has_text"), F.max("facts").alias("at"))
-    marked = F.coalesce("piece", F.lit(""))
-    text = F.when(F.col("block").isin("p", "li"),
-                  tidy_inline(html_inline.finish_inline(marked, F.col("opened"), F.col("closed")))).otherwise(marked)
+    leaves = html_inline.finish_inline(leaves.withColumn("marked", F.coalesce("piece", F.lit(""))))
+    text = F.when(F.col("block").isin("p", "li"), tidy_inline("marked")).otherwise(F.col("marked"))
     return leaves.select(id_col, "block", "key", text.alias("text"), "has_text", "at")
 
 
-def code_language(class_attr: Column, lang_attr: Column, text: Column) -> Column:
-    """Language of a code block: class name, then data attribute, then signs in the text."""
-    named = F.lower(F.regexp_extract(F.coalesce(class_attr, F.lit("")), CODE_LANGUAGE_CLASS, 1))
-    return F.coalesce(non_empty(named), non_empty(lang_attr), sniff_language(text))
+def code_language(declared: Column, text: Column) -> Column:
+    """Language of a code block: the declared one (class name or data attribute), else by signs in the text."""
+    return F.coalesce(non_empty(declared), sniff_language(text))
 
 
 def sniff_language(text: Column) -> Column:
@@ -147,7 +144,7 @@ def _rows_of(leaves: DataFrame, id_col: str) -> DataFrame:
         F.min_by("text", "key").alias("text"),
         F.max("has_text").alias("has_text"),
         F.min_by("at", "key").alias("at"),
-        F.min(F.when(is_code, F.struct("key", "text", "at.class_attr", "at.lang_attr"))).alias("code"),
+        F.min(F.when(is_code, F.struct("key", "text", "at.info"))).alias("code"),
         F.expr("listagg(cell, ' | ') WITHIN GROUP (ORDER BY key)").alias("cells"),
         F.expr("listagg(td, ' | ') WITHIN GROUP (ORDER BY key)").alias("tds"),
         F.count("cell").alias("n_cells"), F.count("td").alias("n_td"))
@@ -168,8 +165,9 @@ def _tables_and_lists(units: DataFrame, id_col: str) -> DataFrame:
         F.first("text").alias("text"), F.first("has_text").alias("has_text"), F.first("at").alias("at"),
         F.first("code").alias("code"))
     single = F.array(F.struct("key", "at"))
-    spread = grouped.withColumn("o", F.explode(
+    spread = grouped.withColumn("o", F.explode_outer(
         F.when(block.isin("table", "list"), F.col("owners")).otherwise(single)))
+    spread = spread.where("o IS NOT NULL")
     first_item = F.aggregate("owners", F.lit(2**31 - 1), lambda acc, o: F.least(acc, o["at"]["n_li"]))
     return spread.select(
         id_col, "block", F.col("o.key").alias("key"), F.col("o.at").alias("at"), "text", "has_text", "code",
@@ -211,9 +209,8 @@ def html_blocks(rows: DataFrame, id_col: str = "page_id", keep: tuple[str, ...]
     blocks = _tables_and_lists(_rows_of(leaf_blocks(rows, id_col, keep, whole_page), id_col), id_col)
     block, text = F.col("block"), clean_text("text")
     source = F.coalesce("code.text", "text")
-    language = F.when(block == "pre", F.when(
-        F.col("code").isNotNull(), code_language(F.col("code.class_attr"), F.col("code.lang_attr"), F.col("code.text"))
-    ).otherwise(code_language(F.col("at.class_attr"), F.col("at.lang_attr"), F.col("text"))))
+    language = F.when(block == "pre", F.when(F.col("code").isNotNull(), code_language(F.col("code.info"), F.col("code.text")))
+                      .otherwise(code_language(F.col("at.info"), F.col("text"))))
     blocks = blocks.select(
         id_col, "block", F.col("key").alias("block_pos"), F.col("at.tag").alias("tag"), F.col("text").alias("raw"),
         F.when(block.isin("h", "code"), text).otherwise(F.col("text")).alias("text"), "has_text",

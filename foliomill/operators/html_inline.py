@@ -6,7 +6,7 @@ told apart from the same characters in the text; ``finish_inline`` turns them in
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions.constants import WS
@@ -42,12 +42,12 @@ def _closing(tag: Column, href: Column) -> Column:
 def marks_open() -> Column:
     """A start tag that opens a marker pair."""
     return (F.col("kind") == "open") & (
-        F.col("tag").isin(list(PAIRS)) | ((F.col("tag") == "a") & (F.coalesce("href", F.lit("")) != "")))
+        F.col("tag").isin(list(PAIRS)) | ((F.col("tag") == "a") & (F.coalesce("info", F.lit("")) != "")))
 
 
 def opened(key: Column) -> Column:
     """STRUCT<pos, ending> of a start tag that needs an end marker, else NULL."""
-    return F.when(marks_open() & ~_in_code(key), F.struct("pos", _closing(F.col("tag"), F.col("href")).alias("ending")))
+    return F.when(marks_open() & ~_in_code(key), F.struct("pos", _closing(F.col("tag"), F.col("info")).alias("ending")))
 
 
 def closed(key: Column) -> Column:
@@ -62,7 +62,7 @@ def fragment(key: Column) -> Column:
     start = F.when(F.col("tag") == "a", LINK)
     for name, (begin, _) in PAIRS.items():
         start = start.when(F.col("tag") == name, begin)
-    href = F.col("opener.href")
+    href = F.col("opener.info")
     ends = closed(key).isNotNull() & ((F.col("tag") != "a") | (F.coalesce(href, F.lit("")) != ""))
     return (
         F.when(F.col("text").isNotNull(), F.when(_in_code(key), text).otherwise(F.replace(text, F.lit("`"), F.lit("\\`"))))
@@ -72,22 +72,24 @@ def fragment(key: Column) -> Column:
     )
 
 
-def finish_inline(marked: Column, opened_list: Column, closed_list: Column) -> Column:
-    """Markdown of a block from its ordered fragments.
+def finish_inline(blocks: DataFrame, marked: str = "marked", opened_col: str = "opened", closed_col: str = "closed") -> DataFrame:
+    """Turn the ordered fragments of a block in ``marked`` into Markdown.
 
     Formatting still open at the end of the block is closed there, the innermost first.
     Pairs without content vanish, also when they were nested in one another.
     """
-    left = F.filter(opened_list, lambda o: ~F.array_contains(closed_list, o["pos"]))
+    left = F.filter(opened_col, lambda o: ~F.array_contains(F.col(closed_col), o["pos"]))
     tail = F.array_join(F.transform(F.reverse(F.array_sort(left)), lambda o: o["ending"]), "")
-    out = F.when(F.size(left) > 0, F.concat(marked, tail)).otherwise(marked)
-    out = F.regexp_replace(out, F.lit(rf"{CODE[0]}[{WS}]+"), F.lit(CODE[0]))
-    out = F.regexp_replace(out, F.lit(rf"[{WS}]+{CODE[1]}"), F.lit(CODE[1]))
+    out = F.col(marked)
+    blocks = blocks.withColumn(marked, F.when(F.size(opened_col) > F.size(closed_col), F.concat(out, tail)).otherwise(out))
+    code = F.regexp_replace(F.regexp_replace(out, F.lit(rf"{CODE[0]}[{WS}]+"), F.lit(CODE[0])),
+                            F.lit(rf"[{WS}]+{CODE[1]}"), F.lit(CODE[1]))
+    blocks = blocks.withColumn(marked, F.when(F.contains(out, F.lit(CODE[0])), code).otherwise(out))
     passes = F.length(F.regexp_replace(out, F.lit(f"[^{STRONG[0]}{EM[0]}{DEL[0]}{LINK}]"), F.lit("")))
     emptied = F.aggregate(F.sequence(F.lit(1), F.greatest(passes, F.lit(1))), out,
                           lambda acc, _: F.regexp_replace(acc, F.lit(EMPTY_PAIR), F.lit("")))
-    out = F.when(out.rlike(EMPTY_PAIR), emptied).otherwise(out)
+    blocks = blocks.withColumn(marked, F.when(out.rlike(EMPTY_PAIR), emptied).otherwise(out))
     plain = out
     for marker, text in MARKDOWN.items():
         plain = F.replace(plain, F.lit(marker), F.lit(text))
-    return F.when(out.rlike(f"[{MARKERS}]"), plain).otherwise(out)
+    return blocks.withColumn(marked, F.when(out.rlike(f"[{MARKERS}]"), plain).otherwise(out))

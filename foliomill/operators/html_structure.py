@@ -7,6 +7,8 @@ tokens of a page, so the plan has no self-join and never forms element x token p
 * "inside an element" is a running count of starts minus ends;
 * a property of an element's content (characters, paragraphs, ...) is the difference of a
   running total between its start and its end.
+
+Facts that only travel along are packed in structs, which a window copies as one value.
 """
 
 from __future__ import annotations
@@ -15,33 +17,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions.constants import (
-    CONTENT_MIN_CHARS, CONTENT_SELECTORS, DENSITY_MIN_CHARS, DENSITY_MIN_PARAGRAPHS, DENSITY_TAGS,
-    FALLBACK_TAGS, HEADING_TAGS, SKIP_CLASSES, SKIP_ROLES, SKIP_TAGS,
+    CODE_LANGUAGE_ATTRIBUTES, CODE_LANGUAGE_CLASS, CONTENT_MIN_CHARS, CONTENT_SELECTORS, DENSITY_MIN_CHARS,
+    DENSITY_MIN_PARAGRAPHS, DENSITY_TAGS, FALLBACK_TAGS, HEADING_TAGS, SKIP_CLASSES, SKIP_ROLES, SKIP_TAGS,
 )
-from foliomill.functions.text import is_blank, ltrim_ws, rtrim_ws, utf16_length
+from foliomill.functions.text import is_blank, ltrim_ws, non_empty, rtrim_ws, utf16_length
 from foliomill.operators.html_tokens import RAW_TAGS, VOID_TAGS, attribute, tokenize, with_attributes, with_text
 
-# Start tags that end an open paragraph, besides any table, list or cell tag.
+# Tags that end an open paragraph.
 PARAGRAPH_BREAKERS = [
-    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
-    "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td",
-    "tfoot", "th", "thead", "tr", "ul", "body", "html",
+    "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody",
+    "td", "tfoot", "th", "thead", "tr", "ul",
 ]
 # Elements whose end tag may be left out; they end at the next one of their kind.
 OPTIONAL_END_TAGS = ["p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "colgroup"]
 CELL_TAGS = ["td", "th"]
 LIST_TAGS = ["ul", "ol"]
 
+# Flags of a start tag. The low bits of ``flags`` are the content selectors that it matches.
+N_SELECTORS = len(CONTENT_SELECTORS)
+CHROME, HIDDEN, BOX, README, MAIN, OG_TITLE, TW_TITLE = (1 << (N_SELECTORS + k) for k in range(7))
+SELECTOR_MASK = (1 << N_SELECTORS) - 1
+
 
-def _starts(*tags: str) -> Column:
+def starts(*tags: str) -> Column:
     return (F.col("kind") == "open") & F.col("tag").isin(*tags)
 
 
-def _ends(*tags: str) -> Column:
+def ends(*tags: str) -> Column:
     return (F.col("kind") == "close") & F.col("tag").isin(*tags)
 
 
+def has_flag(flag: int, flags: str = "flags") -> Column:
+    return F.col(flags).bitwiseAND(F.lit(flag)) != 0
+
+
 def _class_in(*names: str) -> Column:
     return F.coalesce(F.arrays_overlap("classes", F.array(*[F.lit(n) for n in names])), F.lit(False))
 
@@ -50,250 +61,270 @@ def _is(name: str, *values: str) -> Column:
     return F.coalesce(F.col(name).isin(*values), F.lit(False))
 
 
-def _skip_flags() -> tuple[Column, Column]:
-    """Start tags whose whole content is skipped, and start tags skipped by themselves only."""
-    # Visibility is inherited by the content of an element, display is not.
-    hidden = F.coalesce(F.col("style").rlike(r"(?i)(^|;)\s*display\s*:\s*none"), F.lit(False))
-    unseen = F.coalesce(F.col("style").rlike(r"(?i)(^|;)\s*visibility\s*:\s*hidden"), F.lit(False))
-    chrome = F.col("tag").isin(SKIP_TAGS) | _is("role", *SKIP_ROLES) | _class_in(*SKIP_CLASSES) | unseen
-    below_body = (F.col("kind") == "open") & ~F.col("tag").isin("html", "body", "head")
-    return below_body & chrome, (F.col("kind") == "open") & hidden
+def _styled(pattern: str) -> Column:
+    return F.coalesce(F.col("style").rlike(rf"(?i)(^|;)\s*{pattern}"), F.lit(False))
+
+
+def _selector_test(selector: str) -> Column:
+    """Match by the element itself; an ancestor in the selector is checked by ``with_container``."""
+    last = selector.split(" ")[-1]
+    if last.startswith("."):
+        return _class_in(last[1:])
+    if last.startswith("#"):
+        return _is("elem_id", last[1:])
+    if last == "[data-content]":
+        return F.col("has_data_content")
+    if last.startswith("["):
+        return _is(*last[1:-1].split("="))
+    if "." in last:
+        tag, cls = last.split(".")
+        return (F.col("tag") == tag) & _class_in(cls)
+    return F.col("tag") == last
+
+
+def _flags() -> Column:
+    """All flags of a start tag. Visibility is inherited by its content, display is not."""
+    content_tag = ~F.col("tag").isin("html", "body", "head")
+    chrome = F.col("tag").isin(SKIP_TAGS) | _is("role", *SKIP_ROLES) | _class_in(*SKIP_CLASSES) \
+        | _styled(r"visibility\s*:\s*hidden")
+    by_attribute = [(1 << k, _selector_test(s)) for k, s in enumerate(CONTENT_SELECTORS) if not s.isalpha()]
+    by_attribute += [
+        (CHROME, content_tag & chrome), (HIDDEN, _styled(r"display\s*:\s*none")), (BOX, _class_in("container")),
+        (README, _is("elem_id", "readme")), (MAIN, F.col("tag").isin("main", "article") | _is("role", "main")),
+        (OG_TITLE, F.col("og_title").isNotNull()), (TW_TITLE, F.col("tw_title").isNotNull()),
+    ]
+    plain = F.lit(0)
+    for tag in ("main", "article", *SKIP_TAGS):
+        value = (CHROME if tag in SKIP_TAGS else MAIN) | sum(1 << k for k, s in enumerate(CONTENT_SELECTORS) if s == tag)
+        plain = F.when(F.col("tag") == tag, value).otherwise(plain)
+    rich = plain
+    for bit, test in by_attribute:
+        rich = rich.bitwiseOR(F.when(test, bit).otherwise(0))
+    # Most tags have no attributes: only the tag name can match then.
+    value = F.when(F.col("attrs").isNull(), plain).otherwise(rich)
+    return F.when(F.col("kind") == "open", value).otherwise(0).cast("bigint")
 
 
-def _selector_bits() -> Column:
-    """Bit k is set on a start tag that matches the k-th selector by itself.
+def tagged_tokens(pages: DataFrame, id_col: str, html_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens with decoded ``text``, ``flags`` and ``info``.
 
-    The two selectors that also look at an ancestor are completed by ``content_container``.
+    ``info`` is the one attribute value a tag is asked for later: the target of a link, the
+    declared language of code, or the content of a title meta tag. Columns in ``keep`` stay
+    on the first row of a page.
     """
-    def test(selector: str) -> Column:
-        last = selector.split(" ")[-1]
-        if last.startswith("."):
-            return _class_in(last[1:])
-        if last.startswith("#"):
-            return _is("elem_id", last[1:])
-        if last == "[data-content]":
-            return F.col("has_data_content")
-        if last.startswith("["):
-            name, value = last[1:-1].split("=")
-            return _is(name, value)
-        if "." in last:
-            tag, cls = last.split(".")
-            return (F.col("tag") == tag) & _class_in(cls)
-        return F.col("tag") == last
-
-    total = F.lit(0)
-    for k, selector in enumerate(CONTENT_SELECTORS):
-        total = total + F.when(test(selector), 1 << k).otherwise(0)
-    return F.when(F.col("kind") == "open", total).otherwise(0).cast("bigint")
-
-
-def tagged_tokens(pages: DataFrame, id_col: str, html_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Tokens with decoded text and the few attributes that later steps read."""
     rows = tokenize(pages, id_col, html_col, keep).where("kind <> 'comment' OR pos <= 0")
+    is_meta, is_code = F.col("tag") == "meta", F.col("tag").isin("pre", "code")
+    declared = F.coalesce(*[non_empty(attribute(a)) for a in CODE_LANGUAGE_ATTRIBUTES])
     rows = with_attributes(with_text(rows)).select(
-        id_col, *[F.when(F.col("pos") <= 0, F.col(c)).alias(c) for c in keep], "pos", "kind", "tag", "text",
+        id_col, *keep, "pos", "kind", "tag", "text", "attrs",
         F.filter(F.split(attribute("class"), r"\s+"), lambda c: c != "").alias("classes"),
-        attribute("class").alias("class_attr"), attribute("id").alias("elem_id"), attribute("role").alias("role"),
-        attribute("style").alias("style"), attribute("href").alias("href"), attribute("itemprop").alias("itemprop"),
+        attribute("id").alias("elem_id"), attribute("role").alias("role"), attribute("style").alias("style"),
+        attribute("itemprop").alias("itemprop"),
         F.coalesce(F.exists("attrs", lambda a: a["name"] == "data-content"), F.lit(False)).alias("has_data_content"),
-        F.when(F.col("tag").isin("pre", "code"), F.lower(F.coalesce(
-            F.nullif(attribute("data-language"), F.lit("")), F.nullif(attribute("data-lang"), F.lit("")),
-            F.nullif(attribute("data-code-language"), F.lit(""))))).alias("lang_attr"),
-        F.when((F.col("tag") == "meta") & (attribute("property") == "og:title"), attribute("content")).alias("og_title"),
-        F.when((F.col("tag") == "meta") & (attribute("name") == "twitter:title"), attribute("content")).alias("tw_title"),
+        F.when(F.col("tag") == "a", attribute("href")).when(is_code, F.lower(F.coalesce(
+            non_empty(F.regexp_extract(F.coalesce(attribute("class"), F.lit("")), CODE_LANGUAGE_CLASS, 1)), declared,
+        ))).alias("link_or_language"),
+        F.when(is_meta & (attribute("property") == "og:title"), attribute("content")).alias("og_title"),
+        F.when(is_meta & (attribute("name") == "twitter:title"), attribute("content")).alias("tw_title"),
     )
-    chrome, hidden = _skip_flags()
     return rows.select(
-        id_col, *keep, "pos", "kind", "tag", "text", "class_attr", "href", "lang_attr", "og_title", "tw_title",
-        chrome.alias("is_chrome"), hidden.alias("is_hidden"), _selector_bits().alias("bits"),
-        _class_in("container").alias("is_box"),
-        _is("elem_id", "readme").alias("is_readme"),
-        (_starts("main", "article") | _is("role", "main")).alias("is_main"),
-    )
+        id_col, *[F.when(F.col("pos") <= 0, F.col(c)).alias(c) for c in keep], "pos", "kind", "tag", "text",
+        F.coalesce("link_or_language", "og_title", "tw_title").alias("info"), _flags().alias("flags"))
 
 
-def _order(id_col: str) -> Window:
+def _order(id_col: str):
     return Window.partitionBy(id_col).orderBy("pos")
 
 
-def _running(id_col: str) -> Window:
+def _running(id_col: str):
     return _order(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def _page(id_col: str):
+    return _order(id_col).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _next_known(expression: str, id_col: str) -> Column:
     """The next value on the page that is not NULL, after the current token."""
     return F.expr(f"lead({expression}, 1) IGNORE NULLS OVER (PARTITION BY `{id_col}` ORDER BY pos)")
 
 
+SIZES = ["text_end", "n_elements", "n_blocks", "n_p", "p_chars"]
+
+
 def with_totals(tokens: DataFrame, id_col: str, measure_text: bool = True) -> DataFrame:
-    """Running totals over each page, the open paragraph, and page totals in ``whole``."""
-    run, page = _running(id_col), Window.partitionBy(id_col)
+    """Running totals over each page.
+
+    ``cur_p`` is the open paragraph, ``n_li`` counts list items, ``max_pos`` is the last
+    token. With ``measure_text``, ``sizes`` holds the totals that content selection compares,
+    and ``whole`` their values at the end of the page.
+    """
+    run, page = _running(id_col), _page(id_col)
     is_break = F.col("kind").isin("open", "close") & F.col("tag").isin(PARAGRAPH_BREAKERS)
-    last_break = F.last(F.when(is_break, F.struct("pos", _starts("p").alias("is_p"))), ignorenulls=True).over(run)
-    rows = tokens.withColumn("_brk", last_break).withColumn(
-        "cur_p", F.when(F.col("_brk.is_p"), F.col("_brk.pos"))
-    ).withColumn("_is_break", is_break).drop("_brk")
-    rows = rows.withColumn("n_li", F.count_if(_starts("li")).over(run).cast("int"))
+    first = {
+        "_break": F.last(F.when(is_break, F.struct("pos", starts("p").alias("is_p"))), ignorenulls=True).over(run),
+        "n_li": F.count_if(starts("li")).over(run).cast("int"),
+        "max_pos": F.max("pos").over(page),
+    }
+    if measure_text:
+        first |= {
+            "_chars": F.sum("_len").over(run),
+            "_elements": F.count_if(F.col("kind").isin("open", "raw")).over(run),
+            "_heads": F.count_if(starts(*HEADING_TAGS)).over(run),
+            "_n_p": F.count_if(starts("p")).over(run),
+        }
+        tokens = tokens.withColumn("_len", F.when(F.col("text").isNull(), 0).otherwise(utf16_length("text")))
+    rows = tokens.withColumns(first)
+    rows = rows.withColumn("cur_p", F.when(F.col("_break.is_p"), F.col("_break.pos")))
     if not measure_text:
-        return rows.drop("_is_break").withColumn("max_pos", F.max("pos").over(page))
+        return rows.drop("_break")
 
-    size = F.when(F.col("text").isNull(), 0).otherwise(utf16_length("text"))
-    rows = rows.withColumn("_len", size).withColumn("_chars", F.sum("_len").over(run))
     full = F.col("text").isNotNull() & ~is_blank("text")
     before = F.col("_chars") - F.col("_len")
-    rows = rows.withColumn("_first", F.when(full, before + F.col("_len") - utf16_length(ltrim_ws("text"))))
-    rows = rows.withColumn("_last", F.when(full, before + utf16_length(rtrim_ws("text"))))
-    rows = rows.withColumns({
-        "text_end": F.coalesce(F.max("_last").over(run), F.lit(0)),
-        "text_start": _next_known("_first", id_col),
-        "n_elements": F.count_if(F.col("kind").isin("open", "raw")).over(run),
-        "n_heads": F.count_if(_starts(*HEADING_TAGS)).over(run),
-        "n_p": F.count_if(_starts("p")).over(run),
-    })
-    rows = rows.withColumns({
-        "_p_end": _next_known("CASE WHEN _is_break THEN text_end END", id_col),
-        "max_pos": F.max("pos").over(page),
-        "_all_text": F.max("text_end").over(page),
+    rows = rows.drop("_break").withColumns({
+        "_first": F.when(full, before + F.col("_len") - utf16_length(ltrim_ws("text"))),
+        "_last": F.when(full, before + utf16_length(rtrim_ws("text"))),
+    }).withColumns({
+        "_text_end": F.coalesce(F.max("_last").over(run), F.lit(0).cast("bigint")),
+        "_text_start": _next_known("_first", id_col),
+        "_all_text": F.coalesce(F.max("_last").over(page), F.lit(0).cast("bigint")),
     })
-    p_len = F.when(_starts("p"), F.greatest(
-        F.lit(0), F.coalesce(F.col("_p_end"), F.col("_all_text")) - F.col("text_start")))
-    rows = rows.withColumn("p_chars", F.coalesce(F.sum(p_len).over(run), F.lit(0)))
-    totals = ["text_end", "n_elements", "n_heads", "n_p", "p_chars"]
-    rows = rows.withColumn("whole", F.struct(*[F.max(c).over(page).alias(c) for c in totals]))
-    return rows.drop("_is_break", "_len", "_chars", "_first", "_last", "_p_end", "_all_text")
+    rows = rows.drop("_first", "_last").withColumn("_brk_text", F.when(is_break, F.col("_text_end")))
+    rows = rows.withColumn("_p_end", F.when(starts("p"), F.coalesce(_next_known("_brk_text", id_col), F.col("_all_text"))))
+    p_len = F.coalesce(F.greatest(F.lit(0), F.col("_p_end") - F.col("_text_start")), F.lit(0))
+    sizes = F.struct(F.col("_text_end").alias("text_end"), F.col("_elements").alias("n_elements"),
+                     (F.col("_heads") + F.col("_n_p")).alias("n_blocks"), F.col("_n_p").alias("n_p"),
+                     F.col("_p_chars").alias("p_chars"), F.col("_text_start").alias("text_start"))
+    rows = rows.withColumn("_p_chars", F.sum(p_len).over(run)).withColumn("sizes", sizes)
+    rows = rows.drop("_len", "_chars", "_elements", "_heads", "_n_p", "_text_end", "_text_start", "_all_text",
+                     "_brk_text", "_p_end", "_p_chars")
+    return rows.withColumn("whole", F.last("sizes").over(page))
+
+
+def element_sizes(at_end: Column) -> dict[str, Column]:
+    """Measures of an element's content, on its start tag."""
+    def grown(name: str) -> Column:
+        return at_end[name] - F.col(f"sizes.{name}")
+
+    return {
+        "n_chars": F.coalesce(F.greatest(F.lit(0), at_end["text_end"] - F.col("sizes.text_start")), F.lit(0)),
+        "n_blocks": grown("n_blocks"), "n_paragraphs": grown("n_p"), "paragraph_chars": grown("p_chars"),
+        "n_descendants": grown("n_elements"),
+    }
 
 
 def with_extents(tokens: DataFrame, id_col: str, measure_text: bool = True) -> DataFrame:
-    """Add ``end_pos`` to start tags and ``opener`` to end tags, matched by name and level.
+    """Match start and end tags by name and level.
 
-    A start tag without an end tag reaches to the end of the page. Totals at the end of the
-    element come along as ``at_end``.
+    Start tags get ``end_pos``, ``is_closed`` and ``end_li``; one without an end tag reaches to
+    the end of the page. End tags get ``opener``, the facts of their start tag. With
+    ``measure_text`` start tags also get ``measure``: the sizes of their content.
     """
     paired = F.col("tag").isNotNull() & ~F.col("tag").isin(VOID_TAGS + OPTIONAL_END_TAGS + RAW_TAGS)
     delta = F.when(~paired, 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     by_tag = Window.partitionBy(id_col, "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = tokens.withColumn("paired", paired).withColumn("_sum", F.sum(delta).over(by_tag))
-    level = F.when(F.col("paired"), F.col("_sum") + F.when(F.col("kind") == "close", 1).otherwise(0))
-    rows = rows.withColumn("_level", level).drop("_sum")
+    level = F.when(paired, F.sum(delta).over(by_tag) + F.when(F.col("kind") == "close", 1).otherwise(0))
     by_level = Window.partitionBy(id_col, "tag", "_level").orderBy("pos")
-    at_end = ["kind", "pos", "n_li"] + (["text_end", "n_elements", "n_heads", "n_p", "p_chars"] if measure_text else [])
-    at_start = ["kind", "pos", "href", "is_chrome", "is_main", "is_readme", "is_box"]
-    nxt = F.lead(F.struct(*at_end)).over(by_level)
-    prev = F.lag(F.struct(*at_start)).over(by_level)
-    rows = rows.withColumns({"_next": nxt, "_prev": prev})
-    starts = F.col("paired") & (F.col("kind") == "open")
-    closed = starts & (F.col("_next.kind") == "close")
-    rows = rows.withColumn("end_pos", F.when(closed, F.col("_next.pos")).when(starts, F.col("max_pos") + 1))
-    rows = rows.withColumn("is_closed", F.coalesce(closed, F.lit(False)))
-    rows = rows.withColumn("opener", F.when(
-        F.col("paired") & (F.col("kind") == "close") & (F.col("_prev.kind") == "open"), F.col("_prev")))
-    rows = rows.withColumn("end_li", F.when(closed, F.col("_next.n_li")).when(starts, F.lit(2**31 - 1)))
+    rows = tokens.withColumn("_level", level).withColumns({
+        "_next": F.lead(F.struct("kind", "pos", "n_li", *(["sizes"] if measure_text else []))).over(by_level),
+        "_prev": F.lag(F.struct("kind", "pos", "info", "flags")).over(by_level),
+    })
+    starting = paired & (F.col("kind") == "open")
+    closed = starting & F.coalesce(F.col("_next.kind") == "close", F.lit(False))
+    known = {
+        "is_closed": closed,
+        "end_pos": F.when(closed, F.col("_next.pos")).when(starting, F.col("max_pos") + 1),
+        "end_li": F.when(closed, F.col("_next.n_li")).when(starting, F.lit(2**31 - 1)),
+        "opener": F.when(paired & (F.col("kind") == "close") & (F.col("_prev.kind") == "open"), F.col("_prev")),
+    }
     if measure_text:
-        rows = rows.withColumn("at_end", F.when(closed, F.struct(
-            *[F.col(f"_next.{c}").alias(c) for c in ["text_end", "n_elements", "n_heads", "n_p", "p_chars"]]
-        )).when(starts, F.col("whole")))
-    return rows.drop("_next", "_prev", "_level")
+        at_end = F.when(closed, F.col("_next.sizes")).otherwise(F.col("whole"))
+        known["measure"] = F.when(starting, F.struct(*[v.alias(k) for k, v in element_sizes(at_end).items()]))
+    return rows.withColumns(known).drop("_next", "_prev", "_level", "max_pos", "sizes", "whole")
 
 
-def _depth(flag: str, window) -> Column:
+def _depth(flag: int, window) -> Column:
     """Running number of open elements whose start tag carries ``flag``."""
-    up = F.when(F.col(flag) & F.col("paired") & (F.col("kind") == "open"), 1)
-    down = F.when(F.col(f"opener.{flag}"), -1)
-    return F.sum(F.coalesce(up, down, F.lit(0))).over(window)
+    up = F.when(has_flag(flag) & F.col("end_pos").isNotNull(), 1)
+    return F.sum(F.coalesce(up, F.when(has_flag(flag, "opener.flags"), -1), F.lit(0))).over(window)
 
 
 def with_nesting(tokens: DataFrame, id_col: str) -> DataFrame:
-    """Running nesting state: skipped regions, main regions, lists, tables and the open leaf blocks."""
+    """Running nesting state: skipped and main regions, lists, tables and the open leaf blocks."""
     run = _running(id_col)
 
-    def latest(tags: list[str]) -> Column:
-        return F.last(F.when(_starts(*tags), F.struct("pos", "end_pos")), ignorenulls=True).over(run)
+    def latest(*tags: str) -> Column:
+        return F.last(F.when(starts(*tags), F.struct("pos", "end_pos")), ignorenulls=True).over(run)
+
+    def nesting(*tags: str) -> Column:
+        return F.sum(F.when(starts(*tags), 1).when(ends(*tags) & F.col("opener").isNotNull(), -1).otherwise(0)).over(run).cast("int")
 
-    table_step = F.when(_starts("table"), 1).when(_ends("table") & F.col("opener").isNotNull(), -1).otherwise(0)
-    list_step = F.when(_starts(*LIST_TAGS), 1).when(_ends(*LIST_TAGS) & F.col("opener").isNotNull(), -1).otherwise(0)
-    level_step = F.when(F.col("is_closed"), 1).when(F.col("opener").isNotNull(), -1).otherwise(0)
+    cell_mark = F.col("kind").isin("open", "close") & F.col("tag").isin(
+        "td", "th", "tr", "table", "tbody", "thead", "tfoot")
+    level = F.sum(F.when(F.col("is_closed"), 1).when(F.col("opener").isNotNull(), -1).otherwise(0)).over(run)
     rows = tokens.withColumns({
-        "chrome_depth": _depth("is_chrome", run),
-        "main_depth": _depth("is_main", run),
-        "readme_depth": _depth("is_readme", run),
-        "list_depth": F.sum(list_step).over(run),
-        "table_depth": F.sum(table_step).over(run),
-        "_level": F.sum(level_step).over(run) + F.when(F.col("opener").isNotNull(), 1).otherwise(0),
-        "_h": latest(HEADING_TAGS), "_pre": latest(["pre"]), "_code": latest(["code"]),
-        "_cell": F.last(F.when(
-            (F.col("kind").isin("open", "close")) & F.col("tag").isin("td", "th", "tr", "table", "tbody", "thead", "tfoot"),
-            F.struct("pos", _starts(*CELL_TAGS).alias("is_cell"))), ignorenulls=True).over(run),
-        "_row": F.last(F.when(_starts("tr"), F.col("pos")), ignorenulls=True).over(run),
+        "_chrome": _depth(CHROME, run), "_main": _depth(MAIN, run), "_readme": _depth(README, run),
+        "list_depth": nesting(*LIST_TAGS), "table_depth": nesting("table"),
+        "_level": (level + F.when(F.col("opener").isNotNull(), 1).otherwise(0)).cast("int"),
+        "_h": latest(*HEADING_TAGS), "_pre": latest("pre"), "_code": latest("code"),
+        "_cell": F.last(F.when(cell_mark, F.struct("pos", starts(*CELL_TAGS).alias("is_cell"))), ignorenulls=True).over(run),
+        "_row": F.last(F.when(starts("tr"), F.col("pos")), ignorenulls=True).over(run),
     })
 
     def inside(name: str) -> Column:
         return F.when(F.col("pos") <= F.col(f"{name}.end_pos"), F.col(f"{name}.pos"))
 
-    rows = rows.withColumns({
+    def outermost(depth: str, *tags: str) -> Column:
+        return F.last(F.when(starts(*tags) & (F.col(depth) == 1), F.col("pos")), ignorenulls=True).over(run)
+
+    own_readme = F.when(has_flag(README) & (F.col("kind") == "open"), 1).otherwise(0)
+    return rows.withColumns({
+        "skipped": (F.col("_chrome") > 0) | has_flag(CHROME | HIDDEN),
+        "in_main": F.col("_main") > 0, "in_readme": F.col("_readme") - own_readme > 0,
         "cur_h": inside("_h"), "cur_pre": inside("_pre"), "cur_code": inside("_code"),
-        "top_table": F.last(F.when(_starts("table") & (F.col("table_depth") == 1), F.col("pos")), ignorenulls=True).over(run),
-        "top_list": F.last(F.when(_starts(*LIST_TAGS) & (F.col("list_depth") == 1), F.col("pos")), ignorenulls=True).over(run),
-        # The levels of the open "container" elements as a bit set: one element per level is open.
-        "_boxes": F.sum(
-            F.when(F.col("is_closed") & F.col("is_box") & (F.col("_level") < 62), F.expr("shiftleft(1L, cast(_level AS INT))"))
-            .when(F.col("opener.is_box") & (F.col("_level") < 62), -F.expr("shiftleft(1L, cast(_level AS INT))"))
-            .otherwise(0)).over(run),
-    })
-    rows = rows.withColumns({
+        "top_list": outermost("list_depth", *LIST_TAGS), "top_table": outermost("table_depth", "table"),
         "cur_cell": F.when((F.col("table_depth") > 0) & F.col("_cell.is_cell"), F.col("_cell.pos")),
-        "cur_row": F.when((F.col("table_depth") > 0) & (F.col("_row") > F.col("top_table")), F.col("_row")),
-        "in_box": (F.col("_level") < 62) & (F.col("_level") > 0)
-        & (F.shiftrightunsigned("_boxes", 0).bitwiseAND(F.expr("shiftleft(1L, cast(greatest(_level, 1) - 1 AS INT))")) != 0),
-    })
-    return rows.drop("_h", "_pre", "_code", "_cell", "_row", "_boxes", "_level")
-
-
-def element_scores() -> dict[str, Column]:
-    """Measures of an element's content, on its start tag."""
-    chars = F.greatest(F.lit(0), F.col("at_end.text_end") - F.col("text_start"))
-    return {
-        "n_chars": F.coalesce(chars, F.lit(0)),
-        "n_blocks": F.col("at_end.n_heads") - F.col("n_heads") + F.col("at_end.n_p") - F.col("n_p"),
-        "n_paragraphs": F.col("at_end.n_p") - F.col("n_p"),
-        "paragraph_chars": F.col("at_end.p_chars") - F.col("p_chars"),
-        "n_descendants": F.col("at_end.n_elements") - F.col("n_elements"),
-    }
+        "cur_row": F.when(F.col("table_depth") > 0, F.col("_row")),
+    }).withColumnRenamed("_level", "level").drop("_h", "_pre", "_code", "_cell", "_row", "_chrome", "_main", "_readme")
 
 
 def with_candidates(tokens: DataFrame, id_col: str) -> DataFrame:
     """Mark start tags that may be the content container: ``rank`` (lower wins) and ``density``.
 
-    A selector counts for its first match on the page only. Ranks above the selectors stand
+    A selector counts for its first match on the page only. Ranks after the selectors stand
     for the first valid section, the densest element and the body.
     """
+    run = _running(id_col)
     readme, boxed = CONTENT_SELECTORS.index("#readme article"), CONTENT_SELECTORS.index(".container > section")
-    off = F.when(F.col("readme_depth") - F.when(F.col("is_readme"), 1).otherwise(0) > 0, 0).otherwise(1 << readme) \
-        + F.when(F.col("in_box"), 0).otherwise(1 << boxed)
+    # The levels of the open "container" elements as a bit set: one element per level is open,
+    # so the parent of a start tag is such an element when the bit of the level above is set.
+    bit = F.when(F.col("level").between(0, 61), F.expr("shiftleft(1L, level)")).otherwise(0)
+    boxes = F.sum(F.when(has_flag(BOX) & F.col("is_closed"), bit).when(has_flag(BOX, "opener.flags"), -bit).otherwise(0))
+    parent = F.when(F.col("level").between(1, 62), F.expr("shiftleft(1L, level - 1)")).otherwise(0)
+    rows = tokens.withColumn("_boxes", boxes.over(run))
+    off = F.when(F.col("in_readme"), 0).otherwise(1 << readme) + F.when(
+        F.col("_boxes").bitwiseAND(parent) != 0, 0).otherwise(1 << boxed)
+    bits = F.col("flags").bitwiseAND(F.lit(SELECTOR_MASK)).bitwiseAND(F.bitwise_not(off.cast("bigint")))
     before = _order(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = tokens.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(off.cast("bigint"))))
-    rows = rows.withColumn("_seen", F.coalesce(F.bit_or("bits").over(before), F.lit(0)))
-    fresh = F.when(F.col("paired"), F.col("bits").bitwiseAND(F.bitwise_not(F.col("_seen")))).otherwise(0)
-    rows = rows.withColumns(element_scores()).withColumn("_fresh", fresh)
-    valid = F.coalesce((F.col("n_chars") > CONTENT_MIN_CHARS) & (F.col("n_blocks") > 0), F.lit(False))
-    lowest = F.bit_count(F.col("_fresh").bitwiseAND(-F.col("_fresh")) - 1)
-    after = len(CONTENT_SELECTORS)
-    dense = _starts(*DENSITY_TAGS) & (F.col("n_paragraphs") >= DENSITY_MIN_PARAGRAPHS) & (
-        F.col("paragraph_chars") >= DENSITY_MIN_CHARS)
-    rows = rows.withColumn("is_valid", valid).withColumn("density", F.when(
-        dense, F.col("paragraph_chars") / F.greatest(F.lit(1), F.col("n_descendants"))))
+    rows = rows.withColumn("_bits", F.when(F.col("end_pos").isNotNull(), bits).otherwise(0))
+    rows = rows.withColumn("_seen", F.coalesce(F.bit_or("_bits").over(before), F.lit(0)))
+    fresh = F.col("_bits").bitwiseAND(F.bitwise_not(F.col("_seen")))
+    valid = F.coalesce((F.col("measure.n_chars") > CONTENT_MIN_CHARS) & (F.col("measure.n_blocks") > 0), F.lit(False))
+    dense = starts(*DENSITY_TAGS) & (F.col("measure.n_paragraphs") >= DENSITY_MIN_PARAGRAPHS) & (
+        F.col("measure.paragraph_chars") >= DENSITY_MIN_CHARS)
+    density = F.when(dense, F.col("measure.paragraph_chars") / F.greatest(F.lit(1), F.col("measure.n_descendants")))
     rank = (
-        F.when(valid & (F.col("_fresh") != 0), lowest)
-        .when(valid & _starts(*FALLBACK_TAGS), after)
-        .when(F.col("density").isNotNull(), after + 1)
-        .when(_starts("body"), after + 2)
+        F.when(valid & (fresh != 0), F.bit_count(fresh.bitwiseAND(-fresh) - 1))
+        .when(valid & starts(*FALLBACK_TAGS), N_SELECTORS)
+        .when(dense, N_SELECTORS + 1)
+        .when(starts("body"), N_SELECTORS + 2)
     ).cast("int")
-    return rows.withColumn("rank", rank).drop("_seen", "_fresh")
+    return rows.withColumns({"is_valid": valid, "density": density, "rank": rank}).drop("_seen", "_boxes", "_bits")
 
 
 def with_container(tokens: DataFrame, id_col: str) -> DataFrame:
     """Add ``container``: STRUCT<rank, tie, pos, end_pos, tag> of the page, on every row."""
     rows = with_candidates(tokens, id_col)
-    tie = F.when(F.col("rank") == len(CONTENT_SELECTORS) + 1, -F.col("density")).otherwise(0.0)
-    choice = F.when(F.col("rank").isNotNull(), F.struct(
-        "rank", tie.alias("tie"), "pos", F.col("end_pos").alias("end_pos"), "tag"))
-    return rows.withColumn("container", F.min(choice).over(Window.partitionBy(id_col)))
+    tie = F.when(F.col("rank") == N_SELECTORS + 1, -F.col("density")).otherwise(0.0)
+    choice = F.when(F.col("rank").isNotNull(), F.struct("rank", tie.alias("tie"), "pos", "end_pos", "tag"))
+    return rows.withColumn("container", F.min(choice).over(_page(id_col)))
