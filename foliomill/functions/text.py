@@ -21,6 +21,11 @@ def _sub(value, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(_col(value), F.lit(pattern), F.lit(replacement))
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``."""
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def non_empty(value) -> Column:
     """NULL for the empty string: both count as missing."""
     return F.nullif(_col(value), F.lit(""))
@@ -148,36 +153,41 @@ URL_PATTERN = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)"
 
 def url_parts(url) -> Column:
     """STRUCT<scheme, host, port, path>, NULL when the URL cannot be parsed."""
-    url = trim_ws(url)
-    scheme = F.lower(F.regexp_extract(url, URL_PATTERN, 1))
-    authority = _sub(F.regexp_extract(url, URL_PATTERN, 2), r"^.*@", "")
-    host = F.lower(_sub(authority, r":[0-9]*\z", ""))
-    port = F.regexp_extract(authority, r":([0-9]+)\z", 1)
-    needs_host = scheme.isin("http", "https", "ws", "wss", "ftp")
-    valid = (scheme != "") & (~needs_host | ((host != "") & ~host.rlike(rf"[{WS}]")))
-    return F.when(valid, F.struct(
-        scheme.alias("scheme"), host.alias("host"), port.alias("port"),
-        F.regexp_extract(url, URL_PATTERN, 3).alias("path")))
+    def split(u: Column) -> Column:
+        authority = _sub(F.regexp_extract(u, URL_PATTERN, 2), r"^.*@", "")
+        return F.struct(
+            F.lower(F.regexp_extract(u, URL_PATTERN, 1)).alias("scheme"),
+            F.lower(_sub(authority, r":[0-9]*\z", "")).alias("host"),
+            F.regexp_extract(authority, r":([0-9]+)\z", 1).alias("port"),
+            F.regexp_extract(u, URL_PATTERN, 3).alias("path"))
+
+    def valid(p: Column) -> Column:
+        needs_host = p["scheme"].isin("http", "https", "ws", "wss", "ftp")
+        return (p["scheme"] != "") & (~needs_host | ((p["host"] != "") & ~p["host"].rlike(rf"[{WS}]")))
+
+    return let(let(trim_ws(url), split), lambda p: F.when(valid(p), p))
 
 
 def _percent_decode(value: Column) -> Column:
     """Percent-decoding that keeps ``+`` and gives NULL for a malformed escape."""
     decoded = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
-    lost = F.contains(decoded, F.lit("�")) & ~F.contains(F.upper(value), F.lit("%EF%BF%BD"))
-    return F.when(~lost, decoded)
+    given = F.contains(F.upper(value), F.lit("%EF%BF%BD"))
+    return let(decoded, lambda d: F.when(~F.contains(d, F.lit("\uFFFD")) | given, d))
+
+
+def _slug(text: Column) -> Column:
+    out = _sub(_sub(F.lower(text), r"\.[a-z]{2,4}\z", ""), r"[^a-z0-9]+", "-")
+    return _sub(F.substring(_sub(out, r"^-+|-+\z", ""), 1, SLUG_MAX), r"-+\z", "")
 
 
 def slugify_url(url, fallback: str = SLUG_FALLBACK) -> Column:
     """File-name slug from the last path segment, else from the host name."""
-    parts = url_parts(url)
-    host = parts["host"]
-    last = F.regexp_extract(parts["path"], r"([^/]+)/*\z", 1)
-    slug = F.lower(_percent_decode(F.coalesce(non_empty(last), host)))
-    slug = _sub(_sub(slug, r"\.[a-z]{2,4}\z", ""), r"[^a-z0-9]+", "-")
-    slug = F.substring(_sub(slug, r"^-+|-+\z", ""), 1, SLUG_MAX)
-    slug = _sub(slug, r"-+\z", "")
-    return F.coalesce(non_empty(F.when(slug == "", host).otherwise(slug)),
-                      F.when(slug.isNotNull(), F.lit("")), F.lit(fallback))
+    def named(parts: Column) -> Column:
+        last = F.coalesce(non_empty(F.regexp_extract(parts["path"], r"([^/]+)/*\z", 1)), parts["host"])
+        slug = let(_slug(_percent_decode(last)), lambda s: F.when(s == "", parts["host"]).otherwise(s))
+        return F.coalesce(slug, F.lit(fallback))
+
+    return let(url_parts(url), named)
 
 
 def sanitize_file_name(url) -> Column:
@@ -193,18 +203,19 @@ def sanitize_title(title) -> Column:
 
 def parse_wiki_url(url) -> Column:
     """STRUCT<origin, tenant, content_type, id>; NULL for anything but a wiki page or folder."""
-    parts = url_parts(url)
-    path, host = parts["path"], parts["host"]
-    default_port = ((parts["scheme"] == "https") & (parts["port"] == "443")) | (
-        (parts["scheme"] == "http") & (parts["port"] == "80"))
-    port = F.when((parts["port"] == "") | default_port, "").otherwise(F.concat(F.lit(":"), parts["port"]))
-    page, folder = F.regexp_extract(path, WIKI_PAGE_PATH, 1), F.regexp_extract(path, WIKI_FOLDER_PATH, 1)
-    known = host.rlike(WIKI_HOST) & path.startswith("/wiki/") & ((page != "") | (folder != ""))
-    return F.when(known, F.struct(
-        F.concat(parts["scheme"], F.lit("://"), host, port).alias("origin"),
-        F.substring_index(host, ".", 1).alias("tenant"),
-        F.when(page != "", "page").otherwise("folder").alias("content_type"),
-        F.coalesce(non_empty(page), folder).alias("id")))
+    def parsed(parts: Column) -> Column:
+        path, host = parts["path"], parts["host"]
+        page, folder = F.regexp_extract(path, WIKI_PAGE_PATH, 1), F.regexp_extract(path, WIKI_FOLDER_PATH, 1)
+        default_port = F.concat_ws(":", parts["scheme"], parts["port"]).isin("https:443", "http:80")
+        port = F.when((parts["port"] == "") | default_port, "").otherwise(F.concat(F.lit(":"), parts["port"]))
+        known = host.rlike(WIKI_HOST) & path.startswith("/wiki/") & ((page != "") | (folder != ""))
+        return F.when(known, F.struct(
+            F.concat(parts["scheme"], F.lit("://"), host, port).alias("origin"),
+            F.substring_index(host, ".", 1).alias("tenant"),
+            F.when(page != "", "page").otherwise("folder").alias("content_type"),
+            F.coalesce(non_empty(page), folder).alias("id")))
+
+    return let(url_parts(url), parsed)
 
 
 def normalize_depth(setting) -> Column:

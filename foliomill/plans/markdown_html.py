@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.text import escape_html, heading_anchor, non_empty
+from foliomill.functions.text import escape_html, heading_anchor, let, non_empty
 from foliomill.operators.markdown_blocks import (
     TASK_PATTERN, cell_alignment, fence_body, fence_language, heading_level, heading_text, quoted_lines, split_cells,
     table_lines, with_blocks, without_last_feed,
@@ -36,23 +36,26 @@ def render_item(text: Column) -> Column:
 
 
 def render_table(text: Column) -> Column:
-    lines = table_lines(text)
-    header = split_cells(F.element_at(lines, F.lit(1)))
-    marks = split_cells(F.element_at(lines, F.lit(2)))
+    def style(mark: Column) -> Column:
+        side = cell_alignment(mark)
+        return F.when(side != "", F.concat(F.lit(' style="text-align:'), side, F.lit('"'))).otherwise("")
 
-    def cells(tag: str, row: Column) -> Column:
+    def cells(tag: str, row: Column, head: Column) -> Column:
         """As many cells as the header has; missing ones are empty."""
-        def one(_: Column, i: Column) -> Column:
-            side = F.coalesce(non_empty(cell_alignment(F.coalesce(F.get(marks, i), F.lit("")))), F.lit(""))
-            style = F.when(side != "", F.concat(F.lit(' style="text-align:'), side, F.lit('"'))).otherwise("")
-            return F.concat(F.lit(f"<{tag}"), style, F.lit(">"), render_inline(F.coalesce(F.get(row, i), F.lit(""))), F.lit(f"</{tag}>"))
-
-        return F.array_join(F.transform(header, one), "")
-
-    body = F.transform(F.slice(lines, F.lit(3), F.size(lines)), lambda line: F.concat(
-        F.lit("<tr>"), cells("td", split_cells(line)), F.lit("</tr>\n")))
-    return F.concat(F.lit("<table>\n<thead>\n<tr>"), cells("th", header), F.lit("</tr>\n</thead>\n<tbody>\n"),
-                    F.array_join(body, ""), F.lit("</tbody>\n</table>\n"))
+        return F.array_join(F.transform(head["cells"], lambda _, i: F.concat(
+            F.lit(f"<{tag}"), F.coalesce(F.get(head["styles"], i), F.lit("")), F.lit(">"),
+            render_inline(F.coalesce(F.get(row, i), F.lit(""))), F.lit(f"</{tag}>"))), "")
+
+    def whole(lines: Column, head: Column) -> Column:
+        body = F.transform(F.slice(lines, F.lit(3), F.size(lines)), lambda line: let(
+            split_cells(line), lambda row: F.concat(F.lit("<tr>"), cells("td", row, head), F.lit("</tr>\n"))))
+        return F.concat(F.lit("<table>\n<thead>\n<tr>"), cells("th", head["cells"], head),
+                        F.lit("</tr>\n</thead>\n<tbody>\n"), F.array_join(body, ""), F.lit("</tbody>\n</table>\n"))
+
+    return let(table_lines(text), lambda lines: let(
+        F.struct(split_cells(F.element_at(lines, F.lit(1))).alias("cells"),
+                 F.transform(split_cells(F.element_at(lines, F.lit(2))), style).alias("styles")),
+        lambda head: whole(lines, head)))
 
 
 def render_paragraph(text: Column) -> Column:

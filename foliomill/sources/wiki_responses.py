@@ -45,16 +45,18 @@ def follow_pages(responses: DataFrame, parent_col: str = "parent_id", cursor_col
     rows = responses.withColumn("_next", next_cursor(F.from_json(json_col, CHILDREN_SCHEMA)["_links"]["next"]))
     rows = rows.withColumn("_key", F.coalesce(cursor_col, F.lit("")))
     links = rows.select(parent_col, F.col("_key").alias("_prev"), F.col("_next").alias("_key")).where("_key IS NOT NULL AND _key <> ''")
-    # jump: the response that many places before, NULL once the start has been passed.
+    # _jump: the response that many places before, NULL once the start has been passed.
     state = rows.select(parent_col, "_key").join(links, [parent_col, "_key"], "left").select(
-        parent_col, "_key", F.col("_prev").alias("_jump"),
+        parent_col, "_key", F.col("_prev").alias("_jump"), F.coalesce("_prev", "_key").alias("_start"),
         F.when(F.col("_prev").isNotNull(), 1).otherwise(0).cast("bigint").alias("page_no")).checkpoint()
-    while not state.where("_jump IS NOT NULL").isEmpty():
-        ahead = state.select(parent_col, F.col("_key").alias("_jump"), F.col("_jump").alias("_far"), F.col("page_no").alias("_more"))
-        step = state.join(ahead, [parent_col, "_jump"], "left").select(
-            parent_col, "_key", F.col("_far").alias("_jump"), (F.col("page_no") + F.coalesce("_more", F.lit(0))).alias("page_no"))
-        # A chain that bites its own tail never ends; longer than all responses means a loop.
-        state = step.where(F.col("page_no") <= 2**40).checkpoint()
-    first = rows.where(F.col("_key") == "").select(parent_col).distinct()
-    return rows.join(state.select(parent_col, "_key", "page_no"), [parent_col, "_key"]).join(
-        first, parent_col, "left_semi").drop("_key", "_next")
+    # 40 rounds reach over a million million responses; a chain that is longer bites its own tail.
+    for _ in range(40):
+        if state.where("_jump IS NOT NULL").isEmpty():
+            break
+        ahead = state.select(parent_col, F.col("_key").alias("_jump"), F.col("_jump").alias("_far"),
+                             F.col("_start").alias("_from"), F.col("page_no").alias("_more"))
+        state = state.join(ahead, [parent_col, "_jump"], "left").select(
+            parent_col, "_key", F.col("_far").alias("_jump"), F.coalesce("_from", "_start").alias("_start"),
+            (F.col("page_no") + F.coalesce("_more", F.lit(0))).alias("page_no")).checkpoint()
+    reached = state.where("_jump IS NULL AND _start = ''").select(parent_col, "_key", "page_no")
+    return rows.join(reached, [parent_col, "_key"]).drop("_key", "_next")
