@@ -186,13 +186,14 @@ def _table_markdown(rows: Column) -> Column:
         F.lit("\n| "), head["cells"], F.lit(" |\n| "), rule, F.lit(" |\n"), lines, F.lit("\n")))
 
 
-def _list_markdown(items: Column, depth: Column) -> Column:
+def _list_markdown(items: Column, depth: Column, in_skipped: Column) -> Column:
+    """Items as lines. Skipped items are left out of a list that is itself shown."""
     def line(item: Column) -> Column:
         mark = F.when(item["li_ordered"], F.concat(item["li_no"].cast("string"), F.lit("."))).otherwise("-")
         return F.concat(F.repeat(F.lit("  "), item["list_depth"].cast("int") - depth.cast("int")), mark, F.lit(" "),
                         item["text"], F.lit("\n"))
 
-    shown = F.filter(items, lambda i: ~i["skipped"])
+    shown = F.filter(items, lambda i: in_skipped | ~i["skipped"])
     return F.when(F.exists(items, lambda i: i["has_text"]),
                   F.concat(F.array_join(F.transform(shown, line), ""), F.lit("\n")))
 
@@ -224,7 +225,7 @@ def html_blocks(rows: DataFrame, id_col: str = "page_id", keep: tuple[str, ...]
         .when(block == "code", F.concat(F.lit(" `"), F.col("text"), F.lit("` ")))
         .when(block == "pre", code_fence(F.col("language"), F.col("_source")))
         .when(block == "table", _table_markdown(F.col("rows")))
-        .when(block == "list", _list_markdown(F.col("items"), F.col("list_depth")))
+        .when(block == "list", _list_markdown(F.col("items"), F.col("list_depth"), F.col("skipped")))
     )
     return blocks.withColumn("md", F.coalesce(md, F.lit(""))).drop("_source")
 
