@@ -48,56 +48,52 @@ def with_list_items(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def _memberships(whole_page: bool) -> Column:
-    def member(kind: str, key: Column | str, when: Column | None = None) -> Column:
-        key = F.col(key) if isinstance(key, str) else key
-        present = key.isNotNull() if when is None else when
-        return F.when(present, F.struct(F.lit(kind).alias("block"), key.cast("int").alias("key")))
-
-    own = F.col("pos")
-    members = [
-        member("page", own, own <= 0),
-        member("h", "cur_h"), member("p", "cur_p"), member("li", "cur_li"), member("cell", "cur_cell"),
-        member("pre", "cur_pre"), member("code", "cur_code"),
-        member("tr", own, starts("tr") & F.col("cur_row").isNotNull()),
-        member("list", own, starts(*LIST_TAGS)), member("table", own, starts("table")),
-    ]
+    """The blocks that a token belongs to: those it stands in, and those it starts."""
+    def member(kind: str, key: str) -> Column:
+        return F.when(F.col(key).isNotNull(), F.struct(F.lit(kind).alias("block"), F.col(key).cast("int").alias("key")))
+
+    own = F.when(starts("tr") & F.col("cur_row").isNotNull(), "tr").when(starts(*LIST_TAGS), "list").when(starts("table"), "table")
     if whole_page:
-        members += [member("og", own, has_flag(OG_TITLE)), member("tw", own, has_flag(TW_TITLE)),
-                    member("title", own, (F.col("kind") == "raw") & (F.col("tag") == "title"))]
-    return F.filter(F.array(*members), lambda m: m.isNotNull())
+        own = own.when(has_flag(OG_TITLE), "og").when(has_flag(TW_TITLE), "tw") \
+            .when((F.col("kind") == "raw") & (F.col("tag") == "title"), "title")
+    return F.array(
+        F.when(F.col("pos") <= 0, F.struct(F.lit("page").alias("block"), F.col("pos").cast("int").alias("key"))),
+        F.when(own.isNotNull(), F.struct(own.alias("block"), F.col("pos").cast("int").alias("key"))),
+        member("h", "cur_h"), member("p", "cur_p"), member("li", "cur_li"), member("cell", "cur_cell"),
+        member("pre", "cur_pre"), member("code", "cur_code"))
 
 
 def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_page: bool = True) -> DataFrame:
     """One row per leaf block: its text or inline Markdown, and ``at``, the facts of its start tag."""
-    key = F.col("m.key")
-    inline = F.col("m.block").isin("p", "li")
     if whole_page:
         inside = (F.col("pos") > F.coalesce("container.pos", F.lit(-2))) & (
             F.col("pos") < F.coalesce("container.end_pos", F.lit(2**31 - 1)))
+        skipped = F.col("skipped")
     else:
-        inside = F.lit(True)
-    skipped = F.col("skipped") if whole_page else F.lit(False)
-    title_part = F.when(F.col("m.block").isin("og", "tw"), F.col("info"))
+        inside, skipped = F.lit(True), F.lit(False)
     nested = (F.col("list_depth") > F.when(starts(*LIST_TAGS), 1).otherwise(0)) \
         | (F.col("table_depth") > F.when(starts("table"), 1).otherwise(0)) \
         | (F.col("cur_p") < F.col("pos")) | (F.col("cur_h") < F.col("pos")) | (F.col("cur_pre") < F.col("pos"))
+    facts = F.struct(
+        "tag", *keep, "info", "end_pos", "list_depth", "top_list", "top_table", "cur_row", "cur_pre", "li_no", "li_ordered",
+        "n_li", "end_li", skipped.alias("skipped"), inside.alias("inside"), F.coalesce(nested, F.lit(False)).alias("nested"), "in_main")
+    rows = html_inline.with_fragments(rows).select(
+        id_col, "pos", "text", "fragment", "opened", "closed", "info",
+        (F.col("text").isNotNull() & ~is_blank(F.coalesce("text", F.lit("")))).alias("_full"),
+        F.when((F.col("kind") != "close") & ((F.col("kind") != "text") | (F.col("pos") <= 0)), facts).alias("facts"),
+        _memberships(whole_page).alias("_blocks"))
     # The outer form keeps the optimizer from repeating the whole array in a filter below it.
-    rows = rows.withColumn("m", F.explode_outer(_memberships(whole_page))).where("m IS NOT NULL")
+    rows = rows.withColumn("m", F.explode_outer("_blocks")).where("m IS NOT NULL")
+    block, inline = F.col("m.block"), F.col("m.block").isin("p", "li")
     rows = rows.select(
-        id_col, F.col("m.block").alias("block"), F.col("m.key").alias("key"), "pos",
-        F.coalesce(title_part, F.when(inline, html_inline.fragment(key)).otherwise(F.col("text"))).alias("piece"),
-        F.when(inline, html_inline.opened(key)).alias("opened"),
-        F.when(inline, html_inline.closed(key)).alias("closed"),
-        (F.col("text").isNotNull() & ~is_blank(F.coalesce("text", F.lit("")))).alias("_full"),
-        F.when(F.col("pos") == key, F.struct(
-            "tag", *keep, "info", "end_pos", "list_depth", "top_list", "top_table", "cur_row",
-            "cur_pre", "li_no", "li_ordered", "n_li", "end_li", skipped.alias("skipped"), inside.alias("inside"),
-            F.coalesce(nested, F.lit(False)).alias("nested"), "in_main")).alias("facts"),
-    )
+        id_col, block.alias("block"), F.col("m.key").alias("key"), "pos", "_full",
+        F.when(inline, F.col("fragment")).when(block.isin("og", "tw"), F.col("info")).otherwise(F.col("text")).alias("piece"),
+        F.when(inline, F.col("opened")).alias("opened"), F.when(inline, F.col("closed")).alias("closed"),
+        F.when(F.col("pos") == F.col("m.key"), F.col("facts")).alias("facts"))
     leaves = rows.groupBy(id_col, "block", "key").agg(
         F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY pos)").alias("piece"),
         F.collect_list("opened").alias("opened"), F.collect_list("closed").alias("closed"),
-        F.max("_full").alias("has_text"), F.max("facts").alias("at"))
+        F.max("_full").alias("has_text"), F.first("facts", ignorenulls=True).alias("at"))
     leaves = html_inline.finish_inline(leaves.withColumn("marked", F.coalesce("piece", F.lit(""))))
     text = F.when(F.col("block").isin("p", "li"), tidy_inline("marked")).otherwise(F.col("marked"))
     return leaves.select(id_col, "block", "key", text.alias("text"), "has_text", "at")

@@ -27,11 +27,6 @@ def _drop_markers(value: Column) -> Column:
     return F.translate(value, MARKERS, "")
 
 
-def _in_code(key: Column) -> Column:
-    """Inside a code element that was opened in the block starting at ``key``."""
-    return F.coalesce(F.col("cur_code") >= key, F.lit(False)) & ~(F.coalesce(F.col("tag"), F.lit("")) == "code")
-
-
 def _closing(tag: Column, href: Column) -> Column:
     out = F.when(tag == "a", F.concat(F.lit(LINK_HREF), _drop_markers(href), F.lit(LINK_END)))
     for name, (_, end) in PAIRS.items():
@@ -39,37 +34,36 @@ def _closing(tag: Column, href: Column) -> Column:
     return out
 
 
-def marks_open() -> Column:
-    """A start tag that opens a marker pair."""
-    return (F.col("kind") == "open") & (
-        F.col("tag").isin(list(PAIRS)) | ((F.col("tag") == "a") & (F.coalesce("info", F.lit("")) != "")))
-
-
-def opened(key: Column) -> Column:
-    """STRUCT<pos, ending> of a start tag that needs an end marker, else NULL."""
-    return F.when(marks_open() & ~_in_code(key), F.struct("pos", _closing(F.col("tag"), F.col("info")).alias("ending")))
+def with_fragments(rows: DataFrame) -> DataFrame:
+    """Add the inline Markdown ``fragment`` of each token, with markers.
 
-
-def closed(key: Column) -> Column:
-    """Position of the start tag that an end tag in the same block closes, else NULL."""
-    names = F.col("tag").isin(list(PAIRS) + ["a"])
-    return F.when((F.col("kind") == "close") & names & (F.col("opener.pos") >= key) & ~_in_code(key), F.col("opener.pos"))
-
-
-def fragment(key: Column) -> Column:
-    """Text of one token inside the block at ``key``, with markers."""
-    text = _drop_markers(F.col("text"))
-    start = F.when(F.col("tag") == "a", LINK)
-    for name, (begin, _) in PAIRS.items():
-        start = start.when(F.col("tag") == name, begin)
+    ``opened`` is STRUCT<pos, ending> on a start tag that needs an end marker and ``closed`` the
+    position of the start tag that an end tag closes. Start tags from before the innermost
+    open paragraph or list item do not count: formatting ends with its block.
+    """
+    block = F.coalesce(F.greatest("cur_p", "cur_li"), F.lit(-1))
+    tag, opening, closing = F.col("tag"), F.col("kind") == "open", F.col("kind") == "close"
+    rows = rows.withColumn("_code", F.coalesce((F.col("cur_code") >= block) & (tag != "code"),
+                                               F.col("cur_code") >= block, F.lit(False)))
+    linked = (tag != "a") | (F.coalesce("info", F.lit("")) != "")
+    markable = tag.isin(*PAIRS, "a") & ~F.col("_code")
+    rows = rows.withColumns({
+        "opened": F.when(opening & markable & linked, F.struct("pos", _closing(tag, F.col("info")).alias("ending"))),
+        "closed": F.when(closing & markable & (F.col("opener.pos") >= block), F.col("opener.pos")),
+    })
+    begin = F.when(tag == "a", LINK)
+    for name, (mark, _) in PAIRS.items():
+        begin = begin.when(tag == name, mark)
+    text = F.when(F.col("text").rlike(f"[`{MARKERS}]"), F.when(F.col("_code"), _drop_markers(F.col("text"))).otherwise(
+        F.replace(_drop_markers(F.col("text")), F.lit("`"), F.lit("\\`")))).otherwise(F.col("text"))
     href = F.col("opener.info")
-    ends = closed(key).isNotNull() & ((F.col("tag") != "a") | (F.coalesce(href, F.lit("")) != ""))
-    return (
-        F.when(F.col("text").isNotNull(), F.when(_in_code(key), text).otherwise(F.replace(text, F.lit("`"), F.lit("\\`"))))
-        .when((F.col("kind") == "open") & (F.col("tag") == "br") & ~_in_code(key), "  \n")
-        .when(marks_open() & ~_in_code(key), start)
-        .when(ends, _closing(F.col("tag"), href))
+    fragment = (
+        F.when(F.col("text").isNotNull(), text)
+        .when(opening & (tag == "br") & ~F.col("_code"), "  \n")
+        .when(F.col("opened").isNotNull(), begin)
+        .when(F.col("closed").isNotNull() & ((tag != "a") | (F.coalesce(href, F.lit("")) != "")), _closing(tag, href))
     )
+    return rows.withColumn("fragment", fragment).drop("_code")
 
 
 def finish_inline(blocks: DataFrame, marked: str = "marked", opened_col: str = "opened", closed_col: str = "closed") -> DataFrame:
