@@ -23,6 +23,13 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 PARTITION_BYTES = 256 * 1024 * 1024
 
 
+def scanned_bytes(frame: DataFrame) -> int:
+    """Size of the tables that a frame reads; inputs of unknown size count as nothing."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(size for size in sizes if size < 2**60)
+
+
 def co_locate(pages: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:
     """Hash-partition whole pages by their id, once.
 
@@ -32,9 +39,9 @@ def co_locate(pages: DataFrame, id_col: str, partitions: int | None = None) -> D
     before the split would leave too few tasks for the work after it.
     """
     if partitions is None:
-        size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        partitions = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
-    return pages.repartition(min(partitions, 2**20), id_col)
+        least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(least, -(-scanned_bytes(pages) // PARTITION_BYTES))
+    return pages.repartition(partitions, id_col)
 
 
 def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
