@@ -87,15 +87,18 @@ def _flags() -> Column:
     content_tag = ~F.col("tag").isin("html", "body", "head")
     chrome = F.col("tag").isin(SKIP_TAGS) | _is("role", *SKIP_ROLES) | _class_in(*SKIP_CLASSES) \
         | _styled(r"visibility\s*:\s*hidden")
-    by_attribute = [(1 << k, _selector_test(s)) for k, s in enumerate(CONTENT_SELECTORS) if not s.isalpha()]
+    # Selectors whose last part is a bare tag name need no attribute of the element.
+    last = [s.split(" ")[-1] for s in CONTENT_SELECTORS]
+    by_attribute = [(1 << k, _selector_test(s)) for k, s in enumerate(CONTENT_SELECTORS) if not last[k].isalpha()]
     by_attribute += [
         (CHROME, content_tag & chrome), (HIDDEN, _styled(r"display\s*:\s*none")), (BOX, _class_in("container")),
         (README, _is("elem_id", "readme")), (MAIN, F.col("tag").isin("main", "article") | _is("role", "main")),
         (OG_TITLE, F.col("og_title").isNotNull()), (TW_TITLE, F.col("tw_title").isNotNull()),
     ]
     plain = F.lit(0)
-    for tag in ("main", "article", *SKIP_TAGS):
-        value = (CHROME if tag in SKIP_TAGS else MAIN) | sum(1 << k for k, s in enumerate(CONTENT_SELECTORS) if s == tag)
+    for tag in ("main", "article", "section", *SKIP_TAGS):
+        own = CHROME if tag in SKIP_TAGS else MAIN if tag in ("main", "article") else 0
+        value = own | sum(1 << k for k, part in enumerate(last) if part == tag)
         plain = F.when(F.col("tag") == tag, value).otherwise(plain)
     rich = plain
     for bit, test in by_attribute:

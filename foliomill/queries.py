@@ -23,7 +23,7 @@ from foliomill.plans import tree_export as TX
 from foliomill.plans.markdown_html import markdown_to_html
 from foliomill.plans.page_markdown import BLOCKS, convert_fragments, convert_pages, page_blocks
 from foliomill.session import checkpoint_folder
-from foliomill.sources.tables import is_markdown_path, read_table
+from foliomill.sources.tables import is_markdown_path, read_table, spread
 from foliomill.sources.wiki_responses import follow_pages, read_children_responses, read_page_responses
 from foliomill.streaming import convert as ST
 
@@ -439,7 +439,7 @@ def tree_export_summary(spark, sf):
 # -- Markdown ----------------------------------------------------------------------------
 
 def _md(spark, sf):
-    return fixtures.markdown_fixture(_docs(spark, sf))
+    return fixtures.markdown_fixture(spread(_docs(spark, sf)))
 
 
 def _md_blocks(spark, sf, kind):

@@ -12,6 +12,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Spread a frame that comes in fewer partitions than there are cores.
+
+    For work that needs no shuffle of its own: a small file in one piece would keep all but
+    one core idle. Tables of many files are left as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per HTML file: ``url`` (its path) and ``html``."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
