@@ -21,7 +21,7 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus,
         "spark.driver.memory": "16g",
         # The runs are short and the generated classes many: the first compiler tier pays off sooner.
-        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1 -XX:ReservedCodeCacheSize=512m",
     })
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

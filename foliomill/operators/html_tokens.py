@@ -24,10 +24,14 @@ PARTITION_BYTES = 256 * 1024 * 1024
 
 
 def scanned_bytes(frame: DataFrame) -> int:
-    """Size of the tables that a frame reads; inputs of unknown size count as nothing."""
+    """Size of the stored tables that a frame reads.
+
+    Only scans count: the size that a plan guesses for a checkpointed join can be far off.
+    """
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    return sum(size for size in sizes if size < 2**60)
+    scans = [leaves.apply(k) for k in range(leaves.size())]
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in scans if "Relation" in leaf.getClass().getSimpleName()
+               and leaf.getClass().getSimpleName() != "LocalRelation")
 
 
 def co_locate(pages: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:
