@@ -30,7 +30,8 @@ def discover_tree(nodes: DataFrame, roots: DataFrame, max_depth: int | None = No
     children = nodes.where(F.col("type").isin(TREE_TYPES) & F.col("parent_id").isNotNull()).select(
         "id", "title", "parent_id", "type", "status", "ord")
     children = children.repartition("parent_id").checkpoint()
-    level = nodes.join(roots, nodes["id"] == roots["root_id"]).select(
+    # A node with several parents has several rows; as a root it counts once.
+    level = nodes.join(roots, nodes["id"] == roots["root_id"]).dropDuplicates(["root_id"]).select(
         "root_id", "id", "title", F.lit(None).cast("string").alias("parent_id"), "type", "status", "ord",
         F.lit(0).alias("depth"), F.array(F.lit(0).cast("bigint")).alias("ord_path"), F.array("id").alias("id_path"),
         F.array("title").alias("title_path")).checkpoint()
