@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+from foliomill.session import checkpoint_folder
 
 
-def number_within(rows: DataFrame, group_cols: list[str], order_col: str, out: str = "ordinal") -> DataFrame:
-    """Add the 1-based position of a row in its group, by a unique integer ``order_col``.
+def number_within(rows: DataFrame, group_cols: list[str], order_cols: str | list[str], out: str = "ordinal") -> DataFrame:
+    """Add the 1-based position of a row in its group, in the order of ``order_cols``.
 
-    A plain ``row_number`` would bring a group into one task, however large it is. Here the
-    span of ``order_col`` is cut into ranges: rows are numbered within (group, range) and
-    moved up by the size of the ranges before, which come from a pre-aggregated count of at
-    most ``RANGES`` rows per group.
+    A plain ``row_number`` would bring a group into one task, however large it is. Here the rows
+    are sorted over all partitions by (group, order), so a large group fills several of them.
+    Each run of a group within a partition is counted, and a row's position is its place in the
+    run, moved up by the runs before. Any sortable type will do; NULL is a group, and an order,
+    of its own. Rows equal in all order columns are numbered in either order.
+
+    ``rows`` should be slim: the sorted rows are checkpointed, as their places belong to that sort.
     """
-    span = rows.agg(F.min(order_col).alias("_low"), F.max(order_col).alias("_high"))
-    # One row, so the broadcast has a fixed size.
-    placed = rows.join(F.broadcast(span)).withColumn(
-        "_range", F.floor((F.col(order_col) - F.col("_low")) * RANGES / (F.col("_high") - F.col("_low") + 1)).cast("int")
-    ).drop("_low", "_high")
-    counts = placed.groupBy(*group_cols, "_range").count()
-    before = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*group_cols, "_range").orderBy(order_col)
-    keys = [*group_cols, "_range"]
-    numbered = placed.withColumn("_n", F.row_number().over(within)).join(offsets, keys)
-    return numbered.withColumn(out, (F.col("_n") + F.col("_offset")).cast("bigint")).drop("_n", "_offset", "_range")
+    order = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    checkpoint_folder(rows.sparkSession)
+    keys = [*group_cols, *order]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    # The upper bits of the place are the partition.
+    placed = placed.checkpoint().withColumn("_run", F.shiftright("_place", 33))
+    runs = placed.groupBy(*group_cols, "_run").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    moves = runs.select(*[F.col(c).alias(f"_group_{i}") for i, c in enumerate(group_cols)], F.col("_run").alias("_its_run"),
+                        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_move"))
+    same = F.col("_run") == F.col("_its_run")
+    for i, c in enumerate(group_cols):
+        same &= F.col(c).eqNullSafe(F.col(f"_group_{i}"))
+    return placed.join(moves, same).withColumn(out, F.col("_place") + F.col("_move")).select(*rows.columns, out)
 
 
 def dedupe_names(rows: DataFrame, name_col: str, order_col: str, out: str = "name") -> DataFrame:
@@ -35,7 +40,10 @@ def dedupe_names(rows: DataFrame, name_col: str, order_col: str, out: str = "nam
     that another base name has as well."""
     numbered = number_within(rows, [name_col], order_col)
     name = F.when(F.col("ordinal") > 1, F.concat_ws("-", name_col, F.col("ordinal").cast("string"))).otherwise(F.col(name_col))
-    return numbered.withColumn(out, name)
+    named = numbered.withColumn(out, name)
+    double = named.groupBy(F.col(out).alias("_double")).count().where("count > 1").select("_double")
+    return named.join(double, F.col(out) == F.col("_double"), "left").withColumn(
+        "name_collision", F.col("_double").isNotNull()).drop("_double")
 
 
 def first_in_group(rows: DataFrame, group_cols: list[str], id_col: str, order: Column, out: str = "is_first") -> DataFrame:

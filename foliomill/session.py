@@ -29,11 +29,13 @@ def get_session(app_name: str = "foliomill", master: str | None = None, **conf:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for cut lineage and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in a local
-    test, a temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``; without that setting it raises. Only where
+    all runs in one process, as in a local test, a temporary folder is used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="foliomill-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
