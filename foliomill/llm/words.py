@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from foliomill.session import checkpoint_folder
 
-SLICE_BYTES = 16 << 20
+WORD = r"[^\x20\x09-\x0D]+"
+SLICE_BYTES = 8 << 20
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 
 
