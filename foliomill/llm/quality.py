@@ -29,8 +29,8 @@ _WORDS = "greatest(n_words, 1)"
 MEASURES = {
     "word_length": (f"word_chars / {_WORDS}", 1.0, True),
     "symbols": (f"n_symbols / {_WORDS}", 0.02, False),
-    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.04, False),
-    "repeats": (f"n_repeat_words / {_WORDS}", 0.03, False),
+    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.06, False),
+    "repeats": (f"n_repeat_words / {_WORDS}", 0.04, False),
     "capitals": ("n_upper / greatest(n_letters, 1)", 0.05, False),
     "punctuation": (f"n_punctuation / {_WORDS}", 0.1, False),
 }
@@ -55,7 +55,7 @@ def repeat_words(offsets: np.ndarray, codes: np.ndarray, window: int = REPEAT_WI
     if n <= 0:
         return np.zeros(len(offsets) - 1, np.int64)
     starts = np.flatnonzero(row[:n] == row[window - 1:])
-    key = row[starts].astype(np.uint64)
+    key = mix(row[starts].astype(np.uint64) + np.uint64(1))
     for k in range(window):
         key = mix(key * np.uint64(3) + codes[starts + k].astype(np.uint64) + np.uint64(1))
     order = np.argsort(key)

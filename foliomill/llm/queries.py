@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import language_model, mixing, neighbours, packing, quality, sharding, simhash, substrings, toxicity, wrappers
-from foliomill.llm.words import WORD
+from foliomill.llm.words import WORD, ship
 from foliomill.sources.tables import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn):
-    REGISTRY[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def shipped(spark, sf):
+        ship(spark)
+        return fn(spark, sf)
+
+    REGISTRY[fn.__name__] = shipped
+    return shipped
 
 
 def crc_of_id(modulus: int) -> Column:
@@ -82,8 +88,8 @@ def op8_cost_packing(spark, sf):
 @query
 def op9_toxicity(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    known = docs.where(crc_of_id(4) != 2).join(toxicity.labels_of(read_table(spark, sf, "labels")), "doc_id")
-    scored = toxicity.score(docs, toxicity.fit(known))
+    model = toxicity.fit(docs.where(crc_of_id(4) != 2), toxicity.labels_of(read_table(spark, sf, "labels")))
+    scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(crc_of_id(4) == 2, F.lit(False)).alias("held_out"), "score", toxicity.predicted().alias("predicted"))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from foliomill.llm.words import mix, rows_of, slices, word_codes
 
 SIZES = (3, 4, 5)
+SLICE = 6 << 20
 _FACTORS = mix(np.arange(1, max(SIZES) + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -88,22 +89,25 @@ def _fit(rows: list[tuple[pa.Array, np.ndarray]], weight_of: dict[int, float], b
     return Model((w * ratio).astype(np.float32), float(b))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", id_col: str = "doc_id",
-        rows_per_class: int = 3000, bits: int = 18, rounds: int = 60, penalty: float = 1e-6) -> Model:
-    """Fit a model on labelled texts.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", id_col: str = "doc_id",
+        rows_per_class: int = 2500, bits: int = 18, rounds: int = 60, penalty: float = 1e-6) -> Model:
+    """Fit a model on the texts of ``docs`` that ``labels`` (one label of each id) tells.
 
-    The fit takes a bounded sample: of each class the ``rows_per_class`` rows with the smallest
-    hash of their id. Classes weigh as often as they occur among all labelled rows. One task fits
-    the sample; the model (``2 ** bits`` weights) is all that the driver gets. Rows with a NULL
-    label take no part, a NULL text is empty. Without rows of both classes the model is
-    constant: the share of class 1, or 0 where nothing is labelled.
+    The fit takes a bounded sample: of each class the ``rows_per_class`` ids with the smallest hash. It is
+    drawn from ids alone; only the sampled texts are moved. Classes weigh as often as they occur among
+    all labelled rows. One task fits the sample; the model (``2 ** bits`` weights) is all that the driver gets.
+    Rows with a NULL label take no part, a NULL text is empty, of rows with one id one text is taken. Without rows of
+    both classes the model is constant: class 1 if nothing else occurs, else 0.
     """
-    known = labelled.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+    one_of = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y"))
+    known = docs.select(F.col(id_col).alias("i")).distinct().join(one_of, "i")
     counts = dict(known.groupBy("y").count().collect())
     if len(counts) < 2:
         return Model(np.zeros(1 << bits, np.float32), 40.0 if 1 in counts else -40.0)
-    order = [F.xxhash64("i", F.lit("sample")), "i", "t"]
-    sample = known.where("y = 0").orderBy(*order).limit(rows_per_class).unionByName(known.where("y = 1").orderBy(*order).limit(rows_per_class))
+    order = [F.xxhash64("i", F.lit("sample")), "i"]
+    chosen = known.where("y = 0").orderBy(*order).limit(rows_per_class).unionByName(known.where("y = 1").orderBy(*order).limit(rows_per_class))
+    # At most 2 * rows_per_class ids: the broadcast has a fixed bound.
+    sample = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
     weight_of = {k: n / min(n, rows_per_class) for k, n in counts.items()}
 
     def task(batches):
@@ -125,7 +129,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     names = schema.names
 
     def task(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             offsets, codes, words = word_codes(part.column(text), lower=True)
             doc, word = distinct_words(offsets, codes, len(words))
             gram_word, gram = word_ngrams(words.to_pylist(), bits)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.session import checkpoint_folder
@@ -87,6 +93,20 @@ def chunk_of(*cols: str | Column, chunks: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(chunks)).cast("int")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session, unless PYTHONPATH has it there."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_foliomill_shipped", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="foliomill-")).resolve()
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(folder / "foliomill-package.zip", "w") as out:
+        for path in sorted((root / "foliomill").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(folder / "foliomill-package.zip"))
+    context._foliomill_shipped = True
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: its lineage is the written table."""
     spark = frame.sparkSession

@@ -43,9 +43,11 @@ SKIPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu menus breadcrumb "
     "breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup "
     "login comment comments commentlist respond disqus reply replies share sharing social related recommended pagination pager search toolbar skip".split())
+SKIPPED_PARTS = frozenset("ad advert advertisement sponsored promo comment comments reply related teaser".split())
 CONTENT_TAGS = ("article", "main")
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 ROOT = "#"
+DEEPEST = 100
 
 
 def _words(value: str) -> set[str]:
@@ -61,18 +63,20 @@ def _element(tag: str, attributes: str) -> tuple[str, bool]:
     named = _words(found.get("class", "")) | _words(found.get("id", ""))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
     skipped = tag in SKIPPED_TAGS or found.get("role", "").lower() in SKIPPED_ROLES or bool(hidden) or bool(
-        named & SKIPPED_WORDS and tag not in ("html", "body", *CONTENT_TAGS))
+        named & (SKIPPED_PARTS if tag in CONTENT_TAGS else SKIPPED_WORDS) and tag not in ("html", "body"))
     return ".".join([tag, *sorted(named)]), skipped
 
 
 class Page:
-    """Blocks of text, each with the node that holds it; nodes fold equal siblings.
+    """Blocks of text, each with the element that holds it.
 
-    ``nodes[i]`` is ``(parent, label, skipped)``; node 0 is the root.
+    ``nodes[i]`` is ``(parent, label, skipped, fold)``; node 0 is the root. Siblings of one label share a fold: the
+    folds are a tree too, the shape of the page. Elements below ``DEEPEST`` levels share the fold of their parent.
     """
 
     def __init__(self, html: str):
-        self.nodes: list[tuple[int, str, bool]] = [(-1, ROOT, False)]
+        self.nodes: list[tuple[int, str, bool, int]] = [(-1, ROOT, False, 0)]
+        self.labels: list[str] = [ROOT]  # of the folds
         self.children: list[dict[str, int]] = [{}]
         self.blocks: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("", 0)]
@@ -91,12 +95,14 @@ class Page:
             # The header of an article holds its title, any other the site's.
             skipped = skipped or "header" in label.split(".") and not any(t in CONTENT_TAGS for t, _ in stack)
             parent = stack[-1][1]
-            node = self.children[parent].get(label)
-            if node is None:
-                node = self.children[parent][label] = len(self.nodes)
-                self.nodes.append((parent, label, skipped or self.nodes[parent][2]))
+            above = self.nodes[parent][3]
+            fold = above if len(stack) > DEEPEST else self.children[above].get(label)
+            if fold is None:
+                fold = self.children[above][label] = len(self.labels)
+                self.labels.append(label)
                 self.children.append({})
-            stack.append((tag, node))
+            stack.append((tag, len(self.nodes)))
+            self.nodes.append((parent, label, skipped or self.nodes[parent][2], fold))
 
         while at < end:
             m = TAG.search(html, at)
@@ -153,7 +159,7 @@ class Page:
 
     def skeleton(self) -> str:
         def built(node):
-            return [self.nodes[node][1], [built(c) for c in self.children[node].values()]]
+            return [self.labels[node], [built(c) for c in self.children[node].values()]]
 
         return json.dumps(built(0), ensure_ascii=False, separators=(",", ":"))
 
@@ -207,7 +213,7 @@ def alignment(skeleton: str, template: str) -> dict[int, int]:
 
 
 def _depth_first(page: Page) -> dict[int, int]:
-    """Node numbers of a page to depth-first numbers."""
+    """The folds of a page to depth-first numbers."""
     out, todo = {}, [0]
     while todo:
         node = todo.pop()
@@ -217,15 +223,17 @@ def _depth_first(page: Page) -> dict[int, int]:
 
 
 def _aligned(page: Page, template: str) -> dict[int, int]:
+    """The folds of a page to nodes of the template."""
     match = alignment(page.skeleton(), template)
     return {node: match[k] for node, k in _depth_first(page).items() if k in match}
 
 
 def _texts(page: Page) -> dict[int, str]:
-    """The text of each node that holds text itself."""
+    """The text of each fold that holds text itself, outside of what is skipped anyway."""
     found: dict[int, list[str]] = {}
     for node, text in page.blocks:
-        found.setdefault(node, []).append(text)
+        if not page.nodes[node][2]:
+            found.setdefault(page.nodes[node][3], []).append(text)
     return {node: "\n".join(parts) for node, parts in found.items()}
 
 
@@ -244,9 +252,9 @@ def _content(page: Page) -> list[bool]:
         total[page.nodes[node][0]] += total[node]
     roots: list[int] = []
     for tag in CONTENT_TAGS:
-        roots = roots or [i for i, (_, label, skipped) in enumerate(page.nodes) if not skipped and label.split(".")[0] == tag and total[i]]
+        roots = roots or [i for i, (_, label, skipped, _) in enumerate(page.nodes) if not skipped and label.split(".")[0] == tag and total[i]]
     if not roots:
-        named = [i for i, (_, label, skipped) in enumerate(page.nodes)
+        named = [i for i, (_, label, skipped, _) in enumerate(page.nodes)
                  if not skipped and total[i] * 2 > total[0] and set(label.split(".")[1:]) & CONTENT_WORDS]
         roots = named[-1:]  # the innermost, as children come after their parents
     if not roots:
@@ -268,7 +276,7 @@ def main_text(html: str | None, template: str | None, constant: frozenset[int])
     inside = _content(page)
     to_template = _aligned(page, template) if template and constant else {}
     return " ".join(text for node, text in page.blocks
-                    if inside[node] and not page.nodes[node][2] and to_template.get(node, -1) not in constant)
+                    if inside[node] and not page.nodes[node][2] and to_template.get(page.nodes[node][3], -1) not in constant)
 
 
 def host_of(url: Column) -> Column:
@@ -301,7 +309,7 @@ def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_page
                 page = Page(text or "")
                 nodes = _aligned(page, template)
                 for node, own in _texts(page).items():
-                    if node in nodes and not page.nodes[node][2]:
+                    if node in nodes:
                         h = xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) >> 1
                         row = found.setdefault((name, nodes[node]), [0, h, h])
                         row[0] += 1

@@ -13,21 +13,23 @@ def test_held_out_rows_are_told_apart(spark):
             words[rng.randrange(len(words))] = rng.choice(["zagrufo", "Zagrufen", "kuxump"])
         rows.append((i, " ".join(words), int(bad)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
-    model = T.fit(docs.where("doc_id % 3 <> 0"))
+    train = docs.where("doc_id % 3 <> 0")
+    model = T.fit(train, train.select("doc_id", "label"))
     got = T.score(docs.where("doc_id % 3 = 0"), model).withColumn("p", T.predicted()).collect()
     assert all(0 <= r.score <= 1 for r in got)
     assert sum(r.p == r.label for r in got) >= 0.97 * len(got)
-    again = T.fit(docs.where("doc_id % 3 <> 0").repartition(7))
+    again = T.fit(train.repartition(7), train.select("doc_id", "label").repartition(3))
     assert (again.weights == model.weights).all() and again.intercept == model.intercept
 
 
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "word " * 50_000, None)], "doc_id bigint, text string, score string")
-    model = T.fit(spark.createDataFrame([(1, "good", 0), (2, "bad", 1), (3, None, None)], "doc_id bigint, text string, label int"))
+    known = spark.createDataFrame([(1, "good", 0), (2, "bad", 1), (2, "bad", 1), (3, None, None)], "doc_id bigint, text string, label int")
+    model = T.fit(known, known.select("doc_id", "label").distinct())
     got = T.score(docs, model).collect()
     assert len(got) == 4 and len({r.score for r in got if not r.text}) == 1
     assert T.score(docs.limit(0), model).count() == 0
-    nothing = T.fit(docs.selectExpr("doc_id", "text", "1 as label").limit(0))
+    nothing = T.fit(docs, docs.selectExpr("doc_id", "1 as label").limit(0))
     assert all(r.score < 1e-9 for r in T.score(docs, nothing).collect())
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None)], "doc_id bigint, toxic int")
     assert [tuple(r) for r in T.labels_of(labels).collect()] == [(1, 1)]
