@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import mixing, packing, simhash, substrings, toxicity
-from foliomill.llm.words import WORD, written
+from foliomill.llm.words import WORD, ship, written
 from foliomill.sources.tables import read_table
 
 # The result holds a model's scores and token ids: SQL cannot express it.
@@ -84,6 +84,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
