@@ -72,3 +72,7 @@ SESSION_DATE_FORMAT = "MMMM d, yyyy"
 # Markdown files and nesting.
 MARKDOWN_FILE = r"(?i)\.(md|markdown|mdown|mkd)\z"
 MARKDOWN_MAX_DEPTH = 100
+MARKDOWN_GLOB = "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN],[mM][dD][oO][wW][nN],[mM][kK][dD]}"
+
+# Character references to 128-159 mean the characters of Windows-1252, where it has one.
+HIGH_CONTROLS = [ord(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160)]

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliomill.functions.constants import (
-    ANCHOR_MAX, FILE_NAME_FALLBACK, MODE_EXTENSIONS, PUNCTUATION, SLUG_FALLBACK, SLUG_MAX,
+    ANCHOR_MAX, FILE_NAME_FALLBACK, HIGH_CONTROLS, MODE_EXTENSIONS, PUNCTUATION, SLUG_FALLBACK, SLUG_MAX,
     TITLE_FALLBACK, TITLE_ILLEGAL, TITLE_MAX, WIKI_FOLDER_PATH, WIKI_HOST, WIKI_PAGE_PATH, WS,
 )
 
@@ -98,7 +98,8 @@ def _entity_names() -> dict[str, str]:
 def _code_point(value: Column) -> Column:
     """Character for a code point held in a BIGINT; U+FFFD where none exists."""
     bad = (value <= 0) | value.between(0xD800, 0xDFFF) | (value > 0x10FFFF) | value.isNull()
-    safe = F.when(bad, F.lit(0xFFFD)).otherwise(value)
+    high = F.try_element_at(F.array(*[F.lit(x) for x in HIGH_CONTROLS]), (value - 127).cast("int"))
+    safe = F.when(bad, F.lit(0xFFFD)).when(value.between(128, 159), high).otherwise(value)
     return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
 
@@ -109,13 +110,18 @@ def decode_entities(value) -> Column:
     table = "\x02".join(f"{name}\x01{char}" for name, char in _entity_names().items())
     names = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x01"))
 
+    def number(text: Column, base: int) -> Column:
+        """Leading zeros do not count; what is longer than any code point has none."""
+        short = F.ltrim(text, F.lit("0"))
+        return F.when(F.length(short) <= 8, F.conv(F.concat(F.lit("0"), short), base, 10).cast("bigint"))
+
     def one(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^&#([0-9]{1,9});$", 1)
-        hexits = F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]{1,8});$", 1)
+        digits = F.regexp_extract(part, r"^&#([0-9]+);$", 1)
+        hexits = F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]+);$", 1)
         return (
             F.when(~part.startswith("&"), part)
-            .when(digits != "", _code_point(digits.cast("bigint")))
-            .when(hexits != "", _code_point(F.conv(hexits, 16, 10).cast("bigint")))
+            .when(digits != "", _code_point(number(digits, 10)))
+            .when(hexits != "", _code_point(number(hexits, 16)))
             .otherwise(F.coalesce(F.try_element_at(names, part), part))
         )
 

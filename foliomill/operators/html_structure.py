@@ -297,16 +297,19 @@ def with_candidates(tokens: DataFrame, id_col: str) -> DataFrame:
     A selector counts for its first match on the page only. Ranks after the selectors stand
     for the first valid section, the densest element and the body.
     """
-    run = _running(id_col)
     readme, boxed = CONTENT_SELECTORS.index("#readme article"), CONTENT_SELECTORS.index(".container > section")
-    # The levels of the open "container" elements as a bit set: one element per level is open,
-    # so the parent of a start tag is such an element when the bit of the level above is set.
-    bit = F.when(F.col("level").between(0, 61), F.expr("shiftleft(1L, level)")).otherwise(0)
-    boxes = F.sum(F.when(has_flag(BOX) & F.col("is_closed"), bit).when(has_flag(BOX, "opener.flags"), -bit).otherwise(0))
-    parent = F.when(F.col("level").between(1, 62), F.expr("shiftleft(1L, level - 1)")).otherwise(0)
-    rows = tokens.withColumn("_boxes", boxes.over(run))
-    off = F.when(F.col("in_readme"), 0).otherwise(1 << readme) + F.when(
-        F.col("_boxes").bitwiseAND(parent) != 0, 0).otherwise(1 << boxed)
+    # The parent of a start tag is the last element that was opened one level above it. Levels L - 1 and L
+    # share floor(level / 2) or floor((level + 1) / 2), so one of two windows holds them both.
+    box = F.coalesce(has_flag(BOX), F.lit(False))
+    odd = F.col("level") % 2 != 0
+
+    def last_opened(shift: int, parents: Column) -> Column:
+        pair = Window.partitionBy(id_col, F.floor((F.col("level") + shift) / 2)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(F.when(F.col("is_closed") & parents, box), ignorenulls=True).over(pair)
+
+    rows = tokens.withColumns({"_even": last_opened(0, ~odd), "_odd": last_opened(1, odd)})
+    in_box = F.coalesce(F.when(odd, F.col("_even")).otherwise(F.col("_odd")), F.lit(False))
+    off = F.when(F.col("in_readme"), 0).otherwise(1 << readme) + F.when(in_box, 0).otherwise(1 << boxed)
     bits = F.col("flags").bitwiseAND(F.lit(SELECTOR_MASK)).bitwiseAND(F.bitwise_not(off.cast("bigint")))
     before = _order(id_col).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_bits", F.when(F.col("end_pos").isNotNull(), bits).otherwise(0))
@@ -322,7 +325,7 @@ def with_candidates(tokens: DataFrame, id_col: str) -> DataFrame:
         .when(dense, N_SELECTORS + 1)
         .when(starts("body"), N_SELECTORS + 2)
     ).cast("int")
-    return rows.withColumns({"is_valid": valid, "density": density, "rank": rank}).drop("_seen", "_boxes", "_bits")
+    return rows.withColumns({"is_valid": valid, "density": density, "rank": rank}).drop("_seen", "_even", "_odd", "_bits")
 
 
 def with_container(tokens: DataFrame, id_col: str) -> DataFrame:

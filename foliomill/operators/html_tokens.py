@@ -10,9 +10,9 @@ from foliomill.functions.text import decode_entities
 # Script, style, title and textarea hold text in which tags do not count, so each is one token.
 RAW_TAGS = ["script", "style", "title", "textarea"]
 _RAW = "|".join(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in RAW_TAGS)
-# A quoted attribute value may hold ">". The repeat is bounded to keep the matcher's stack small;
-# a tag with more quoted values falls through to the plain form.
-_TAG = r"""</?[a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,200}>|</?[a-z][^>]*>"""
+# A quoted attribute value may hold ">", and a tag any number of values: every repeat of one character class is
+# possessive, and the outer one too, so the matcher needs no stack. A tag with an open quote ends at the first ">".
+_TAG = r"""</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-z][^>]*+>"""
 TOKEN_PATTERN = rf"(?is)<!--.*?(?:-->|\z)|{_RAW}|<[!?][^>]*>?|{_TAG}|</?[a-z][^<>]*\z|[^<]+|<"
 ATTRIBUTE_PATTERN = r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 

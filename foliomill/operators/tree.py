@@ -20,16 +20,16 @@ def discover_tree(nodes: DataFrame, roots: DataFrame, max_depth: int | None = No
     ``roots``: ``root_id``. Only pages and folders are followed, children of an unreadable
     node (``status`` not 200) are not, and a node is not entered again below itself.
 
-    One join per level against the nodes, which are placed by parent once. Each level is
-    checkpointed to the shared folder, so lineage stays short and a lost executor costs one
-    level. With ``cap`` a root stops as soon as it has more nodes than that: the surplus is
+    One join per level against the nodes; a parent with very many children is left to adaptive
+    execution, which splits it. Each level is checkpointed to the shared folder, so lineage
+    stays short and a lost executor costs one level. With ``cap`` a root stops as soon as it has more nodes than that: the surplus is
     cut per root by a top-k window, which Spark applies before the shuffle as well, and one
     node past the cap is kept so that truncation can be told.
     """
     checkpoint_folder(nodes.sparkSession)
     children = nodes.where(F.col("type").isin(TREE_TYPES) & F.col("parent_id").isNotNull()).select(
         "id", "title", "parent_id", "type", "status", "ord")
-    children = children.repartition("parent_id").checkpoint()
+    children = children.checkpoint()
     # A node with several parents has several rows; as a root it counts once.
     level = nodes.join(roots, nodes["id"] == roots["root_id"]).dropDuplicates(["root_id"]).select(
         "root_id", "id", "title", F.lit(None).cast("string").alias("parent_id"), "type", "status", "ord",
@@ -89,8 +89,8 @@ def fetched(tree: DataFrame) -> Column:
 def with_paths(tree: DataFrame) -> DataFrame:
     """Add ``name``, ``path`` and ``path_collision``.
 
-    The first sibling of a name keeps it, later ones get the last six characters of their id.
-    Folders in the path are the plain names of the ancestors.
+    A sibling keeps its name unless an earlier one has it, be it by title or by what was added to its title; else
+    it gets the last six characters of its id. Folders in the path are the plain names of the ancestors.
     """
     rows = tree.withColumns({
         "base_name": sanitize_title("title"),
@@ -98,10 +98,38 @@ def with_paths(tree: DataFrame) -> DataFrame:
         "node_key": F.concat_ws("/", "root_id", F.array_join("id_path", "/")),
     })
     rows = first_in_group(rows, ["root_id", "_parent", "base_name"], "node_key", F.struct("depth", "ord_path"))
-    name = F.when(F.col("is_first"), F.col("base_name")).otherwise(F.concat_ws("-", "base_name", F.right(F.col("id"), F.lit(6))))
+    longer = F.concat_ws("-", "base_name", F.right(F.col("id"), F.lit(6)))
+    rows = _taken_by_longer_names(rows.withColumn("_longer", longer))
+    name = F.when(F.col("is_first"), F.col("base_name")).otherwise(F.col("_longer"))
     folders = F.transform(F.slice("title_path", F.lit(1), F.size("title_path") - 1), sanitize_title)
     return rows.withColumn("name", name).withColumn(
-        "path", F.concat(F.array_join(F.array_append(folders, F.col("name")), "/"), F.lit(".md"))).drop("_parent", "node_key")
+        "path", F.concat(F.array_join(F.array_append(folders, F.col("name")), "/"), F.lit(".md"))).drop("_parent", "node_key", "_longer")
+
+
+def _taken_by_longer_names(rows: DataFrame) -> DataFrame:
+    """Clear ``is_first`` where an earlier sibling was given, with its id added, the plain name of the row.
+
+    Only rows whose plain name equals a longer one of a sibling are looked at, so nearly always the first
+    round finds none. A row that loses its plain name gets a longer one too, hence the rounds.
+    """
+    place = F.struct("depth", "ord_path").alias("place")
+    checkpoint_folder(rows.sparkSession)
+    longer = rows.select("root_id", "_parent", F.col("_longer").alias("base_name"), F.col("node_key").alias("by"), place)
+    mine = rows.where("is_first").select("root_id", "_parent", "base_name", "node_key", place)
+    taken = mine.join(longer.withColumnRenamed("place", "by_place"), ["root_id", "_parent", "base_name"]).where(
+        "by_place < place").select("node_key", "by").checkpoint()
+    if taken.isEmpty():
+        return rows
+    later = rows.where("NOT is_first").select(F.col("node_key").alias("by"))
+    lost = taken.join(later, "by", "left_semi").select("node_key").distinct().checkpoint()
+    while True:
+        more = taken.join(lost.select(F.col("node_key").alias("by")), "by", "left_semi").select("node_key").distinct()
+        more = more.join(lost, "node_key", "left_anti").checkpoint()
+        if more.isEmpty():
+            break
+        lost = lost.unionByName(more).checkpoint()
+    marked = rows.join(lost.withColumn("_lost", F.lit(True)), "node_key", "left")
+    return marked.withColumn("is_first", F.col("is_first") & F.col("_lost").isNull()).drop("_lost")
 
 
 def with_path_collisions(entries: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.constants import FOLDER_NOTE, SKIPPED_HEADER, SKIPPED_PATH, TREE_CAP, WIKI_BODY_PATH
+from foliomill.functions.constants import FOLDER_NOTE, SKIPPED_HEADER, SKIPPED_PATH, WIKI_BODY_PATH
 from foliomill.functions.text import sanitize_title
 from foliomill.operators.naming import number_within
-from foliomill.operators.tree import fetched, with_paths
+from foliomill.operators.tree import capped, fetched, with_paths
 from foliomill.plans.page_markdown import convert_fragments
 
 SKIP_LINES_PER_PART = 10_000
@@ -26,11 +26,9 @@ def skip_report(tree: DataFrame) -> DataFrame:
     """The skip report of each root that skipped a page.
 
     The report is cut into parts of a bounded size, in order; part 0 starts with the header.
-    Almost always there is one part, and its path is the plain one.
+    All parts have the same path: the file is the parts one after the other.
     """
-    skipped = skipped_pages(tree).withColumn("bfs_key", F.struct("depth", "ord_path"))
-    # Breadth-first order as a number: depth first, then the place within the depth.
-    rows = number_lines(skipped)
+    rows = number_within(skipped_pages(tree), ["root_id"], ["depth", "ord_path"])
     part = F.floor((F.col("ordinal") - 1) / SKIP_LINES_PER_PART).cast("int")
     lines = rows.select("root_id", part.alias("part"), "ordinal",
                         F.concat(F.lit("- "), "title", F.lit(": "), "error", F.lit("\n")).alias("line"))
@@ -39,17 +37,6 @@ def skip_report(tree: DataFrame) -> DataFrame:
     return parts.select("root_id", "part", F.lit(SKIPPED_PATH).alias("path"), F.concat(head, "body").alias("content"))
 
 
-def number_lines(skipped: DataFrame) -> DataFrame:
-    """Number the skipped pages of each root in breadth-first order, range by range.
-
-    A global sort places the rows; ids of the sorted rows grow with that order, and numbering
-    by them needs no group in one task. The sorted rows are checkpointed, because the ids
-    belong to this placement.
-    """
-    placed = skipped.sort("root_id", "bfs_key").withColumn("_place", F.monotonically_increasing_id()).checkpoint()
-    return number_within(placed, ["root_id"], "_place").drop("_place")
-
-
 def export_entries(tree: DataFrame, bodies: DataFrame) -> DataFrame:
     """``root_id, id, path, content, kind`` of every node that could be read.
 
@@ -69,14 +56,19 @@ def export_entries(tree: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def export_tree(tree: DataFrame, bodies: DataFrame) -> DataFrame:
-    """All entries of an export: pages, folders and the skip report."""
-    entries = export_entries(tree, bodies).select("root_id", "path", "content", "kind")
-    return entries.unionByName(skip_report(tree).select("root_id", "path", "content", F.lit("report").alias("kind")))
+    """All entries of an export: pages, folders and the skip report. A file is the ``part`` rows of its path, in order."""
+    entries = export_entries(tree, bodies).select("root_id", "path", F.lit(0).alias("part"), "content", "kind")
+    return entries.unionByName(skip_report(tree).select("root_id", "path", "part", "content", F.lit("report").alias("kind")))
+
 
+def export_summary(tree: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per root: pages exported and skipped, share done and the name of the bundle.
 
-def export_summary(tree: DataFrame, cap: int | None = TREE_CAP) -> DataFrame:
-    """Per root: pages exported and skipped, share done and the name of the bundle."""
-    n = F.count("*") if cap is None else F.least(F.count("*"), F.lit(cap))
+    With ``cap``, all counts are of the first ``cap`` nodes of each root, which ``tree`` must have been discovered with.
+    """
+    if cap is not None:
+        tree = capped(tree, cap)
+    n = F.count("*")
     pages = F.count_if(F.col("type") == "page")
     read = F.count_if((F.col("type") == "page") & (F.col("status") == 200))
     out = tree.groupBy("root_id").agg(

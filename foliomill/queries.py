@@ -17,7 +17,7 @@ from foliomill.operators import tree as TR
 from foliomill.operators.html_blocks import sniff_language, structured_tokens, with_title
 from foliomill.operators.html_links import page_links
 from foliomill.operators.html_tokens import co_locate, tokenize, with_attributes, with_text
-from foliomill.operators.naming import dedupe_names
+from foliomill.operators.naming import dedupe_names, number_within
 from foliomill.plans import page_exports as PX
 from foliomill.plans import tree_export as TX
 from foliomill.plans.markdown_html import markdown_to_html
@@ -369,8 +369,8 @@ def tree_body_ingest(spark, sf):
 def tree_paginate(spark, sf):
     pages = follow_pages(fixtures.children_responses(_docs(spark, sf)))
     children = read_children_responses(pages, keep=("parent_id", "page_no"))
-    order = Window.partitionBy("parent_id").orderBy("page_no", "child_no")
-    return children.select("parent_id", F.row_number().over(order).alias("child_ord"), "id", "type")
+    numbered = number_within(children.select("parent_id", "page_no", "child_no", "id", "type"), ["parent_id"], ["page_no", "child_no"], "child_ord")
+    return numbered.select("parent_id", F.col("child_ord").cast("int").alias("child_ord"), "id", "type")
 
 
 def _path_text(column):

@@ -1,29 +1,46 @@
-"""One file per row, on any file system that Arrow can reach."""
+"""Files from rows, on any file system that Arrow can reach."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 
-def write_files(entries: DataFrame, folder_uri: str, path_col: str = "path", content_col: str = "content") -> None:
-    """Write ``content`` to ``folder_uri/path`` for every row, from the executors.
+def write_files(entries: DataFrame, folder_uri: str, path_col: str = "path", content_col: str = "content",
+                part_col: str | None = None, folder_col: str | None = None) -> None:
+    """Write each row's ``content`` to ``folder_uri/path``, from the executors.
+
+    With ``part_col`` a file is the rows of its path in the order of that column. With ``folder_col`` each of
+    its values, such as the root of a tree, has a folder of its own. Two rows that would be the same file, or the
+    same part of one, are an error before anything is written: no content is lost.
 
     A file is written under a temporary name and moved into place, so a repeated task leaves
     the same result. ``folder_uri`` must be visible to all executors.
     """
-    def write(rows: Iterator[Row]) -> None:
+    target = F.col(path_col) if folder_col is None else F.concat_ws("/", F.col(folder_col).cast("string"), path_col)
+    part = F.lit(0) if part_col is None else F.col(part_col)
+    rows = entries.select(target.alias("target"), part.alias("part"), F.col(content_col).alias("content"))
+    double = rows.groupBy("target", "part").count().where("count > 1").select("target").limit(3).collect()
+    if double:
+        raise ValueError(f"several rows for one file, such as {[r.target for r in double]}")
+
+    def write(own: Iterator[Row]) -> None:
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(folder_uri)
-        for row in rows:
-            target = f"{root}/{row[0]}"
-            system.create_dir(target.rpartition("/")[0], recursive=True)
-            partial = f"{target}.{uuid.uuid4().hex}.tmp"
+        for path, parts in groupby(own, key=lambda r: r.target):
+            place = f"{root}/{path}"
+            system.create_dir(place.rpartition("/")[0], recursive=True)
+            partial = f"{place}.{uuid.uuid4().hex}.tmp"
             with system.open_output_stream(partial) as out:
-                out.write((row[1] or "").encode("utf-8"))
-            system.move(partial, target)
+                for row in parts:
+                    out.write((row.content or "").encode("utf-8"))
+            system.move(partial, place)
 
-    entries.select(path_col, content_col).foreachPartition(write)
+    if part_col is not None:
+        rows = rows.repartition("target").sortWithinPartitions("target", "part")
+    rows.foreachPartition(write)

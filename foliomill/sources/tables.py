@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.functions.constants import MARKDOWN_FILE
+from foliomill.functions.constants import MARKDOWN_FILE, MARKDOWN_GLOB
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,7 +32,9 @@ def is_markdown_path(path: Column) -> Column:
 
 
 def read_markdown_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per Markdown file below ``path``: ``path`` and ``text``, by file ending in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(is_markdown_path(F.col("path"))).select(
-        "path", F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"\A\x{FEFF}", "").alias("text"))
+    """One row per Markdown file below ``path``: ``path`` and ``text``, by file ending in any case.
+
+    Other files are not listed, let alone read. Bytes that are not UTF-8 become U+FFFD.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", MARKDOWN_GLOB).load(path)
+    return files.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\A\x{FEFF}", "").alias("text"))

@@ -39,20 +39,25 @@ def follow_pages(responses: DataFrame, parent_col: str = "parent_id", cursor_col
     A chain is a list linked by cursors. It is ranked by pointer doubling: every round a
     response learns who stands twice as far before it, so a chain of n responses takes
     log2(n) joins on (parent, cursor), each spread over all responses. Responses that no
-    chain from the start reaches are left out.
+    chain from the start reaches are left out. Of several responses to one request, such as a
+    repeated call, the smallest counts.
     """
     checkpoint_folder(responses.sparkSession)
-    rows = responses.withColumn("_next", next_cursor(F.from_json(json_col, CHILDREN_SCHEMA)["_links"]["next"]))
-    rows = rows.withColumn("_key", F.coalesce(cursor_col, F.lit("")))
+    keyed = responses.withColumn("_key", F.coalesce(cursor_col, F.lit("")))
+    others = [c for c in responses.columns if c != parent_col]
+    rows = keyed.groupBy(parent_col, "_key").agg(F.min(F.struct(*others)).alias("_kept")).select(parent_col, "_key", "_kept.*")
+    rows = rows.withColumn("_next", next_cursor(F.from_json(json_col, CHILDREN_SCHEMA)["_links"]["next"]))
     links = rows.select(parent_col, F.col("_key").alias("_prev"), F.col("_next").alias("_key")).where("_key IS NOT NULL AND _key <> ''")
     # _jump: the response that many places before, NULL once the start has been passed.
     state = rows.select(parent_col, "_key").join(links, [parent_col, "_key"], "left").select(
         parent_col, "_key", F.col("_prev").alias("_jump"), F.coalesce("_prev", "_key").alias("_start"),
         F.when(F.col("_prev").isNotNull(), 1).otherwise(0).cast("bigint").alias("page_no")).checkpoint()
     # 40 rounds reach over a million million responses; a chain that is longer bites its own tail.
-    for _ in range(40):
-        if state.where("_jump IS NOT NULL").isEmpty():
+    for rounds in range(41):
+        if state.where("_jump IS NOT NULL AND _jump <> _key").isEmpty():
             break
+        if rounds == 40:
+            raise ValueError("chains of responses not ranked after 40 rounds: cursors go in circles")
         ahead = state.select(parent_col, F.col("_key").alias("_jump"), F.col("_jump").alias("_far"),
                              F.col("_start").alias("_from"), F.col("page_no").alias("_more"))
         state = state.join(ahead, [parent_col, "_jump"], "left").select(

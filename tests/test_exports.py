@@ -72,3 +72,30 @@ def test_streams(spark, arrivals, tmp_path):
     ST.convert_stream(stream(), f"{tmp_path}/pages-out")
     pages = {r.page_id: r.markdown for r in spark.read.parquet(f"{tmp_path}/pages-out/pages").collect()}
     assert pages == {i: f"# H{i}\n\nx\n\n" for i in (1, 2, 3, 4, 8, 9)}
+
+
+def test_numbers_of_null_groups_and_any_ids(spark):
+    rows = spark.createDataFrame([("g", 0, "-5"), ("g", 2**60, "b"), (None, -(2**62), "a"), (None, 5, None), ("h", None, "z")], "g string, id bigint, s string")
+    got = {(r.g, r.id): r.ordinal for r in number_within(rows, ["g"], "id").collect()}
+    assert got == {("g", 0): 1, ("g", 2**60): 2, (None, -(2**62)): 1, (None, 5): 2, ("h", None): 1}
+    assert {(r.g, r.s): r.n for r in number_within(rows, [], ["s", "id"], "n").collect()} == {
+        (None, None): 1, ("g", "-5"): 2, (None, "a"): 3, ("g", "b"): 4, ("h", "z"): 5}
+
+
+def test_name_collisions_are_told(spark):
+    rows = spark.createDataFrame([(1, "foo"), (2, "foo"), (3, "foo-2"), (4, "bar")], "id bigint, slug string")
+    assert {r.id: (r.name, r.name_collision) for r in dedupe_names(rows, "slug", "id").collect()} == {
+        1: ("foo", False), 2: ("foo-2", True), 3: ("foo-2", True), 4: ("bar", False)}
+
+
+def test_sessions_keep_pages_without_a_group(spark):
+    pages = spark.createDataFrame([(1, "http://h/x"), (2, None), (3, "nonsense")], "page_id bigint, url string")
+    converted = pages.select("page_id", F.coalesce("url", F.lit("-")).alias("url"), F.lit("T").alias("title"), F.lit("m").alias("markdown"))
+    got = PX.merge_sessions(pages, converted, F.regexp_extract("url", "http://(h)", 1), F.lit("2025-01-05").cast("date")).collect()
+    assert sum(r.n_pages for r in got) == 3
+
+
+def test_files_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "x.Md").write_bytes(b"\xef\xbb\xbfa\xffb")
+    (tmp_path / "y.mdx").write_bytes(b"no")
+    assert [r.text for r in read_markdown_files(spark, str(tmp_path)).collect()] == ["a�b"]

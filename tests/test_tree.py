@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from foliomill.operators import tree as TR
 from foliomill.plans import tree_export as TX
+from foliomill.sinks.files import write_files
 from foliomill.sources.wiki_responses import follow_pages, read_children_responses, read_page_responses
 
 SCHEMA = "id string, title string, parent_id string, type string, status int, ord bigint"
@@ -78,3 +80,39 @@ def test_responses(spark):
     body = spark.createDataFrame([('{"id":7,"title":"","parentId":3,"body":{"export_view":{"value":"<p>x</p>"}}}',)], "response string")
     assert tuple(read_page_responses(body).first()) == ("7", "Untitled", "<p>x</p>", "3")
     assert read_page_responses(body.select(F.lit('{"id":7}').alias("response")), folder=True).first().title == "Untitled folder"
+
+
+def test_names_taken_by_longer_ones(spark):
+    rows = [CHAIN[0], ("100001", "Dup", "1", "page", 200, 1), ("200002", "Dup", "1", "page", 200, 2), ("300003", "Dup-200002", "1", "page", 200, 3),
+            ("400004", "Dup-200002-300003", "1", "page", 200, 4), ("500005", "Dup-600006", "1", "page", 200, 5), ("600006", "Dup", "1", "page", 200, 6)]
+    names = {r.id: r.name for r in TR.with_paths(discover(spark, rows)).collect()}
+    assert names == {"1": "Root", "100001": "Dup", "200002": "Dup-200002", "300003": "Dup-200002-300003",
+                     "400004": "Dup-200002-300003-400004", "500005": "Dup-600006", "600006": "Dup-600006"}
+
+
+def test_one_report_however_long(spark, tmp_path):
+    rows = [CHAIN[0]] + [(str(k), f"C{k}", "1", "page", 403, k) for k in range(10, 10 + 10_050)]
+    tree = discover(spark, rows)
+    bodies = spark.createDataFrame([("1", "Root", "<p>x</p>")], BODIES)
+    entries = TX.export_tree(tree, bodies)
+    write_files(entries, tmp_path.as_uri(), part_col="part", folder_col="root_id")
+    lines = (tmp_path / "1" / "_skipped.txt").read_text().split("\n\n", 1)[1].splitlines()
+    assert [x.split(":")[0] for x in lines] == [f"- C{k}" for k in range(10, 10 + 10_050)]
+    assert (tmp_path / "1" / "Root.md").exists()
+    with pytest.raises(ValueError):
+        write_files(entries, tmp_path.as_uri())
+
+
+def test_summary_with_and_without_cap(spark):
+    rows = [CHAIN[0]] + [(str(k), f"C{k}", "1", "page", 403 if k % 2 else 200, k) for k in range(10, 30)]
+    whole = TX.export_summary(discover(spark, rows)).first()
+    assert (whole.n_exported, whole.n_skipped) == (11, 10)
+    cut = TX.export_summary(discover(spark, rows, cap=5), 5).first()
+    assert (cut.n_exported, cut.n_skipped) == (3, 2)
+
+
+def test_repeated_responses_count_once(spark):
+    rows = [("p", None, '{"results":[{"id":1}],"_links":{"next":"/x?cursor=a"}}')] * 2
+    rows += [("p", "a", '{"results":[{"id":2}],"_links":{"next":"/x?cursor=b"}}')] * 3 + [("p", "b", '{"results":[{"id":3}]}')]
+    got = read_children_responses(follow_pages(spark.createDataFrame(rows, "parent_id string, cursor string, response string")), keep=("page_no",))
+    assert sorted((r.page_no, r.id) for r in got.collect()) == [(0, "1"), (1, "2"), (2, "3")]
