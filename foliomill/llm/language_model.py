@@ -8,7 +8,7 @@ failure arc to the state of h', weighted log10(K / (c(h) + K)). The start state
 
 The automaton of a whole corpus fits no single machine. Documents are dealt to chunks; each
 chunk lists its different n-grams with their training counts, counts are added up by n-gram, and each
-chunk gets back the totals that differ from its own. With these it builds the part of the automaton that
+chunk gets the totals back. With these it builds the part of the automaton that
 its documents can reach, and traverses it. That part is exact: scores do not depend on the chunks.
 """
 
@@ -26,6 +26,16 @@ CHUNK_BYTES = 8 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of an array by significance: sorted keys and small counts then compress well in the shuffle."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).reshape(-1)
+
+
 class Tokens:
     """The tokens of some texts: lowered words, then one end each; and their n-grams as 64-bit keys."""
 
@@ -87,7 +97,7 @@ class Automaton:
         return np.log10(p)
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = 2, smoothing: float = 200.0,
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = 2, smoothing: float = 500.0,
           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(id_col, n_tokens, n_known, train_tokens, base_score, score)`` of each text.
 
@@ -108,30 +118,34 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
         counts = np.bincount(back, tokens.weights(learn), minlength=len(keys)).astype(np.uint32)
         return tokens, keys, counts
 
-    def listed(group: pa.Table) -> pa.Table:
-        _, keys, counts = own_counts(group)
+    def by_part(keys: np.ndarray) -> list[np.ndarray]:
+        """The places of the keys of each part, in ascending order of the keys."""
         part = (mix(keys) % np.uint64(chunks)).astype(np.int64)
         by = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[by], np.arange(chunks + 1))
-        cut = [by[edges[p]:edges[p + 1]] for p in range(chunks)]
+        return [by[edges[p]:edges[p + 1]] for p in range(chunks)]
+
+    def listed(group: pa.Table) -> pa.Table:
+        _, keys, counts = own_counts(group)
+        cut = by_part(keys)
         chunk = group.column("_chunk")[0].as_py()
         return pa.table({"_part": pa.array(range(chunks), pa.int32()), "_chunk": pa.array([chunk] * chunks, pa.int32()),
-                         "keys": pa.array([keys[c].tobytes() for c in cut], pa.binary()),
-                         "counts": pa.array([counts[c].tobytes() for c in cut], pa.binary())})
+                         "keys": pa.array([planes(keys[c]) for c in cut], pa.binary()),
+                         "counts": pa.array([planes(counts[c]) for c in cut], pa.binary())})
 
     def added(group: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()])
+        own = [from_planes(x, np.uint64) for x in group.column("keys").to_pylist()]
+        counts = np.concatenate([from_planes(x, np.uint32) for x in group.column("counts").to_pylist()])
         edges = np.cumsum([len(k) for k in own])[:-1]
         distinct, back = np.unique(np.concatenate(own), return_inverse=True)
-        totals = np.bincount(back, counts, minlength=len(distinct)).astype(np.int64)
+        totals = np.bincount(back, counts, minlength=len(distinct)).astype(np.uint64)
         unigram = totals[(distinct & np.uint64(7)) == 0]
         n_tokens, n_types = int(unigram.sum()), int((unigram > 0).sum())
-        news = [(k[t != c], t[t != c]) for k, t, c in zip(own, np.split(totals[back], edges), np.split(counts.astype(np.int64), edges))]
         rows = group.num_rows
-        return pa.table({"_chunk": group.column("_chunk").cast(pa.int32()), "tokens": pa.array([n_tokens] * rows, pa.int64()),
-                         "types": pa.array([n_types] * rows, pa.int64()), "keys": pa.array([k.tobytes() for k, _ in news], pa.binary()),
-                         "totals": pa.array([t.tobytes() for _, t in news], pa.binary())})
+        # A chunk knows the order of its own keys: the totals alone go back.
+        return pa.table({"_chunk": group.column("_chunk").cast(pa.int32()), "_part": group.column("_part").cast(pa.int32()),
+                         "tokens": pa.array([n_tokens] * rows, pa.int64()), "types": pa.array([n_types] * rows, pa.int64()),
+                         "totals": pa.array([planes(t) for t in np.split(totals[back], edges)], pa.binary())})
 
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("_train", BooleanType()),
                          *[StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
@@ -140,9 +154,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     def scored(group: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, keys, counts = own_counts(group)
         counts = counts.astype(np.int64)
-        changed = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in answers.column("keys").to_pylist()]])
-        totals = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in answers.column("totals").to_pylist()]])
-        counts[np.searchsorted(keys, changed)] = totals
+        places = by_part(keys)
+        for part, totals in zip(answers.column("_part").to_pylist(), answers.column("totals").to_pylist()):
+            counts[places[part]] = from_planes(totals, np.uint64).astype(np.int64)
         n, v = sum(answers.column("tokens").to_pylist()), sum(answers.column("types").to_pylist())
         known = np.zeros(0, np.int64)
         base = full = known
@@ -158,5 +172,5 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
 
     placed = dealt.groupBy("_chunk")
     answers = placed.applyInArrow(listed, "_part int, _chunk int, keys binary, counts binary").groupBy("_part").applyInArrow(
-        added, "_chunk int, tokens bigint, types bigint, keys binary, totals binary")
+        added, "_chunk int, _part int, tokens bigint, types bigint, totals binary")
     return placed.cogroup(answers.groupBy("_chunk")).applyInArrow(scored, schema).drop("_train")

@@ -60,14 +60,14 @@ def test_probabilities_sum_to_one(spark):
                                  "doc_id bigint, text string, learn boolean")
     got = {r.doc_id: r.score for r in L.score(docs, F.col("learn")).collect()}
     # P(next | a) over all words and the end; each text's remaining factors are taken off.
-    ends = reference([(0, "a b a c a b", True)], 2, 200.0)
+    ends = reference([(0, "a b a c a b", True)], 2, 500.0)
     rows = [(0, "a b a c a b", True)]
-    full = {w: reference(rows + [(9, f"a {w}", False)], 2, 200.0)[9][4] for w in ["a", "b", "c", "zz"]}
+    full = {w: reference(rows + [(9, f"a {w}", False)], 2, 500.0)[9][4] for w in ["a", "b", "c", "zz"]}
     assert ends and all(math.isclose(got[i], full[w], rel_tol=1e-9) for i, w in enumerate(["a", "b", "c", "zz"], 1))
     total = 7 + 4
 
     def p(word_count, pair_count):
-        return (pair_count + 200 * word_count / total) / (3 + 200)
+        return (pair_count + 500 * word_count / total) / (3 + 500)
 
     assert math.isclose(p(3, 0) + p(2, 2) + p(1, 1) + p(1, 0) + p(4, 0), 1.0)
 
