@@ -22,9 +22,12 @@ from foliomill.llm.simhash import _groups
 from foliomill.llm.words import written
 from foliomill.operators.naming import number_within
 
-DEGREE = 16
+DEGREE = 32
+BACK = 24
 BLOCK = 64
 ORDERS = 4
+ROUNDS = 7
+BREADTH = 192
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -40,7 +43,12 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+    """Vectors from bytes: a scale in single precision, then a signed byte (or a half float) for each component."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    rows = raw.reshape(-1, 4 + width) if len(column) and len(raw) // len(column) == 4 + width else raw.reshape(-1, 4 + 2 * width)
+    kind = np.int8 if rows.shape[1] == 4 + width else np.float16
+    scale = np.ascontiguousarray(rows[:, :4]).view(np.float32)
+    return np.ascontiguousarray(rows[:, 4:]).view(kind).astype(np.float32) * scale
 
 
 def _nearest_in_groups(group: np.ndarray, x: np.ndarray, fresh: np.ndarray, limit: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -87,17 +95,23 @@ def _first(rows: DataFrame, by: str, n: int, *order: Column) -> DataFrame:
 
 
 def _packed(nodes: DataFrame) -> DataFrame:
-    """``(node, x)`` with the components as half floats: enough to find candidates, a quarter of the bytes."""
+    """``(node, x, h)``: the components as signed bytes for the graph, as half floats for the search; both scaled to the vector.
+
+    They only find candidates. Distances that are returned come from the vectors themselves.
+    """
     def task(batches):
         for b in batches:
-            lists = b.column("v")
-            x = lists.flatten().to_numpy().reshape(b.num_rows, -1)
-            scale = np.abs(x).max(axis=1, keepdims=True) if len(x) else 1
-            # Beyond the range of half floats only the graph's candidates suffer, never a returned distance.
-            half = np.clip(x, -60000, 60000).astype(np.float16) if np.size(scale) else x
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in half], pa.binary())], ["node", "x"])
+            if not b.num_rows:
+                continue
+            v = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+            top = np.abs(v).max(axis=1, keepdims=True)
+            unit = v / top
+            coarse, fine = np.rint(unit * 127).astype(np.int8), unit.astype(np.float16)
+            x = [s.tobytes() + r.tobytes() for s, r in zip((top / 127).astype(np.float32), coarse)]
+            h = [s.tobytes() + r.tobytes() for s, r in zip(top.astype(np.float32), fine)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(x, pa.binary()), pa.array(h, pa.binary())], ["node", "x", "h"])
 
-    return nodes.select("node", "v").mapInArrow(task, "node bigint, x binary")
+    return nodes.select("node", "v").mapInArrow(task, "node bigint, x binary, h binary")
 
 
 def _blocks(packed: DataFrame, width: int, order_no: int, block: int) -> DataFrame:
@@ -115,15 +129,14 @@ def _blocks(packed: DataFrame, width: int, order_no: int, block: int) -> DataFra
     return number_within(codes, [], ["code", "node"], "n").select("node", F.floor((F.col("n") - 1) / block).cast("bigint").alias("g"))
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = 4, orders: int = ORDERS, block: int = BLOCK, settled: float = 0.02) -> tuple[DataFrame, DataFrame]:
+def neighbour_graph(packed: DataFrame, width: int, degree: int = DEGREE, back: int = BACK, rounds: int = ROUNDS, orders: int = ORDERS,
+                    block: int = BLOCK, settled: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """``(graph, blocks)``: ``(src, dst, d)`` with up to ``degree`` neighbours per node, and the first of the starting blocks.
 
-    ``nodes`` is ``(node, v)`` with different vectors. In a round a node's nearest ``degree`` neighbours each
-    way are compared; rounds end when less than the share ``settled`` of the edges is new.
+    ``packed`` has different vectors. In a round a node's neighbours are compared, and with them the nearest ``back`` of the nodes
+    that have it as a neighbour. Rounds end when less than the share ``settled`` of the edges is new.
     """
-    size = nodes.selectExpr("size(v) as n").first()
-    width = size[0] if size else 1
-    packed = written(_packed(nodes), "vectors")
+    packed = packed.select("node", "x")
     graph, first = None, None
     for k in range(orders):
         block_of = written(_blocks(packed, width, k, block), "blocks")
@@ -133,8 +146,8 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = 4, ord
         graph = near if graph is None else graph.unionByName(near)
     graph = written(_first(graph.groupBy("src", "dst").agg(F.min("d").alias("d")), "src", degree, F.col("d"), F.col("dst")).withColumn("fresh", F.lit(True)), "graph")
     for _ in range(rounds):
-        back = _first(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d", "fresh"), "src", degree, F.col("d"), F.col("dst"))
-        ways = graph.unionByName(back).groupBy(F.col("src").alias("g"), F.col("dst").alias("node")).agg(F.max("fresh").alias("fresh"))
+        others = _first(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d", "fresh"), "src", back, F.col("d"), F.col("dst"))
+        ways = graph.unionByName(others).groupBy(F.col("src").alias("g"), F.col("dst").alias("node")).agg(F.max("fresh").alias("fresh"))
         limit = graph.groupBy(F.col("src").alias("node")).agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(float("inf")).cast("float").alias("limit"))
         known = packed.join(limit, "node", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")).cast("float")))
         found = _compare(ways.join(known, "node"), width, degree)
@@ -151,19 +164,27 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries: DataFrame, found: int, breadth: int = 48,
-                  step: int = 8, max_rounds: int = 40) -> DataFrame:
-    """``(query, node, d)``: the ``found`` nearest nodes each query has met.
+def greedy_search(packed: DataFrame, width: int, graph: DataFrame, queries: DataFrame, entries: DataFrame, found: int,
+                  breadth: int = BREADTH, max_rounds: int = 60) -> DataFrame:
+    """``(query, node, d)``: the ``found`` nearest nodes each query has met, with distances of half precision.
 
-    ``queries`` is ``(query, q)``, ``entries`` ``(query, node)`` the nodes to start from. In a round a query leaves its
-    ``step`` nearest nodes not yet left, among its ``breadth`` nearest, by their edges in either direction. It ends
-    when all of these are left; distances are exact, in double precision.
+    ``queries`` is ``(query, q)``, ``entries`` ``(query, node)`` the nodes to start from. In a round a query leaves the
+    nearest third of its ``breadth`` nearest nodes, as far as they are not yet left, by their edges in either direction.
+    It ends when all ``breadth`` are left.
     """
     breadth = max(breadth, found)
+    step = -(-breadth // 3)
     both = written(graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
 
+    def task(batches):
+        for b in batches:
+            gap = _matrix(b.column("h"), width) - _matrix(b.column("q"), width)
+            d = pa.array(np.sqrt((gap * gap).sum(axis=1)).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), d, pa.array(np.zeros(b.num_rows, bool))], ["query", "node", "d", "left"])
+
     def measured(pairs):
-        return pairs.join(nodes.select("node", "v"), "node").join(queries, "query").select("query", "node", _distance("v", "q").alias("d"), F.lit(False).alias("left"))
+        joined = pairs.join(packed.select("node", "h"), "node").join(queries, "query").select("query", "node", "h", "q")
+        return joined.mapInArrow(task, "query bigint, node bigint, d double, left boolean")
 
     seen = written(_first(measured(entries.distinct()), "query", breadth, F.col("d"), F.col("node")), "search")
     for _ in range(max_rounds):
@@ -180,24 +201,30 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entrie
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding",
-            degree: int = DEGREE, rounds: int = 4, breadth: int = 48) -> DataFrame:
+            degree: int = DEGREE, rounds: int = ROUNDS, breadth: int = BREADTH) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest rows found for each row that ``is_query`` tells.
 
     The score is the Euclidean distance in double precision; ties go to the smaller id. Every usable
     row but the query's own is a candidate. Rows of equal ids are taken as one row each: all of them but
     those of the query's id are candidates.
     """
-    rows = written(usable(vectors.select("*", is_query.alias("_is_query")), id_col, vector).join(
-        vectors.where(is_query).select(F.col(id_col).alias("id"), F.lit(True).alias("asks")).distinct(), "id", "left"), "rows")
+    asking = vectors.where(is_query).select(F.col(id_col).alias("id"), F.lit(True).alias("asks")).distinct()
+    rows = written(usable(vectors, id_col, vector).join(asking, "id", "left"), "rows")
     nodes = written(rows.groupBy("v").agg(F.min("id").alias("node"), F.count_if("asks").alias("asked")), "nodes")
-    tagged = rows.select("id", "v", "asks").join(nodes.select("v", "node"), "v").select("id", "node", "asks")
-    tagged = written(tagged, "tagged")
-    graph, blocks = neighbour_graph(nodes, degree, rounds)
+    size = nodes.selectExpr("size(v) as n").first()
+    width = size[0] if size else 1
+    tagged = written(rows.join(nodes.select("v", "node"), "v").select("id", "node", "asks"), "tagged")
+    packed = written(_packed(nodes), "vectors")
+    graph, blocks = neighbour_graph(packed, width, degree, rounds=rounds)
     # Queries of one vector search once.
     asked = nodes.where("asked > 0").select(F.col("node").alias("query"), F.col("v").alias("q"))
     own = asked.select("query", F.col("query").alias("node"))
-    in_block = asked.join(blocks, F.col("query") == F.col("node")).select("query", "g").join(blocks, "g").select("query", "node")
-    found = written(greedy_search(nodes, graph, asked, own.unionByName(in_block), k + 1, breadth), "found")
+    in_block = own.join(blocks, "node").select("query", "g").join(blocks, "g").select("query", "node")
+    halves = written(own.join(packed, "node").select("query", F.col("h").alias("q")), "queries")
+    # Twice as many as asked for, so that half precision loses none; then distances of the vectors themselves.
+    found = greedy_search(packed, width, graph, halves, own.unionByName(in_block), 2 * (k + 1), breadth).select("query", "node")
+    exact = found.join(nodes.select("node", "v"), "node").join(asked, "query").select("query", "node", _distance("v", "q").alias("d"))
+    found = written(_first(exact, "query", k + 1, F.col("d"), F.col("node")), "found")
     # Of a vector with many copies only the first k + 1 can be among the nearest k.
     copies = _first(tagged.select("id", "node"), "node", k + 1, F.col("id"))
     near = found.join(copies, "node").select("query", F.col("id").alias("vec_id"), F.col("d").alias("score"))
