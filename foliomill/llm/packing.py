@@ -10,6 +10,7 @@ its tokens fill; what fits nowhere as a whole is cut to fill the room left.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from foliomill.llm.words import chunk_count, chunk_of, slices, word_codes
 
 GROUP_BYTES = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
+CACHED = 300_000
 _TOKENIZERS: dict[str, object] = {}
+_WORDS: dict[str, "WordIds"] = {}
 
 
 def _tokenizer(path: str):
@@ -33,18 +36,6 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """``(offsets, ids)`` of each word."""
-    tokenizer = _tokenizer(path)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    ids: list[list[int]] = []
-    for k in range(0, len(words), 10_000):
-        ids.extend(x.ids for x in encode(words[k:k + 10_000], add_special_tokens=False))
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]) if ids else np.zeros(1, np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(offsets[-1]))
-    return offsets, flat
-
-
 def ragged_take(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(offsets, values)`` of the chosen rows, one after the other."""
     sizes = np.diff(offsets)[rows]
@@ -54,6 +45,46 @@ def ragged_take(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tu
     return np.concatenate([[0], ends]), values[at]
 
 
+class WordIds:
+    """The ids of words. The first ``CACHED`` different ones of a worker are remembered."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        self.row: dict[str, int] = {}
+        self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        sizes: list[int] = []
+        flat: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        for k in range(0, len(words), 10_000):
+            ids = [x.ids for x in encode(words[k:k + 10_000], add_special_tokens=False)]
+            sizes.extend(map(len, ids))
+            flat.append(np.array(list(chain.from_iterable(ids)), np.uint32))
+        return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate(flat)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(offsets, ids)`` of each word."""
+        rows = np.fromiter((self.row.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        offsets, ids = self.encoded([words[i] for i in new])
+        known = len(self.offsets) - 1
+        rows[new] = known + np.arange(len(new))
+        joined = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]]), np.concatenate([self.ids, ids])
+        room = min(len(new), CACHED - known)
+        if room > 0:
+            self.row.update(zip((words[i] for i in new[:room]), range(known, known + room)))
+            self.offsets = joined[0][: known + room + 1].copy()
+            self.ids = joined[1][: self.offsets[-1]].copy()
+        return ragged_take(*joined, rows)
+
+
+def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path].of(words)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = 2048) -> DataFrame:
     """``(id_col, start, length, doc_tokens, ids)``: the tokens of each document and ``end_id``, cut every ``capacity``.
 
