@@ -1,5 +1,22 @@
-"""The same results in SQL for a second engine, where SQL can express them."""
+"""The same results in SQL for a second engine, where SQL can express them.
+
+The others are tested against brute force or exact round trips: scores of fitted models, token ids,
+XXH64 fingerprints, random rounding, and searches that find most but not all.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from foliomill.llm.substrings import WINDOW
+from foliomill.llm.words import WORD
+
+_FM_SUBSTRINGS = rf"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+keyed AS (SELECT n, w, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + {WINDOW - 1} <= len(w) THEN md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) END) AS k FROM docs),
+words AS (SELECT n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(k) AS k FROM keyed),
+marked AS (SELECT n, i, word, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS again FROM words),
+covered AS (SELECT n, i, word, bool_or(again) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked),
+kept AS (SELECT n, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM covered GROUP BY n)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (n)"""
+
+ORACLE: dict[str, str] = {"op6_fm_substrings": _FM_SUBSTRINGS}
