@@ -16,7 +16,10 @@ def word(n: int) -> Column:
 
 
 def with_words(documents: DataFrame) -> DataFrame:
-    return documents.withColumns({"a": word(1), "b": word(2), "c": word(3), "i": F.col("doc_id").cast("string")})
+    """The first words ``a b c``, the id ``i`` and ``t``: the letters of the whole text, as words."""
+    letters = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    return documents.withColumns({"a": word(1), "b": word(2), "c": word(3), "i": F.col("doc_id").cast("string"),
+                                  "t": F.coalesce(F.nullif(letters, F.lit("")), F.lit("x"))})
 
 
 def _fill(template: str) -> Column:
@@ -35,7 +38,7 @@ ARTICLE = (
     '<pre><code class="language-python">print("{a}")</code></pre><pre>SELECT {b} FROM t</pre>'
     '<table><tr><th>K</th><th>V</th></tr><tr><td>{c}</td><td>{i}</td></tr></table>'
     '<ul><li>{a}<ul><li>{b}</li></ul></li><li>{c}</li></ul><ol><li>{a}</li><li>{b}</li></ol></article>'
-    '<div class="sidebar"><p>{c}</p></div>'
+    '<div class="sidebar"><p>{t}</p></div>'
 )
 MARKDOWN = "\n".join([
     "# {a} {b}", "", "Intro **{a}** and *{b}* with `{c}` and ~~{a}~~.", "", "- {a}", "- [x] {b}", "  - {c}", "",
@@ -110,7 +113,7 @@ def page_responses(documents: DataFrame) -> DataFrame:
     body = F.to_json(F.struct(
         d.alias("id"), F.when(d % 7 == 0, "").otherwise(F.concat("lang", F.lit(" page "), "i")).alias("title"),
         F.when(d > 0, F.floor((d - 1) / 5)).alias("parentId"),
-        F.struct(F.struct(F.when(d % 5 != 1, F.concat(F.lit("<p>"), "a", F.lit("</p>"))).alias("value")).alias("export_view")).alias("body")))
+        F.struct(F.struct(F.when(d % 5 != 1, F.concat(F.lit("<p>"), "t", F.lit("</p>"))).alias("value")).alias("export_view")).alias("body")))
     return rows.select("doc_id", body.alias("response"))
 
 

@@ -1,6 +1,6 @@
 from foliomill.oracle.sql import WS, clean, escape, host, slug, sub, tokens, trim, units, WORDS
 
-_LINE = "split_part(text, chr(10), 1)"
+_LINE = "line"
 _TARGET = "(['', 'javascript:', 'java' || chr(9) || 'script:', 'mailto:', 'DATA:', './', 'x+y:'])[page_id % 7 + 1] || url"
 
 SCALARS = {
@@ -16,8 +16,9 @@ SCALARS = {
         f"WITH t AS (SELECT page_id, {_TARGET} AS target FROM pages) SELECT page_id, target, "
         "CASE WHEN page_id % 7 IN (1, 2, 4, 6) THEN '#' ELSE target END AS safe FROM t"),
     "heading_anchor": (
-        "SELECT doc_id, left(" + sub(sub(trim(f"lower({_LINE})"), rf"[^0-9A-Za-z_{WS}\-]", ""), rf"[{WS}]+", "-")
-        + ", 80) AS anchor FROM documents"),
+        "SELECT doc_id, cast(line_no AS int) AS line_no, left(" + sub(sub(trim(f"lower({_LINE})"), rf"[^0-9A-Za-z_{WS}\-]", ""), rf"[{WS}]+", "-")
+        + ", 80) AS anchor FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no "
+        "FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"),
     "wiki_url_parse": """
         SELECT doc_id,
                CASE WHEN known THEN CASE doc_id % 3 WHEN 0 THEN 'https://acme.atlassian.net' ELSE 'https://beta.atlassian.net:8443' END END AS origin,

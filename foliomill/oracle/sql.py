@@ -54,7 +54,8 @@ def word(n: int) -> str:
     return f"coalesce(nullif(regexp_replace(split_part(text, ' ', {n}), '[^A-Za-z]', '', 'g'), ''), 'x')"
 
 
-WORDS = (f"words AS (SELECT doc_id, lang, text, {word(1)} AS a, {word(2)} AS b, {word(3)} AS c, "
+WHOLE = "coalesce(nullif(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')), ''), 'x')"
+WORDS = (f"words AS (SELECT doc_id, lang, text, {word(1)} AS a, {word(2)} AS b, {word(3)} AS c, {WHOLE} AS t, "
          "cast(doc_id AS varchar) AS i FROM documents)")
 
 

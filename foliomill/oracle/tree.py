@@ -32,7 +32,7 @@ named AS (SELECT *, {_SAFE.format(x='title')} AS base_name,
 paths AS (SELECT *, CASE WHEN nth = 1 THEN base_name ELSE base_name || '-' || right(id, 6) END AS name FROM named),
 placed AS (SELECT *, array_to_string(list_append(list_transform(title_path[1:-2], lambda x: {_SAFE.format(x='x')}), name), '/') || '.md' AS path FROM paths)"""
 _ERROR = "'HTTP ' || status || ' for /wiki/api/v2/pages/' || id || '?body-format=export_view'"
-_ENTRY = fill("# {title}\n\n# {a} {b}\n\n" + _ARTICLE + "{c}\n\n")
+_ENTRY = fill("# {title}\n\n# {a} {b}\n\n" + _ARTICLE + "{t}\n\n")
 
 
 def _export(first: str, source: str, roots: str = "id = '0'") -> str:
@@ -53,7 +53,7 @@ TREE = {
                cast(((ord - 1) % 5) % 2 AS int) AS child_no, id, title, type FROM nodes WHERE parent_id IS NOT NULL""",
     "tree_body_ingest": f"""WITH {WORDS}
         SELECT doc_id, i AS id, CASE WHEN doc_id % 7 = 0 THEN 'Untitled' ELSE lang || ' page ' || i END AS title,
-               CASE WHEN doc_id % 5 = 1 THEN '' ELSE '<p>' || a || '</p>' END AS html_body,
+               CASE WHEN doc_id % 5 = 1 THEN '' ELSE '<p>' || t || '</p>' END AS html_body,
                CASE WHEN doc_id > 0 THEN cast((doc_id - 1) // 5 AS varchar) END AS parent_id FROM words""",
     "tree_paginate": f"""WITH {_NODES}
         SELECT parent_id, cast((ord - 1) % 5 + 1 AS int) AS child_ord, id, type FROM nodes WHERE parent_id IS NOT NULL""",

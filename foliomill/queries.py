@@ -82,7 +82,8 @@ def safe_url(spark, sf):
 
 @query
 def heading_anchor(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.heading_anchor(F.split_part("text", F.lit("\n"), F.lit(1))).alias("anchor"))
+    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", T.heading_anchor("line").alias("anchor"))
 
 
 @query
@@ -297,9 +298,13 @@ def fragment_markdown(spark, sf):
 
 @query
 def convert_outcomes(spark, sf):
-    ok = F.col("markdown") != ""
-    rows = PX.outcomes(_converted(spark, sf), ok, F.lit("Conversion failed"))
-    return rows.select("page_id", "ok", "error", T.estimate_tokens("markdown").alias("tokens"))
+    pages = _converted(spark, sf).select(F.lit("page").alias("origin"), F.col("page_id").cast("string").alias("id"), "markdown")
+    # Every seventh fragment is empty: its conversion fails.
+    html = F.when(F.col("id").cast("bigint") % 7 == 3, "<div> </div>").otherwise(F.col("html_body"))
+    bodies = fixtures.body_fixture(_docs(spark, sf)).withColumns({"html_body": html, "title": F.lit(None).cast("string")})
+    made = convert_fragments(bodies, "id", "html_body", "title").select(F.lit("made").alias("origin"), "id", "markdown")
+    rows = PX.outcomes(pages.unionByName(made), F.coalesce(F.col("markdown") != "", F.lit(False)), F.lit("Conversion failed"))
+    return rows.select("origin", "id", "ok", "error", T.estimate_tokens("markdown").alias("tokens"))
 
 
 @query
