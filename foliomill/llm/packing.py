@@ -27,6 +27,15 @@ _TOKENIZERS: dict[str, object] = {}
 _WORDS: dict[str, "WordIds"] = {}
 
 
+def tokenizer_file() -> str:
+    """The tokenizer of the queries: the file that FOLIOMILL_TOKENIZER names, or the public word-level one."""
+    if named := os.environ.get("FOLIOMILL_TOKENIZER"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _tokenizer(path: str):
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from functools import wraps
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +78,7 @@ def op7_simhash_near_dedup(spark, sf):
 
 @query
 def op8_cost_packing(spark, sf):
-    path = os.environ.get("FOLIOMILL_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
-    packed = packing.pack(read_table(spark, sf, "documents").select("doc_id", "text"), path)
+    packed = packing.pack(read_table(spark, sf, "documents").select("doc_id", "text"), packing.tokenizer_file())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
