@@ -7,9 +7,6 @@ are, and an empty table stays empty.
 
 from __future__ import annotations
 
-import os
-
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of all documents in sequences of at most 2048."""
-    path = os.environ.get("FOLIOMILL_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(docs.select("doc_id", "text"), path)
+    return packing.pack(docs.select("doc_id", "text"), packing.tokenizer_file())
 
 
 STAGES = [
