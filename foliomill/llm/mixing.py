@@ -106,7 +106,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     or NULL take no part in the rounding: they get the whole part of their source's ratio.
     Repeated rows are rows of their own.
     """
-    placed = number_within(docs.select(id_col, source, size), [source], [size, id_col], "row").withColumn("row", F.col("row") - 1)
+    # Written first: the sort looks at its input twice, and the size may have to be counted from a text.
+    slim = written(docs.select(id_col, source, size), "mix-sizes")
+    placed = number_within(slim, [source], [size, id_col], "row").withColumn("row", F.col("row") - 1)
     placed = written(placed, "mix-rows")
     sums = placed.groupBy(source).agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1

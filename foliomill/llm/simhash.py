@@ -140,29 +140,48 @@ def spanning(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return nodes[apart], nodes[label[apart]]
 
 
-def links(marks: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` between different ``fingerprint`` values of ``marks``, at up to ``max_bits`` bits.
-
-    The links keep connectivity, not every pair: of each bucket come links to the smallest row of
-    each component in it. ``marks`` is ``(fingerprint, rep)`` with one row per fingerprint, and a and
-    b are its ``rep``. A bucket of over ``tile`` rows is cut into parts, and each pair of parts
-    is a group of its own, spread over tasks.
+def sampled_masks(tables: int, bits: int) -> list[int]:
+    """``tables`` masks of ``bits`` bits each, drawn once and for all."""
+    rng = np.random.default_rng(64)
+    return [sum(1 << int(k) for k in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
+def nearest_before(a: np.ndarray, b: np.ndarray, marks: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs only the closest to a row of smaller ``order``, for each row that has one."""
+    swap = order[a] < order[b]
+    late, early = np.where(swap, b, a), np.where(swap, a, b)
+    by = np.lexsort((order[early], np.bitwise_count(marks[late] ^ marks[early]), late))
+    late, early = late[by], early[by]
+    first = np.flatnonzero(np.diff(late, prepend=-1))
+    return late[first], early[first]
+
+
+def links(marks: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = None, pivots: int = PIVOTS, tile: int = TILE,
+          choose: str = "spanning") -> DataFrame:
+    """Links ``(a, b)`` between rows of ``marks``, ``(fingerprint, rep)``, at up to ``max_bits`` bits; a and b are their ``rep``.
+
+    Rows that agree in all bits of a mask meet in a bucket. By default the masks are pairs of ``BLOCKS`` blocks, which miss nothing
+    up to four bits. Not every pair is returned: ``spanning`` links of a bucket go to the smallest row of each component in it
+    and keep connectivity; ``nearest`` ones to the closest row of smaller ``rep``, for checks of each link that follow.
+    A bucket of over ``tile`` rows is cut into parts, and each pair of parts is a group of its own, spread over tasks.
     """
-    if blocks - max_bits < 2:
-        raise ValueError("two blocks must stay equal: blocks >= max_bits + 2")
+    if masks is None:
+        if BLOCKS - max_bits < 2:
+            raise ValueError(f"{BLOCKS} blocks miss pairs beyond {BLOCKS - 2} bits: give other masks")
+        masks = block_masks(BLOCKS)
     reference = pivot_fingerprints(pivots)
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     key = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("bigint")).alias("k"))
                               for i, m in enumerate(signed)]))
     distances = F.array(*[F.bit_count(F.col("fingerprint").bitwiseXOR(F.lit(int(p)).cast("bigint"))).cast("tinyint")
                           for p in reference.view(np.int64)])
     rows = marks.select("fingerprint", "rep", distances.alias("d"))
-    slim = rows.select("fingerprint", key.alias("b")).select("fingerprint", "b.t", "b.k")
+    slim = rows.select(key.alias("b")).select("b.t", "b.k")
     # Buckets of one row hold no pair; they go before the table of distances is attached.
     filled = slim.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / tile).cast("int")
     wide = rows.select("*", key.alias("b")).select("fingerprint", "rep", "d", "b.t", "b.k").join(filled, ["t", "k"])
-    mine = F.pmod(F.xxhash64("fingerprint"), parts).cast("int")
+    mine = F.pmod(F.xxhash64("fingerprint", "rep"), parts).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(
         F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"),
         F.when(mine == o, 0).when(mine < o, 1).otherwise(2).cast("tinyint").alias("side")))
@@ -181,7 +200,7 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, pivo
             a, b = near_pairs(mark, table, np.cumsum(change), group.column("side").to_numpy(), max_bits)
             if len(a):
                 rep = group.column("rep").to_numpy()
-                a, b = spanning(a, b, rep)
+                a, b = spanning(a, b, rep) if choose == "spanning" else nearest_before(a, b, mark, rep)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
     return tiled.repartition(*by).sortWithinPartitions(*by).mapInArrow(task, "a bigint, b bigint")
@@ -202,3 +221,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = nodes.join(of_mark, F.col("fingerprint") == F.col("linked"), "left").select(
         "fingerprint", F.coalesce("smallest", "least").alias("component_id"))
     return marks.join(nodes, "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def _shingles(words: list[bytes], size: int) -> set[bytes]:
+    return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts have a Jaccard similarity of shingle sets of ``similarity`` or more."""
+    def task(batches):
+        for batch in batches:
+            good = []
+            for one, other in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))):
+                x, y = _shingles(one.lower().split(), shingle), _shingles(other.lower().split(), shingle)
+                both = len(x & y)
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            kept = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+
+    of_a, of_b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
+                tables: int = 48, bits: int = 16, max_bits: int = 13) -> DataFrame:
+    """``(id_col, component_id)``: components of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    SimHash finds the pairs: fingerprints that agree in one of ``tables`` samples of ``bits`` bits meet, and those at
+    up to ``max_bits`` bits are held against their texts. So no pair below the similarity is linked; one just at 0.8 is found
+    with a probability of about 0.85, one at 0.9 of about 0.99. Equal texts are one node. ``component_id`` is the smallest id; NULL
+    and empty texts are equal, and texts are compared with A-Z in lower case.
+    """
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    marks = written(fingerprints(texts.select(F.struct(F.col(id_col).alias("i"), "node").alias("_row"), "text"), "_row", "text", shingle).select(
+        F.col("_row.i").alias(id_col), F.col("_row.node").alias("node"), "fingerprint"), "fingerprints")
+    nodes = written(marks.groupBy("node").agg(F.min(id_col).alias("least"), F.first("fingerprint").alias("fingerprint")), "nodes")
+    pairs = written(links(nodes.select("fingerprint", F.col("node").alias("rep")), max_bits, sampled_masks(tables, bits), 4, choose="nearest").distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    near = components(_verified(pairs, wanted, shingle, similarity))
+    smallest = near.join(nodes, "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    of_node = near.join(smallest, "component").select(F.col("node").alias("linked"), "smallest")
+    found = written(nodes.join(of_node, F.col("node") == F.col("linked"), "left").select(
+        "node", F.coalesce("smallest", "least").alias("component_id")), "components")
+    return marks.join(found, "node").select(id_col, "component_id")

@@ -83,6 +83,25 @@ def test_near_duplicates_match_brute_force(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_match_all_pairs_of_shingle_sets(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = [None, "", "a b", "A b", "a b c"]
+    for _ in range(40):
+        words = rng.choices(vocabulary, k=rng.randrange(150, 500))
+        texts += [" ".join(words), " ".join(words).upper()]
+        for share in (0.004, 0.01, 0.08):
+            texts.append(" ".join("x" if rng.random() < share else w for w in words))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    exact = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j]}
+    root = smallest_reachable([p for p, s in exact.items() if s >= 0.8] + [(0, 1)], range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs).collect()}
+    assert all(root[i] == root[got[i]] for i in got)  # nothing below the similarity is linked
+    assert got[1] == 0 and sum(got[i] != root[i] for i in got) <= 0.05 * len(got)
+    assert S.near_copies(docs.limit(0)).count() == 0
+
+
 def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q r s")], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(docs).collect()), key=str)
