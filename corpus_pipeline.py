@@ -32,10 +32,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicate documents the one with the smallest doc_id.
 
-    Documents of one id are told apart by their text; of rows equal in both, one stays.
+    Texts are near-duplicates at a Jaccard similarity of 0.8 or more of their five-word shingles; SimHash finds
+    the pairs. Documents of one id are told apart by their text; of rows equal in both, one stays. Documents
+    without text are equal.
     """
     keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("content")))
-    found = simhash.near_duplicates(keyed.select("_key", "text"), "_key")
+    found = simhash.near_copies(keyed.select("_key", "text"), "_key")
     first = found.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
     return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
