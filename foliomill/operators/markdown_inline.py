@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliomill.functions.constants import WS
-from foliomill.functions.text import escape_html
+from foliomill.functions.text import escape_html, let
 
 CODE_START, CODE_END = "﷐", "﷑"
 URL_START, URL_END, TITLE_START, TITLE_END = "﷒", "﷓", "﷔", "﷕"
@@ -43,21 +43,34 @@ def _settle_targets(value: Column) -> Column:
     return _sub(out, rf"{TITLE_START}([^{TITLE_END}]*){TITLE_END}", ' title="$1"')
 
 
+def _where(value: Column, marks: tuple[str, ...], step) -> Column:
+    """Apply a step where the text holds one of its marks; most texts hold none and are not searched by pattern."""
+    def chosen(out: Column) -> Column:
+        found = F.contains(out, F.lit(marks[0]))
+        for mark in marks[1:]:
+            found = found | F.contains(out, F.lit(mark))
+        return F.when(found, step(out)).otherwise(out)
+
+    return let(value, chosen)
+
+
 def plain_inline(text: Column) -> Column:
     """HTML of a text without code spans."""
     out = escape_html(text)
-    out = _settle_targets(_sub(out, IMAGE, rf'<img src="{URL_START}$2{URL_END}" alt="$1"{TITLE_START}$3{TITLE_END}>'))
-    out = _settle_targets(_sub(out, LINK, rf'<a href="{URL_START}$2{URL_END}"{TITLE_START}$3{TITLE_END}>$1</a>'))
-    out = _sub(out, AUTOLINK, r'<a href="$1">$1</a>')
-    out = _sub(out, BOLD, r"<strong>$2</strong>")
-    out = _sub(out, ITALIC, r"<em>$2</em>")
-    out = _sub(out, STRIKE, r"<del>$1</del>")
-    return _sub(out, r" {2,}\n", "<br>\n")
+    out = _where(out, ("![",), lambda o: _settle_targets(
+        _sub(o, IMAGE, rf'<img src="{URL_START}$2{URL_END}" alt="$1"{TITLE_START}$3{TITLE_END}>')))
+    out = _where(out, ("](",), lambda o: _settle_targets(
+        _sub(o, LINK, rf'<a href="{URL_START}$2{URL_END}"{TITLE_START}$3{TITLE_END}>$1</a>')))
+    out = _where(out, ("&lt;http",), lambda o: _sub(o, AUTOLINK, r'<a href="$1">$1</a>'))
+    out = _where(out, ("**", "__"), lambda o: _sub(o, BOLD, r"<strong>$2</strong>"))
+    out = _where(out, ("*", "_"), lambda o: _sub(o, ITALIC, r"<em>$2</em>"))
+    out = _where(out, ("~~",), lambda o: _sub(o, STRIKE, r"<del>$1</del>"))
+    return _where(out, ("  \n",), lambda o: _sub(o, r" {2,}\n", "<br>\n"))
 
 
 def inline_parts(text: Column) -> Column:
     """ARRAY<STRUCT<code, text>>: code spans and the text between them, in order."""
-    marked = _sub(F.translate(text, _MARKS, ""), CODE_SPAN, f"{CODE_START}$2{CODE_END}")
+    marked = _where(F.translate(text, _MARKS, ""), ("`",), lambda o: _sub(o, CODE_SPAN, f"{CODE_START}$2{CODE_END}"))
     parts = F.regexp_extract_all(marked, F.lit(f"{CODE_START}[^{CODE_END}]*{CODE_END}|[^{CODE_START}]+"), F.lit(0))
     return F.transform(parts, lambda p: F.struct(
         p.startswith(CODE_START).alias("code"), F.translate(p, CODE_START + CODE_END, "").alias("text")))
