@@ -33,6 +33,8 @@ FRAGMENTS = [
     ('<p title="a>b">q &amp;amp; &#65;</p><!-- <p>no</p> --><script>var t="</p><p>s"</script>', None, "q &amp; A\n\n"),
     ("<p>  \n </p><p><code></code></p>", None, " `` "),
     ("<p>cut off <b", None, "cut off\n\n"),
+    ("<p " + " ".join(f'd{i}="{i}"' for i in range(250)) + ' title="a>b">many values</p>', None, "many values\n\n"),
+    ("<p>&#0000000065;&#x00000000000042; &#128;&#159; &#99999999999999;</p>", None, "AB €Ÿ \ufffd\n\n"),
 ]
 
 
@@ -89,3 +91,14 @@ def test_one_shuffle_and_no_python(spark, sf):
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan and "Python" not in plan
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan
+
+
+def test_a_deep_page_reads_like_a_flat_one(spark):
+    def page(depth):
+        text = "words that fill the section " * 8
+        return ("<html><body>" + "<div>" * depth + f'<div class="container"><p>aside</p><section><p>{text}</p><p>{text}</p></section></div>'
+                + "</div>" * depth + "</body></html>")
+
+    rows = spark.createDataFrame([(d, "http://h/x", page(d)) for d in (3, 70, 300)], "page_id int, url string, html string")
+    got = convert_pages(rows, keep=("url",)).select("markdown").distinct().collect()
+    assert len(got) == 1 and "aside" not in got[0].markdown
