@@ -177,10 +177,10 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None =
                           for p in reference.view(np.int64)])
     rows = marks.select("fingerprint", "rep", distances.alias("d"))
     slim = rows.select(key.alias("b")).select("b.t", "b.k")
-    # Buckets of one row hold no pair; they go before the table of distances is attached.
-    filled = slim.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / tile).cast("int")
-    wide = rows.select("*", key.alias("b")).select("fingerprint", "rep", "d", "b.t", "b.k").join(filled, ["t", "k"])
+    # Only large buckets need to be known before; written, their size is known too, and the few there are get broadcast.
+    large = written(slim.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > tile), "large-buckets")
+    parts = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
+    wide = rows.select("*", key.alias("b")).select("fingerprint", "rep", "d", "b.t", "b.k").join(large, ["t", "k"], "left")
     mine = F.pmod(F.xxhash64("fingerprint", "rep"), parts).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(
         F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"),

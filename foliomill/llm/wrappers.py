@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.words import slices
+from foliomill.llm.words import slices, written
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""", re.S)
@@ -301,6 +301,8 @@ def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_page
 
     shapes = pages.select(host, html).mapInArrow(counted, "host string, skeleton string, n bigint").groupBy("host", "skeleton").agg(F.sum("n").alias("n"))
     templates = shapes.groupBy("host").agg(F.max(F.struct("n", "skeleton")).getField("skeleton").alias("template"), F.sum("n").alias("pages"))
+    # Written, so that the optimizer knows its size before the join: a small one is broadcast and no page moves.
+    templates = written(templates, "templates")
 
     def compared(batches):
         for part in slices(batches, html):
@@ -336,7 +338,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     """
     own = [c for c in pages.columns if c not in (html, out, "_host")]
     placed = pages.select(*own, html, host_of(F.col(url)).alias("_host"))
-    wrappers = induce(placed, "_host", html, least_pages).withColumnRenamed("host", "_its_host")
+    wrappers = written(induce(placed, "_host", html, least_pages), "wrappers").withColumnRenamed("host", "_its_host")
     schema = placed.select(*own, F.lit("").alias(out)).schema
 
     def task(batches):
