@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from foliomill.llm.words import mix, rows_of, slices, word_codes
 
 SIZES = (3, 4, 5)
-SLICE = 6 << 20
+SLICE = 4 << 20
 _FACTORS = mix(np.arange(1, max(SIZES) + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -37,7 +37,7 @@ def word_ngrams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = [f" {w.lower()} " for w in words]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(padded)), [len(w) for w in padded])
+    owner = np.repeat(np.arange(len(padded), dtype=np.int32), [len(w) for w in padded])
     spread = mix(points + np.uint64(1))
     owners, grams = [], []
     value = np.zeros(len(points), np.uint64)
@@ -46,7 +46,7 @@ def word_ngrams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
         if k + 1 in SIZES:
             inside = np.flatnonzero(owner[: len(value)] == owner[k:])
             owners.append(owner[inside])
-            grams.append((value[inside] >> np.uint64(64 - bits)).astype(np.int64))
+            grams.append((value[inside] >> np.uint64(64 - bits)).astype(np.int32))
     return np.concatenate(owners), np.concatenate(grams)
 
 
@@ -90,7 +90,7 @@ def _fit(rows: list[tuple[pa.Array, np.ndarray]], weight_of: dict[int, float], b
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", id_col: str = "doc_id",
-        rows_per_class: int = 2500, bits: int = 18, rounds: int = 60, penalty: float = 1e-6) -> Model:
+        rows_per_class: int = 2000, bits: int = 18, rounds: int = 60, penalty: float = 1e-6) -> Model:
     """Fit a model on the texts of ``docs`` that ``labels`` (one label of each id) tells.
 
     The fit takes a bounded sample: of each class the ``rows_per_class`` ids with the smallest hash. It is
