@@ -102,6 +102,26 @@ def test_near_copies_match_all_pairs_of_shingle_sets(spark):
     assert S.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_lose_no_link_of_dense_families(spark):
+    rng = random.Random(11)
+    texts = ["", " ", "a b", "A  b"]
+    for _ in range(6):
+        base = [f"v{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(120, 300))]
+        for _ in range(40):  # each differs from the base in a few places, from one another in about twice as many
+            words, share = list(base), rng.uniform(0.008, 0.026)
+            for k in rng.sample(range(len(words)), round(share * len(words))):
+                words[k] = f"u{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(words))
+    sets = [S._shingles(t.lower().encode().split(), 5) for t in texts]
+    exact = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i)}
+    assert sum(0.75 <= s < 0.8 for s in exact.values()) > 300 < sum(0.8 <= s < 0.85 for s in exact.values())
+    root = smallest_reachable([p for p, s in exact.items() if s >= 0.8] + [(0, 1)], range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    # Few tables: what SimHash leaves, and large keys, are up to the prefixes.
+    for options in ({}, {"tables": 1, "max_bits": 2, "tile": 4}):
+        assert {r.doc_id: r.component_id for r in S.near_copies(docs, **options).collect()} == root
+
+
 def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q r s")], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(docs).collect()), key=str)
