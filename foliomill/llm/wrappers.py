@@ -1,14 +1,14 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host mostly come from one template. Each page is parsed into a tree of its block elements;
-equal siblings are folded. The most frequent tree of a host is its template, and every page of the host
-is aligned with it by simple tree matching. For each template node the text of all aligned
-pages is compared: a node whose text is constant belongs to the template, a node that varies is a slot. The main
-text of a page is what stands in varying slots of its content element, outside navigation, adverts
+equal siblings are folded. The frequent trees of a host are its templates, one per layout, and every page of the
+host is aligned with the closest by simple tree matching. For each template node the texts of all aligned
+pages are counted: a text that nearly all pages have there belongs to the template, other text is the page's own. The main
+text of a page is its own text in its content element, outside navigation, adverts
 and other parts that are not the article.
 
-Statistics of a node are a minimum and a maximum of text hashes, so a host of any size needs no
-group in one task.
+Statistics of a node are counts of text hashes, added up before and after the shuffle, so a host of any
+size needs no group in one task.
 """
 
 from __future__ import annotations
@@ -222,10 +222,23 @@ def _depth_first(page: Page) -> dict[int, int]:
     return out
 
 
-def _aligned(page: Page, template: str) -> dict[int, int]:
-    """The folds of a page to nodes of the template."""
-    match = alignment(page.skeleton(), template)
-    return {node: match[k] for node, k in _depth_first(page).items() if k in match}
+@lru_cache(maxsize=2048)
+def _size(tree: str) -> int:
+    return len(_numbered(json.loads(tree)))
+
+
+def _aligned(page: Page, templates: list[str]) -> tuple[int, dict[int, int]]:
+    """The number of the closest template, and the folds of a page to its nodes."""
+    own = page.skeleton()
+    layout = 0
+    if len(templates) > 1:
+        layout = max(range(len(templates)), key=lambda i: (len(alignment(own, templates[i])) / (_size(own) + _size(templates[i])), -i))
+    match = alignment(own, templates[layout])
+    return layout, {node: match[k] for node, k in _depth_first(page).items() if k in match}
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
 def _texts(page: Page) -> dict[int, str]:
@@ -270,13 +283,15 @@ def _content(page: Page) -> list[bool]:
     return inside
 
 
-def main_text(html: str | None, template: str | None, constant: frozenset[int]) -> str:
-    """The main text of a page; ``constant`` are the template nodes whose text is the same on all pages."""
+def main_text(html: str | None, templates: list[str] | None, constant: frozenset[tuple[int, int, int]]) -> str:
+    """The main text of a page; ``constant`` has the ``(layout, node, hash)`` of the texts that belong to the templates."""
     page = Page(html or "")
     inside = _content(page)
-    to_template = _aligned(page, template) if template and constant else {}
-    return " ".join(text for node, text in page.blocks
-                    if inside[node] and not page.nodes[node][2] and to_template.get(page.nodes[node][3], -1) not in constant)
+    fixed = set()
+    if templates and constant:
+        layout, nodes = _aligned(page, templates)
+        fixed = {fold for fold, own in _texts(page).items() if fold in nodes and (layout, nodes[fold], _hash(own)) in constant}
+    return " ".join(text for node, text in page.blocks if inside[node] and not page.nodes[node][2] and page.nodes[node][3] not in fixed)
 
 
 def host_of(url: Column) -> Column:
@@ -284,11 +299,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_pages: int = 5) -> DataFrame:
-    """``(host, template, constant)`` of each host: its template and the numbers of constant nodes.
+def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_pages: int = 5, common: float = 0.9, frequent: float = 0.1) -> DataFrame:
+    """``(host, templates, constant)`` of each host: its templates and the ``(layout, node, hash)`` of constant texts.
 
-    A node is constant if at least ``least_pages`` pages and half of the host's have it, all with one text, while
-    another node of the template varies: a host of copies of one page tells nothing.
+    Templates are the most frequent tree of the host and any other of at least ``least_pages`` pages and a share ``frequent``
+    of the host's. A text is constant if ``common`` of the pages with its node have it, and these are at least ``least_pages``
+    and half of the layout's, while another node of the template varies: copies of one page tell nothing.
     """
     def counted(batches):
         for part in slices(batches, html):
@@ -300,34 +316,38 @@ def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_page
                                               pa.array(list(found.values()), pa.int64())], ["host", "skeleton", "n"])
 
     shapes = pages.select(host, html).mapInArrow(counted, "host string, skeleton string, n bigint").groupBy("host", "skeleton").agg(F.sum("n").alias("n"))
-    templates = shapes.groupBy("host").agg(F.max(F.struct("n", "skeleton")).getField("skeleton").alias("template"), F.sum("n").alias("pages"))
+    shapes = written(shapes, "shapes")
+    totals = shapes.groupBy("host").agg(F.max(F.struct("n", "skeleton")).getField("skeleton").alias("first"), F.sum("n").alias("pages"))
+    chosen = (F.col("skeleton") == F.col("first")) | ((F.col("n") >= least_pages) & (F.col("n") >= frequent * F.col("pages")))
+    templates = shapes.join(totals, "host").where(chosen).groupBy("host").agg(
+        F.reverse(F.sort_array(F.collect_list(F.struct("n", "skeleton")))).getField("skeleton").alias("templates"))
     # Written, so that the optimizer knows its size before the join: a small one is broadcast and no page moves.
     templates = written(templates, "templates")
 
     def compared(batches):
         for part in slices(batches, html):
-            found: dict[tuple[str, int], list[int]] = {}
-            for name, text, template in zip(*(part.column(c).to_pylist() for c in (host, html, "template"))):
+            found: dict[tuple[str, int, int, int], int] = {}
+            for name, text, trees in zip(*(part.column(c).to_pylist() for c in (host, html, "templates"))):
                 page = Page(text or "")
-                nodes = _aligned(page, template)
-                for node, own in _texts(page).items():
-                    if node in nodes:
-                        h = xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) >> 1
-                        row = found.setdefault((name, nodes[node]), [0, h, h])
-                        row[0] += 1
-                        row[1], row[2] = min(row[1], h), max(row[2], h)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32()),
-                                              *[pa.array([r[i] for r in found.values()], pa.int64()) for i in range(3)]], ["host", "node", "n", "low", "high"])
-
-    joined = pages.select(host, html).join(templates.select(F.col("host").alias(host), "template"), host)
-    nodes = joined.mapInArrow(compared, "host string, node int, n bigint, low bigint, high bigint").groupBy("host", "node").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    same = F.col("low") == F.col("high")
-    per_host = nodes.join(templates.select("host", "pages"), "host").groupBy("host").agg(
-        F.collect_list(F.when(same & (F.col("n") >= least_pages) & (2 * F.col("n") >= F.col("pages")), F.col("node"))).alias("constant"),
-        F.max(~same).alias("varies"))
-    return templates.select("host", "template").join(per_host, "host", "left").select(
-        "host", "template", F.when(F.col("varies"), F.sort_array("constant")).otherwise(F.array().cast("array<int>")).alias("constant"))
+                layout, nodes = _aligned(page, trees)
+                # Node -1 counts the pages of the layout.
+                for key in [(name, layout, -1, 0), *((name, layout, nodes[fold], _hash(own)) for fold, own in _texts(page).items() if fold in nodes)]:
+                    found[key] = found.get(key, 0) + 1
+            names, *numbers = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(x, t) for x, t in zip(numbers, (pa.int32(), pa.int32(), pa.int64()))],
+                                              pa.array(list(found.values()), pa.int64())], ["host", "layout", "node", "hash", "n"])
+
+    joined = pages.select(host, html).join(templates.select(F.col("host").alias(host), "templates"), host)
+    texts = joined.mapInArrow(compared, "host string, layout int, node int, hash bigint, n bigint").groupBy("host", "layout", "node", "hash").agg(F.sum("n").alias("n"))
+    nodes = texts.groupBy("host", "layout", "node").agg(F.max(F.struct("n", "hash")).alias("top"), F.sum("n").alias("n"))
+    same = F.col("top.n") >= common * F.col("n")
+    held = F.struct("node", "n", same.alias("same"), F.col("top.hash").alias("hash"))
+    layouts = nodes.groupBy("host", "layout").agg(
+        F.max(F.when(F.col("node") == -1, F.col("n"))).alias("pages"), F.max(~same).alias("varies"), F.collect_list(held).alias("nodes"))
+    fixed = F.transform(F.filter("nodes", lambda x: (x["node"] >= 0) & x["same"] & (x["n"] >= least_pages) & (2 * x["n"] >= F.col("pages"))),
+                        lambda x: F.struct(F.col("layout"), x["node"].alias("node"), x["hash"].alias("hash")))
+    per_host = layouts.where("varies").select("host", fixed.alias("fixed")).groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("fixed"))).alias("constant"))
+    return templates.join(per_host, "host", "left").select("host", "templates", F.coalesce("constant", F.array()).alias("constant"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", least_pages: int = 5) -> DataFrame:
@@ -343,10 +363,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
 
     def task(batches):
         for part in slices(batches, html):
-            texts = [main_text(h, t, frozenset(c or ())) for h, t, c in zip(*(part.column(x).to_pylist() for x in (html, "_template", "_constant")))]
+            texts = [main_text(h, t, frozenset((x["layout"], x["node"], x["hash"]) for x in c or ())) for h, t, c in zip(*(part.column(x).to_pylist() for x in (html, "_templates", "_constant")))]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(texts, pa.string())], schema.names)
 
     # One row per host; a host with many pages is split by adaptive execution, or its row is broadcast.
-    joined = placed.join(wrappers.select("_its_host", F.col("template").alias("_template"), F.col("constant").alias("_constant")),
+    joined = placed.join(wrappers.select("_its_host", F.col("templates").alias("_templates"), F.col("constant").alias("_constant")),
                          F.col("_host") == F.col("_its_host"), "left")
-    return joined.select(*own, html, "_template", "_constant").mapInArrow(task, schema)
+    return joined.select(*own, html, "_templates", "_constant").mapInArrow(task, schema)

@@ -51,3 +51,15 @@ def test_constant_nodes_of_a_host_are_its_template(spark):
     assert all(got[100 + i] == "same" for i in range(20))
     assert got[200] == "" and got[201] == "free" and W.extract(pages).count() == len(rows)
     assert W.extract(pages.limit(0)).count() == 0
+
+
+def test_a_deviating_page_and_several_layouts_keep_the_template(spark):
+    note = "<div class='lead'>All rights of 2024 reserved</div>"
+    rows = [(i, f"http://one.example/{i}", f"<article>{note if i else note.replace('2024', '2023')}<p>Story {i}</p></article>") for i in range(40)]
+    shapes = ["<article><p>Tale {i}</p>{note}</article>", "<article>{note}<h1>Head {i}</h1><ul><li>Item {i}</ul></article>", "<article><table><tr><td>Cell {i}</table><section>{note}</section></article>"]
+    rows += [(100 + i, f"http://three.example/{i}", shapes[i % 3].format(i=i, note=note)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in W.extract(pages).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(1, 40))
+    assert got[0] == "All rights of 2023 reserved Story 0"  # a text of its own is never lost
+    assert all(got[100 + i] == (f"Tale {i}", f"Head {i} Item {i}", f"Cell {i}")[i % 3] for i in range(60))
