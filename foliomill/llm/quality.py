@@ -3,7 +3,7 @@
 Every text gets a few measures. Their distributions are kept as mergeable quantile sketches: counts of
 logarithmic bins, by language, source and measure. Sketches merge by adding up counts, so those of a language, or of
 all rows, come from the same table, and results do not depend on the order of the rows. The limits
-are fences around the quartiles; documents are joined with the limits of their group.
+are fences around the tails; documents are joined with the limits of their group.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ REPEAT_WINDOW = 5
 GAMMA = 1.02  # a bin spans 2 %
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_punctuation")
 
-# Of each measure: its expression, its least spread, and whether low values are bad too.
+# Of each measure: its expression, its least spread (for distributions next to no width), and whether low values are bad too.
 _WORDS = "greatest(n_words, 1)"
 MEASURES = {
-    "word_length": (f"word_chars / {_WORDS}", 1.0, True),
-    "symbols": (f"n_symbols / {_WORDS}", 0.02, False),
-    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.06, False),
-    "repeats": (f"n_repeat_words / {_WORDS}", 0.04, False),
-    "capitals": ("n_upper / greatest(n_letters, 1)", 0.05, False),
-    "punctuation": (f"n_punctuation / {_WORDS}", 0.1, False),
+    "word_length": (f"word_chars / {_WORDS}", 0.1, True),
+    "symbols": (f"n_symbols / {_WORDS}", 0.01, False),
+    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.03, False),
+    "repeats": (f"n_repeat_words / {_WORDS}", 0.02, False),
+    "capitals": ("n_upper / greatest(n_letters, 1)", 0.01, False),
+    "punctuation": (f"n_punctuation / {_WORDS}", 0.02, False),
 }
 
 
@@ -113,8 +113,8 @@ def sketches(counted: DataFrame, lang: str = "lang", source: str = "source") ->
     return rows.groupBy("lang", "source", F.col("m.measure").alias("measure"), _bin(F.col("m.value")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``low``, ``high`` (quartiles) and ``rows`` of each measure, by the keys: sketches are merged first."""
+def quantiles(sketch: DataFrame, keys: list[str], **wanted: float) -> DataFrame:
+    """The quantiles by name and ``rows`` of each measure, by the keys: sketches are merged first."""
     merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     # At most one row per bin, whatever the number of documents.
     group = Window.partitionBy(*keys, "measure")
@@ -124,14 +124,19 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     def at(q):
         return F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("bin")))
 
-    return ranked.groupBy(*keys, "measure").agg(_bin_value(at(0.25)).alias("low"), _bin_value(at(0.75)).alias("high"), F.max("rows").alias("rows"))
+    return ranked.groupBy(*keys, "measure").agg(*[_bin_value(at(q)).alias(name) for name, q in wanted.items()], F.max("rows").alias("rows"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """``low``, ``high`` (quartiles) and ``rows`` of each measure, by the keys."""
+    return quantiles(sketch, keys, low=0.25, high=0.75)
 
 
 def limits(sketch: DataFrame, fence: float = 5.0, least_rows: int = 100) -> DataFrame:
     """``(lang, source, measure, floor, ceiling)``.
 
-    A limit lies ``fence`` spreads off a quartile; a spread is the distance of the quartiles, at least the
-    measure's least. A group of fewer than ``least_rows`` takes the limits of its language, and a
+    A limit lies ``fence`` spreads off the median; the spread of a side is the distance of its tail (the 10 % or 90 %
+    quantile) from the median, at least the measure's least. A group of fewer than ``least_rows`` takes the limits of its language, and a
     language so small those of all rows. No limit of a group goes further than twice that of its
     language from the middle: a source that is mostly junk does not set its own standard.
     """
@@ -139,11 +144,14 @@ def limits(sketch: DataFrame, fence: float = 5.0, least_rows: int = 100) -> Data
     two_sided = F.col("measure").isin([k for k, (_, _, both) in MEASURES.items() if both])
 
     def fenced(keys, tag):
-        q = quartiles(sketch, keys)
-        spread = F.greatest(F.col("high") - F.col("low"), F.element_at(least, F.col("measure")))
+        q = quantiles(sketch, keys, low=0.1, middle=0.5, high=0.9)
+
+        def spread(distance):
+            return F.greatest(distance, F.element_at(least, F.col("measure")))
+
         return q.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.col("measure").alias(f"{tag}_measure"),
-                        F.when(two_sided, F.col("low") - fence * spread).otherwise(F.lit(float("-inf"))).alias(f"{tag}_floor"),
-                        (F.col("high") + fence * spread).alias(f"{tag}_ceiling"), F.col("rows").alias(f"{tag}_rows"))
+                        F.when(two_sided, F.col("middle") - fence * spread(F.col("middle") - F.col("low"))).otherwise(F.lit(float("-inf"))).alias(f"{tag}_floor"),
+                        (F.col("middle") + fence * spread(F.col("high") - F.col("middle"))).alias(f"{tag}_ceiling"), F.col("rows").alias(f"{tag}_rows"))
 
     own, of_lang, of_all = fenced(["lang", "source"], "own"), fenced(["lang"], "lang"), fenced([], "all")
     rows = own.join(of_lang, own.own_lang.eqNullSafe(of_lang.lang_lang) & (own.own_measure == of_lang.lang_measure)).join(

@@ -71,3 +71,18 @@ def test_edges(spark):
     assert len(got) == 3 and all(r.base_failed and not r.kept for r in got)
     assert Q.judge(docs.limit(0)).count() == 0
     assert Q.judge(docs.withColumn("floor", F.lit(1)).withColumn("measure", F.lit("x"))).count() == 3
+
+
+def test_limits_follow_the_tails_of_their_group(spark):
+    rng = random.Random(5)
+    rows = [(i, text, lang, source, kind) for i, text, lang, source, kind in sample(2000, seed=6) if kind == "clean"]
+    rows += [(5000 + i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100)), "en", "a", "letters") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, kind string")
+    got = Q.judge(docs).collect()
+    assert all("word_length" in r.reasons and not r.base_failed for r in got if r.kind == "letters")
+    assert sum(r.kept for r in got if r.kind == "clean") >= 0.995 * sum(r.kind == "clean" for r in got)
+    wide = [(i, 100, 400 + (i % 101 - 50) * 4, "en", "wide") for i in range(505)] + [(i, 100, 400 + (i % 101 - 50), "en", "narrow") for i in range(505)]
+    counted = spark.createDataFrame(wide, "doc_id bigint, n_words bigint, word_chars bigint, lang string, source string").selectExpr(
+        "*", *[f"cast(0 as bigint) as {c}" for c in Q.COUNTS if c not in ("n_words", "word_chars")])
+    found = {r.source: r for r in Q.limits(Q.sketches(counted)).where("measure = 'word_length'").collect()}
+    assert found["narrow"].floor > 0.5 and found["narrow"].ceiling - 4 < 0.5 * (found["wide"].ceiling - 4)
