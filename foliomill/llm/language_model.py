@@ -1,4 +1,4 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores, equal to those of a weighted backoff automaton.
 
 The model is a smoothed n-gram model. P(w | h) = (c(h w) + K P(w | h')) / (c(h) + K), where h' is h
 without its first word and K a constant; below the unigrams stands the share of new words,
@@ -8,8 +8,8 @@ failure arc to the state of h', weighted log10(K / (c(h) + K)). The start state
 
 The automaton of a whole corpus fits no single machine. Documents are dealt to chunks; each
 chunk lists its different n-grams with their training counts, counts are added up by n-gram, and each
-chunk gets the totals back. With these it builds the part of the automaton that
-its documents can reach, and traverses it. That part is exact: scores do not depend on the chunks.
+chunk gets the totals back. States, arcs and failure arcs are not built: each position's n-grams are looked up
+in the sorted totals, order by order, which gives the scores of the automaton. They do not depend on the chunks.
 """
 
 from __future__ import annotations
