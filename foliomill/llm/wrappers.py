@@ -237,6 +237,23 @@ def _aligned(page: Page, templates: list[str]) -> tuple[int, dict[int, int]]:
     return layout, {node: match[k] for node, k in _depth_first(page).items() if k in match}
 
 
+@lru_cache(maxsize=2048)
+def slot_root(template: str, slots: frozenset[int]) -> int:
+    """The lowest node of a template above all the slots; of a single slot its parent, unless that is the whole page."""
+    numbered = _numbered(json.loads(template))
+    number = {id(x): i for i, x in enumerate(numbered)}
+    parent = {number[id(c)]: i for i, x in enumerate(numbered) for c in x[1]}
+    paths = []
+    for slot in slots:
+        path = [slot]
+        while path[-1]:
+            path.append(parent[path[-1]])
+        paths.append(path[::-1])
+    root = [steps[0] for steps in zip(*paths) if len(set(steps)) == 1][-1]
+    above = parent.get(root, 0)
+    return above if root in slots and numbered[above][0].split(".")[0] not in (ROOT, "html", "body") else root
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
@@ -283,13 +300,24 @@ def _content(page: Page) -> list[bool]:
     return inside
 
 
-def main_text(html: str | None, templates: list[str] | None, constant: frozenset[tuple[int, int, int]]) -> str:
-    """The main text of a page; ``constant`` has the ``(layout, node, hash)`` of the texts that belong to the templates."""
+def main_text(html: str | None, templates: list[str] | None, constant: frozenset[tuple[int, int, int]],
+              slots: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """The main text of a page; ``constant`` has the ``(layout, node, hash)`` of the texts that belong to the templates.
+
+    What lies below the common ancestor of the layout's text-rich varying ``slots``, ``(layout, node)``, is content
+    too, whatever its tags and class words.
+    """
     page = Page(html or "")
     inside = _content(page)
     fixed = set()
-    if templates and constant:
+    if templates and (constant or slots):
         layout, nodes = _aligned(page, templates)
+        rich = frozenset(n for k, n in slots if k == layout)
+        if rich:
+            root = slot_root(templates[layout], rich)
+            inside = [x or nodes.get(node[3]) == root for x, node in zip(inside, page.nodes)]
+            for i in range(1, len(inside)):
+                inside[i] = inside[i] or inside[page.nodes[i][0]]
         fixed = {fold for fold, own in _texts(page).items() if fold in nodes and (layout, nodes[fold], _hash(own)) in constant}
     return " ".join(text for node, text in page.blocks if inside[node] and not page.nodes[node][2] and page.nodes[node][3] not in fixed)
 
@@ -300,11 +328,12 @@ def host_of(url: Column) -> Column:
 
 
 def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_pages: int = 5, common: float = 0.9, frequent: float = 0.1) -> DataFrame:
-    """``(host, templates, constant)`` of each host: its templates and the ``(layout, node, hash)`` of constant texts.
+    """``(host, templates, constant, slots)`` of each host: its templates, the ``(layout, node, hash)`` of constant texts and its slots.
 
     Templates are the most frequent tree of the host and any other of at least ``least_pages`` pages and a share ``frequent``
     of the host's. A text is constant if ``common`` of the pages with its node have it, and these are at least ``least_pages``
-    and half of the layout's, while another node of the template varies: copies of one page tell nothing.
+    and half of the layout's, while another node of the template varies: copies of one page tell nothing. ``slots`` are the
+    ``(layout, node)`` that vary on as many pages and hold a tenth or more of all such text.
     """
     def counted(batches):
         for part in slices(batches, html):
@@ -326,28 +355,33 @@ def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_page
 
     def compared(batches):
         for part in slices(batches, html):
-            found: dict[tuple[str, int, int, int], int] = {}
+            found: dict[tuple[str, int, int, int, int], int] = {}
             for name, text, trees in zip(*(part.column(c).to_pylist() for c in (host, html, "templates"))):
                 page = Page(text or "")
                 layout, nodes = _aligned(page, trees)
                 # Node -1 counts the pages of the layout.
-                for key in [(name, layout, -1, 0), *((name, layout, nodes[fold], _hash(own)) for fold, own in _texts(page).items() if fold in nodes)]:
+                for key in [(name, layout, -1, 0, 0), *((name, layout, nodes[fold], _hash(own), len(own)) for fold, own in _texts(page).items() if fold in nodes)]:
                     found[key] = found.get(key, 0) + 1
-            names, *numbers = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(x, t) for x, t in zip(numbers, (pa.int32(), pa.int32(), pa.int64()))],
-                                              pa.array(list(found.values()), pa.int64())], ["host", "layout", "node", "hash", "n"])
+            names, *numbers = zip(*found) if found else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(x, t) for x, t in zip(numbers, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
+                                              pa.array(list(found.values()), pa.int64())], ["host", "layout", "node", "hash", "size", "n"])
 
     joined = pages.select(host, html).join(templates.select(F.col("host").alias(host), "templates"), host)
-    texts = joined.mapInArrow(compared, "host string, layout int, node int, hash bigint, n bigint").groupBy("host", "layout", "node", "hash").agg(F.sum("n").alias("n"))
-    nodes = texts.groupBy("host", "layout", "node").agg(F.max(F.struct("n", "hash")).alias("top"), F.sum("n").alias("n"))
+    texts = joined.mapInArrow(compared, "host string, layout int, node int, hash bigint, size bigint, n bigint").groupBy("host", "layout", "node", "hash", "size").agg(F.sum("n").alias("n"))
+    nodes = texts.groupBy("host", "layout", "node").agg(F.max(F.struct("n", "hash")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("chars"))
     same = F.col("top.n") >= common * F.col("n")
-    held = F.struct("node", "n", same.alias("same"), F.col("top.hash").alias("hash"))
+    held = F.struct("node", "n", same.alias("same"), F.col("top.hash").alias("hash"), "chars")
     layouts = nodes.groupBy("host", "layout").agg(
         F.max(F.when(F.col("node") == -1, F.col("n"))).alias("pages"), F.max(~same).alias("varies"), F.collect_list(held).alias("nodes"))
     fixed = F.transform(F.filter("nodes", lambda x: (x["node"] >= 0) & x["same"] & (x["n"] >= least_pages) & (2 * x["n"] >= F.col("pages"))),
                         lambda x: F.struct(F.col("layout"), x["node"].alias("node"), x["hash"].alias("hash")))
-    per_host = layouts.where("varies").select("host", fixed.alias("fixed")).groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("fixed"))).alias("constant"))
-    return templates.join(per_host, "host", "left").select("host", "templates", F.coalesce("constant", F.array()).alias("constant"))
+    varying = F.filter("nodes", lambda x: (x["node"] >= 0) & ~x["same"] & (x["n"] >= least_pages) & (2 * x["n"] >= F.col("pages")))
+    layouts = layouts.where("varies").select("host", "layout", fixed.alias("fixed"), varying.alias("varying"))
+    total = F.aggregate("varying", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["chars"])
+    rich = F.transform(F.filter("varying", lambda x: 10 * x["chars"] >= total), lambda x: F.struct(F.col("layout"), x["node"].alias("node")))
+    per_host = layouts.select("host", "fixed", rich.alias("rich")).groupBy("host").agg(*[
+        F.sort_array(F.flatten(F.collect_list(c))).alias(name) for c, name in (("fixed", "constant"), ("rich", "slots"))])
+    return templates.join(per_host, "host", "left").select("host", "templates", *[F.coalesce(c, F.array()).alias(c) for c in ("constant", "slots")])
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", least_pages: int = 5) -> DataFrame:
@@ -363,10 +397,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
 
     def task(batches):
         for part in slices(batches, html):
-            texts = [main_text(h, t, frozenset((x["layout"], x["node"], x["hash"]) for x in c or ())) for h, t, c in zip(*(part.column(x).to_pylist() for x in (html, "_templates", "_constant")))]
+            texts = [main_text(h, t, frozenset((x["layout"], x["node"], x["hash"]) for x in c or ()), frozenset((x["layout"], x["node"]) for x in r or ()))
+                     for h, t, c, r in zip(*(part.column(x).to_pylist() for x in (html, "_templates", "_constant", "_slots")))]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(texts, pa.string())], schema.names)
 
     # One row per host; a host with many pages is split by adaptive execution, or its row is broadcast.
-    joined = placed.join(wrappers.select("_its_host", F.col("templates").alias("_templates"), F.col("constant").alias("_constant")),
+    joined = placed.join(wrappers.select("_its_host", F.col("templates").alias("_templates"), F.col("constant").alias("_constant"), F.col("slots").alias("_slots")),
                          F.col("_host") == F.col("_its_host"), "left")
-    return joined.select(*own, html, "_templates", "_constant").mapInArrow(task, schema)
+    return joined.select(*own, html, "_templates", "_constant", "_slots").mapInArrow(task, schema)

@@ -63,3 +63,11 @@ def test_a_deviating_page_and_several_layouts_keep_the_template(spark):
     assert all(got[i] == f"Story {i}" for i in range(1, 40))
     assert got[0] == "All rights of 2023 reserved Story 0"  # a text of its own is never lost
     assert all(got[100 + i] == (f"Tale {i}", f"Head {i} Item {i}", f"Cell {i}")[i % 3] for i in range(60))
+
+
+def test_varying_slots_say_where_a_body_in_several_parts_lies(spark):
+    rows = [(i, f"http://parts.example/{i}", f"<body><div class='one'><p>{f'first {i} ' * 9}</p></div><div class='two'><p>{f'second {i} ' * 7}</p></div>"
+             "<div class='legal'>All rights reserved</div></body>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for r in W.extract(pages).collect():
+        assert r.text == (f"first {r.page_id} " * 9 + f"second {r.page_id} " * 7).strip()
