@@ -8,7 +8,9 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import language_model, mixing, neighbours, packing, quality, sharding, simhash, substrings, toxicity, wrappers
+from foliomill.llm import (
+    conversations, language_model, mixing, neighbours, packing, quality, sharding, simhash, substrings, toxicity, url_filters, whitening, wrappers,
+)
 from foliomill.llm.words import WORD, ship
 from foliomill.sources.tables import read_table
 
@@ -95,3 +97,18 @@ def op10_pivotal_mix(spark, sf):
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     docs = read_table(spark, sf, "documents").select("doc_id", "source", size.alias("size"))
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@query
+def op11_url_automaton(spark, sf):
+    return url_filters.judge(read_table(spark, sf, "pages").select("page_id", "url"))
+
+
+@query
+def op12_chebyshev_whitening(spark, sf):
+    return whitening.whiten(read_table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_target_alignment(spark, sf):
+    return conversations.repair(conversations.damage(read_table(spark, sf, "conversations")), present="present")
