@@ -18,6 +18,14 @@ from foliomill.sources.tables import read_table
 ORACLE_SQL = None
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have yet."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not call toxic.
 
@@ -25,21 +33,22 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = toxicity.fit(docs.where(~held_out), toxicity.labels_of(read_table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, model, out="_score")
-    return scored.where(toxicity.predicted("_score") == 0).select(*docs.columns)
+    score = unused(docs, "_score")
+    return toxicity.score(docs, model, out=score).where(toxicity.predicted(score) == 0).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicate documents the one with the smallest doc_id.
 
-    Texts are near-duplicates at a Jaccard similarity of 0.8 or more of their five-word shingles; SimHash finds
-    the pairs. Documents of one id are told apart by their text; of rows equal in both, one stays. Documents
-    without text are equal.
+    The groups are those of the SimHash operator: fingerprints of four-word shingles at up to four bits, linked over any number
+    of steps. Documents of one id are told apart by their text; of rows equal in both, one stays. Documents without
+    words are equal.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("content")))
-    found = simhash.near_copies(keyed.select("_key", "text"), "_key")
-    first = found.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content")))
+    found = simhash.near_duplicates(keyed.select(key, "text"), key)
+    first = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return keyed.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,21 +59,22 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     others = [c for c in docs.columns if c != "text"]
     found = substrings.repeated_words(docs.select(F.struct(*others).alias("_row"), "text"), "_row", untouched=True)
-    out = found.select("_row.*", F.col("kept").alias("text"), F.col("n_removed").alias("_removed"))
+    out = {c: F.col(f"_row.`{c}`") for c in others} | {"text": F.col("kept")}
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, once or twice."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64(*docs.columns).alias("row")))
-    mixed = mixing.mix_sources(keyed.select("_key", "source", size.alias("size")), id_col="_key")
+    key, times = unused(docs, "_key"), unused(docs, "_times")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64(*docs.columns).alias("row")))
+    mixed = mixing.mix_sources(keyed.select(key, "source", size.alias("size")), id_col=key)
     # Rows equal in all columns share a key; together they are taken as often as all of them are.
-    copies = mixed.groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = keyed.dropDuplicates(["_key"]).join(copies, "_key")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mixed.groupBy(key).agg(F.sum("copies").cast("int").alias(times)).where(F.col(times) > 0)
+    rows = keyed.dropDuplicates([key]).join(copies, key)
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
