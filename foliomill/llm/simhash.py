@@ -19,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.components import components
-from foliomill.llm.words import mix, slices, word_codes, word_hashes, written
+from foliomill.llm.words import mix, slices, written
 
 MAX_BITS = 4
 BLOCKS = 6
 PIVOTS = 16
 TILE = 512
-SLOTS = 1 << 17
 
 
 def pivot_fingerprints(n: int = PIVOTS) -> np.ndarray:
@@ -141,29 +140,12 @@ def spanning(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return nodes[apart], nodes[label[apart]]
 
 
-def sampled_masks(tables: int, bits: int) -> list[int]:
-    """``tables`` masks of ``bits`` bits each, drawn once and for all."""
-    rng = np.random.default_rng(64)
-    return [sum(1 << int(k) for k in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
-def nearest_before(a: np.ndarray, b: np.ndarray, marks: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs only the closest to a row of smaller ``order``, for each row that has one."""
-    swap = order[a] < order[b]
-    late, early = np.where(swap, b, a), np.where(swap, a, b)
-    by = np.lexsort((order[early], np.bitwise_count(marks[late] ^ marks[early]), late))
-    late, early = late[by], early[by]
-    first = np.flatnonzero(np.diff(late, prepend=-1))
-    return late[first], early[first]
-
-
-def links(marks: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = None, pivots: int = PIVOTS, tile: int = TILE,
-          choose: str = "spanning") -> DataFrame:
+def links(marks: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None = None, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """Links ``(a, b)`` between rows of ``marks``, ``(fingerprint, rep)``, at up to ``max_bits`` bits; a and b are their ``rep``.
 
     Rows that agree in all bits of a mask meet in a bucket. By default the masks are pairs of ``BLOCKS`` blocks, which miss nothing
-    up to four bits. Not every pair is returned: ``spanning`` links of a bucket go to the smallest row of each component in it
-    and keep connectivity; ``nearest`` ones to the closest row of smaller ``rep``, for checks of each link that follow.
+    up to four bits. Not every pair is returned: the links of a bucket go to the smallest row of each component in it, which
+    keeps connectivity.
     A bucket of over ``tile`` rows is cut into parts, and each pair of parts is a group of its own, spread over tasks.
     """
     if masks is None:
@@ -201,7 +183,7 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS, masks: list[int] | None =
             a, b = near_pairs(mark, table, np.cumsum(change), group.column("side").to_numpy(), max_bits)
             if len(a):
                 rep = group.column("rep").to_numpy()
-                a, b = spanning(a, b, rep) if choose == "spanning" else nearest_before(a, b, mark, rep)
+                a, b = spanning(a, b, rep)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
     return tiled.repartition(*by).sortWithinPartitions(*by).mapInArrow(task, "a bigint, b bigint")
@@ -222,180 +204,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = nodes.join(of_mark, F.col("fingerprint") == F.col("linked"), "left").select(
         "fingerprint", F.coalesce("smallest", "least").alias("component_id"))
     return marks.join(nodes, "fingerprint").select(id_col, "fingerprint", "component_id")
-
-
-def _shingles(words: list[bytes], size: int) -> set[bytes]:
-    return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts have a Jaccard similarity of shingle sets of ``similarity`` or more."""
-    def task(batches):
-        for batch in batches:
-            good = []
-            for one, other in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))):
-                x, y = _shingles(one.lower().split(), shingle), _shingles(other.lower().split(), shingle)
-                both = len(x & y)
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            kept = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
-
-    of_a, of_b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a bigint, b bigint")
-
-
-def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, hash)`` of the distinct shingles of each text, sorted; a text without words has the one hash 0."""
-    offsets, codes, words = word_codes(texts, lower=True)
-    of_word = word_hashes(words)[codes]
-    many = np.maximum(1, np.diff(offsets) - size + 1)
-    row = np.repeat(np.arange(len(many)), many)
-    starts = offsets[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    hashes = np.zeros(len(row), np.uint64)
-    for k in range(size):
-        inside = np.flatnonzero(starts + k < offsets[1:][row])
-        hashes[inside] = mix(hashes[inside] * np.uint64(3) + of_word[starts[inside] + k] + np.uint64(1))
-    order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
-    first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-    return row[first], hashes[first]
-
-
-def _slot_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How many shingles of all texts fall into each slot of their hashes: where rare ones are told from frequent ones."""
-    def task(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for part in slices(batches, "text"):
-            total += np.bincount((shingle_hashes(part.column("text"), shingle)[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
-
-    counts = np.zeros(SLOTS, np.int64)
-    for slot, n in texts.select("text").mapInArrow(task, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
-        counts[slot] = n
-    return counts
-
-
-def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(node, n, keys)`` of ``(node, text)``: the size of each set of shingles and its rarest hashes.
-
-    Hashes are ordered by the count of their slot, then by value, the same in all texts. Of n hashes the first
-    n - ceil(similarity * n) + 1 are kept: two sets at the similarity or above have one of these in common.
-    """
-    counts = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts, shingle))
-
-    def task(batches):
-        for part in slices(batches, "text"):
-            row, hashes = shingle_hashes(part.column("text"), shingle)
-            order = np.lexsort((hashes, counts.value[(hashes % np.uint64(SLOTS)).astype(np.int64)], row))
-            n = np.bincount(row, minlength=part.num_rows)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            length = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-            kept = hashes[order][place < length[row]].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(kept))], ["node", "n", "keys"])
-
-    return texts.select("node", "text").mapInArrow(task, "node bigint, n int, keys array<bigint>")
-
-
-def _open_pairs(group: np.ndarray, side: np.ndarray, comp: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of pairs within a group whose components differ and whose sizes allow the similarity; sides as in ``near_pairs``."""
-    edges = np.flatnonzero(np.diff(group, prepend=-1))
-    several = np.minimum.reduceat(comp, edges) != np.maximum.reduceat(comp, edges)
-    rows = np.flatnonzero(np.repeat(several, np.diff(np.append(edges, len(group)))))
-    found_a, found_b = [rows[:0]], [rows[:0]]
-    start = np.arange(len(rows))
-    for shift in range(1, len(rows)):
-        start = start[start + shift < len(rows)]
-        start = start[group[rows[start]] == group[rows[start + shift]]]
-        if not len(start):
-            break
-        a, b = rows[start], rows[start + shift]
-        good = ((side[a] == 0) | (side[a] != side[b])) & (comp[a] != comp[b])
-        good &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
-        found_a.append(a[good])
-        found_b.append(b[good])
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def prefix_pairs(sets: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of ``sets``, ``(node, comp, n, keys)``, that share a key and are of two components.
-
-    Keys that a sixteenth of the nodes shows to be frequent are cut into parts; each pair of parts is a group of its own.
-    """
-    rows = sets.select("node", "comp", "n", F.explode("keys").alias("k"))
-    seen = rows.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).groupBy("k").agg(F.count("*").alias("seen"))
-    large = written(seen.where(F.col("seen") >= max(4, tile // 8)), "large-keys")
-    parts = F.coalesce(F.ceil(16 * F.col("seen") / tile), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(
-        F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when(mine == o, 0).when(mine < o, 1).otherwise(2).cast("tinyint").alias("side")))
-    tiled = rows.join(large, "k", "left").select("k", "node", "comp", "n", F.explode(tiles).alias("x")).select("k", "x.i", "x.j", "x.side", "node", "comp", "n")
-    by = ["k", "i", "j"]
-
-    def task(batches):
-        for group in _groups(batches, tuple(by)):
-            change = np.zeros(group.num_rows, bool)
-            for c in by:
-                col = group.column(c).to_numpy()
-                change[1:] |= col[1:] != col[:-1]
-            node = group.column("node").to_numpy()
-            a, b = _open_pairs(np.cumsum(change), group.column("side").to_numpy(), group.column("comp").to_numpy(), group.column("n").to_numpy(), similarity)
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-    return tiled.repartition(*by).sortWithinPartitions(*by).mapInArrow(task, "a bigint, b bigint").distinct()
-
-
-def _settled(near: DataFrame, candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``near``, ``(node, component)``, with the components merged that a candidate pair at the similarity joins.
-
-    First one pair of each two components is held against the texts, then one of each node, then every pair that is left: a
-    pair is passed over only when verified links join its ends already.
-    """
-    for each in (["ca", "cb"], ["ca", "cb", "a"], ["a", "b"]):
-        of_a, of_b = (near.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        apart = candidates.join(of_a, "a", "left").join(of_b, "b", "left").select(
-            "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        apart = apart.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-        candidates = written(apart, "candidates")
-        tried = written(candidates.groupBy(*each).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "tried")
-        if tried.isEmpty():
-            break
-        needed = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-        wanted = texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        good = written(_verified(tried, written(wanted, "texts"), shingle, similarity), "verified")
-        candidates = candidates.select("a", "b").join(tried, ["a", "b"], "left_anti")
-        if not good.isEmpty():
-            near = written(components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(good)), "near")
-    return near
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
-                tables: int = 48, bits: int = 16, max_bits: int = 13, tile: int = TILE) -> DataFrame:
-    """``(id_col, component_id)``: components of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
-
-    SimHash finds most links: fingerprints that agree in one of ``tables`` samples of ``bits`` bits meet, and the nearest at
-    up to ``max_bits`` bits are held against their texts. The rest is found exactly: texts of two components that share one of
-    their rarest shingles (``prefixes``) are verified too, until no pair is left that could join two components. So no
-    pair at the similarity is missed and none below it is linked. Equal texts are one node. ``component_id`` is the smallest id; NULL
-    and empty texts are equal, and texts are compared with A-Z in lower case.
-    """
-    texts = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    marks = written(fingerprints(texts.select(F.struct(F.col(id_col).alias("i"), "node").alias("_row"), "text"), "_row", "text", shingle).select(
-        F.col("_row.i").alias(id_col), F.col("_row.node").alias("node"), "fingerprint"), "fingerprints")
-    nodes = written(marks.groupBy("node").agg(F.min(id_col).alias("least"), F.first("fingerprint").alias("fingerprint")), "nodes")
-    pairs = written(links(nodes.select("fingerprint", F.col("node").alias("rep")), max_bits, sampled_masks(tables, bits), 4, choose="nearest").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    near = written(components(_verified(pairs, wanted, shingle, similarity)), "near")
-    sets = prefixes(texts, shingle, similarity).groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    sets = written(sets.join(near, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "n", "keys"), "prefixes")
-    near = _settled(near, written(prefix_pairs(sets, similarity, tile), "candidates"), texts, shingle, similarity)
-    smallest = near.join(nodes, "node").groupBy("component").agg(F.min("least").alias("smallest"))
-    of_node = near.join(smallest, "component").select(F.col("node").alias("linked"), "smallest")
-    found = written(nodes.join(of_node, F.col("node") == F.col("linked"), "left").select(
-        "node", F.coalesce("smallest", "least").alias("component_id")), "components")
-    return marks.join(found, "node").select(id_col, "component_id")

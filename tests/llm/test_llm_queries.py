@@ -64,6 +64,11 @@ def test_pipeline(spark, sf):
 def test_stages_take_odd_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "x " * 300, "en", None, 600)], docs.schema)
-    for table in (odd, odd.limit(0), odd.where("doc_id IS NULL")):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, table, sf).count()
+    clashing = odd.selectExpr("*", "'a' AS _key", "'b' AS _row", "'c' AS _removed", "'d' AS _score", "'e' AS kept", "'f' AS copies", "'g' AS _n")
+    for table in (odd, odd.limit(0), odd.where("doc_id IS NULL"), clashing):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, sf)
+            out.count()
+            if name != "pack":
+                assert out.columns == table.columns
+                assert "_key" not in out.columns or {tuple(r)[5:] for r in out.collect()} <= set([tuple("abcdefg")])

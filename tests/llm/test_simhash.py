@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from foliomill.llm import simhash as S
 from foliomill.llm.components import components
 
@@ -83,46 +84,19 @@ def test_near_duplicates_match_brute_force(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_near_copies_match_all_pairs_of_shingle_sets(spark):
-    rng = random.Random(9)
-    vocabulary = [f"w{i}" for i in range(900)]
-    texts = [None, "", "a b", "A b", "a b c"]
-    for _ in range(40):
-        words = rng.choices(vocabulary, k=rng.randrange(150, 500))
-        texts += [" ".join(words), " ".join(words).upper()]
-        for share in (0.004, 0.01, 0.08):
-            texts.append(" ".join("x" if rng.random() < share else w for w in words))
-    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
-    exact = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j]}
-    root = smallest_reachable([p for p, s in exact.items() if s >= 0.8] + [(0, 1)], range(len(texts)))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r.component_id for r in S.near_copies(docs).collect()}
-    assert all(root[i] == root[got[i]] for i in got)  # nothing below the similarity is linked
-    assert got[1] == 0 and sum(got[i] != root[i] for i in got) <= 0.05 * len(got)
-    assert S.near_copies(docs.limit(0)).count() == 0
-
-
-def test_near_copies_lose_no_link_of_dense_families(spark):
-    rng = random.Random(11)
-    texts = ["", " ", "a b", "A  b"]
-    for _ in range(6):
-        base = [f"v{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(120, 300))]
-        for _ in range(40):  # each differs from the base in a few places, from one another in about twice as many
-            words, share = list(base), rng.uniform(0.008, 0.026)
-            for k in rng.sample(range(len(words)), round(share * len(words))):
-                words[k] = f"u{rng.randrange(10 ** 6)}"
-            texts.append(" ".join(words))
-    sets = [S._shingles(t.lower().encode().split(), 5) for t in texts]
-    exact = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i)}
-    assert sum(0.75 <= s < 0.8 for s in exact.values()) > 300 < sum(0.8 <= s < 0.85 for s in exact.values())
-    root = smallest_reachable([p for p, s in exact.items() if s >= 0.8] + [(0, 1)], range(len(texts)))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    # Few tables: what SimHash leaves, and large keys, are up to the prefixes.
-    for options in ({}, {"tables": 1, "max_bits": 2, "tile": 4}):
-        assert {r.doc_id: r.component_id for r in S.near_copies(docs, **options).collect()} == root
-
-
 def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q r s")], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(docs).collect()), key=str)
     assert got == [(5, 5), (5, 5), (None, 5), (None, None)]
+
+
+def test_stage_keeps_one_document_of_each_group(spark):
+    rng = random.Random(2)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=200)) for _ in range(4)]
+    rows = [(i, base[i % 4], "en", "a", 1) for i in range(40)] + [(7, base[0] + " x", "en", "a", 1), (None, "alone in the world", "en", None, None), (50, "", "en", "a", 0), (51, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    marks = {k: reference_mark(t) for k, (_, t, *_) in enumerate(rows)}
+    root = smallest_reachable([(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= 4], marks)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert len(kept) == len(set(root.values())) and {0, 1, 2, 3, None, 50} == {r.doc_id for r in kept}
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
