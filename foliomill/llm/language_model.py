@@ -1,4 +1,4 @@
-"""Language-model scores, equal to those of a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton.
 
 The model is a smoothed n-gram model. P(w | h) = (c(h w) + K P(w | h')) / (c(h) + K), where h' is h
 without its first word and K a constant; below the unigrams stands the share of new words,
@@ -8,13 +8,14 @@ failure arc to the state of h', weighted log10(K / (c(h) + K)). The start state
 
 The automaton of a whole corpus fits no single machine. Documents are dealt to chunks; each
 chunk lists its different n-grams with their training counts, counts are added up by n-gram, and each
-chunk gets the totals back. States, arcs and failure arcs are not built: each position's n-grams are looked up
-in the sorted totals, order by order, which gives the scores of the automaton. They do not depend on the chunks.
+chunk gets the totals back. From them it builds the states, arcs and failure arcs that its own texts can reach, and walks
+all of its texts side by side, once, from left to right, each carrying its state. Scores do not depend on the chunks.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from foliomill.llm.words import chunk_count, chunk_of, mix, rows_of, sums_of, word_codes, word_hashes
 
 CHUNK_BYTES = 8 << 20
+STRIDE = 512
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -60,41 +62,96 @@ class Tokens:
             self.keys.append(now & ~np.uint64(7) | np.uint64(k))
             self.valid.append(place >= k)
 
-    def grams(self) -> np.ndarray:
-        return np.concatenate([k[v] for k, v in zip(self.keys, self.valid)])
-
-    def weights(self, of_row: np.ndarray) -> np.ndarray:
-        return np.concatenate([of_row[self.row[v]] for v in self.valid])
+    def numbered(self) -> np.ndarray:
+        """The different n-grams, ascending; ``ids[k]`` then numbers the one of k + 1 tokens that ends at each place (-1: none)."""
+        codes, keys = pd.factorize(np.concatenate([k[v] for k, v in zip(self.keys, self.valid)]))
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        self.ids, at = [], 0
+        for valid in self.valid:
+            own = np.full(len(valid), -1, np.int64)
+            many = int(valid.sum())
+            own[valid] = place[codes[at:at + many]]
+            self.ids.append(own)
+            at += many
+        return keys[order]
+
+    def counts(self, of_row: np.ndarray, n: int) -> np.ndarray:
+        """How often each n-gram occurs, by the weights of the texts."""
+        total = np.zeros(n, np.int64)
+        for own, valid in zip(self.ids, self.valid):
+            total += np.bincount(own[valid], of_row[self.row[valid]], minlength=n).astype(np.int64)
+        return total
 
 
 class Automaton:
-    """States and arcs by key, with the log10 weights of arcs and failures."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_tokens: int, n_types: int, smoothing: float):
-        self.keys, self.counts = keys, counts
-        self.total, self.types, self.smoothing = n_tokens, n_types, smoothing
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
-
-    def token_scores(self, tokens: Tokens) -> np.ndarray:
-        """The log10 probability of every token.
-
-        The state before a token depends on the last tokens only, so all positions are
-        looked up side by side: lower orders first, then the arc of the longest history that has one; failures
-        on the way multiply.
-        """
-        mass = self.total + self.types
-        known = self.count(tokens.keys[0])
-        p = np.where(known > 0, known, self.types) / mass if mass else np.ones(len(known))
-        for k in range(1, len(tokens.keys)):
+    """States and arcs of the n-grams that some texts can reach. Number g stands for an n-gram: as an arc, for its last word after
+    the words before; as a state, for all of its words as history. ``ROOT`` is the state without history."""
+
+    ROOT = -1
+
+    def __init__(self, tokens: Tokens, counts: np.ndarray, n_tokens: int, n_types: int, smoothing: float):
+        order, n = len(tokens.ids), len(counts)
+        self.seen = counts > 0
+        self.depth = np.zeros(n + 1, np.int8)  # of a state; the last entry is the root's
+        prefix, shorter = np.full(n, -1, np.int64), np.full(n, self.ROOT, np.int64)
+        p = np.where(self.seen, counts, 0) / max(1, n_tokens + n_types)
+        self.unseen = np.log10(n_types / (n_tokens + n_types)) if n_types else 0.0
+        for k, own in enumerate(tokens.ids):
             at = np.flatnonzero(tokens.valid[k])
-            history = self.count(tokens.keys[k - 1][at - 1])
-            # A history that ends no arc is no state: the weight of its failure is 1.
-            arc = self.count(tokens.keys[k][at])
-            p[at] = np.where(history > 0, (arc + self.smoothing * p[at]) / (history + self.smoothing), p[at])
-        return np.log10(p)
+            self.depth[own[at]] = k + 1
+            if k:
+                prefix[own[at]], shorter[own[at]] = tokens.ids[k - 1][at - 1], tokens.ids[k - 1][at]
+                grams = np.unique(own[at])
+                grams = grams[self.seen[grams]]
+                p[grams] = (counts[grams] + smoothing * p[shorter[grams]]) / (counts[prefix[grams]] + smoothing)
+        self.arc = np.log10(p, where=self.seen, out=np.zeros(n))
+        self.failure = np.log10(smoothing / (counts + smoothing)) if smoothing else np.full(n, -np.inf)
+        self.shorter = shorter
+        # A history has at most order - 1 words.
+        self.after = np.where(self.depth[:n] < order, np.arange(n), shorter)
+
+    def walk(self, tokens: Tokens) -> tuple[np.ndarray, int]:
+        """The log10 probability of each text, and how many failure arcs were taken.
+
+        Long texts are cut: a walker begins ``order`` - 1 tokens before its part, at the root, and so is in the part's state
+        when it gets there. All walkers take a step at a time.
+        """
+        order, sizes = len(tokens.ids), np.diff(tokens.offsets)
+        many = -(-sizes // STRIDE)
+        text = np.repeat(np.arange(len(sizes)), many)
+        first = tokens.offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
+        stop = np.minimum(first + STRIDE, tokens.offsets[1:][text])
+        begin = np.maximum(first - (order - 1), tokens.offsets[:-1][text])
+        by = np.argsort(begin - stop, kind="stable")
+        begin, quiet, lengths = begin[by], (first - begin)[by], (stop - begin)[by]
+        score, state, failures = np.zeros(len(by)), np.full(len(by), self.ROOT), 0
+        running = len(by)
+        for step in range(int(lengths[0]) if len(by) else 0):
+            while lengths[running - 1] <= step:
+                running -= 1
+            place, now = begin[:running] + step, state[:running]
+            gain = np.zeros(running)
+            todo = np.arange(running)
+            for m in range(order - 1, 0, -1):
+                deep = self.depth[now[todo]] == m
+                mine, rest = todo[deep], todo[~deep]
+                arc = tokens.ids[m][place[mine]]
+                known = self.seen[arc]
+                went, failed = mine[known], mine[~known]
+                gain[went] += self.arc[arc[known]]
+                gain[failed] += self.failure[now[failed]]
+                failures += int((quiet[failed] <= step).sum())
+                now[failed] = self.shorter[now[failed]]
+                now[went] = self.after[arc[known]]
+                todo = np.concatenate([rest, failed])
+            arc = tokens.ids[0][place[todo]]
+            known = self.seen[arc]
+            gain[todo] += np.where(known, self.arc[arc], self.unseen)
+            now[todo] = np.where(known, self.after[arc], self.ROOT)
+            score[:running] += np.where(quiet[:running] <= step, gain, 0.0) if step < order - 1 else gain
+        return np.bincount(text[by], score, minlength=len(sizes)), failures
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = 2, smoothing: float = 500.0,
@@ -113,10 +170,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     def own_counts(group: pa.Table) -> tuple[Tokens, np.ndarray, np.ndarray]:
         tokens = Tokens(group.column("_text"), order)
         learn = group.column("_train").to_numpy().astype(np.int64)
-        grams = tokens.grams()
-        keys, back = np.unique(grams, return_inverse=True)
-        counts = np.bincount(back, tokens.weights(learn), minlength=len(keys)).astype(np.uint32)
-        return tokens, keys, counts
+        keys = tokens.numbered()
+        return tokens, keys, tokens.counts(learn, len(keys)).astype(np.uint32)
 
     def by_part(keys: np.ndarray) -> list[np.ndarray]:
         """The places of the keys of each part, in ascending order of the keys."""
@@ -158,17 +213,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
         for part, totals in zip(answers.column("_part").to_pylist(), answers.column("totals").to_pylist()):
             counts[places[part]] = from_planes(totals, np.uint64).astype(np.int64)
         n, v = sum(answers.column("tokens").to_pylist()), sum(answers.column("types").to_pylist())
-        known = np.zeros(0, np.int64)
-        base = full = known
+        known, base, full = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         if group.num_rows:
-            model = Automaton(keys, counts, n, v, smoothing)
-            known = model.count(tokens.keys[0])
+            known = counts[tokens.ids[0]]
             base = np.log10((known + 1) / (n + v + 1)) if n else np.zeros(len(known))
-            full = model.token_scores(tokens) if n else base
+            full = Automaton(tokens, counts, n, v, smoothing).walk(tokens)[0] if n else np.zeros(group.num_rows)
         return pa.Table.from_arrays([
             group.column(id_col), group.column("_train"), pa.array(np.diff(tokens.offsets), pa.int64()),
             pa.array(sums_of((known > 0).astype(np.int64), tokens.offsets), pa.int64()), pa.array(np.full(group.num_rows, n), pa.int64()),
-            pa.array(sums_of(base, tokens.offsets).astype(np.float64)), pa.array(sums_of(full, tokens.offsets).astype(np.float64))], schema.names)
+            pa.array(sums_of(base, tokens.offsets).astype(np.float64)), pa.array(full)], schema.names)
 
     placed = dealt.groupBy("_chunk")
     answers = placed.applyInArrow(listed, "_part int, _chunk int, keys binary, counts binary").groupBy("_part").applyInArrow(

@@ -2,6 +2,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+from pytest import approx as pytest_approx
+
 from pyspark.sql import functions as F
 
 from foliomill.llm import language_model as L
@@ -55,6 +59,38 @@ def test_scores_match_the_definition(spark):
             assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, full, rel_tol=1e-9)
 
 
+def test_failure_arcs_are_taken_where_an_arc_is_missing(monkeypatch):
+    """States and failures counted by hand-written rules over the n-grams of the training texts."""
+    rng = random.Random(6)
+    train = [" ".join(rng.choices("abcd", k=rng.randrange(1, 12))) for _ in range(12)]
+    asked = [" ".join(rng.choices("abcdxy", k=rng.randrange(0, 15))) for _ in range(40)]
+    for order in (1, 2, 3, 4):
+        grams = Counter()
+        for t in map(tokens_of, train):
+            grams.update(tuple(t[i:i + k]) for k in range(1, order + 1) for i in range(len(t) - k + 1))
+        expected = 0
+        for t in map(tokens_of, asked):
+            history = ()
+            for w in t:
+                while history and not grams[(*history, w)]:
+                    history, expected = history[1:], expected + 1
+                history = (*history, w)[-(order - 1):] if order > 1 and grams[(*history, w)] else ()
+        tokens = L.Tokens(pa.array(train + asked), order)
+        keys = tokens.numbered()
+        counts = tokens.counts(np.array([1] * len(train) + [0] * len(asked)), len(keys))
+        n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+        only = L.Tokens(pa.array(asked), order)
+        whole = L.Automaton(tokens, counts, n, v, 5.0)
+        at = tokens.offsets[len(train)]
+        only.ids = [ids[at:] for ids in tokens.ids]  # the numbers of the whole table
+        want = reference([(i, t, True) for i, t in enumerate(train)] + [(100 + i, t, False) for i, t in enumerate(asked)], order, 5.0)
+        for stride in (1, 2, 3, 512):
+            monkeypatch.setattr(L, "STRIDE", stride)
+            scores, failures = whole.walk(only)
+            assert failures == expected
+            assert scores.tolist() == pytest_approx([want[100 + i][4] for i in range(len(asked))])
+
+
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(0, "a b a c a b", True)] + [(i, f"a {w}", False) for i, w in enumerate(["a", "b", "c", "zz"], 1)] + [(5, "a", False)],
                                  "doc_id bigint, text string, learn boolean")
