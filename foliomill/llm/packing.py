@@ -110,17 +110,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             of_word, flat = word_ids(words.to_pylist(), tokenizer_path)
             ends, ids = ragged_take(of_word, flat, codes)
             edges = ends[offsets]
-            rows, starts, lengths, totals, data = [], [], [], [], []
-            for i in range(part.num_rows):
-                own = np.append(ids[edges[i]:edges[i + 1]], np.uint32(end_id)).astype("<u4")
-                for s in range(0, len(own), capacity):
-                    rows.append(i)
-                    starts.append(s)
-                    lengths.append(min(capacity, len(own) - s))
-                    totals.append(len(own))
-                    data.append(own[s:s + capacity].tobytes())
-            columns = [part.column(id_col).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
-                       pa.array(totals, pa.int64()), pa.array(data, pa.binary())]
+            # Each text's ids and the end, one after the other; every text is cut from its own beginning.
+            totals = np.diff(edges) + 1
+            bounds = np.concatenate([[0], np.cumsum(totals)])
+            flat = np.insert(ids, edges[1:], np.uint32(end_id)).astype("<u4")
+            many = -(-totals // capacity)
+            rows = np.repeat(np.arange(part.num_rows), many)
+            starts = (np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+            lengths = np.minimum(capacity, totals[rows] - starts)
+            # Pieces lie side by side, so their offsets cut one buffer.
+            cuts = np.append(bounds[rows] + starts, bounds[-1]) * 4
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(flat)])
+            columns = [part.column(id_col).take(pa.array(rows)), pa.array(starts), pa.array(lengths), pa.array(totals[rows]), data.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select(id_col, text).mapInArrow(task, schema)
