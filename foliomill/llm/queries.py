@@ -63,7 +63,7 @@ def op5_kd_shards(spark, sf):
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("content"))
     sharded = sharding.kd_shards(rows, ["lang", "source", "n_chars"], "size", 40, group="content")
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                          F.lit(None).cast("int").alias("grown_shard"))
+                          F.lit(None).cast("int").alias("grown_shard"), "together")
 
 
 @query

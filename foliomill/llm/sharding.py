@@ -80,30 +80,32 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str, shards: int, group: s
     that spans most ranks; so leaves reach the target ``total / shards`` together. A cut is off by at
     most ``tolerance`` of a leaf or one row. Rows of one ``group`` value (such as a content hash)
     stay together as one unit if they hold at most a twentieth of a leaf; larger groups are
-    cut like other rows. Slots number the rows of a shard from 0 without gaps. NULL is the
-    lowest value of a dimension, a NULL size counts 0. Rows equal in everything may be exchanged
-    with each other; all other results repeat. An empty table gives an empty one.
+    cut like other rows, which ``together`` tells. Slots number the rows of a shard from 0 without gaps. NULL is the
+    lowest value of a dimension, a NULL size counts 0. Rows equal in everything are units of their own and may be exchanged
+    with each other; all other results repeat. An empty table gives an empty one. Any column names will do but
+    those of the result.
 
     ``rows`` should be slim: metadata, no texts. It is written to the shared folder a few times.
     """
     own = list(rows.columns)
-    base = written(rows.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("bigint")), "shard-rows")
-    total = base.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    if clash := {"shard", "slot", "together"} & {c.lower() for c in own}:
+        raise ValueError(f"{sorted(clash)} are columns of the result: pass them under other names")
+    base = written(rows.select(F.struct(*own).alias("row"), *[F.col(c).alias(f"dim_{d}") for d, c in enumerate(dims)],
+                               F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"),
+                               (F.col(group) if group else F.lit(None).cast("int")).alias("group")), "shard-rows")
+    total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     target = max(1, total // shards)
-    if group:
-        sums = base.groupBy(F.col(group).alias("_g")).agg(F.sum("_size").alias("_sum")).where(
-            F.col("_g").isNotNull() & (F.col("_sum") <= target // 20))
-        base = base.join(sums.select("_g"), F.col(group) == F.col("_g"), "left")
-        tied = F.col("_g").isNotNull()
-        key = F.when(tied, F.xxhash64(F.col("_g"), F.lit("group"))).otherwise(F.xxhash64(*own))
-        base = base.withColumn("unit", key).drop("_g")
-    else:
-        base = base.withColumn("unit", F.xxhash64(*own))
-    base = written(base, "shard-units")
-    # The unit's place in each dimension is that of its smallest row. Units are hashes of whole rows or groups.
-    units = base.groupBy("unit").agg(F.sum("_size").alias("size"), *[F.min(c).alias(f"dim_{d}") for d, c in enumerate(dims)])
+    sums = base.where("group IS NOT NULL").groupBy(F.col("group").alias("g")).agg(F.sum("size").alias("n")).where(F.col("n") <= target // 20)
+    base = base.join(sums.select("g"), F.col("group") == F.col("g"), "left")
+    together = F.col("g").isNotNull()
+    # A group is a negative number, a row its place, written once: rows equal in everything stay apart. Ties go by content, so reruns agree.
+    unit = F.when(together, -F.shiftrightunsigned(F.xxhash64("g", F.lit("group")), 1) - 1).otherwise(F.monotonically_increasing_id())
+    tie = F.when(together, F.xxhash64("g")).otherwise(F.xxhash64("row"))
+    base = written(base.select("row", "size", *[f"dim_{d}" for d in range(len(dims))], together.alias("together"), unit.alias("unit"), tie.alias("tie")), "shard-units")
+    # The unit's place in each dimension is that of its smallest row.
+    units = base.groupBy("unit").agg(F.sum("size").alias("size"), F.min("tie").alias("tie"), *[F.min(f"dim_{d}").alias(f"dim_{d}") for d in range(len(dims))])
     for d in range(len(dims)):
-        units = number_within(units, [], [f"dim_{d}", "unit"], f"rank_{d}")
+        units = number_within(units, [], [f"dim_{d}", "tie", "unit"], f"rank_{d}")
     units = written(units.select("unit", "size", *[f"rank_{d}" for d in range(len(dims))], F.lit(0).alias("node")), "shard-ranks")
     open_nodes = [Node(0, shards)] if shards > 1 else []
     while open_nodes:
@@ -121,5 +123,6 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str, shards: int, group: s
         units = written(units.withColumn("node", F.coalesce(moved, F.col("node"))), "shard-cut")
         halves = [Node(n.first, n.shards // 2) for n in open_nodes] + [Node(n.first + n.shards // 2, n.shards - n.shards // 2) for n in open_nodes]
         open_nodes = [n for n in halves if n.shards > 1]
-    placed = base.join(units.select("unit", F.col("node").alias("shard")), "unit").select(*own, "shard")
-    return number_within(placed, ["shard"], own, "slot").withColumn("slot", F.col("slot") - 1)
+    placed = base.join(units.select("unit", F.col("node").alias("shard")), "unit").select("row", "together", "shard")
+    numbered = number_within(placed, ["shard"], ["row"], "slot")
+    return numbered.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "shard", (F.col("slot") - 1).alias("slot"), "together")
