@@ -46,6 +46,8 @@ SKIPPED_WORDS = frozenset(
 SKIPPED_PARTS = frozenset("ad advert advertisement sponsored promo comment comments reply related teaser".split())
 CONTENT_TAGS = ("article", "main")
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
+# A class of several words that starts like this names an arrangement, not what the element holds.
+ARRANGEMENTS = frozenset("has with without no not is layout page body grid wrapper container".split())
 ROOT = "#"
 DEEPEST = 100
 
@@ -54,6 +56,15 @@ def _words(value: str) -> set[str]:
     return {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w}
 
 
+def _names_any(value: str, words: frozenset) -> bool:
+    """Whether a class attribute names one of the words: alone, as the last word of a class, or as its first if the last is no word for content."""
+    for name in value.split():
+        parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        if parts and not ARRANGEMENTS & set(parts[:-1]) and (parts[-1] in words or parts[0] in words and parts[-1] not in CONTENT_WORDS):
+            return True
+    return False
+
+
 @lru_cache(maxsize=4096)
 def _element(tag: str, attributes: str) -> tuple[str, bool]:
     """``(label, skipped)`` of an element: its tag with its classes, and whether it is no part of an article."""
@@ -63,7 +74,7 @@ def _element(tag: str, attributes: str) -> tuple[str, bool]:
     named = _words(found.get("class", "")) | _words(found.get("id", ""))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
     skipped = tag in SKIPPED_TAGS or found.get("role", "").lower() in SKIPPED_ROLES or bool(hidden) or bool(
-        named & (SKIPPED_PARTS if tag in CONTENT_TAGS else SKIPPED_WORDS) and tag not in ("html", "body"))
+        tag not in ("html", "body") and _names_any(f"{found.get('class', '')} {found.get('id', '')}", SKIPPED_PARTS if tag in CONTENT_TAGS else SKIPPED_WORDS))
     return ".".join([tag, *sorted(named)]), skipped
 
 
@@ -327,7 +338,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_pages: int = 5, common: float = 0.9, frequent: float = 0.1) -> DataFrame:
+def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_pages: int = 3, common: float = 0.9, frequent: float = 0.1) -> DataFrame:
     """``(host, templates, constant, slots)`` of each host: its templates, the ``(layout, node, hash)`` of constant texts and its slots.
 
     Templates are the most frequent tree of the host and any other of at least ``least_pages`` pages and a share ``frequent``
@@ -384,24 +395,24 @@ def induce(pages: DataFrame, host: str = "_host", html: str = "html", least_page
     return templates.join(per_host, "host", "left").select("host", "templates", *[F.coalesce(c, F.array()).alias(c) for c in ("constant", "slots")])
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", least_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", least_pages: int = 3) -> DataFrame:
     """Add ``out``, the main text of each page, and drop the html. NULL html is empty; empty text if there is none.
 
     Blocks are joined by one blank in page order; white space within a block is one blank. Repeated rows give
     repeated results. A page whose host has no template of use is read by its own structure alone.
     """
-    own = [c for c in pages.columns if c not in (html, out, "_host")]
-    placed = pages.select(*own, html, host_of(F.col(url)).alias("_host"))
-    wrappers = written(induce(placed, "_host", html, least_pages), "wrappers").withColumnRenamed("host", "_its_host")
-    schema = placed.select(*own, F.lit("").alias(out)).schema
+    own = [c for c in pages.columns if c not in (html, out)]
+    placed = pages.select(F.struct(*own).alias("row"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
+    wrappers = written(induce(placed, "host", "html", least_pages), "wrappers").withColumnRenamed("host", "its_host")
+    schema = placed.select("row", F.lit("").alias("text")).schema
 
     def task(batches):
-        for part in slices(batches, html):
+        for part in slices(batches, "html"):
             texts = [main_text(h, t, frozenset((x["layout"], x["node"], x["hash"]) for x in c or ()), frozenset((x["layout"], x["node"]) for x in r or ()))
-                     for h, t, c, r in zip(*(part.column(x).to_pylist() for x in (html, "_templates", "_constant", "_slots")))]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(texts, pa.string())], schema.names)
+                     for h, t, c, r in zip(*(part.column(x).to_pylist() for x in ("html", "templates", "constant", "slots")))]
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], schema.names)
 
     # One row per host; a host with many pages is split by adaptive execution, or its row is broadcast.
-    joined = placed.join(wrappers.select("_its_host", F.col("templates").alias("_templates"), F.col("constant").alias("_constant"), F.col("slots").alias("_slots")),
-                         F.col("_host") == F.col("_its_host"), "left")
-    return joined.select(*own, html, "_templates", "_constant", "_slots").mapInArrow(task, schema)
+    joined = placed.join(wrappers, F.col("host") == F.col("its_host"), "left")
+    found = joined.select("row", "html", "templates", "constant", "slots").mapInArrow(task, schema)
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.col("text").alias(out))

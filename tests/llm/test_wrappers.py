@@ -1,4 +1,8 @@
+import itertools
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from foliomill.llm import wrappers as W
 
@@ -71,3 +75,48 @@ def test_varying_slots_say_where_a_body_in_several_parts_lies(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     for r in W.extract(pages).collect():
         assert r.text == (f"first {r.page_id} " * 9 + f"second {r.page_id} " * 7).strip()
+
+
+def test_classes_that_only_sound_like_surroundings(spark):
+    body = "<p>{i} " + "first words " * 8 + "</p><p>{i} " + "second words " * 8 + "</p>"
+    want = "{i} " + "first words " * 8 + "{i} " + "second words " * 8
+    around = {"has": ("<div class='layout has-sidebar'>", "</div><div class='legal'>All rights</div>"), "related": ("<article class='related-post'>", "</article>"),
+              "right": ("<div class='layout-sidebar-right'><div class='ad-banner'>Buy {i}</div>", "</div><div class='site-footer'>Foot {i}</div>")}
+    rows = [(f"{name}-{n}-{i}", f"http://{name}{n}.example/{i}", (a + body + z).format(i=i), "clash") for name, (a, z) in around.items() for n in (4, 20) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, _templates string").withColumn("_host", F.lit("kept"))
+    got = W.extract(pages).collect()
+    assert {r.page_id: r.text for r in got} == {k: want.format(i=k.split("-")[2]).strip().replace("  ", " ") for k, *_ in rows}
+    assert {(r._templates, r._host) for r in got} == {("clash", "kept")}
+
+
+def test_a_page_reads_alike_on_small_and_large_hosts(spark):
+    page = "<body><article><h1>Head {i}</h1><p>" + "Story {i}. " * 9 + "</p><p>Correction: none.</p></article></body>"
+    rows = [(n * 100 + i, f"http://h{n}.example/{i}", page.format(i=i)) for n in (4, 20) for i in range(n)]
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[400 + i] for i in range(4)] == [got[2000 + i] for i in range(4)]
+
+
+def test_tree_matching_against_all_matchings():
+    """Every set of pairs that keeps labels, parents and the order of siblings."""
+    rng = random.Random(1)
+
+    def tree(n):
+        nodes = [[rng.choice("ab"), []] for _ in range(n)]
+        for k in range(1, n):
+            nodes[rng.randrange(k)][1].append(nodes[k])
+        return nodes[0]
+
+    def largest(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = 0
+        for k in range(min(len(a[1]), len(b[1])) + 1):
+            for x in itertools.combinations(a[1], k):
+                for y in itertools.combinations(b[1], k):
+                    sizes = [largest(p, q) for p, q in zip(x, y)]
+                    best = max(best, sum(sizes))
+        return best + 1
+
+    for _ in range(200):
+        a, b = tree(rng.randrange(1, 8)), tree(rng.randrange(1, 8))
+        assert W.simple_tree_matching(a, b)[0] == largest(a, b)
