@@ -132,13 +132,13 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return quantiles(sketch, keys, low=0.25, high=0.75)
 
 
-def limits(sketch: DataFrame, fence: float = 5.0, least_rows: int = 100) -> DataFrame:
+def limits(sketch: DataFrame, fence: float = 5.0, weight_rows: int = 100) -> DataFrame:
     """``(lang, source, measure, floor, ceiling)``.
 
     A limit lies ``fence`` spreads off the median; the spread of a side is the distance of its tail (the 10 % or 90 %
-    quantile) from the median, at least the measure's least. A group of fewer than ``least_rows`` takes the limits of its language, and a
-    language so small those of all rows. No limit of a group goes further than twice that of its
-    language from the middle: a source that is mostly junk does not set its own standard.
+    quantile) from the median, at least the measure's least. A group of n rows has a say of n / (n + ``weight_rows``) in its limits and its language the
+    rest, as the language has against all rows: no number of rows makes them jump. No limit of a group goes further than
+    twice that of its language from the middle: a source that is mostly junk does not set its own standard.
     """
     least = F.create_map(*[F.lit(x) for k, (_, s, _) in MEASURES.items() for x in (k, s)])
     two_sided = F.col("measure").isin([k for k, (_, _, both) in MEASURES.items() if both])
@@ -157,24 +157,32 @@ def limits(sketch: DataFrame, fence: float = 5.0, least_rows: int = 100) -> Data
     rows = own.join(of_lang, own.own_lang.eqNullSafe(of_lang.lang_lang) & (own.own_measure == of_lang.lang_measure)).join(
         of_all, F.col("own_measure") == F.col("all_measure"))
 
+    def blended(own, n, parent):
+        # Without a lower limit both are infinite.
+        say = F.col(n) / (F.col(n) + weight_rows)
+        return F.when(own == parent, own).otherwise(say * own + (1 - say) * parent)
+
     def pick(side, bound):
-        parent = F.when(F.col("lang_rows") >= least_rows, F.col(f"lang_{side}")).otherwise(F.col(f"all_{side}"))
-        return F.when(F.col("own_rows") >= least_rows, bound(F.col(f"own_{side}"), parent)).otherwise(parent)
+        parent = blended(F.col(f"lang_{side}"), "lang_rows", F.col(f"all_{side}"))
+        return blended(bound(F.col(f"own_{side}"), parent), "own_rows", parent)
 
     return rows.select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), F.col("own_measure").alias("measure"),
                        pick("floor", lambda own, parent: F.greatest(own, parent - F.abs(parent))).alias("floor"),
                        pick("ceiling", lambda own, parent: F.least(own, 2 * parent)).alias("ceiling"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = 5.0, least_rows: int = 100) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = 5.0, weight_rows: int = 100) -> DataFrame:
     """The columns of ``docs`` but the text, its counts, ``base_failed``, ``kept`` and ``reasons``.
 
     ``base_failed``: fewer than 10 words, or more than 20 % of them in repeated 5-word windows. ``reasons``
     lists the measures outside the limits of the document's language and source (NULL is a group). All rows
-    come back; repeated rows are judged alike.
+    come back; repeated rows are judged alike. A text of any length is counted whole. Columns named like a result are an error.
     """
+    results = {*COUNTS, "base_failed", "kept", "reasons", "_limits", "_lang", "_source"}
+    if clash := results & {c.lower() for c in docs.columns}:
+        raise ValueError(f"{sorted(clash)} are columns of the result: pass them under other names")
     counted = written(text_counts(docs, text), "counts")
-    found = limits(sketches(counted, lang, source), fence, least_rows)
+    found = limits(sketches(counted, lang, source), fence, weight_rows)
     wide = found.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("floor", "ceiling")))).alias("_limits"))
     wide = wide.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_limits")
     # The limits are a row per group; the optimizer broadcasts them if they are small, else a hot source is split.

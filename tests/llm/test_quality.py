@@ -1,7 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliomill.llm import quality as Q
@@ -71,6 +73,8 @@ def test_edges(spark):
     assert len(got) == 3 and all(r.base_failed and not r.kept for r in got)
     assert Q.judge(docs.limit(0)).count() == 0
     assert Q.judge(docs.withColumn("floor", F.lit(1)).withColumn("measure", F.lit("x"))).count() == 3
+    with pytest.raises(ValueError):
+        Q.judge(docs.withColumn("n_words", F.lit(1)))
 
 
 def test_limits_follow_the_tails_of_their_group(spark):
@@ -86,3 +90,45 @@ def test_limits_follow_the_tails_of_their_group(spark):
         "*", *[f"cast(0 as bigint) as {c}" for c in Q.COUNTS if c not in ("n_words", "word_chars")])
     found = {r.source: r for r in Q.limits(Q.sketches(counted)).where("measure = 'word_length'").collect()}
     assert found["narrow"].floor > 0.5 and found["narrow"].ceiling - 4 < 0.5 * (found["wide"].ceiling - 4)
+
+
+def test_verdicts_match_a_plain_computation(spark):
+    """Limits from sorted bins of plain lists, blended by rows, and every verdict of texts that include very long ones."""
+    rows = sample(600, seed=9) + [(9000, "word " * 300_000, "en", "a", "long"), (9001, " ".join(f"w{i}" for i in range(200_000)), "de", None, "long")]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in Q.judge(docs).collect()}
+    counted = {r.doc_id: r.asDict() for r in Q.text_counts(docs).collect()}
+    names = {k: e.replace("greatest", "max") for k, (e, _, _) in Q.MEASURES.items()}
+    value = {(i, k): eval(e, {"max": max}, c) for i, c in counted.items() for k, e in names.items()}
+
+    def fences(ids, k):
+        def bin_of(v):
+            return -(1 << 20) if v <= 0 else math.ceil(math.log(v) / math.log(Q.GAMMA))
+
+        bins = sorted(bin_of(value[i, k]) for i in ids)
+        low, middle, high = ((0.0 if b == -(1 << 20) else Q.GAMMA ** (b - 0.5)) for b in (bins[max(0, math.ceil(q * len(bins)) - 1)] for q in (0.1, 0.5, 0.9)))
+        least, both = Q.MEASURES[k][1:]
+        return (middle - 5 * max(middle - low, least) if both else -math.inf), middle + 5 * max(high - middle, least), len(ids)
+
+    def blend(own, n, parent):
+        return own if own == parent else n / (n + 100) * own + 100 / (n + 100) * parent
+
+    for i, r in got.items():
+        c, expected = counted[i], []
+        for k in Q.MEASURES:
+            whole = CACHE[k] = CACHE.get(k) or fences(list(counted), k)
+            lang = fences([j for j, x in counted.items() if x["lang"] == c["lang"]], k) if (k, c["lang"]) not in CACHE else CACHE[k, c["lang"]]
+            CACHE[k, c["lang"]] = lang
+            key = (k, c["lang"], c["source"])
+            own = CACHE.setdefault(key, None) or fences([j for j, x in counted.items() if (x["lang"], x["source"]) == key[1:]], k)
+            CACHE[key] = own
+            parent = [blend(lang[s], lang[2], whole[s]) for s in (0, 1)]
+            floor = blend(max(own[0], parent[0] - abs(parent[0])), own[2], parent[0])
+            ceiling = blend(min(own[1], 2 * parent[1]), own[2], parent[1])
+            if not floor <= value[i, k] <= ceiling:
+                expected.append(k)
+        failed = c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+        assert (r.reasons, r.base_failed, r.kept) == (expected, failed, not failed and not expected), i
+
+
+CACHE: dict = {}
