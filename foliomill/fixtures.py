@@ -47,10 +47,33 @@ MARKDOWN = "\n".join([
 ])
 
 
+# Shapes that browsers accept: other children in a list, lists in lists and in other elements, end tags left out, tables in tables.
+SHAPES = (
+    '<ol><p>{a}</p><li>{b}</li><div>{c}</div><li>{i}</li></ol><ul><li>{a}</li><ul><li>{b}</li></ul><li>{c}</li></ul>'
+    '<ul><li>{a}<div><ol><li>{b}</li></ol></div></li></ul><ul><li>{a}<li>{b}<ol><li>{c}<li>{a}</ol></ul>'
+    '<table><tr><td>{a}<table><tr><td>{b}</td><td>{c}</td></tr><tr><th>{i}</th></tr></table></td><td>{c}</td></tr><tr><td>{b}</td></tr></table>'
+    '<table><tr><td>{a}<td>{b}<tr><td>{c}</table>'
+)
+
+
+def shapes_fixture(documents: DataFrame) -> DataFrame:
+    return with_words(documents).select("doc_id", _fill(ARTICLE + SHAPES).alias("html"))
+
+
 def html_fixture(documents: DataFrame) -> DataFrame:
     return with_words(documents).select("doc_id", _fill(ARTICLE).alias("html"))
 
 
+HIDDEN = (
+    '<p style="color: red; display : none">{a}</p><div style="visibility: hidden"><p>{b}</p></div><div style="display:none"><p>{c}</p></div>'
+    '<p style="background: url(display:none)">{i}</p><p>{t}</p>'
+)
+
+
+def hidden_fixture(documents: DataFrame) -> DataFrame:
+    return with_words(documents).select("doc_id", _fill(HIDDEN).alias("html"))
+
+
 def markdown_fixture(documents: DataFrame) -> DataFrame:
     """Generated Markdown (``origin`` 1) and the documents themselves (``origin`` 0), keyed 2 * doc_id + origin."""
     made = with_words(documents).select((F.col("doc_id") * 2 + 1).alias("doc_id"), _fill(MARKDOWN).alias("text"))
@@ -117,6 +140,13 @@ def page_responses(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", body.alias("response"))
 
 
+def broken(responses: DataFrame, number: Column) -> DataFrame:
+    """Responses of which three in nine, by ``number``, are cut off, missing, or hold a message instead."""
+    half = F.expr("substring(response, 1, cast(length(response) / 2 AS int))")
+    body = F.when(number % 9 == 4, half).when(number % 9 == 6, F.lit(None)).when(number % 9 == 8, '{"message": "Forbidden"}').otherwise(F.col("response"))
+    return responses.withColumn("response", body)
+
+
 def paths_fixture(documents: DataFrame) -> DataFrame:
     endings = F.array(*[F.lit(e) for e in (".md", ".MD", ".markdown", ".mdown", ".mkd", ".html")])
     return documents.select("doc_id", F.concat(

@@ -37,6 +37,9 @@ FALLBACK_TAGS = ["section", "main", "article"]
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 BLOCK_TAGS = HEADING_TAGS + ["p", "ul", "ol", "pre", "code", "table"]
 
+# Marks around formatted text, by element.
+INLINE_MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "s": "~~", "del": "~~"}
+
 CODE_LANGUAGE_CLASS = r"(?i)(?:language|lang|brush)-(\w+)"
 CODE_LANGUAGE_ATTRIBUTES = ["data-language", "data-lang", "data-code-language"]
 

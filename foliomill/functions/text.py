@@ -88,11 +88,21 @@ def tidy_inline(value) -> Column:
 # -- entities ----------------------------------------------------------------------------
 
 def _entity_names() -> dict[str, str]:
-    """Named characters of HTML 4 from the standard library, the most frequent ones first."""
-    first = ["amp", "lt", "gt", "quot", "nbsp", "copy"]
-    table = html.entities.name2codepoint
-    names = first + [n for n in sorted(table) if n not in first]
-    return {f"&{n};": chr(table[n]) for n in names} | {"&apos;": "'"}
+    """Named characters of HTML 5 from the standard library with their semicolon, those of HTML 4 first."""
+    known = html.entities.html5
+    first = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "apos;"] + [f"{n};" for n in sorted(html.entities.name2codepoint)]
+    names = dict.fromkeys([*first, *sorted(n for n in known if n.endswith(";"))])
+    return {f"&{n}": known[n] for n in names}
+
+
+def _bare_names() -> dict[str, str]:
+    """Those that also count without a semicolon."""
+    return {n: c for n, c in html.entities.html5.items() if not n.endswith(";")}
+
+
+def _constant_map(entries: dict[str, str]) -> Column:
+    """One literal that folds to a constant map; the delimiters are control characters."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in entries.items())), F.lit("\x02"), F.lit("\x01"))
 
 
 def _code_point(value: Column) -> Column:
@@ -103,29 +113,41 @@ def _code_point(value: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
 
-def decode_entities(value) -> Column:
-    """Replace character references in one pass, so ``&amp;lt;`` becomes ``&lt;``."""
+def decode_entities(value, in_attribute: bool = False) -> Column:
+    """Replace character references in one pass, so ``&amp;lt;`` becomes ``&lt;``.
+
+    A name takes its semicolon; without one the longest name that may stand bare counts, but in an attribute not before
+    a letter, a digit or an equals sign. Numbers count with and without a semicolon.
+    """
     value = _col(value)
-    # One literal that folds to a constant map; the delimiters are control characters.
-    table = "\x02".join(f"{name}\x01{char}" for name, char in _entity_names().items())
-    names = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x01"))
+    names, bare = _constant_map(_entity_names()), _bare_names()
+    longest = "|".join(sorted(bare, key=lambda n: (-len(n), n)))
 
     def number(text: Column, base: int) -> Column:
         """Leading zeros do not count; what is longer than any code point has none."""
         short = F.ltrim(text, F.lit("0"))
         return F.when(F.length(short) <= 8, F.conv(F.concat(F.lit("0"), short), base, 10).cast("bigint"))
 
+    def without_semicolon(part: Column) -> Column:
+        name = F.regexp_extract(part, rf"^&({longest})", 1)
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        known = name != ""
+        if in_attribute:
+            known &= ~rest.rlike("^[0-9A-Za-z=]")
+        return F.when(known, F.concat(F.try_element_at(_constant_map(bare), name), rest)).otherwise(part)
+
     def one(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^&#([0-9]+);$", 1)
-        hexits = F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]+);$", 1)
+        digits = F.regexp_extract(part, r"^&#([0-9]+)", 1)
+        hexits = F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]+)", 1)
+        rest = F.regexp_extract(part, r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?(.*)", 1)
         return (
-            F.when(~part.startswith("&"), part)
-            .when(digits != "", _code_point(number(digits, 10)))
-            .when(hexits != "", _code_point(number(hexits, 16)))
-            .otherwise(F.coalesce(F.try_element_at(names, part), part))
+            F.when(~part.startswith("&") | (F.length(part) == 1), part)
+            .when(digits != "", F.concat(_code_point(number(digits, 10)), rest))
+            .when(hexits != "", F.concat(_code_point(number(hexits, 16)), rest))
+            .otherwise(F.coalesce(F.try_element_at(names, part), without_semicolon(part)))
         )
 
-    parts = F.regexp_extract_all(value, F.lit(r"&#?[a-zA-Z0-9]+;|[^&]+|&"), F.lit(0))
+    parts = F.regexp_extract_all(value, F.lit(r"&#?[a-zA-Z0-9]+[;=]?|[^&]+|&"), F.lit(0))
     return F.when(F.contains(value, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(value)
 
 

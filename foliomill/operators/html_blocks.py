@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from foliomill.functions.text import clean_text, is_blank, non_empty, tidy_inline, trim_ws
 from foliomill.operators import html_inline
 from foliomill.operators.html_structure import (
-    LIST_TAGS, OG_TITLE, TW_TITLE, ends, has_flag, starts, tagged_tokens, with_container, with_extents, with_nesting, with_totals,
+    CELL_TAGS, LIST_TAGS, OG_TITLE, TW_TITLE, ends, has_flag, starts, tagged_tokens, with_child_numbers, with_container, with_extents,
+    with_nesting, with_parents, with_scopes, with_totals,
 )
 
 
@@ -22,29 +23,30 @@ def structured_tokens(pages: DataFrame, id_col: str = "page_id", html_col: str =
                       keep: tuple[str, ...] = (), whole_page: bool = True) -> DataFrame:
     """Tokens with extents and nesting; with ``whole_page`` also the page's content container."""
     rows = with_totals(tagged_tokens(pages, id_col, html_col, keep), id_col, measure_text=whole_page)
-    rows = with_nesting(with_extents(rows, id_col, measure_text=whole_page), id_col)
+    rows = with_scopes(with_nesting(with_extents(rows, id_col, measure_text=whole_page), id_col), id_col)
     return with_container(rows, id_col) if whole_page else rows
 
 
 def with_list_items(rows: DataFrame, id_col: str) -> DataFrame:
-    """Add the open item of the innermost list and its number there.
+    """Add the open item of the innermost list, and ``chain``: the outermost list whose Markdown an inner one is part of.
 
-    Text that follows a nested list belongs to the outer item again, hence the window per
-    list level.
+    A list is part of another one's Markdown if it stands directly in an item of it, over any number of steps. Where
+    the chain starts, ``chain.outer`` is the item that holds the whole list in some other element, if any. Text that follows
+    a nested list belongs to the outer item again, hence the window per list level. ``n_rows`` counts table rows.
     """
-    run = Window.partitionBy(id_col, "list_depth").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    in_list = F.col("list_depth") > 0
-    reset = starts(*LIST_TAGS) | ends("li")
-    rows = rows.withColumn("_n", F.count_if(starts("li")).over(run)).withColumns({
-        "_list": F.last(F.when(starts(*LIST_TAGS), F.struct("tag", F.col("_n").alias("n"))), ignorenulls=True).over(run),
-        "_item": F.last(F.when(starts("li"), F.col("pos")).when(reset, -1), ignorenulls=True).over(run),
-    })
-    return rows.withColumns({
-        "cur_li": F.when(in_list & (F.col("_item") >= 0), F.col("_item")),
-        "li_no": (F.col("_n") - F.col("_list.n")).cast("int"),
-        "li_ordered": F.col("_list.tag") == "ol",
-    }).drop("_n", "_list", "_item")
+    run = Window.partitionBy(id_col, "list_depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    item = F.when(F.col("is_item"), F.when(starts("li"), F.col("pos")).otherwise(-1)).when(starts(*LIST_TAGS), -1)
+    rows = rows.withColumn("_item", F.last(item, ignorenulls=True).over(run))
+    rows = rows.withColumn("cur_li", F.when((F.col("list_depth") > 0) & (F.col("_item") >= 0), F.col("_item"))).drop("_item")
+    page = Window.partitionBy(id_col).orderBy("pos")
+    so_far = page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = F.when(F.col("in_item"), 0).when(starts(*LIST_TAGS), 1).when(ends(*LIST_TAGS) & F.col("opener").isNotNull(), -1).otherwise(0)
+    rows = rows.withColumns({"_heads": F.sum(heads).over(so_far), "_outer": F.lag("cur_li").over(page),
+                             "n_rows": F.count_if("row_start").over(so_far).cast("int")})
+    head = F.when(starts(*LIST_TAGS) & ~F.col("in_item"), F.struct("pos", "list_depth", F.col("_outer").alias("outer")))
+    same = Window.partitionBy(id_col, "_heads").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chain = F.when((F.col("_heads") > 0) & (F.col("list_depth") > 0), F.last(head, ignorenulls=True).over(same))
+    return rows.withColumn("chain", chain).drop("_heads", "_outer")
 
 
 def _memberships(whole_page: bool) -> Column:
@@ -52,14 +54,16 @@ def _memberships(whole_page: bool) -> Column:
     def member(kind: str, key: str) -> Column:
         return F.when(F.col(key).isNotNull(), F.struct(F.lit(kind).alias("block"), F.col(key).cast("int").alias("key")))
 
-    own = F.when(starts("tr") & F.col("cur_row").isNotNull(), "tr").when(starts(*LIST_TAGS), "list").when(starts("table"), "table")
+    table_end = ends("table") & F.col("opener").isNotNull()
+    own = F.when(starts(*LIST_TAGS), "list").when(starts("table") | table_end, "table").when(starts("li") & ~F.col("is_item") & (F.col("list_depth") > 0), "li")
     if whole_page:
         own = own.when(has_flag(OG_TITLE), "og").when(has_flag(TW_TITLE), "tw") \
             .when((F.col("kind") == "raw") & (F.col("tag") == "title"), "title")
     return F.array(
         F.when(F.col("pos") <= 0, F.struct(F.lit("page").alias("block"), F.col("pos").cast("int").alias("key"))),
-        F.when(own.isNotNull(), F.struct(own.alias("block"), F.col("pos").cast("int").alias("key"))),
-        member("h", "cur_h"), member("p", "cur_p"), member("li", "cur_li"), member("cell", "cur_cell"),
+        F.when(own.isNotNull(), F.struct(own.alias("block"), F.when(table_end, F.col("opener.pos")).otherwise(F.col("pos")).cast("int").alias("key"))),
+        member("h", "cur_h"), member("p", "cur_p"), member("li", "cur_li"), member("li", "chain.outer"),
+        F.when((F.col("table_depth") > 0) & F.col("top_table").isNotNull(), F.struct(F.lit("cells").alias("block"), F.col("top_table").cast("int").alias("key"))),
         member("pre", "cur_pre"), member("code", "cur_code"))
 
 
@@ -75,10 +79,14 @@ def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_
         | (F.col("table_depth") > F.when(starts("table"), 1).otherwise(0)) \
         | (F.col("cur_p") < F.col("pos")) | (F.col("cur_h") < F.col("pos")) | (F.col("cur_pre") < F.col("pos"))
     facts = F.struct(
-        "tag", *keep, "info", "end_pos", "list_depth", "top_list", "top_table", "cur_row", "cur_pre", "li_no", "li_ordered",
-        "n_li", "end_li", skipped.alias("skipped"), inside.alias("inside"), F.coalesce(nested, F.lit(False)).alias("nested"), "in_main")
+        "tag", *keep, "info", "list_depth", "top_list", "top_table", "cur_pre", "child_no", (F.col("parent.tag") == "ol").alias("ordered"), "is_item",
+        F.col("chain.pos").alias("chain"), (F.col("list_depth") - F.col("chain.list_depth")).cast("int").alias("depth"), "at", "end_at", "n_rows", skipped.alias("skipped"), inside.alias("inside"), F.coalesce(nested, F.lit(False)).alias("nested"), "in_main")
+    in_row = F.col("at.n_cells") - F.when(starts(*CELL_TAGS), 1).otherwise(0)
+    cell = F.struct("pos", (F.col("tag") == "td").alias("is_td"), F.col("at.chars").alias("start"), F.col("cell_end.chars").alias("end"))
+    row = F.struct("pos", in_row.alias("start"), F.col("row_end.n_cells").alias("end"))
     rows = html_inline.with_fragments(rows).select(
-        id_col, "pos", "text", "fragment", "opened", "closed", "info",
+        id_col, "pos", "text", "at", F.when(starts(*CELL_TAGS), cell).alias("cell"), F.when(F.col("row_start"), row).alias("row"),
+        F.when(ends("table"), F.col("n_rows")).alias("end_rows"), "piece", "opened", "closed", "dropped", "info",
         (F.col("text").isNotNull() & ~is_blank(F.coalesce("text", F.lit("")))).alias("_full"),
         F.when((F.col("kind") != "close") & ((F.col("kind") != "text") | (F.col("pos") <= 0)), facts).alias("facts"),
         _memberships(whole_page).alias("_blocks"))
@@ -87,16 +95,18 @@ def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_
     block, inline = F.col("m.block"), F.col("m.block").isin("p", "li")
     rows = rows.select(
         id_col, block.alias("block"), F.col("m.key").alias("key"), "pos", "_full",
-        F.when(inline, F.col("fragment")).when(block.isin("og", "tw"), F.col("info")).otherwise(F.col("text")).alias("piece"),
-        F.when(inline, F.col("opened")).alias("opened"), F.when(inline, F.col("closed")).alias("closed"),
+        F.when(~inline, F.when(block.isin("og", "tw"), F.col("info")).otherwise(F.col("text"))).alias("raw"),
+        *[F.when(inline, F.col(c)).alias(c) for c in ("piece", "opened", "closed", "dropped")], "at.n_out",
+        *[F.when(block == "cells", F.col(c)).alias(c) for c in ("cell", "row")], F.when(block == "table", F.col("end_rows")).alias("end_rows"),
         F.when(F.col("pos") == F.col("m.key"), F.col("facts")).alias("facts"))
     leaves = rows.groupBy(id_col, "block", "key").agg(
-        F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY pos)").alias("piece"),
-        F.collect_list("opened").alias("opened"), F.collect_list("closed").alias("closed"),
+        F.expr("listagg(raw, '') WITHIN GROUP (ORDER BY pos)").alias("raw"),
+        *[F.collect_list(c).alias(c) for c in ("piece", "opened", "closed", "dropped")], F.max("n_out").alias("n_out"),
+        F.array_sort(F.collect_list("cell")).alias("cells"), F.array_sort(F.collect_list("row")).alias("rows"), F.max("end_rows").alias("end_rows"),
         F.max("_full").alias("has_text"), F.first("facts", ignorenulls=True).alias("at"))
-    leaves = html_inline.finish_inline(leaves.withColumn("marked", F.coalesce("piece", F.lit(""))))
-    text = F.when(F.col("block").isin("p", "li"), tidy_inline("marked")).otherwise(F.col("marked"))
-    return leaves.select(id_col, "block", "key", text.alias("text"), "has_text", "at")
+    marked = html_inline.plain_marks(html_inline.finish_inline("piece", "opened", "closed", "dropped", "n_out"))
+    text = F.when(F.col("block").isin("p", "li"), tidy_inline(marked)).otherwise(F.coalesce("raw", F.lit("")))
+    return leaves.select(id_col, "block", "key", text.alias("text"), "has_text", "at", "cells", "rows", "end_rows")
 
 
 def code_language(declared: Column, text: Column) -> Column:
@@ -126,51 +136,62 @@ def code_fence(language: Column, text: Column) -> Column:
     return F.concat(F.lit("```"), language, F.lit("\n"), body, F.lit("\n```\n\n"))
 
 
-def _rows_of(leaves: DataFrame, id_col: str) -> DataFrame:
-    """Cells to table rows, and the code element of a preformatted block to that block."""
-    block, in_pre = F.col("block"), F.col("at.cur_pre").isNotNull()
-    unit_block = (F.when(block.isin("cell", "tr"), "row").when((block == "code") & in_pre, "pre").otherwise(block))
-    unit = (F.when(block.isin("cell", "tr"), F.coalesce("at.cur_row", "key"))
-            .when((block == "code") & in_pre, F.col("at.cur_pre")).otherwise(F.col("key")))
-    cell = F.when(block == "cell", clean_text("text"))
-    rows = leaves.withColumns({"unit_block": unit_block, "unit": unit, "cell": cell,
-                               "td": F.when(F.col("at.tag") == "td", cell)})
-    is_code = (block == "code") & (F.col("unit_block") == "pre")
-    return rows.groupBy(id_col, F.col("unit_block").alias("block"), F.col("unit").alias("key")).agg(
-        F.min_by("text", "key").alias("text"),
-        F.max("has_text").alias("has_text"),
-        F.min_by("at", "key").alias("at"),
-        F.min(F.when(is_code, F.struct("key", "text", "at.info"))).alias("code"),
-        F.expr("listagg(cell, ' | ') WITHIN GROUP (ORDER BY key)").alias("cells"),
-        F.expr("listagg(td, ' | ') WITHIN GROUP (ORDER BY key)").alias("tds"),
-        F.count("cell").alias("n_cells"), F.count("td").alias("n_td"))
+def _with_code(leaves: DataFrame, id_col: str) -> DataFrame:
+    """The code element of a preformatted block joins that block, as ``code``."""
+    in_pre = (F.col("block") == "code") & F.col("at.cur_pre").isNotNull()
+    unit = F.when(in_pre, F.struct(F.lit("pre").alias("b"), F.col("at.cur_pre").cast("int").alias("k"))).otherwise(F.struct(F.col("block").alias("b"), F.col("key").alias("k")))
+    code = F.when(in_pre, F.struct("key", "text", "at.info"))
+    whole = F.struct("text", "has_text", "at", "cells", "rows", "end_rows")
+    grouped = leaves.withColumns({"_unit": unit, "_code": code}).groupBy(id_col, F.col("_unit.b").alias("block"), F.col("_unit.k").alias("key")).agg(
+        F.min_by(whole, "key").alias("_w"), F.max("has_text").alias("has_text"), F.min("_code").alias("code"))
+    return grouped.select(id_col, "block", "key", "has_text", "code", *[f"_w.{c}" for c in ("text", "at", "cells", "rows", "end_rows")])
 
 
 def _tables_and_lists(units: DataFrame, id_col: str) -> DataFrame:
-    """Rows to outermost tables and items to outermost lists, then one row per block."""
+    """All cells of an outermost table and all items of an outermost list, then one row per block.
+
+    A cell is a slice of the outermost table's text, a row a slice of its cells, a table one of its rows and a list one of
+    the items, so what is nested counts for every element around it.
+    """
     block = F.col("block")
-    outer = (F.when(block.isin("row", "table"), "table").when(block.isin("li", "list"), "list").otherwise(block))
-    key = (F.when(block.isin("row", "table"), F.col("at.top_table"))
+    outer = F.when(block == "cells", "table").when(block == "li", "list").otherwise(block)
+    key = (F.when(block.isin("cells", "table"), F.col("at.top_table"))
            .when(block.isin("li", "list"), F.col("at.top_list")).otherwise(F.col("key")))
     members = units.withColumns({"outer": outer, "outer_key": key})
+    of_cells, of_owner = block == "cells", block.isin("table", "list")
     grouped = members.groupBy(id_col, F.col("outer").alias("block"), F.col("outer_key").alias("key")).agg(
-        F.array_sort(F.collect_list(F.when(block == "row", F.struct("key", "cells", "tds", "n_cells", "n_td")))).alias("rows"),
         F.array_sort(F.collect_list(F.when(block == "li", F.struct(
-            "key", "text", "has_text", "at.list_depth", "at.li_no", "at.li_ordered", "at.skipped")))).alias("items"),
-        F.collect_list(F.when(block.isin("table", "list"), F.struct("key", "at"))).alias("owners"),
+            "key", "text", "has_text", "at.depth", "at.child_no", "at.ordered", "at.skipped", "at.chain", "at.is_item")))).alias("items"),
+        F.first(F.when(of_cells, F.struct("text", "cells", "rows")), ignorenulls=True).alias("grid"),
+        F.min(F.when(of_owner, F.struct("key", "at.at", "at.n_rows"))).alias("base"),
+        F.collect_list(F.when(of_owner, F.struct("key", "at", "end_rows"))).alias("owners"),
         F.first("text").alias("text"), F.first("has_text").alias("has_text"), F.first("at").alias("at"),
         F.first("code").alias("code"))
-    single = F.array(F.struct("key", "at"))
-    spread = grouped.withColumn("o", F.explode_outer(
-        F.when(block.isin("table", "list"), F.col("owners")).otherwise(single)))
-    spread = spread.where("o IS NOT NULL")
-    first_item = F.aggregate("owners", F.lit(2**31 - 1), lambda acc, o: F.least(acc, o["at"]["n_li"]))
+    grouped = grouped.withColumn("rows", F.when(block == "table", _table_rows()))
+    single = F.array(F.struct("key", "at", F.lit(None).cast("int").alias("end_rows")))
+    spread = grouped.withColumn("o", F.explode_outer(F.when(of_owner, F.col("owners")).otherwise(single))).where("o IS NOT NULL")
+    n_rows, n_items = F.col("o.at.n_rows"), F.col("o.at.at.n_items")
+    many = F.coalesce(F.col("o.end_rows") - n_rows, F.size("rows"))
+    items = F.slice("items", n_items - F.col("base.at.n_items") + 1, F.least(F.col("o.at.end_at.n_items") - n_items, F.size("items")))
     return spread.select(
         id_col, "block", F.col("o.key").alias("key"), F.col("o.at").alias("at"), "text", "has_text", "code",
-        F.filter("rows", lambda r: (r["key"] > F.col("o.key")) & (r["key"] < F.col("o.at.end_pos"))).alias("rows"),
-        F.when(block == "list", F.slice(
-            "items", F.col("o.at.n_li") - first_item + 1,
-            F.least(F.col("o.at.end_li") - F.col("o.at.n_li"), F.size("items")))).alias("items"))
+        F.when(block == "table", F.slice("rows", n_rows - F.col("base.n_rows") + 1, many)).alias("rows"),
+        F.when(block == "list", F.filter(items, lambda i: i["is_item"] & (i["chain"] == F.col("o.at.chain")))).alias("items"))
+
+
+def _table_rows() -> Column:
+    """The rows of ``grid`` with the text of their cells."""
+    chars, before = F.col("base.at.chars"), F.col("base.at.n_cells")
+    cells = F.transform("grid.cells", lambda c: F.struct(
+        c["is_td"].alias("is_td"), clean_text(F.substring(F.col("grid.text"), c["start"] - chars + 1, c["end"] - c["start"])).alias("text")))
+
+    def row(r: Column) -> Column:
+        mine = F.slice(cells, r["start"] - before + 1, F.least(r["end"] - r["start"], F.size("grid.cells")))
+        tds = F.filter(mine, lambda c: c["is_td"])
+        return F.struct(r["pos"].alias("key"), F.array_join(mine["text"], " | ").alias("cells"), F.array_join(tds["text"], " | ").alias("tds"),
+                        F.size(mine).cast("bigint").alias("n_cells"), F.size(tds).cast("bigint").alias("n_td"))
+
+    return F.transform("grid.rows", row)
 
 
 def _table_markdown(rows: Column) -> Column:
@@ -185,8 +206,8 @@ def _table_markdown(rows: Column) -> Column:
 def _list_markdown(items: Column, depth: Column, in_skipped: Column) -> Column:
     """Items as lines. Skipped items are left out of a list that is itself shown."""
     def line(item: Column) -> Column:
-        mark = F.when(item["li_ordered"], F.concat(item["li_no"].cast("string"), F.lit("."))).otherwise("-")
-        return F.concat(F.repeat(F.lit("  "), item["list_depth"].cast("int") - depth.cast("int")), mark, F.lit(" "),
+        mark = F.when(item["ordered"], F.concat(item["child_no"].cast("string"), F.lit("."))).otherwise("-")
+        return F.concat(F.repeat(F.lit("  "), item["depth"] - depth), mark, F.lit(" "),
                         item["text"], F.lit("\n"))
 
     shown = F.filter(items, lambda i: in_skipped | ~i["skipped"])
@@ -202,8 +223,8 @@ def html_blocks(rows: DataFrame, id_col: str = "page_id", keep: tuple[str, ...]
     ``skipped``, ``inside`` (the container), ``nested``, ``in_main`` and ``*keep`` on the
     ``page`` row.
     """
-    rows = with_list_items(rows, id_col)
-    blocks = _tables_and_lists(_rows_of(leaf_blocks(rows, id_col, keep, whole_page), id_col), id_col)
+    rows = with_child_numbers(with_list_items(with_parents(rows, id_col), id_col), id_col)
+    blocks = _tables_and_lists(_with_code(leaf_blocks(rows, id_col, keep, whole_page), id_col), id_col)
     block, text = F.col("block"), clean_text("text")
     source = F.coalesce("code.text", "text")
     language = F.when(block == "pre", F.when(F.col("code").isNotNull(), code_language(F.col("code.info"), F.col("code.text")))
@@ -211,7 +232,7 @@ def html_blocks(rows: DataFrame, id_col: str = "page_id", keep: tuple[str, ...]
     blocks = blocks.select(
         id_col, "block", F.col("key").alias("block_pos"), F.col("at.tag").alias("tag"), F.col("text").alias("raw"),
         F.when(block.isin("h", "code"), text).otherwise(F.col("text")).alias("text"), "has_text",
-        language.alias("language"), source.alias("_source"), "rows", "items", F.col("at.list_depth").alias("list_depth"),
+        language.alias("language"), source.alias("_source"), "rows", "items", F.col("at.depth").alias("depth"),
         F.col("at.skipped").alias("skipped"), F.col("at.inside").alias("inside"), F.col("at.nested").alias("nested"),
         F.col("at.in_main").alias("in_main"), *[F.col(f"at.{c}").alias(c) for c in keep])
     level = F.substring("tag", 2, 1).cast("int")
@@ -221,7 +242,7 @@ def html_blocks(rows: DataFrame, id_col: str = "page_id", keep: tuple[str, ...]
         .when(block == "code", F.concat(F.lit(" `"), F.col("text"), F.lit("` ")))
         .when(block == "pre", code_fence(F.col("language"), F.col("_source")))
         .when(block == "table", _table_markdown(F.col("rows")))
-        .when(block == "list", _list_markdown(F.col("items"), F.col("list_depth"), F.col("skipped")))
+        .when(block == "list", _list_markdown(F.col("items"), F.col("depth"), F.col("skipped")))
     )
     return blocks.withColumn("md", F.coalesce(md, F.lit(""))).drop("_source")
 

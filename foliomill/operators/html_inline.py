@@ -1,7 +1,8 @@
-"""Inline HTML to Markdown fragments.
+"""Inline HTML to Markdown pieces.
 
-Markers are written as noncharacters first, so that a pair with nothing in between can be
-told apart from the same characters in the text; ``finish_inline`` turns them into Markdown.
+A piece is the text or mark of one token behind its position, ten digits wide, so pieces of a block sort by
+themselves and each is unlike any other. Marks are told from text by being pieces of their own: which pairs are left
+open, or have nothing in between, is a question of sets of pieces and of how much output there was before a tag.
 """
 
 from __future__ import annotations
@@ -9,81 +10,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.constants import WS
+from foliomill.functions.constants import INLINE_MARKS, WS
 
-STRONG, EM, DEL, CODE = ("﷐", "﷑"), ("﷒", "﷓"), ("﷔", "﷕"), ("﷖", "﷗")
-LINK, LINK_HREF, LINK_END = "﷘", "﷙", "﷚"
-MARKERS = "".join(STRONG + EM + DEL + CODE) + LINK + LINK_HREF + LINK_END
-PAIRS = {"strong": STRONG, "b": STRONG, "em": EM, "i": EM, "s": DEL, "del": DEL, "code": CODE}
-MARKDOWN = {
-    STRONG[0]: "**", STRONG[1]: "**", EM[0]: "*", EM[1]: "*", DEL[0]: "~~", DEL[1]: "~~", CODE[0]: "`", CODE[1]: "`",
-    LINK: "[", LINK_HREF: "](", LINK_END: ")",
-}
-EMPTY_PAIR = (rf"{STRONG[0]}{STRONG[1]}|{EM[0]}{EM[1]}|{DEL[0]}{DEL[1]}"
-              rf"|{LINK}{LINK_HREF}[^{LINK_END}]*{LINK_END}")
+# Code is trimmed once it is put together: its marks are noncharacters until then, which the text has escaped.
+CODE_BEGIN, CODE_END, ESCAPE = "﷖", "﷗", "﷟"
+ESCAPED = {ESCAPE: ESCAPE + "0", CODE_BEGIN: ESCAPE + "1", CODE_END: ESCAPE + "2"}
+MARKS = INLINE_MARKS | {"code": CODE_END}
+WIDTH = 10
 
 
-def _drop_markers(value: Column) -> Column:
-    return F.translate(value, MARKERS, "")
+def _place(pos: Column) -> Column:
+    return F.lpad(pos.cast("string"), WIDTH, "0")
 
 
-def _closing(tag: Column, href: Column) -> Column:
-    out = F.when(tag == "a", F.concat(F.lit(LINK_HREF), _drop_markers(href), F.lit(LINK_END)))
-    for name, (_, end) in PAIRS.items():
-        out = out.when(tag == name, end)
+def _escape(value: Column) -> Column:
+    out = value
+    for char, text in ESCAPED.items():
+        out = F.replace(out, F.lit(char), F.lit(text))
+    return F.when(value.rlike(f"[{ESCAPE}{CODE_BEGIN}{CODE_END}]"), out).otherwise(value)
+
+
+def _end_mark(tag: Column, href: Column) -> Column:
+    out = F.when((tag == "a") & (F.coalesce(href, F.lit("")) != ""), F.concat(F.lit("]("), _escape(href), F.lit(")")))
+    for name, mark in MARKS.items():
+        out = out.when(tag == name, mark)
     return out
 
 
+def _begin_mark(end: Column) -> Column:
+    """The mark that goes with an end mark."""
+    return F.when(end == CODE_END, CODE_BEGIN).when(end.startswith("]("), "[").otherwise(end)
+
+
 def with_fragments(rows: DataFrame) -> DataFrame:
-    """Add the inline Markdown ``fragment`` of each token, with markers.
+    """Add the inline ``piece`` of each token, without one NULL.
 
-    ``opened`` is STRUCT<pos, ending> on a start tag that needs an end marker and ``closed`` the
-    position of the start tag that an end tag closes. Start tags from before the innermost
-    open paragraph or list item do not count: formatting ends with its block.
+    ``opened`` stands for a start tag that needs an end mark, ``closed`` for the one that an end tag closes, in the same
+    form: position, output before it, end mark. ``dropped`` holds both pieces of a pair without content. Start
+    tags from before the innermost open paragraph or list item do not count: formatting ends with its block.
     """
     block = F.coalesce(F.greatest("cur_p", "cur_li"), F.lit(-1))
     tag, opening, closing = F.col("tag"), F.col("kind") == "open", F.col("kind") == "close"
-    rows = rows.withColumn("_code", F.coalesce((F.col("cur_code") >= block) & (tag != "code"),
-                                               F.col("cur_code") >= block, F.lit(False)))
-    linked = (tag != "a") | (F.coalesce("info", F.lit("")) != "")
-    markable = tag.isin(*PAIRS, "a") & ~F.col("_code")
-    rows = rows.withColumns({
-        "opened": F.when(opening & markable & linked, F.struct("pos", _closing(tag, F.col("info")).alias("ending"))),
-        "closed": F.when(closing & markable & (F.col("opener.pos") >= block), F.col("opener.pos")),
-    })
-    begin = F.when(tag == "a", LINK)
-    for name, (mark, _) in PAIRS.items():
-        begin = begin.when(tag == name, mark)
-    text = F.when(F.col("text").rlike(f"[`{MARKERS}]"), F.when(F.col("_code"), _drop_markers(F.col("text"))).otherwise(
-        F.replace(_drop_markers(F.col("text")), F.lit("`"), F.lit("\\`")))).otherwise(F.col("text"))
-    href = F.col("opener.info")
-    fragment = (
-        F.when(F.col("text").isNotNull(), text)
-        .when(opening & (tag == "br") & ~F.col("_code"), "  \n")
-        .when(F.col("opened").isNotNull(), begin)
-        .when(F.col("closed").isNotNull() & ((tag != "a") | (F.coalesce(href, F.lit("")) != "")), _closing(tag, href))
-    )
-    return rows.withColumn("fragment", fragment).drop("_code")
-
-
-def finish_inline(blocks: DataFrame, marked: str = "marked", opened_col: str = "opened", closed_col: str = "closed") -> DataFrame:
-    """Turn the ordered fragments of a block in ``marked`` into Markdown.
-
-    Formatting still open at the end of the block is closed there, the innermost first.
-    Pairs without content vanish, also when they were nested in one another.
+    in_code = F.col("cur_code") >= block
+    rows = rows.withColumn("_code", F.coalesce(in_code & (tag != "code"), in_code, F.lit(False)))
+    markable = tag.isin(*MARKS, "a") & ~F.col("_code")
+    begun = F.when(opening & markable, _end_mark(tag, F.col("info")))
+    ended = F.when(closing & markable & (F.col("opener.pos") >= block), _end_mark(tag, F.col("opener.info")))
+    before = F.col("opener.at.n_out")
+    text = F.when(F.col("_code"), F.col("text")).otherwise(F.replace(F.col("text"), F.lit("`"), F.lit("\\`")))
+    rows = rows.withColumns({"_begun": begun, "_ended": ended})
+    rows = rows.withColumn("_mark", F.when(F.col("_begun").isNotNull(), _begin_mark(F.col("_begun"))).otherwise(F.col("_ended")))
+    fragment = (F.when(F.col("text") != "", _escape(text)).when(opening & (tag == "br") & ~F.col("_code"), "  \n").otherwise(F.col("_mark")))
+    empty = F.col("_ended").isNotNull() & (tag != "code") & (before == F.col("at.n_out"))
+    return rows.withColumns({
+        "piece": F.concat(_place(F.col("pos")), fragment),
+        "opened": F.concat(_place(F.col("pos")), _place(F.col("at.n_out")), "_begun"),
+        "closed": F.concat(_place(F.col("opener.pos")), _place(before), "_ended"),
+        "dropped": F.when(empty, F.array(F.concat(_place(F.col("opener.pos")), _begin_mark(F.col("_ended"))), F.concat(_place(F.col("pos")), "_ended"))),
+    }).drop("_code", "_begun", "_ended", "_mark")
+
+
+def finish_inline(pieces: str, opened: str, closed: str, dropped: str, n_out: str) -> Column:
+    """The Markdown of a block from what its tokens gave, ``n_out`` being the output up to its end.
+
+    Formatting still open at the end of the block is closed there, the innermost first; pairs without
+    content vanish. Each mark is looked up in a set, so the work grows with the marks, not their square.
     """
-    left = F.filter(opened_col, lambda o: ~F.array_contains(F.col(closed_col), o["pos"]))
-    tail = F.array_join(F.transform(F.reverse(F.array_sort(left)), lambda o: o["ending"]), "")
-    out = F.col(marked)
-    blocks = blocks.withColumn(marked, F.when(F.size(opened_col) > F.size(closed_col), F.concat(out, tail)).otherwise(out))
-    code = F.regexp_replace(F.regexp_replace(out, F.lit(rf"{CODE[0]}[{WS}]+"), F.lit(CODE[0])),
-                            F.lit(rf"[{WS}]+{CODE[1]}"), F.lit(CODE[1]))
-    blocks = blocks.withColumn(marked, F.when(F.contains(out, F.lit(CODE[0])), code).otherwise(out))
-    passes = F.length(F.regexp_replace(out, F.lit(f"[^{STRONG[0]}{EM[0]}{DEL[0]}{LINK}]"), F.lit("")))
-    emptied = F.aggregate(F.sequence(F.lit(1), F.greatest(passes, F.lit(1))), out,
-                          lambda acc, _: F.regexp_replace(acc, F.lit(EMPTY_PAIR), F.lit("")))
-    blocks = blocks.withColumn(marked, F.when(out.rlike(EMPTY_PAIR), emptied).otherwise(out))
-    plain = out
-    for marker, text in MARKDOWN.items():
-        plain = F.replace(plain, F.lit(marker), F.lit(text))
-    return blocks.withColumn(marked, F.when(out.rlike(f"[{MARKERS}]"), plain).otherwise(out))
+    left = F.array_except(opened, closed)
+
+    def end_of(o: Column) -> Column:
+        return F.substring(o, 2 * WIDTH + 1, F.length(o))
+
+    def is_empty(o: Column) -> Column:
+        return (F.substring(o, WIDTH + 1, WIDTH).cast("int") == F.col(n_out)) & (end_of(o) != CODE_END)
+
+    unused = F.transform(F.filter(left, is_empty), lambda o: F.concat(F.substring(o, 1, WIDTH), _begin_mark(end_of(o))))
+    some = F.size(opened) > 0
+    kept = F.when(some, F.array_except(F.array_sort(pieces), F.concat(F.flatten(dropped), unused))).otherwise(F.array_sort(pieces))
+    tail = F.transform(F.filter(F.reverse(F.array_sort(left)), lambda o: ~is_empty(o)), end_of)
+    body = F.array_join(F.transform(kept, lambda p: F.substring(p, WIDTH + 1, F.length(p))), "")
+    return F.when(some, F.concat(body, F.array_join(tail, ""))).otherwise(body)
+
+
+def plain_marks(value: Column) -> Column:
+    """Trim code, write its marks as backticks and undo the escapes."""
+    out = F.regexp_replace(F.regexp_replace(value, F.lit(rf"{CODE_BEGIN}[{WS}]+"), F.lit(CODE_BEGIN)), F.lit(rf"[{WS}]+{CODE_END}"), F.lit(CODE_END))
+    for mark in (CODE_BEGIN, CODE_END):
+        out = F.replace(out, F.lit(mark), F.lit("`"))
+    for char, text in reversed(ESCAPED.items()):
+        out = F.replace(out, F.lit(text), F.lit(char))
+    return F.when(value.rlike(f"[{ESCAPE}{CODE_BEGIN}{CODE_END}]"), out).otherwise(value)

@@ -34,6 +34,9 @@ PARAGRAPH_BREAKERS = [
 OPTIONAL_END_TAGS = ["p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "colgroup"]
 CELL_TAGS = ["td", "th"]
 LIST_TAGS = ["ul", "ol"]
+# They nest in this order; a start tag ends what is open from its own place on. A paragraph comes last.
+IMPLIED_ENDS = [["thead", "tbody", "tfoot", "colgroup"], ["tr"], CELL_TAGS, ["li", "dt", "dd", "option"], ["p"]]
+SECTION, ROW, CELL, ITEM, PARAGRAPH = range(1, 6)
 
 # Flags of a start tag. The low bits of ``flags`` are the content selectors that it matches.
 N_SELECTORS = len(CONTENT_SELECTORS)
@@ -158,15 +161,18 @@ SIZES = ["text_end", "n_elements", "n_blocks", "n_p", "p_chars"]
 def with_totals(tokens: DataFrame, id_col: str, measure_text: bool = True) -> DataFrame:
     """Running totals over each page.
 
-    ``cur_p`` is the open paragraph, ``n_li`` counts list items, ``max_pos`` is the last
-    token. With ``measure_text``, ``sizes`` holds the totals that content selection compares,
+    ``cur_p`` is the open paragraph, ``at`` holds how many characters, cells, list items and tokens
+    with output there have been, ``max_pos`` is the last token. With ``measure_text``, ``sizes`` holds the totals that content selection compares,
     and ``whole`` their values at the end of the page.
     """
     run, page = _running(id_col), _page(id_col)
     is_break = F.col("kind").isin("open", "close") & F.col("tag").isin(PARAGRAPH_BREAKERS)
     first = {
         "_break": F.last(F.when(is_break, F.struct("pos", starts("p").alias("is_p"))), ignorenulls=True).over(run),
-        "n_li": F.count_if(starts("li")).over(run).cast("int"),
+        "_points": F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(run).cast("int"),
+        "_cells": F.count_if(starts(*CELL_TAGS)).over(run).cast("int"),
+        "_items": F.count_if(starts("li")).over(run).cast("int"),
+        "_out": F.count_if((F.coalesce("text", F.lit("")) != "") | starts("br", "code")).over(run).cast("int"),
         "max_pos": F.max("pos").over(page),
     }
     if measure_text:
@@ -178,7 +184,8 @@ def with_totals(tokens: DataFrame, id_col: str, measure_text: bool = True) -> Da
         }
         tokens = tokens.withColumn("_len", F.when(F.col("text").isNull(), 0).otherwise(utf16_length("text")))
     rows = tokens.withColumns(first)
-    rows = rows.withColumn("cur_p", F.when(F.col("_break.is_p"), F.col("_break.pos")))
+    at = F.struct(F.col("_points").alias("chars"), F.col("_cells").alias("n_cells"), F.col("_items").alias("n_items"), F.col("_out").alias("n_out"))
+    rows = rows.withColumns({"cur_p": F.when(F.col("_break.is_p"), F.col("_break.pos")), "at": at}).drop("_points", "_cells", "_items", "_out")
     if not measure_text:
         return rows.drop("_break")
 
@@ -216,10 +223,15 @@ def element_sizes(at_end: Column) -> dict[str, Column]:
     }
 
 
+def end_of_page() -> Column:
+    """More than any page has, in the form of ``at``."""
+    return F.struct(*[F.lit(2**31 - 1).alias(c) for c in ("chars", "n_cells", "n_items", "n_out")])
+
+
 def with_extents(tokens: DataFrame, id_col: str, measure_text: bool = True) -> DataFrame:
     """Match start and end tags by name and level.
 
-    Start tags get ``end_pos``, ``is_closed`` and ``end_li``; one without an end tag reaches to
+    Start tags get ``end_pos``, ``is_closed`` and ``end_at``; one without an end tag reaches to
     the end of the page. End tags get ``opener``, the facts of their start tag. With
     ``measure_text`` start tags also get ``measure``: the sizes of their content.
     """
@@ -229,15 +241,15 @@ def with_extents(tokens: DataFrame, id_col: str, measure_text: bool = True) -> D
     level = F.when(paired, F.sum(delta).over(by_tag) + F.when(F.col("kind") == "close", 1).otherwise(0))
     by_level = Window.partitionBy(id_col, "tag", "_level").orderBy("pos")
     rows = tokens.withColumn("_level", level).withColumns({
-        "_next": F.lead(F.struct("kind", "pos", "n_li", *(["sizes"] if measure_text else []))).over(by_level),
-        "_prev": F.lag(F.struct("kind", "pos", "info", "flags")).over(by_level),
+        "_next": F.lead(F.struct("kind", "pos", "at", *(["sizes"] if measure_text else []))).over(by_level),
+        "_prev": F.lag(F.struct("kind", "pos", "info", "flags", "at")).over(by_level),
     })
     starting = paired & (F.col("kind") == "open")
     closed = starting & F.coalesce(F.col("_next.kind") == "close", F.lit(False))
     known = {
         "is_closed": closed,
         "end_pos": F.when(closed, F.col("_next.pos")).when(starting, F.col("max_pos") + 1),
-        "end_li": F.when(closed, F.col("_next.n_li")).when(starting, F.lit(2**31 - 1)),
+        "end_at": F.when(closed, F.col("_next.at")).when(starting, end_of_page()),
         "opener": F.when(paired & (F.col("kind") == "close") & (F.col("_prev.kind") == "open"), F.col("_prev")),
     }
     if measure_text:
@@ -262,16 +274,12 @@ def with_nesting(tokens: DataFrame, id_col: str) -> DataFrame:
     def nesting(*tags: str) -> Column:
         return F.sum(F.when(starts(*tags), 1).when(ends(*tags) & F.col("opener").isNotNull(), -1).otherwise(0)).over(run).cast("int")
 
-    cell_mark = F.col("kind").isin("open", "close") & F.col("tag").isin(
-        "td", "th", "tr", "table", "tbody", "thead", "tfoot")
     level = F.sum(F.when(F.col("is_closed"), 1).when(F.col("opener").isNotNull(), -1).otherwise(0)).over(run)
     rows = tokens.withColumns({
         "_chrome": _depth(CHROME, run), "_main": _depth(MAIN, run), "_readme": _depth(README, run),
         "list_depth": nesting(*LIST_TAGS), "table_depth": nesting("table"),
-        "_level": (level + F.when(F.col("opener").isNotNull(), 1).otherwise(0)).cast("int"),
+        "open_after": level.cast("int"),
         "_h": latest(*HEADING_TAGS), "_pre": latest("pre"), "_code": latest("code"),
-        "_cell": F.last(F.when(cell_mark, F.struct("pos", starts(*CELL_TAGS).alias("is_cell"))), ignorenulls=True).over(run),
-        "_row": F.last(F.when(starts("tr"), F.col("pos")), ignorenulls=True).over(run),
     })
 
     def inside(name: str) -> Column:
@@ -286,9 +294,95 @@ def with_nesting(tokens: DataFrame, id_col: str) -> DataFrame:
         "in_main": F.col("_main") > 0, "in_readme": F.col("_readme") - own_readme > 0,
         "cur_h": inside("_h"), "cur_pre": inside("_pre"), "cur_code": inside("_code"),
         "top_list": outermost("list_depth", *LIST_TAGS), "top_table": outermost("table_depth", "table"),
-        "cur_cell": F.when((F.col("table_depth") > 0) & F.col("_cell.is_cell"), F.col("_cell.pos")),
-        "cur_row": F.when(F.col("table_depth") > 0, F.col("_row")),
-    }).withColumnRenamed("_level", "level").drop("_h", "_pre", "_code", "_cell", "_row", "_chrome", "_main", "_readme")
+    }).drop("_h", "_pre", "_code", "_chrome", "_main", "_readme")
+
+
+def with_scopes(tokens: DataFrame, id_col: str) -> DataFrame:
+    """Add ``scope``: STRUCT<pos, tag, box, end_at> of the closed element that holds a token, NULL at the top of the page.
+
+    After a token as many elements are open as ``open_after`` says, and the innermost of them is the last one whose start
+    tag left that many open. A start tag stands where the token before it left off.
+    """
+    opened = F.when(F.col("is_closed"), F.struct("pos", "tag", has_flag(BOX).alias("box"), "end_at"))
+    same = Window.partitionBy(id_col, "open_after").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = tokens.withColumn("_left", F.when(F.col("open_after") > 0, F.last(opened, ignorenulls=True).over(same)))
+    before = F.lag("_left").over(_order(id_col))
+    return rows.withColumn("scope", F.when(F.col("is_closed"), before).otherwise(F.col("_left"))).drop("_left")
+
+
+def with_parents(tokens: DataFrame, id_col: str) -> DataFrame:
+    """Add ``parent``: STRUCT<pos, tag> of the element that a token stands in (position -1 at the top of the page).
+
+    End tags that are left out count: within a scope the elements of ``IMPLIED_ENDS`` nest in that order, and a
+    start or end tag ends what is open from its place on. A page body, list or table that is never closed holds the rest
+    of its scope; any other element without an end tag holds nothing. ``n_open`` counts the elements between scope and token.
+
+    ``is_item`` marks tags of items that stand directly in a list, ``in_item`` tags of lists that stand directly in such an
+    item. ``row_start`` marks the first token of a table row, which is a cell where the row's tag is left out;
+    ``cell_end`` and ``row_end`` hold ``at`` where the cell or row that starts here ends.
+    """
+    rank = F.lit(None).cast("int")
+    for k, tags in enumerate(IMPLIED_ENDS, 1):
+        rank = F.when(F.col("tag").isin(tags), k).otherwise(rank)
+    begins = F.col("kind") == "open"
+    never_closed = begins & F.col("tag").isin("html", "body", *LIST_TAGS, "table", "dl", "select") & ~F.col("is_closed")
+    rows = tokens.withColumns({
+        "_rank": F.when(F.col("kind").isin("open", "close"), rank), "_holds": never_closed,
+        "_breaks": begins & F.col("tag").isin(PARAGRAPH_BREAKERS), "_in": F.coalesce("scope.pos", F.lit(-1))})
+    order = Window.partitionBy(id_col, "_in").orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def ends_from(k: int) -> Column:
+        return F.coalesce(F.col("_rank") <= k, F.lit(False)) | F.col("_holds")
+
+    def latest(k: int, opened: Column, closed: Column, more: Column = F.lit(False)) -> Column:
+        return F.last(F.when(begins & (F.col("_rank") == k), opened).when(ends_from(k) | more, closed), ignorenulls=True).over(before)
+
+    def next_at(k: int) -> Column:
+        following = F.expr(f"lead(_stop{k}, 1) IGNORE NULLS OVER (PARTITION BY `{id_col}`, _in ORDER BY pos)")
+        return F.coalesce(following, F.col("scope.end_at"), end_of_page())
+
+    here, none = F.struct("pos", "tag"), F.struct(F.lit(-1).alias("pos"), F.lit("").alias("tag"))
+    edge = F.when(ends_from(ROW), "row").when(begins & (F.col("_rank") == CELL), "cell")
+    rows = rows.withColumns({f"_stop{k}": F.when(ends_from(k), F.col("at")) for k in (ROW, CELL)}).withColumns({
+        "_o0": F.last(F.when(F.col("_holds"), here), ignorenulls=True).over(before), "_n0": F.count_if("_holds").over(before),
+        **{f"_o{k}": latest(k, here, none) for k in (SECTION, ROW, CELL)},
+        "_edge": F.last(edge, ignorenulls=True).over(before), "_row_end": next_at(ROW), "_cell_end": next_at(CELL)})
+    holder = F.greatest(F.when(F.col("scope").isNotNull(), F.struct("scope.pos", "scope.tag")).otherwise(none), F.col("_o0"))
+    around = F.greatest(holder, *[F.col(f"_o{k}") for k in (SECTION, ROW, CELL)])
+    rows = rows.withColumn("_list", (F.col("tag") == "li") & around["tag"].isin(LIST_TAGS))
+    rows = rows.withColumns({
+        "_o4": latest(ITEM, F.struct("pos", "tag", F.col("_list").alias("in_list")), F.struct(none["pos"], none["tag"], F.lit(False).alias("in_list"))),
+        "_o5": latest(PARAGRAPH, here, none, F.col("_breaks"))})
+    limit = F.when(begins & F.col("_rank").isNotNull(), F.col("_rank")).when(F.col("_breaks"), PARAGRAPH).otherwise(PARAGRAPH + 1)
+    inner = {SECTION: "_o1", ROW: "_o2", CELL: "_o3", ITEM: F.struct("_o4.pos", "_o4.tag"), PARAGRAPH: "_o5"}
+    counted = [F.when((limit > k) & (F.col(f"_o{k}.pos") >= 0), 1).otherwise(0) for k in inner]
+    parent = F.greatest(holder, *[F.when(limit > k, F.col(c) if isinstance(c, str) else c) for k, c in inner.items()])
+    no_row = F.coalesce(F.col("_o2.pos"), F.lit(-1)) < 0
+    rows = rows.withColumns({
+        "parent": parent, "n_open": sum(counted, F.col("_n0")).cast("int"),
+        "row_start": starts("tr") | (starts(*CELL_TAGS) & no_row & ~F.col("_edge").eqNullSafe("cell")),
+        "row_end": F.col("_row_end"), "cell_end": F.col("_cell_end")})
+    in_listed = F.coalesce(F.col("_o4.in_list"), F.lit(False))
+    known = {"is_item": F.when(begins, F.col("_list")).otherwise(ends("li") & in_listed),
+             "in_item": F.col("tag").isin(LIST_TAGS) & in_listed & (F.col("parent.pos") == F.col("_o4.pos"))}
+    return rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in known.items()}).drop(
+        "_rank", "_holds", "_breaks", "_in", "_n0", "_edge", "_row_end", "_cell_end", "_list", *[f"_o{k}" for k in range(6)], *[f"_stop{k}" for k in (ROW, CELL)])
+
+
+def with_child_numbers(tokens: DataFrame, id_col: str) -> DataFrame:
+    """Add ``child_no``: the place of an element among the elements of its parent, from 1."""
+    same = Window.partitionBy(id_col, "parent.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_element = F.col("kind").isin("open", "raw") & F.col("tag").isNotNull()
+    return tokens.withColumn("child_no", F.count_if(is_element).over(same).cast("int"))
+
+
+def with_levels(tokens: DataFrame, id_col: str) -> DataFrame:
+    """Add ``level``: how many elements a token stands in."""
+    holds = F.col("n_open") + 1
+    change = F.when(F.col("is_closed"), holds).when(F.col("opener").isNotNull(), -holds).otherwise(0)
+    inside = F.sum(change).over(_running(id_col)) - F.when(F.col("is_closed"), holds).otherwise(0)
+    return tokens.withColumn("level", (inside + F.col("n_open")).cast("int"))
 
 
 def with_candidates(tokens: DataFrame, id_col: str) -> DataFrame:
@@ -298,21 +392,11 @@ def with_candidates(tokens: DataFrame, id_col: str) -> DataFrame:
     for the first valid section, the densest element and the body.
     """
     readme, boxed = CONTENT_SELECTORS.index("#readme article"), CONTENT_SELECTORS.index(".container > section")
-    # The parent of a start tag is the last element that was opened one level above it. Levels L - 1 and L
-    # share floor(level / 2) or floor((level + 1) / 2), so one of two windows holds them both.
-    box = F.coalesce(has_flag(BOX), F.lit(False))
-    odd = F.col("level") % 2 != 0
-
-    def last_opened(shift: int, parents: Column) -> Column:
-        pair = Window.partitionBy(id_col, F.floor((F.col("level") + shift) / 2)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        return F.last(F.when(F.col("is_closed") & parents, box), ignorenulls=True).over(pair)
-
-    rows = tokens.withColumns({"_even": last_opened(0, ~odd), "_odd": last_opened(1, odd)})
-    in_box = F.coalesce(F.when(odd, F.col("_even")).otherwise(F.col("_odd")), F.lit(False))
+    in_box = F.coalesce(F.col("scope.box"), F.lit(False))
     off = F.when(F.col("in_readme"), 0).otherwise(1 << readme) + F.when(in_box, 0).otherwise(1 << boxed)
     bits = F.col("flags").bitwiseAND(F.lit(SELECTOR_MASK)).bitwiseAND(F.bitwise_not(off.cast("bigint")))
     before = _order(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_bits", F.when(F.col("end_pos").isNotNull(), bits).otherwise(0))
+    rows = tokens.withColumn("_bits", F.when(F.col("end_pos").isNotNull(), bits).otherwise(0))
     rows = rows.withColumn("_seen", F.coalesce(F.bit_or("_bits").over(before), F.lit(0)))
     fresh = F.col("_bits").bitwiseAND(F.bitwise_not(F.col("_seen")))
     valid = F.coalesce((F.col("measure.n_chars") > CONTENT_MIN_CHARS) & (F.col("measure.n_blocks") > 0), F.lit(False))
@@ -325,7 +409,7 @@ def with_candidates(tokens: DataFrame, id_col: str) -> DataFrame:
         .when(dense, N_SELECTORS + 1)
         .when(starts("body"), N_SELECTORS + 2)
     ).cast("int")
-    return rows.withColumns({"is_valid": valid, "density": density, "rank": rank}).drop("_seen", "_even", "_odd", "_bits")
+    return rows.withColumns({"is_valid": valid, "density": density, "rank": rank}).drop("_seen", "_bits")
 
 
 def with_container(tokens: DataFrame, id_col: str) -> DataFrame:

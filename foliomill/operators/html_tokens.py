@@ -79,12 +79,9 @@ def raw_inner(tok: Column) -> Column:
 def with_text(tokens: DataFrame) -> DataFrame:
     """Add ``text``: character data of text and raw tokens with references decoded, else NULL."""
     inner = raw_inner(F.col("tok"))
-    return tokens.withColumn(
-        "text",
-        F.when(F.col("kind") == "text", decode_entities("tok"))
-        .when(F.col("tag").isin("script", "style") & (F.col("kind") == "raw"), inner)
-        .when(F.col("kind") == "raw", decode_entities(inner)),
-    )
+    is_raw = F.col("kind") == "raw"
+    coded = F.when(F.col("kind") == "text", F.col("tok")).when(is_raw & ~F.col("tag").isin("script", "style"), inner)
+    return tokens.withColumn("text", F.when(is_raw & F.col("tag").isin("script", "style"), inner).otherwise(decode_entities(coded)))
 
 
 def with_attributes(tokens: DataFrame) -> DataFrame:
@@ -101,7 +98,7 @@ def with_attributes(tokens: DataFrame) -> DataFrame:
         quoted = value.rlike(r"""(?s)^".*"\z|^'.*'\z""")
         bare = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
         return F.struct(F.lower(F.regexp_extract(item, r"^[^\s=]+", 0)).alias("name"),
-                        decode_entities(bare).alias("value"))
+                        decode_entities(bare, in_attribute=True).alias("value"))
 
     has_any = (F.col("kind") == "open") & F.col("tok").rlike(r"^<[^\s>]+[\s/]+[^\s/>]")
     return tokens.withColumn("attrs", F.when(has_any, F.transform(found, pair)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.constants import TREE_CAP, TREE_TYPES
 from foliomill.functions.text import sanitize_title
-from foliomill.operators.naming import first_in_group
+from foliomill.operators.naming import first_in_group, first_rows
 from foliomill.session import checkpoint_folder
 
 NODE_COLUMNS = ["root_id", "id", "title", "parent_id", "type", "status", "ord", "depth", "ord_path", "id_path", "title_path"]
@@ -23,8 +23,8 @@ def discover_tree(nodes: DataFrame, roots: DataFrame, max_depth: int | None = No
     One join per level against the nodes; a parent with very many children is left to adaptive
     execution, which splits it. Each level is checkpointed to the shared folder, so lineage
     stays short and a lost executor costs one level. With ``cap`` a root stops as soon as it has more nodes than that: the surplus is
-    cut per root by a top-k window, which Spark applies before the shuffle as well, and one
-    node past the cap is kept so that truncation can be told.
+    cut per root, partition by partition first (``first_rows``), and one node past the cap is kept so that
+    truncation can be told.
     """
     checkpoint_folder(nodes.sparkSession)
     children = nodes.where(F.col("type").isin(TREE_TYPES) & F.col("parent_id").isNotNull()).select(
@@ -48,8 +48,7 @@ def discover_tree(nodes: DataFrame, roots: DataFrame, max_depth: int | None = No
             for earlier in levels[1:]:
                 so_far = so_far.unionByName(earlier)
             used = so_far.groupBy("root_id").agg(F.count("*").alias("_used"))
-            order = Window.partitionBy("root_id").orderBy("ord_path")
-            found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap + 1)
+            found = first_rows(found, ["root_id"], "ord_path", cap + 1)
             found = found.join(used, "root_id").where(F.col("_n") + F.col("_used") <= cap + 1).drop("_n", "_used")
         level = found.checkpoint()
         if level.isEmpty():

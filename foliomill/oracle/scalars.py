@@ -54,4 +54,8 @@ SCALARS = {
         FROM (SELECT page_id, slug, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS ordinal
               FROM (SELECT page_id, {slug('url')} AS slug FROM pages))""",
 }
+_ENDINGS = "['.md', '.MD', '.markdown', '.mdown', '.mkd', '.html'][doc_id % 6 + 1]"
+SCALARS["md_files_written"] = f"""
+    SELECT (doc_id % 10) || '/' || doc_id || {_ENDINGS} AS target, cast(strlen(coalesce(text, '')) AS bigint) AS n_bytes, sha256(coalesce(text, '')) AS sha256,
+           doc_id % 6 <> 5 AS is_markdown, CASE WHEN doc_id % 6 <> 5 THEN coalesce(text, '') END AS text FROM documents"""
 SCALARS["stream_filenames"] = SCALARS["filename_dedupe"]

@@ -38,23 +38,27 @@ _ENTRY = fill("# {title}\n\n# {a} {b}\n\n" + _ARTICLE + "{t}\n\n")
 def _export(first: str, source: str, roots: str = "id = '0'") -> str:
     return f"""WITH RECURSIVE {WORDS}, {_tree(roots)}{first},
 good AS (SELECT * FROM {source} WHERE {_READ}){_NAMED.format(source='good')}
-SELECT path, CASE WHEN p.type = 'folder' THEN '# ' || title || chr(10) || chr(10) || '_(Confluence folder — no page body)_' || chr(10)
+SELECT path, 0 AS part, CASE WHEN p.type = 'folder' THEN '# ' || title || chr(10) || chr(10) || '_(Confluence folder — no page body)_' || chr(10)
                   ELSE {_ENTRY} END AS content, CASE WHEN p.type = 'folder' THEN 'folder' ELSE 'page' END AS kind
 FROM placed p JOIN words w ON w.i = p.id
 UNION ALL
-SELECT '_skipped.txt', 'Pages skipped during export (permission denied, not found, or fetch failed):' || chr(10) || chr(10)
+SELECT '_skipped.txt', 0, 'Pages skipped during export (permission denied, not found, or fetch failed):' || chr(10) || chr(10)
        || string_agg('- ' || title || ': ' || {_ERROR} || chr(10), '' ORDER BY depth, ord_path), 'report'
 FROM {source} WHERE NOT {_READ} HAVING count(*) > 0"""
 
+# Why a broken response is rejected, by the remainder of its number.
+_REASON = "CASE k WHEN 4 THEN 'malformed JSON' WHEN 6 THEN 'empty response' WHEN 8 THEN 'no results in response' END"
+
 
 TREE = {
-    "tree_children_ingest": f"""WITH {_NODES}
-        SELECT parent_id, CASE WHEN (ord - 1) % 5 >= 2 THEN cast(((ord - 1) % 5) // 2 AS varchar) END AS cursor,
-               cast(((ord - 1) % 5) % 2 AS int) AS child_no, id, title, type FROM nodes WHERE parent_id IS NOT NULL""",
-    "tree_body_ingest": f"""WITH {WORDS}
-        SELECT doc_id, i AS id, CASE WHEN doc_id % 7 = 0 THEN 'Untitled' ELSE lang || ' page ' || i END AS title,
-               CASE WHEN doc_id % 5 = 1 THEN '' ELSE '<p>' || t || '</p>' END AS html_body,
-               CASE WHEN doc_id > 0 THEN cast((doc_id - 1) // 5 AS varchar) END AS parent_id FROM words""",
+    "tree_children_ingest": f"""WITH {_NODES},
+        r AS (SELECT *, cast(parent_id AS bigint) % 9 AS k, CASE WHEN (ord - 1) % 5 >= 2 THEN cast(((ord - 1) % 5) // 2 AS varchar) END AS cursor FROM nodes WHERE parent_id IS NOT NULL)
+        SELECT parent_id, cursor, cast(((ord - 1) % 5) % 2 AS int) AS child_no, id, title, type, cast(NULL AS varchar) AS error FROM r WHERE k NOT IN (4, 6, 8)
+        UNION ALL SELECT DISTINCT parent_id, cursor, cast(NULL AS int), NULL, NULL, NULL, {_REASON} FROM r WHERE k IN (4, 6, 8)""",
+    "tree_body_ingest": f"""WITH {WORDS}, r AS (SELECT *, doc_id % 9 AS k, doc_id % 9 NOT IN (4, 6, 8) AS good FROM words)
+        SELECT doc_id, CASE WHEN good THEN i END AS id, CASE WHEN good THEN CASE WHEN doc_id % 7 = 0 THEN 'Untitled' ELSE lang || ' page ' || i END END AS title,
+               CASE WHEN good THEN CASE WHEN doc_id % 5 = 1 THEN '' ELSE '<p>' || t || '</p>' END END AS html_body,
+               CASE WHEN good AND doc_id > 0 THEN cast((doc_id - 1) // 5 AS varchar) END AS parent_id, {_REASON.replace('results', 'id')} AS error FROM r""",
     "tree_paginate": f"""WITH {_NODES}
         SELECT parent_id, cast((ord - 1) % 5 + 1 AS int) AS child_ord, id, type FROM nodes WHERE parent_id IS NOT NULL""",
     "tree_discover": _with(" SELECT id, title, parent_id, type, depth, array_to_string(ord_path, '/') AS ord_path FROM tree"),

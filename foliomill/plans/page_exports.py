@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.constants import MODEL_LIMITS, SESSION_DATE_FORMAT, SESSION_HEADING
 from foliomill.functions.text import mode_extension, render_output, slugify_url
-from foliomill.operators.naming import dedupe_names, number_within
+from foliomill.operators.naming import PART_BYTES, dedupe_names, totals_within, with_parts
+from foliomill.session import checkpoint_folder
 
 
 def named_outputs(pages: DataFrame, converted: DataFrame, mode: str, timestamp: str, id_col: str = "page_id") -> DataFrame:
@@ -22,21 +23,23 @@ def named_outputs(pages: DataFrame, converted: DataFrame, mode: str, timestamp:
     return contents.join(names, id_col).select(id_col, "filename", "content")
 
 
-def merge_sessions(pages: DataFrame, converted: DataFrame, group: Column, day: Column, id_col: str = "page_id", pages_per_part: int = 1000) -> DataFrame:
+def merge_sessions(pages: DataFrame, converted: DataFrame, group: Column, day: Column, id_col: str = "page_id", part_bytes: int = PART_BYTES) -> DataFrame:
     """The pages of each group as one session document, in order, always as Markdown.
 
-    ``group`` is an expression over ``pages``. A group may hold any number of pages, so the document comes as ordered parts of at most
-    ``pages_per_part`` pages. Its text is the parts one after the other.
+    ``group`` is an expression over ``pages``. A group may hold any number of pages of any size, so the document comes as
+    ordered parts: one begins with the first page at or past each multiple of ``part_bytes``. Its text is the parts one after the
+    other. The sections are written once; their sizes alone are sorted.
     """
-    numbered = number_within(pages.select(id_col, group.alias("session")), ["session"], id_col)
-    numbered = numbered.join(converted.select(id_col, "title", "url", "markdown"), id_col)
+    checkpoint_folder(pages.sparkSession)
     section = F.concat(F.lit("## ["), F.coalesce("title", F.lit("")), F.lit("]("), "url", F.lit(")\n\n"), "markdown", F.lit("\n\n---\n\n"))
-    rows = numbered.select("session", "ordinal", F.floor((F.col("ordinal") - 1) / pages_per_part).cast("int").alias("part"), section.alias("section"))
+    sections = pages.select(id_col, group.alias("session")).join(converted.select(id_col, section.alias("section")), id_col).checkpoint()
+    sized = sections.select(id_col, "session", F.octet_length("section").alias("size"))
+    placed = with_parts(totals_within(sized, ["session"], id_col, {"_before": "size", "_nth": None}), part_bytes)
+    rows = placed.select(id_col, "session", "part", "_nth").join(sections.select(id_col, "section"), id_col)
     parts = rows.groupBy("session", "part").agg(
-        F.count("*").alias("n_pages"), F.expr("listagg(section, '') WITHIN GROUP (ORDER BY ordinal)").alias("body"))
+        F.count("*").alias("n_pages"), F.min("_nth").alias("_nth"), F.expr("listagg(section, '') WITHIN GROUP (ORDER BY _nth)").alias("body"))
     head = F.concat(F.lit(SESSION_HEADING), F.date_format(day, SESSION_DATE_FORMAT), F.lit("\n\n"))
-    return parts.select("session", "part", "n_pages",
-                        F.concat(F.when(F.col("part") == 0, head).otherwise(""), "body").alias("content"))
+    return parts.select("session", "part", "n_pages", F.concat(F.when(F.col("_nth") == 0, head).otherwise(""), "body").alias("content"))
 
 
 def model_fit(rows: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -47,6 +50,11 @@ def model_fit(rows: DataFrame, tokens_col: str = "tokens") -> DataFrame:
                                "fits": F.col(tokens_col) <= F.col("_m.token_limit")}).drop("_m")
 
 
-def outcomes(converted: DataFrame, ok: Column, error: Column) -> DataFrame:
-    """Add ``ok`` and ``error`` to each row; a failed row keeps its place and has no value."""
-    return converted.withColumns({"ok": ok, "error": F.when(~ok, error), "markdown": F.when(ok, F.col("markdown"))})
+def outcomes(converted: DataFrame, empty: str = "no content") -> DataFrame:
+    """Add ``ok`` to rows of ``markdown`` and ``error``; a failed row keeps its place and has no value.
+
+    The error of an earlier step stands; a conversion without any text fails as ``empty``.
+    """
+    error = F.coalesce("error", F.when(F.coalesce("markdown", F.lit("")) == "", empty))
+    ok = F.col("error").isNull()
+    return converted.withColumn("error", error).withColumns({"ok": ok, "markdown": F.when(ok, F.col("markdown"))})

@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.constants import FOLDER_NOTE, SKIPPED_HEADER, SKIPPED_PATH, WIKI_BODY_PATH
 from foliomill.functions.text import sanitize_title
-from foliomill.operators.naming import number_within
+from foliomill.operators.naming import PART_BYTES, totals_within, with_parts
 from foliomill.operators.tree import capped, fetched, with_paths
 from foliomill.plans.page_markdown import convert_fragments
 
-SKIP_LINES_PER_PART = 10_000
-
-
 def skipped_pages(tree: DataFrame) -> DataFrame:
     """Pages whose body could not be read, with the reason."""
     path = F.concat(F.lit(WIKI_BODY_PATH[0]), F.col("id"), F.lit(WIKI_BODY_PATH[1]))
@@ -22,18 +19,17 @@ def skipped_pages(tree: DataFrame) -> DataFrame:
         F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" for "), path).alias("error"))
 
 
-def skip_report(tree: DataFrame) -> DataFrame:
+def skip_report(tree: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The skip report of each root that skipped a page.
 
-    The report is cut into parts of a bounded size, in order; part 0 starts with the header.
+    The report is cut into parts of about ``part_bytes``, in order; the first starts with the header.
     All parts have the same path: the file is the parts one after the other.
     """
-    rows = number_within(skipped_pages(tree), ["root_id"], ["depth", "ord_path"])
-    part = F.floor((F.col("ordinal") - 1) / SKIP_LINES_PER_PART).cast("int")
-    lines = rows.select("root_id", part.alias("part"), "ordinal",
-                        F.concat(F.lit("- "), "title", F.lit(": "), "error", F.lit("\n")).alias("line"))
-    parts = lines.groupBy("root_id", "part").agg(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY ordinal)").alias("body"))
-    head = F.when(F.col("part") == 0, F.lit(f"{SKIPPED_HEADER}\n\n")).otherwise("")
+    line = F.concat(F.lit("- "), "title", F.lit(": "), "error", F.lit("\n"))
+    lines = skipped_pages(tree).select("root_id", "depth", "ord_path", line.alias("line"), F.octet_length(line).alias("size"))
+    placed = with_parts(totals_within(lines, ["root_id"], ["depth", "ord_path"], {"_before": "size", "_nth": None}), part_bytes)
+    parts = placed.groupBy("root_id", "part").agg(F.min("_nth").alias("_nth"), F.expr("listagg(line, '') WITHIN GROUP (ORDER BY _nth)").alias("body"))
+    head = F.when(F.col("_nth") == 0, F.lit(f"{SKIPPED_HEADER}\n\n")).otherwise("")
     return parts.select("root_id", "part", F.lit(SKIPPED_PATH).alias("path"), F.concat(head, "body").alias("content"))
 
 
@@ -55,10 +51,10 @@ def export_entries(tree: DataFrame, bodies: DataFrame) -> DataFrame:
     return as_pages.unionByName(folders)
 
 
-def export_tree(tree: DataFrame, bodies: DataFrame) -> DataFrame:
+def export_tree(tree: DataFrame, bodies: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """All entries of an export: pages, folders and the skip report. A file is the ``part`` rows of its path, in order."""
     entries = export_entries(tree, bodies).select("root_id", "path", F.lit(0).alias("part"), "content", "kind")
-    return entries.unionByName(skip_report(tree).select("root_id", "path", "part", "content", F.lit("report").alias("kind")))
+    return entries.unionByName(skip_report(tree, part_bytes).select("root_id", "path", "part", "content", F.lit("report").alias("kind")))
 
 
 def export_summary(tree: DataFrame, cap: int | None = None) -> DataFrame:

@@ -23,7 +23,8 @@ from foliomill.plans import tree_export as TX
 from foliomill.plans.markdown_html import markdown_to_html
 from foliomill.plans.page_markdown import BLOCKS, convert_fragments, convert_pages, page_blocks
 from foliomill.session import checkpoint_folder
-from foliomill.sources.tables import is_markdown_path, read_table, spread
+from foliomill.sinks.files import write_files
+from foliomill.sources.tables import is_markdown_path, read_markdown_files, read_table, spread
 from foliomill.sources.wiki_responses import follow_pages, read_children_responses, read_page_responses
 from foliomill.streaming import convert as ST
 
@@ -134,8 +135,10 @@ def _located(spark, sf):
 @query
 def html_elements(spark, sf):
     rows = H.with_totals(H.tagged_tokens(_located(spark, sf), "page_id", "html"), "page_id", measure_text=False)
-    rows = H.with_extents(rows, "page_id", measure_text=False)
-    return rows.where("end_pos IS NOT NULL").select("page_id", "tag", F.col("pos").alias("start_pos"), "end_pos", "is_closed")
+    rows = H.with_scopes(H.with_nesting(H.with_extents(rows, "page_id", measure_text=False), "page_id"), "page_id")
+    rows = H.with_levels(H.with_child_numbers(H.with_parents(rows, "page_id"), "page_id"), "page_id")
+    return rows.where("end_pos IS NOT NULL").select(
+        "page_id", "tag", F.col("pos").alias("start_pos"), "end_pos", "is_closed", F.col("parent.pos").alias("parent_pos"), "child_no", "level")
 
 
 @query
@@ -153,9 +156,17 @@ def skip_boilerplate(spark, sf):
         F.max(F.when(F.col("skipped"), F.col("md"))).alias("skipped_md"))
 
 
+@query
+def skip_hidden(spark, sf):
+    """Hidden by a style of its own; visibility passes on to what is inside, display does not."""
+    blocks = page_blocks(fixtures.hidden_fixture(_docs(spark, sf)), "doc_id").where("block = 'p'")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_pos"))
+    return blocks.select("doc_id", number.alias("paragraph_no"), "md", "skipped")
+
+
 def _candidates(pages, id_col):
     rows = H.with_totals(H.tagged_tokens(co_locate(pages.select(id_col, "html"), id_col), id_col, "html"), id_col)
-    rows = H.with_candidates(H.with_nesting(H.with_extents(rows, id_col), id_col), id_col)
+    rows = H.with_candidates(H.with_scopes(H.with_nesting(H.with_extents(rows, id_col), id_col), id_col), id_col)
     return rows.where(F.col("tag").isin(H.DENSITY_TAGS + H.FALLBACK_TAGS) & F.col("end_pos").isNotNull())
 
 
@@ -242,6 +253,10 @@ def _fixture_blocks(spark, sf):
     return page_blocks(fixtures.html_fixture(_docs(spark, sf)), "doc_id", whole_page=False)
 
 
+def _shape_blocks(spark, sf):
+    return page_blocks(fixtures.shapes_fixture(_docs(spark, sf)), "doc_id", whole_page=False)
+
+
 def _numbered(blocks, *columns):
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_pos"))
     return blocks.select("doc_id", number.alias("block_no"), *columns)
@@ -274,18 +289,18 @@ def code_language(spark, sf):
 
 @query
 def tables_md(spark, sf):
-    return _numbered(_fixture_blocks(spark, sf).where("block = 'table'"), "md")
+    return _numbered(_shape_blocks(spark, sf).where("block = 'table'"), "md")
 
 
 @query
 def table_cells(spark, sf):
-    rows = _fixture_blocks(spark, sf).where("block = 'table'").select("doc_id", F.posexplode("rows").alias("row_no", "r"))
+    rows = _shape_blocks(spark, sf).where("block = 'table'").select("doc_id", F.posexplode("rows").alias("row_no", "r"))
     return rows.select("doc_id", "row_no", F.col("r.cells").alias("cells"), F.col("r.n_cells").alias("n_cells"), F.col("r.n_td").alias("n_td"))
 
 
 @query
 def lists_md(spark, sf):
-    return _numbered(_fixture_blocks(spark, sf).where("block = 'list'"), "tag", "md")
+    return _numbered(_shape_blocks(spark, sf).where("block = 'list'"), "tag", "md")
 
 
 @query
@@ -299,11 +314,10 @@ def fragment_markdown(spark, sf):
 @query
 def convert_outcomes(spark, sf):
     pages = _converted(spark, sf).select(F.lit("page").alias("origin"), F.col("page_id").cast("string").alias("id"), "markdown")
-    # Every seventh fragment is empty: its conversion fails.
-    html = F.when(F.col("id").cast("bigint") % 7 == 3, "<div> </div>").otherwise(F.col("html_body"))
-    bodies = fixtures.body_fixture(_docs(spark, sf)).withColumns({"html_body": html, "title": F.lit(None).cast("string")})
-    made = convert_fragments(bodies, "id", "html_body", "title").select(F.lit("made").alias("origin"), "id", "markdown")
-    rows = PX.outcomes(pages.unionByName(made), F.coalesce(F.col("markdown") != "", F.lit(False)), F.lit("Conversion failed"))
+    fetched = read_page_responses(fixtures.broken(fixtures.page_responses(_docs(spark, sf)), F.col("doc_id")))
+    bodies = fetched.select(F.col("doc_id").cast("string").alias("id"), "html_body", "error")
+    made = convert_fragments(bodies, "id", "html_body", keep=("error",)).select(F.lit("made").alias("origin"), "id", "markdown", "error")
+    rows = PX.outcomes(pages.withColumn("error", F.lit(None).cast("string")).unionByName(made))
     return rows.select("origin", "id", "ok", "error", T.estimate_tokens("markdown").alias("tokens"))
 
 
@@ -332,6 +346,12 @@ def merge_session(spark, sf):
     return PX.merge_sessions(_pages(spark, sf), _converted(spark, sf), host, F.lit(DAY).cast("date"))
 
 
+@query
+def merge_session_parts(spark, sf):
+    host = T.url_parts("url")["host"]
+    return PX.merge_sessions(_pages(spark, sf), _converted(spark, sf), host, F.lit(DAY).cast("date"), part_bytes=20_000)
+
+
 @query
 def model_fit(spark, sf):
     return PX.model_fit(_docs(spark, sf).select("doc_id", T.estimate_tokens("text").alias("tokens"))).select(
@@ -362,18 +382,18 @@ def _branches(spark, sf, cap):
 @query
 def tree_children_ingest(spark, sf):
     responses = fixtures.children_responses(_docs(spark, sf))
-    return read_children_responses(responses, keep=("parent_id", "cursor"))
+    return read_children_responses(fixtures.broken(responses, F.col("parent_id").cast("bigint")), keep=("parent_id", "cursor"))
 
 
 @query
 def tree_body_ingest(spark, sf):
-    return read_page_responses(fixtures.page_responses(_docs(spark, sf)))
+    return read_page_responses(fixtures.broken(fixtures.page_responses(_docs(spark, sf)), F.col("doc_id")))
 
 
 @query
 def tree_paginate(spark, sf):
     pages = follow_pages(fixtures.children_responses(_docs(spark, sf)))
-    children = read_children_responses(pages, keep=("parent_id", "page_no"))
+    children = read_children_responses(pages, keep=("parent_id", "page_no")).where("error IS NULL")
     numbered = number_within(children.select("parent_id", "page_no", "child_no", "id", "type"), ["parent_id"], ["page_no", "child_no"], "child_ord")
     return numbered.select("parent_id", F.col("child_ord").cast("int").alias("child_ord"), "id", "type")
 
@@ -427,13 +447,13 @@ def tree_skipped_report(spark, sf):
 
 @query
 def tree_export_entries(spark, sf):
-    return TX.export_tree(_tree(spark, sf), fixtures.body_fixture(_docs(spark, sf))).select("path", "content", "kind")
+    return TX.export_tree(_tree(spark, sf), fixtures.body_fixture(_docs(spark, sf))).select("path", "part", "content", "kind")
 
 
 @query
 def tree_export_capped(spark, sf):
     tree = TR.capped(_tree(spark, sf, cap=100))
-    return TX.export_tree(tree, fixtures.body_fixture(_docs(spark, sf))).select("path", "content", "kind")
+    return TX.export_tree(tree, fixtures.body_fixture(_docs(spark, sf))).select("path", "part", "content", "kind")
 
 
 @query
@@ -550,6 +570,14 @@ def md_to_html(spark, sf):
     return markdown_to_html(_md(spark, sf)).select("doc_id", "html")
 
 
+@query
+def md_depth_cap(spark, sf):
+    """Quotes 98 to 103 deep: from the cap on, marks are text."""
+    marks = F.repeat(F.lit(">"), (F.col("doc_id") % 6 + 98).cast("int"))
+    docs = fixtures.with_words(spread(_docs(spark, sf))).select("doc_id", F.concat(marks, F.lit(" "), "a").alias("text"))
+    return markdown_to_html(docs).select("doc_id", "html")
+
+
 # -- streams -----------------------------------------------------------------------------
 
 def _new_folder(spark):
@@ -565,6 +593,26 @@ def stream_convert(spark, sf):
 
 @query
 def stream_filenames(spark, sf):
-    out = _new_folder(spark)
-    ST.name_stream(ST.page_stream(spark, sf, "pages.parquet"), out)
+    """The pages arrive in four deliveries; the stream is resumed after each."""
+    out, pages = _new_folder(spark), _pages(spark, sf)
+    low, high = pages.agg(F.coalesce(F.min("page_id"), F.lit(0)), F.coalesce(F.max("page_id"), F.lit(0))).first()
+    step = (high - low) // 4 + 1
+    for k in range(4):
+        arrived = pages.where(F.col("page_id").between(low + k * step, low + (k + 1) * step - 1))
+        arrived.select("page_id", "url", "html").write.mode("append").parquet(f"{out}/in")
+        ST.name_stream(ST.page_stream(spark, f"{out}/in"), out, compact_every=2)
     return spark.read.parquet(f"{out}/names").select("page_id", "slug", "ordinal", "name")
+
+
+# -- files -------------------------------------------------------------------------------
+
+@query
+def md_files_written(spark, sf):
+    """Documents as files of several endings, and what the reader of Markdown files finds of them."""
+    out = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    endings = F.array(*[F.lit(e) for e in (".md", ".MD", ".markdown", ".mdown", ".mkd", ".html")])
+    name = F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.element_at(endings, (F.col("doc_id") % 6 + 1).cast("int")))
+    manifest = write_files(_docs(spark, sf).select(name.alias("path"), F.col("text").alias("content")), out)
+    found = read_markdown_files(spark, out).withColumn("target", F.regexp_extract("path", "[^/]+/[^/]+$", 0))
+    return manifest.join(found, "target", "left").select(
+        "target", "n_bytes", "sha256", F.col("text").isNotNull().alias("is_markdown"), "text")

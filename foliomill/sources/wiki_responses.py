@@ -13,24 +13,49 @@ CHILDREN_SCHEMA = "results array<struct<id:string,title:string,type:string>>, _l
 PAGE_SCHEMA = "id string, title string, parentId string, body struct<export_view:struct<value:string>>"
 
 
+def _parsed(responses: DataFrame, json_col: str, schema: str, required: str) -> DataFrame:
+    """Add ``_r``, the response by ``schema``, and ``error``: why it cannot be used, NULL for a good one."""
+    # The parser puts the text of a response that it cannot read into the last field.
+    reply = F.from_json(json_col, f"{schema}, _unread string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    rows = responses.withColumn("_r", reply)
+    error = (F.when(F.trim(F.coalesce(json_col, F.lit(""))) == "", "empty response")
+             .when(F.col("_r._unread").isNotNull(), "malformed JSON")
+             .when(F.col(f"_r.{required}").isNull(), f"no {required} in response"))
+    return rows.withColumn("error", error)
+
+
 def read_page_responses(responses: DataFrame, json_col: str = "response", folder: bool = False) -> DataFrame:
-    """Add ``id, title, html_body, parent_id`` of a page or folder response, with defaults."""
-    r = F.from_json(json_col, PAGE_SCHEMA)
+    """``id, title, html_body, parent_id`` of page or folder responses, with defaults, and ``error``.
+
+    Every response keeps its row: one that cannot be used has NULLs and says why in ``error``.
+    """
     default = FOLDER_TITLE_DEFAULT if folder else PAGE_TITLE_DEFAULT
-    rows = responses.withColumn("_r", r)
+    rows = _parsed(responses, json_col, PAGE_SCHEMA, "id")
+    good = F.col("error").isNull()
     return rows.select(
-        *[c for c in responses.columns if c != json_col], F.col("_r.id").alias("id"),
-        F.coalesce(non_empty("_r.title"), F.lit(default)).alias("title"),
-        F.coalesce("_r.body.export_view.value", F.lit("")).alias("html_body"), non_empty("_r.parentId").alias("parent_id"))
+        *[c for c in responses.columns if c != json_col], F.when(good, F.col("_r.id")).alias("id"),
+        F.when(good, F.coalesce(non_empty("_r.title"), F.lit(default))).alias("title"),
+        F.when(good, F.coalesce("_r.body.export_view.value", F.lit(""))).alias("html_body"),
+        F.when(good, non_empty("_r.parentId")).alias("parent_id"), "error")
 
 
 def read_children_responses(responses: DataFrame, json_col: str = "response", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per child: ``child_no`` (place in the response), ``id``, ``title``, ``type``."""
-    rows = responses.select(*keep, F.from_json(json_col, CHILDREN_SCHEMA).alias("_r"))
-    rows = rows.select(*keep, F.posexplode("_r.results").alias("child_no", "c"))
+    """One row per child: ``child_no`` (place in the response), ``id``, ``title``, ``type``, and ``error``.
+
+    A response that cannot be used has one row with no child and the reason in ``error``.
+    """
+    rows = _parsed(responses, json_col, CHILDREN_SCHEMA, "results")
+    listed = F.when(F.col("error").isNull(), F.col("_r.results"))
+    rows = rows.select(*keep, "error", F.posexplode_outer(listed).alias("child_no", "c")).where("error IS NOT NULL OR child_no IS NOT NULL")
+    found = F.col("child_no").isNotNull()
     return rows.select(*keep, "child_no", F.col("c.id").alias("id"),
-                       F.coalesce(non_empty("c.title"), F.lit(PAGE_TITLE_DEFAULT)).alias("title"),
-                       F.coalesce(non_empty("c.type"), F.lit("page")).alias("type"))
+                       F.when(found, F.coalesce(non_empty("c.title"), F.lit(PAGE_TITLE_DEFAULT))).alias("title"),
+                       F.when(found, F.coalesce(non_empty("c.type"), F.lit("page"))).alias("type"), "error")
+
+
+def rejected_responses(responses: DataFrame, schema: str, required: str, json_col: str = "response") -> DataFrame:
+    """The responses that cannot be used, as they came, with the reason in ``error``: for a table of their own."""
+    return _parsed(responses, json_col, schema, required).where("error IS NOT NULL").select(*responses.columns, "error")
 
 
 def follow_pages(responses: DataFrame, parent_col: str = "parent_id", cursor_col: str = "cursor", json_col: str = "response") -> DataFrame:

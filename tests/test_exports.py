@@ -1,8 +1,11 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.operators.naming import dedupe_names, number_within
+from foliomill.operators.naming import dedupe_names, number_within, totals_within
 from foliomill.plans import page_exports as PX
+from foliomill.plans import tree_export as TX
 from foliomill.sinks.files import write_files
 from foliomill.sources.tables import read_html_files, read_markdown_files
 from foliomill.streaming import convert as ST
@@ -25,11 +28,31 @@ def test_numbers_of_a_large_group_match_a_window(spark):
 def test_session_parts_join_to_one_document(spark):
     pages = spark.createDataFrame([(i, "http://h/x") for i in range(7)], "page_id bigint, url string")
     converted = pages.select("page_id", "url", F.lit("T").alias("title"), F.concat(F.lit("m"), "page_id").alias("markdown"))
-    def text(size):
-        parts = PX.merge_sessions(pages, converted, F.lit("s"), F.lit("2025-01-05").cast("date"), pages_per_part=size).orderBy("part").collect()
-        assert all(p.n_pages <= size for p in parts)
+    def text(size, n_parts):
+        parts = PX.merge_sessions(pages, converted, F.lit("s"), F.lit("2025-01-05").cast("date"), part_bytes=size).orderBy("part").collect()
+        assert len(parts) == n_parts and sum(p.n_pages for p in parts) == 7
         return "".join(p.content for p in parts)
-    assert text(2) == text(100) == "# Research Session — January 5, 2025\n\n" + "".join(f"## [T](http://h/x)\n\nm{i}\n\n---\n\n" for i in range(7))
+    assert text(1, 7) == text(60, 3) == text(10**6, 1) == "# Research Session — January 5, 2025\n\n" + "".join(f"## [T](http://h/x)\n\nm{i}\n\n---\n\n" for i in range(7))
+
+
+def test_totals_of_a_large_group_match_a_window(spark):
+    rows = spark.range(3000).select((F.col("id") * 37 % 100003).alias("id"), F.when(F.col("id") % 3 == 0, "hot").alias("g"), (F.col("id") % 11).alias("size"))
+    got = {r.id: (r.before, r.nth) for r in totals_within(rows.repartition(7), ["g"], "id", {"before": "size", "nth": None}).collect()}
+    seen, expected = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        total, n = seen.get(r.g, (0, 0))
+        expected[r.id], seen[r.g] = (total, n), (total + r.size, n + 1)
+    assert got == expected
+
+
+def test_a_long_skip_report_is_one_ordered_document(spark):
+    tree = spark.range(10_050).select(
+        F.lit("r").alias("root_id"), F.col("id").cast("string").alias("id"), F.lit(1).alias("depth"), F.array("id").alias("ord_path"),
+        F.concat(F.lit("T"), "id").alias("title"), F.lit("page").alias("type"), F.lit(403).alias("status")).repartition(5)
+    parts = TX.skip_report(tree, part_bytes=100_000).orderBy("part").collect()
+    lines = "".join(p.content for p in parts).split("\n")
+    assert len(parts) > 5 and max(len(p.content) for p in parts) < 101_000 and {p.path for p in parts} == {"_skipped.txt"}
+    assert lines[1:2] == [""] and [line.split(":")[0] for line in lines[2:-1]] == [f"- T{i}" for i in range(10_050)]
 
 
 def test_model_fit(spark):
@@ -40,9 +63,9 @@ def test_model_fit(spark):
 
 
 def test_outcomes_keep_their_place(spark):
-    rows = spark.createDataFrame([(i, "x" if i != 3 else "") for i in range(1, 6)], "id int, markdown string")
-    got = PX.outcomes(rows, F.col("markdown") != "", F.lit("boom")).orderBy("id").collect()
-    assert [(r.ok, r.error, r.markdown) for r in got] == [(True, None, "x")] * 2 + [(False, "boom", None)] + [(True, None, "x")] * 2
+    rows = spark.createDataFrame([(i, "x" if i != 3 else "", "boom" if i == 4 else None) for i in range(1, 6)], "id int, markdown string, error string")
+    got = PX.outcomes(rows).orderBy("id").collect()
+    assert [(r.ok, r.error, r.markdown) for r in got] == [(True, None, "x")] * 2 + [(False, "no content", None), (False, "boom", None), (True, None, "x")]
 
 
 def test_files(spark, tmp_path):
@@ -52,7 +75,19 @@ def test_files(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: r.text for r in read_markdown_files(spark, str(tmp_path)).collect()}
     assert got == {"a.md": "# A é", "b.MD": "b"}
     assert read_html_files(spark, f"{tmp_path}/p.html").first().html == "<p>x\ny</p>"
-    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")) == ["a.md", "b.MD", "c.txt", "p.html"]
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file() and not any(x.startswith(("_", ".")) for x in p.relative_to(tmp_path).parts)) == ["a.md", "b.MD", "c.txt", "p.html"]
+
+
+def test_a_failed_write_leaves_the_target_alone(spark, tmp_path):
+    manifest = write_files(spark.createDataFrame([("a.md", 1, "x"), ("a.md", 0, "é"), ("b/c.md", 0, None)], "path string, n int, content string"), tmp_path.as_uri(), part_col="n")
+    assert {(r.target, r.n_bytes, r.sha256) for r in manifest.collect()} == {("a.md", 3, hashlib.sha256("éx".encode()).hexdigest()), ("b/c.md", 0, hashlib.sha256(b"").hexdigest())}
+    assert (tmp_path / "a.md").read_text() == "éx" and (tmp_path / "b/c.md").read_text() == ""
+    bad = spark.createDataFrame([("a.md", "new"), ("z.md", "boom")], "path string, content string").repartition(1)
+    with pytest.raises(Exception):
+        write_files(bad.withColumn("content", F.when(F.col("path") == "z.md", F.raise_error(F.lit("no"))).otherwise(F.col("content"))), tmp_path.as_uri())
+    assert (tmp_path / "a.md").read_text() == "éx" and not (tmp_path / "z.md").exists()
+    with pytest.raises(ValueError):
+        write_files(bad.withColumn("path", F.lit("a.md")), tmp_path.as_uri())
 
 
 @pytest.fixture
@@ -69,6 +104,11 @@ def test_streams(spark, arrivals, tmp_path):
     ST.name_stream(stream(), f"{tmp_path}/names-out")
     names = {r.page_id: r.name for r in spark.read.parquet(f"{tmp_path}/names-out/names").collect()}
     assert names == {1: "a", 2: "b", 3: "a-2", 4: "a-3", 9: "b-2", 8: "c"}
+    # Small buckets, a snapshot every second batch; a batch that comes again changes nothing.
+    for k in (0, 1, 1, 2):
+        batch = spark.read.schema(ST.PAGE_SCHEMA).parquet(f"{arrivals}/part={k}")
+        ST.name_batch(batch, k, f"{tmp_path}/again", buckets=2, compact_every=2)
+    assert {r.page_id: r.name for r in spark.read.parquet(f"{tmp_path}/again/names").collect()} == names
     ST.convert_stream(stream(), f"{tmp_path}/pages-out")
     pages = {r.page_id: r.markdown for r in spark.read.parquet(f"{tmp_path}/pages-out/pages").collect()}
     assert pages == {i: f"# H{i}\n\nx\n\n" for i in (1, 2, 3, 4, 8, 9)}

@@ -1,7 +1,10 @@
 from pyspark.sql import functions as F
 
+from foliomill.functions.text import decode_entities
+from foliomill.operators import html_structure as H
 from foliomill.operators.html_blocks import structured_tokens
 from foliomill.operators.html_links import page_links
+from foliomill.operators.html_tokens import tokenize, with_attributes, with_text
 from foliomill.plans.page_markdown import convert_fragments, convert_pages
 
 FRAGMENTS = [
@@ -20,6 +23,18 @@ FRAGMENTS = [
     ("<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr><tr><th>x</th></tr></table>", None,
      "\n| A | B |\n| --- | --- |\n| 1 | 2 |\n\n"),
     ("<table></table><table><tr></tr></table>", None, ""),
+    # Cells of tables inside count for every row around them; rows and cells may lack their tags.
+    ("<table><tr><td>a<table><tr><td>n</td></tr></table></td><td>b</td></tr><tr><td>c</td></tr></table>", None,
+     "\n| an | n | b |\n| --- | --- | --- |\n| n |\n| c |\n\n\n| n |\n| --- |\n\n"),
+    ("<table><thead><tr><th>A<th>B<tbody><tr><td>1<td>2</table>", None, "\n| A | B |\n| --- | --- |\n| 1 | 2 |\n\n"),
+    ("<table><td>a</td><td>b</td><tr><td>c</td></tr><td>d", None, "\n| a | b |\n| --- | --- |\n| c |\n| d |\n\n"),
+    ("<table><tr><td><div>a<div>b</td><td>c</td></tr></table>", None, "\n| ab | c |\n| --- | --- |\n\n"),
+    # Numbers count all children; a list nests only where it stands directly in an item.
+    ("<ol><p>x</p><li>a</li><div>z</div><li>b</li></ol>", None, "2. a\n4. b\n\nx\n\n"),
+    ("<ul><li>a</li><ul><li>b</li></ul><li>c</li></ul>", None, "- a\n- c\n\n- b\n\n"),
+    ("<ul><li>a<div><ul><li>b<ol><li>c</ol></ul></div></li><li>d</li></ul>", None, "- abc\n- d\n\n- b\n  1. c\n\n1. c\n\n"),
+    ("<ul><div><li>x</li></div><li>a<ul><li>b<ul><li>c</ul></ul>t<li>d</ul>", None, "- at\n  - b\n    - c\n- d\n\n- b\n  - c\n\n- c\n\n"),
+    ("<ol><li>cut<li>off <ul><li>here", None, "1. cut\n2. off\n  - here\n\n- here\n\n"),
     ("<ul><li>One</li><li>Two</li></ul>", None, "- One\n- Two\n\n"),
     ("<ol><li>First<li>Second<li>Third</ol>", None, "1. First\n2. Second\n3. Third\n\n"),
     ("<ul><li>top<ul><li>nested</li></ul> tail</li><li>x</li></ul>", None, "- top tail\n  - nested\n- x\n\n- nested\n\n"),
@@ -69,6 +84,16 @@ PAGES = {
 }
 
 
+def test_many_marks_and_odd_characters(spark):
+    n = 10_000
+    many = "<p>" + "".join(f"<b>{i}</b><i></i>" for i in range(n)) + "<em>" * 50 + "x\uFDD0y\uFDD6\uFDD7\uFDDF1"
+    deep = "<p>" + "<b><i><s>" * 500 + "</s></i></b>" * 500 + "z<del><a href='q'>"
+    rows = spark.createDataFrame([(1, many), (2, deep)], "id int, html string")
+    got = {r.id: r.markdown for r in convert_fragments(rows, "id", "html").collect()}
+    assert got[1] == "".join(f"**{i}**" for i in range(n)) + "*" * 50 + "x\uFDD0y\uFDD6\uFDD7\uFDDF1" + "*" * 50 + "\n\n"
+    assert got[2] == "z\n\n"
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PAGES.values())], "page_id int, html string")
     got = {r.page_id: r for r in convert_pages(rows).collect()}
@@ -81,6 +106,27 @@ def test_pages(spark):
     assert got[list(PAGES).index("chrome")].outline == "## yes"
 
 
+def test_references(spark):
+    rows = [("&AMP; &AMP &check; &copy2 &notit; &notin; &lbrack;x&rbrack; &nosuch; &ampx & &; &#65 &#x41g &#65=", "& & ✓ ©2 ¬it; ∉ [x] &nosuch; &x & &; A Ag A="),
+            ("&NotEqualTilde; &fjlig; &Tab;.", "≂̸ fj \t.")]
+    got = spark.createDataFrame(rows, "t string, e string").select(decode_entities("t").alias("t"), "e").collect()
+    assert [r.t for r in got] == [r.e for r in got]
+    page = spark.createDataFrame([(1, '<a href="?a=1&copy=2&amp;b&lt&copy;&notit;&copy" title=&AMP>x</a>')], "page_id int, html string")
+    attrs = with_attributes(with_text(tokenize(page))).where("attrs IS NOT NULL").first().attrs
+    assert [a.value for a in attrs] == ["?a=1&copy=2&b<©&notit;©", "&"]
+
+
+def test_parents_levels_and_child_numbers(spark):
+    html = "<html><body><div><p>a<p>b<b>c</b><ul><li>x<br><li>y<i>z</i></ul></div><table><tr><td>1<td>2<tr><td>3</table><p>end"
+    page = H.with_totals(H.tagged_tokens(spark.createDataFrame([(1, html)], "page_id int, html string"), "page_id", "html"), "page_id")
+    rows = H.with_parents(H.with_scopes(H.with_nesting(H.with_extents(page, "page_id"), "page_id"), "page_id"), "page_id")
+    rows = H.with_levels(H.with_child_numbers(rows, "page_id"), "page_id").where("kind = 'open'").orderBy("pos").collect()
+    got = [(r.tag, r.parent.tag, r.child_no, r.level) for r in rows]
+    assert got == [("html", "", 1, 0), ("body", "html", 1, 1), ("div", "body", 1, 2), ("p", "div", 1, 3), ("p", "div", 2, 3), ("b", "p", 1, 4),
+                   ("ul", "div", 3, 3), ("li", "ul", 1, 4), ("br", "li", 1, 5), ("li", "ul", 2, 4), ("i", "li", 1, 5), ("table", "body", 2, 2),
+                   ("tr", "table", 1, 3), ("td", "tr", 1, 4), ("td", "tr", 2, 4), ("tr", "table", 2, 3), ("td", "tr", 1, 4), ("p", "body", 3, 2)]
+
+
 def test_links(spark):
     rows = spark.createDataFrame([(1, '<p><a href="/a">A <b>b</b></a><a>none</a><a href="/e"></a><a href=\'/c?x=1&amp;y\'>C</a>')], "page_id int, html string")
     assert [tuple(r) for r in page_links(rows).select("link_no", "href", "text").orderBy("link_no").collect()] == [(1, "/a", "A b"), (2, "/c?x=1&y", "C")]

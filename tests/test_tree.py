@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from foliomill.operators import tree as TR
 from foliomill.plans import tree_export as TX
 from foliomill.sinks.files import write_files
-from foliomill.sources.wiki_responses import follow_pages, read_children_responses, read_page_responses
+from foliomill.sources.wiki_responses import CHILDREN_SCHEMA, follow_pages, read_children_responses, read_page_responses, rejected_responses
 
 SCHEMA = "id string, title string, parent_id string, type string, status int, ord bigint"
 BODIES = "id string, title string, html_body string"
@@ -46,6 +46,17 @@ def test_cap_and_truncation(spark):
     assert TR.tree_summary(discover(spark, CHAIN[:1]), 100).first().label == "Found 1 page"
 
 
+def test_a_large_cap_on_one_hot_root(spark):
+    nodes = spark.range(20_000).select(
+        F.col("id").cast("string").alias("id"), F.lit("T").alias("title"), F.when(F.col("id") > 0, "0").alias("parent_id"),
+        F.lit("page").alias("type"), F.lit(200).alias("status"), ((F.col("id") * 7919) % 20_011).alias("ord")).repartition(9)
+    roots = spark.createDataFrame([("0",)], "root_id string")
+    tree = TR.discover_tree(nodes, roots, None, 1500)
+    assert tree.count() == 1501
+    shown = {r.id for r in TR.capped(tree, 1500).collect()}
+    assert shown == {"0"} | {r.id for r in nodes.where("id <> '0'").orderBy("ord").limit(1499).collect()}
+
+
 def test_export(spark):
     rows = [("1", "Root", None, "page", 200, 0), ("200001", "Dup", "1", "page", 200, 1), ("200002", "Dup", "1", "page", 200, 2),
             ("9", "Locked", "1", "page", 403, 3), ("7", "Stuff/x", "1", "folder", 200, 4), ("8", "In", "7", "page", 200, 5),
@@ -75,10 +86,12 @@ def test_responses(spark):
         ("p", "P3", '{"results":[{"id":4}]}'), ("p", "lost", '{"results":[{"id":5}]}'), ("q", None, "{}")],
         "parent_id string, cursor string, response string")
     rows = read_children_responses(follow_pages(pages), keep=("parent_id", "page_no"))
+    assert [tuple(r) for r in rows.where("error IS NOT NULL").collect()] == [("q", 0, None, None, None, None, "no results in response")]
+    rows = rows.where("error IS NULL")
     got = [tuple(r) for r in rows.orderBy("parent_id", "page_no", "child_no").select("page_no", "id", "title", "type").collect()]
     assert got == [(0, "1", "A", "page"), (0, "2", "Untitled", "page"), (1, "3", "C", "folder"), (2, "4", "Untitled", "page")]
     body = spark.createDataFrame([('{"id":7,"title":"","parentId":3,"body":{"export_view":{"value":"<p>x</p>"}}}',)], "response string")
-    assert tuple(read_page_responses(body).first()) == ("7", "Untitled", "<p>x</p>", "3")
+    assert tuple(read_page_responses(body).first()) == ("7", "Untitled", "<p>x</p>", "3", None)
     assert read_page_responses(body.select(F.lit('{"id":7}').alias("response")), folder=True).first().title == "Untitled folder"
 
 
@@ -94,7 +107,7 @@ def test_one_report_however_long(spark, tmp_path):
     rows = [CHAIN[0]] + [(str(k), f"C{k}", "1", "page", 403, k) for k in range(10, 10 + 10_050)]
     tree = discover(spark, rows)
     bodies = spark.createDataFrame([("1", "Root", "<p>x</p>")], BODIES)
-    entries = TX.export_tree(tree, bodies)
+    entries = TX.export_tree(tree, bodies, part_bytes=100_000)
     write_files(entries, tmp_path.as_uri(), part_col="part", folder_col="root_id")
     lines = (tmp_path / "1" / "_skipped.txt").read_text().split("\n\n", 1)[1].splitlines()
     assert [x.split(":")[0] for x in lines] == [f"- C{k}" for k in range(10, 10 + 10_050)]
@@ -116,3 +129,15 @@ def test_repeated_responses_count_once(spark):
     rows += [("p", "a", '{"results":[{"id":2}],"_links":{"next":"/x?cursor=b"}}')] * 3 + [("p", "b", '{"results":[{"id":3}]}')]
     got = read_children_responses(follow_pages(spark.createDataFrame(rows, "parent_id string, cursor string, response string")), keep=("page_no",))
     assert sorted((r.page_no, r.id) for r in got.collect()) == [(0, "1"), (1, "2"), (2, "3")]
+
+
+def test_no_response_is_lost(spark):
+    replies = [None, "", "  ", "no JSON", '{"results": [{"id": 1}', '{"results": "x"}', '{"message": "Forbidden"}', "[]", "null", '{"results": []}', '{"results": [{"id": 1}]}']
+    rows = spark.createDataFrame(list(enumerate(replies)), "n int, response string")
+    got = {r.n: r.error for r in read_children_responses(rows, keep=("n",)).collect()}
+    empty, malformed, none = "empty response", "malformed JSON", "no results in response"
+    assert got == {0: empty, 1: empty, 2: empty, 3: malformed, 4: malformed, 5: malformed, 6: none, 7: malformed, 8: malformed, 10: None}
+    pages = {r.n: (r.id, r.title, r.error) for r in read_page_responses(rows).collect()}
+    assert len(pages) == len(replies) and all(p[0] is None and p[1] is None and p[2] for p in pages.values())
+    rejected = rejected_responses(rows, CHILDREN_SCHEMA, "results").collect()
+    assert {r.n: r.response for r in rejected} == {n: replies[n] for n in range(9)}
