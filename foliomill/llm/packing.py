@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -22,7 +23,7 @@ from foliomill.llm.words import chunk_count, chunk_of, slices, word_codes
 
 GROUP_BYTES = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHED = 300_000
+CACHED, SHORT = 1_000_000, 64
 _TOKENIZERS: dict[str, object] = {}
 _WORDS: dict[str, "WordIds"] = {}
 
@@ -55,11 +56,12 @@ def ragged_take(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tu
 
 
 class WordIds:
-    """The ids of words. The first ``CACHED`` different ones of a worker are remembered."""
+    """The ids of words. The first ``CACHED`` different ones of a worker that have up to ``SHORT`` bytes are remembered, in Arrow and numpy
+    arrays: next to no room, and looked up all at once."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.row: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,23 +74,25 @@ class WordIds:
             flat.append(np.array(list(chain.from_iterable(ids)), np.uint32))
         return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate(flat)
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(offsets, ids)`` of each word."""
-        rows = np.fromiter((self.row.get(w, -1) for w in words), np.int64, len(words))
+        words = words.cast(pa.string())
+        rows = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(rows < 0)
-        offsets, ids = self.encoded([words[i] for i in new])
+        fresh = words.take(pa.array(new))
+        offsets, ids = self.encoded(fresh.to_pylist())
         known = len(self.offsets) - 1
         rows[new] = known + np.arange(len(new))
         joined = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]]), np.concatenate([self.ids, ids])
-        room = min(len(new), CACHED - known)
-        if room > 0:
-            self.row.update(zip((words[i] for i in new[:room]), range(known, known + room)))
-            self.offsets = joined[0][: known + room + 1].copy()
-            self.ids = joined[1][: self.offsets[-1]].copy()
+        room = CACHED - known
+        if room > 0 and len(new):
+            short = np.flatnonzero(pc.binary_length(fresh).to_numpy(zero_copy_only=False) <= SHORT)[:room]
+            self.words = pa.concat_arrays([self.words, fresh.take(pa.array(short))])
+            self.offsets, self.ids = ragged_take(*joined, np.concatenate([np.arange(known), known + short]))
         return ragged_take(*joined, rows)
 
 
-def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
     return _WORDS[path].of(words)
@@ -107,7 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def task(batches):
         for part in slices(batches, text):
             offsets, codes, words = word_codes(part.column(text))
-            of_word, flat = word_ids(words.to_pylist(), tokenizer_path)
+            of_word, flat = word_ids(words, tokenizer_path)
             ends, ids = ragged_take(of_word, flat, codes)
             edges = ends[offsets]
             # Each text's ids and the end, one after the other; every text is cut from its own beginning.
