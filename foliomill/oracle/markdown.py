@@ -53,7 +53,7 @@ MARKDOWN = {
     "md_block_profile": _both("SELECT doc_id * 2 AS doc_id, 'paragraph' AS kind, count(*) AS n_blocks FROM paras GROUP BY doc_id",
                               *[f"'{k}', {n}" for k, n in _KINDS]),
     "md_depth_cap": f"""WITH {WORDS}, d AS (SELECT doc_id, a, 98 + doc_id % 6 AS n FROM words)
-        SELECT doc_id, repeat('<blockquote>' || chr(10), least(n, 100)) || '<p>' || CASE WHEN n > 100 THEN repeat('&gt;', n - 100) || ' ' ELSE '' END || a
+        SELECT doc_id, repeat('<blockquote>' || chr(10), least(n, 100)) || '<p>' || CASE WHEN n > 101 THEN repeat('&gt;', n - 101) || ' ' ELSE '' END || a
             || '</p>' || chr(10) || repeat('</blockquote>' || chr(10), least(n, 100)) AS html FROM d""",
     "md_headings": _made("1 AS level, a || ' ' || b AS heading, anchor"),
     "md_hr": _made("10 AS block_no"),
