@@ -587,7 +587,7 @@ def _new_folder(spark):
 @query
 def stream_convert(spark, sf):
     out = _new_folder(spark)
-    ST.convert_stream(ST.page_stream(spark, sf, "pages.parquet"), out)
+    ST.convert_stream(ST.table_stream(spark, sf, "pages"), out)
     return spark.read.parquet(f"{out}/pages").select("page_id", "title", "markdown", "tokens")
 
 

@@ -19,6 +19,14 @@ def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", ma
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The pages of a table, which may be one file or a folder of files.
+
+    The path is a pattern: a stream takes a plain path for a folder, and a pattern for whatever has that name.
+    """
+    return spark.readStream.schema(PAGE_SCHEMA).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
+
+
 def _run(stream: DataFrame, write_batch, state: str) -> None:
     query = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -114,6 +114,18 @@ def test_streams(spark, arrivals, tmp_path):
     assert pages == {i: f"# H{i}\n\nx\n\n" for i in (1, 2, 3, 4, 8, 9)}
 
 
+def test_stream_of_a_table_in_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"http://h/{k}", f"<h1>H{k}</h1>") for k in range(4)], ST.PAGE_SCHEMA)
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/pages.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "parts").glob("part-*")).rename(tmp_path / "one" / "pages.parquet")
+    for kind in ("many", "one"):
+        ST.convert_stream(ST.table_stream(spark, f"{tmp_path}/{kind}", "pages"), f"{tmp_path}/{kind}-out")
+        got = spark.read.parquet(f"{tmp_path}/{kind}-out/pages").collect()
+        assert sorted((r.page_id, r.markdown) for r in got) == [(k, f"# H{k}\n\n") for k in range(4)]
+
+
 def test_numbers_of_null_groups_and_any_ids(spark):
     rows = spark.createDataFrame([("g", 0, "-5"), ("g", 2**60, "b"), (None, -(2**62), "a"), (None, 5, None), ("h", None, "z")], "g string, id bigint, s string")
     got = {(r.g, r.id): r.ordinal for r in number_within(rows, ["g"], "id").collect()}
