@@ -5,7 +5,8 @@ from foliomill.operators import html_structure as H
 from foliomill.operators.html_blocks import structured_tokens
 from foliomill.operators.html_links import page_links
 from foliomill.operators.html_tokens import tokenize, with_attributes, with_text
-from foliomill.plans.page_markdown import convert_fragments, convert_pages
+from foliomill.operators import html_tokens
+from foliomill.plans.page_markdown import convert_fragments, convert_pages, page_blocks
 
 FRAGMENTS = [
     ("", None, ""),
@@ -148,3 +149,28 @@ def test_a_deep_page_reads_like_a_flat_one(spark):
     rows = spark.createDataFrame([(d, "http://h/x", page(d)) for d in (3, 70, 300)], "page_id int, url string, html string")
     got = convert_pages(rows, keep=("url",)).select("markdown").distinct().collect()
     assert len(got) == 1 and "aside" not in got[0].markdown
+
+
+PAGE = ("<head><title>T</title><meta property='og:title' content='O'></head><nav><p>menu</p></nav><h1>A <b>b</b></h1><p>x <i>y</i> <code>z</code></p>"
+        "<pre><code class='language-c'>c</code></pre><ol><li>a<ul><li>b</ul><li>c</ol><table><tr><td>1<td>2<tr><th>3</table>")
+
+
+def test_some_kinds_of_blocks_are_those_among_all(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (None, PAGE[60:])], "page_id long, html string")
+    columns = ["page_id", "block", "block_pos", "tag", "md", "language", "skipped", "nested", "in_main"]
+    every = page_blocks(pages).select(*columns)
+    rows = sorted(map(str, every.collect()))
+    windows = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("Window")
+    seen = []
+    for only in (("h",), ("p",), ("pre",), ("code",), ("table",), ("list",), ("page", "h", "og", "tw", "title")):
+        some = page_blocks(pages, only=only, inside=False).select(*columns)
+        got = sorted(map(str, some.collect()))
+        assert got == [r for r in rows if any(f"block='{k}'," in r for k in only)] and windows(some) < windows(every)
+        seen += got
+    assert sorted(seen) == sorted(rows + [r for r in rows if "block='h'" in r])
+
+
+def test_partitions_of_pages_follow_their_bytes(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")
+    monkeypatch.setattr(html_tokens, "scanned_bytes", lambda frame: 1 << 30)
+    assert html_tokens.co_locate(pages, "page_id").rdd.getNumPartitions() == 512
