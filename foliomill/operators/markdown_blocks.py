@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.constants import MARKDOWN_MAX_DEPTH
 from foliomill.functions.constants import WS_LINE as S
+from foliomill.functions.text import let
 
 _MARK = r"(?:[-+*]|[0-9]{1,9}[.)])"
 _ITEM = rf"[{S}]*+{_MARK}[{S}][^\n]*+\n"
@@ -82,6 +83,26 @@ def quoted_lines(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(rf"(?m)^[{S}]{{0,3}}>[{S}]?"), F.lit(""))
 
 
+# A quote of which every line has so many marks is opened as many levels at once.
+LEVELS_AT_ONCE = 8
+_MARKS = rf"(?:[{S}]{{0,3}}>[{S}]?){{{LEVELS_AT_ONCE}}}"
+_ALL_MARKED = rf"\A(?:{_MARKS}[^\n]*+\n)++\z"
+# Text with other ends of lines is left to the single marks: "^" fits behind those too.
+_OTHER_ENDS = r"[\x{85}\x{2028}\x{2029}]"
+
+
+def _open_quote(block: Column) -> Column:
+    text, depth = block["text"], block["depth"]
+
+    def levels(n: int, lines: Column) -> Column:
+        begin = [_block("markup", "<blockquote>\n", depth + k) for k in range(n)]
+        end = [_block("markup", "</blockquote>\n", depth + k) for k in reversed(range(n))]
+        return F.concat(F.array(*begin), cut_blocks(lines, depth + n), F.array(*end))
+
+    many = (depth + LEVELS_AT_ONCE <= MARKDOWN_MAX_DEPTH) & text.rlike(_ALL_MARKED) & ~text.rlike(_OTHER_ENDS)
+    return F.when(many, levels(LEVELS_AT_ONCE, F.regexp_replace(text, F.lit(rf"(?m)^{_MARKS}"), F.lit("")))).otherwise(levels(1, quoted_lines(text)))
+
+
 def _even_indent(run: Column) -> Column:
     """A list run without blank lines, indented by plain spaces."""
     return F.regexp_replace(F.regexp_replace(run, F.lit(rf"(?m)^[{S}]*+\n"), F.lit("")), F.lit(rf"(?m)(?:^|\G)[{S}]"), F.lit(" "))
@@ -113,10 +134,7 @@ def _open_list(block: Column) -> Column:
 
 def _open_level(blocks: Column) -> Column:
     def opened(block: Column) -> Column:
-        depth = block["depth"]
-        inner = cut_blocks(quoted_lines(block["text"]), depth + 1)
-        quote = F.concat(F.array(_block("markup", "<blockquote>\n", depth)), inner, F.array(_block("markup", "</blockquote>\n", depth)))
-        return (F.when((block["kind"] == "quote") & (depth < MARKDOWN_MAX_DEPTH), quote)
+        return (F.when((block["kind"] == "quote") & (block["depth"] < MARKDOWN_MAX_DEPTH), _open_quote(block))
                 .when(block["kind"] == "list", _open_list(block)).otherwise(F.array(block)))
 
     return F.flatten(F.transform(blocks, opened))
@@ -138,7 +156,15 @@ def with_blocks(documents: DataFrame, text_col: str = "text", out: str = "blocks
     passes = F.least(F.lit(MARKDOWN_MAX_DEPTH + 2), quotes + lists)
     rows = documents.withColumn("_lines", normalize_lines(text_col))
     rows = rows.withColumns({"_passes": passes, "_flat": cut_blocks(F.col("_lines"), F.lit(0))})
-    nested = F.aggregate(F.sequence(F.lit(1), F.greatest("_passes", F.lit(1))), F.col("_flat"), lambda acc, _: _open_level(acc))
+    # Passes that find nothing to open cost nothing.
+    def state(blocks: Column) -> Column:
+        closed = F.exists(blocks, lambda b: (b["kind"] == "list") | ((b["kind"] == "quote") & (b["depth"] < MARKDOWN_MAX_DEPTH)))
+        return F.struct(blocks.alias("blocks"), F.coalesce(closed, F.lit(False)).alias("closed"))
+
+    def open_next(acc: Column, _) -> Column:
+        return F.when(acc["closed"], let(_open_level(acc["blocks"]), state)).otherwise(acc)
+
+    nested = F.aggregate(F.sequence(F.lit(1), F.greatest("_passes", F.lit(1))), state(F.col("_flat")), open_next)["blocks"]
     return rows.withColumn(out, F.when(F.col("_passes") > 0, nested).otherwise(F.col("_flat"))).drop("_lines", "_passes", "_flat")
 
 

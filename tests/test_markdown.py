@@ -1,4 +1,6 @@
-from foliomill.operators.markdown_blocks import markdown_blocks
+from pyspark.sql import functions as F
+
+from foliomill.operators.markdown_blocks import _open_level, cut_blocks, markdown_blocks, normalize_lines
 from foliomill.plans.markdown_html import markdown_to_html
 
 CASES = [
@@ -61,3 +63,13 @@ def test_nothing_is_shuffled(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for frame in (markdown_to_html(docs), markdown_blocks(docs)):
         assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_marks_are_opened_many_at_once(spark):
+    docs = [(1, ">" * 20 + " a\n" + "> " * 20 + "b"), (2, ">" * 8 + "a\n>>b"), (3, ">" * 9 + "a\u2028>b"), (4, ">" * 103 + " a")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    one = F.array_max(F.transform(_open_level(cut_blocks(normalize_lines("text"), F.lit(0))), lambda b: b["depth"]))
+    assert {r.doc_id: r.d for r in rows.select("doc_id", one.alias("d")).collect()} == {1: 8, 2: 1, 3: 1, 4: 8}
+    html = {r.doc_id: r.html for r in markdown_to_html(rows).collect()}
+    quotes = lambda n, inner: "<blockquote>\n" * n + inner + "</blockquote>\n" * n
+    assert html[1] == quotes(20, "<p>a\nb</p>\n") and html[4].count("<blockquote>") == 100 == html[4].count("</blockquote>")
