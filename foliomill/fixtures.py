@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def word(n: int) -> Column:
-    found = F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(n)), "[^A-Za-z]", "")
+    # Only as many words as asked for are cut off.
+    found = F.regexp_replace(F.split_part(F.substring_index("text", " ", n), F.lit(" "), F.lit(n)), "[^A-Za-z]", "")
     return F.coalesce(F.nullif(found, F.lit("")), F.lit("x"))
 
 
 def with_words(documents: DataFrame) -> DataFrame:
     """The first words ``a b c``, the id ``i`` and ``t``: the letters of the whole text, as words."""
-    letters = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    # A single blank between letters is left where it is.
+    letters = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ][^A-Za-z]*| [^A-Za-z]+", " "))
     return documents.withColumns({"a": word(1), "b": word(2), "c": word(3), "i": F.col("doc_id").cast("string"),
                                   "t": F.coalesce(F.nullif(letters, F.lit("")), F.lit("x"))})
 

@@ -8,6 +8,8 @@ together and in natural order; everything else in the package is derived from th
 # tested behind one range check, which keeps the class cheap for ordinary text.
 WS_WIDE = r"[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
 WS = r"\t\n\x0B\f\r \x{00A0}" + WS_WIDE
+# The characters themselves.
+WS_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # The same without the line feed, for patterns that work line by line.
 WS_LINE = r"\t\x0B\f\r \x{00A0}" + WS_WIDE
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.constants import (
     ANCHOR_MAX, FILE_NAME_FALLBACK, HIGH_CONTROLS, MODE_EXTENSIONS, PUNCTUATION, SLUG_FALLBACK, SLUG_MAX,
-    TITLE_FALLBACK, TITLE_ILLEGAL, TITLE_MAX, WIKI_FOLDER_PATH, WIKI_HOST, WIKI_PAGE_PATH, WS,
+    TITLE_FALLBACK, TITLE_ILLEGAL, TITLE_MAX, WIKI_FOLDER_PATH, WIKI_HOST, WIKI_PAGE_PATH, WS, WS_CHARACTERS,
 )
 
 
@@ -57,7 +57,7 @@ def estimate_tokens(value) -> Column:
 # -- white space -------------------------------------------------------------------------
 
 def trim_ws(value) -> Column:
-    return _sub(value, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(_col(value), F.lit(WS_CHARACTERS))
 
 
 def rtrim_ws(value) -> Column:
@@ -81,7 +81,7 @@ def clean_text(value) -> Column:
 
 def tidy_inline(value) -> Column:
     """Trim, collapse blanks and tabs (line feeds stay), drop blanks before punctuation."""
-    out = _sub(trim_ws(value), r"[ \t]+", " ")
+    out = _sub(trim_ws(value), r"[ \t]{2,}|\t", " ")
     return _sub(out, rf"[ \t]+([{PUNCTUATION}])", "$1")
 
 

@@ -11,23 +11,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomill.functions.constants import HEADING_TAGS
 from foliomill.functions.text import clean_text, is_blank, let, non_empty, tidy_inline, trim_ws
 from foliomill.operators import html_inline
 from foliomill.operators.html_structure import (
-    CELL_TAGS, LIST_TAGS, OG_TITLE, TW_TITLE, ends, has_flag, starts, tagged_tokens, with_child_numbers, with_container, with_extents,
-    with_nesting, with_parents, with_scopes, with_totals,
+    CELL_TAGS, LIST_TAGS, OG_TITLE, PARAGRAPH_BREAKERS, TW_TITLE, ends, has_flag, inside_any, starts, tagged_tokens, with_child_numbers,
+    with_container, with_extents, with_nesting, with_parents, with_scopes, with_totals,
 )
 
 
 # The members that make up the blocks of each kind.
 MEMBERS = {"h": ("h",), "p": ("p",), "pre": ("pre", "code"), "code": ("pre", "code"), "table": ("cells", "table"), "list": ("li", "list"),
            "page": ("page",), "og": ("og",), "tw": ("tw",), "title": ("title",)}
+# The elements whose text a member takes.
+HOLDERS = {"h": HEADING_TAGS, "pre": ["pre"], "code": ["code"], "cells": ["table"], "li": LIST_TAGS}
+# The tags that tell where a member begins and ends, and what it looks like.
+SHAPED_BY = {"h": HEADING_TAGS, "p": [*PARAGRAPH_BREAKERS, *html_inline.MARKS, "a", "br"], "pre": ["pre"], "code": ["pre", "code"], "og": ["meta"], "tw": ["meta"]}
+# What is known of a block by the elements around it.
+AROUND = ("skipped", "nested", "in_main")
 
 
-def structured_tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                      keep: tuple[str, ...] = (), whole_page: bool = True) -> DataFrame:
-    """Tokens with extents and nesting; with ``whole_page`` also the page's content container."""
-    rows = with_totals(tagged_tokens(pages, id_col, html_col, keep), id_col, measure_text=whole_page)
+def members_of(only: tuple[str, ...] | None) -> set[str] | None:
+    return {m for k in only for m in MEMBERS[k]} if only is not None else None
+
+
+def with_member_tokens(rows: DataFrame, id_col: str, members: set[str]) -> DataFrame:
+    """Tokens without the text that lies in no block of the kinds in ``members``.
+
+    Text opens and closes nothing, so the windows after this one give the same without it.
+    """
+    tags = sorted({t for m in members for t in HOLDERS.get(m, [])})
+    needed = (F.col("pos") <= 0) | ~F.col("kind").isin("text", "raw")
+    if "p" in members:
+        needed |= F.col("cur_p").isNotNull()
+    if "title" in members:
+        needed |= F.col("tag").eqNullSafe("title")
+    return (inside_any(rows, id_col, tags, "_held") if tags else rows.withColumn("_held", F.lit(False))).where(F.col("_held") | needed).drop("_held")
+
+
+def structured_tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = (),
+                      whole_page: bool = True, only: tuple[str, ...] | None = None, around: tuple[str, ...] = AROUND) -> DataFrame:
+    """Tokens with extents and nesting; with ``whole_page`` also the page's content container.
+
+    With ``only`` there are the tokens alone that the blocks of these kinds, and what is to be known ``around`` them, are made of.
+    """
+    rows, members = tagged_tokens(pages, id_col, html_col, keep), members_of(only)
+    if members is not None and not whole_page and not around and members <= {*SHAPED_BY, "page", "title"}:
+        tags = sorted({t for m in members for t in SHAPED_BY.get(m, [])})
+        rows = rows.where(F.col("kind").isin("text", "raw") | F.col("tag").isin(tags) | (F.col("pos") <= 0))
+    rows = with_totals(rows, id_col, measure_text=whole_page)
+    if members is not None and not whole_page:
+        rows = with_member_tokens(rows, id_col, members)
     rows = with_scopes(with_nesting(with_extents(rows, id_col, measure_text=whole_page), id_col), id_col)
     return with_container(rows, id_col) if whole_page else rows
 
@@ -76,13 +110,15 @@ def _memberships(whole_page: bool, members: set[str]) -> Column:
                    *[column for kind, columns in found.items() if kind in members for column in columns])
 
 
-def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_page: bool = True, members: set[str] | None = None) -> DataFrame:
+def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_page: bool = True, members: set[str] | None = None,
+                around: tuple[str, ...] = AROUND) -> DataFrame:
     """One row per leaf block: its text or inline Markdown, and ``at``, the facts of its start tag.
 
-    With ``members`` only blocks of these kinds; facts that none of them needs are NULL, so the windows that make them are not planned.
+    With ``members`` only blocks of these kinds. Facts that none of them needs, and those of ``AROUND`` that are not in ``around``, are
+    NULL, so the windows that make them are not planned.
     """
     members = set(sum(MEMBERS.values(), ())) if members is None else members
-    in_lists, in_tables, marked = "li" in members, "cells" in members, bool(members & {"p", "li"})
+    in_lists, in_tables, in_code, marked = "li" in members, "cells" in members, "code" in members, bool(members & {"p", "li"})
 
     def needed(some: bool, value: Column, kind: str) -> Column:
         return value if some else F.lit(None).cast(kind)
@@ -100,17 +136,22 @@ def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_
         | (F.col("cur_p") < F.col("pos")) | (F.col("cur_h") < F.col("pos")) | (F.col("cur_pre") < F.col("pos"))
     at_type = "struct<chars:int,n_cells:int,n_items:int,n_out:int>"
     facts = F.struct(
-        "tag", *keep, "info", "list_depth", "top_list", "top_table", "cur_pre",
+        "tag", *keep, "info", needed(in_tables, F.col("top_table"), "int").alias("top_table"), needed(in_code, F.col("cur_pre"), "int").alias("cur_pre"),
         *[needed(in_lists, value, kind).alias(name) for name, value, kind in (
+            ("top_list", F.col("top_list"), "int"),
             ("child_no", F.col("child_no"), "int"), ("ordered", F.col("parent.tag") == "ol", "boolean"), ("is_item", F.col("is_item"), "boolean"),
             ("chain", F.col("chain.pos"), "int"), ("depth", (F.col("list_depth") - F.col("chain.list_depth")).cast("int"), "int"))],
         *[needed(in_lists or in_tables, F.col(c), at_type).alias(c) for c in ("at", "end_at")], needed(in_tables, F.col("n_rows"), "int").alias("n_rows"),
-        skipped.alias("skipped"), inside.alias("inside"), F.coalesce(nested, F.lit(False)).alias("nested"), "in_main")
+        needed(in_lists or "skipped" in around, skipped, "boolean").alias("skipped"), inside.alias("inside"),
+        needed("nested" in around, F.coalesce(nested, F.lit(False)), "boolean").alias("nested"), needed("in_main" in around, F.col("in_main"), "boolean").alias("in_main"))
     in_row = F.col("at.n_cells") - F.when(starts(*CELL_TAGS), 1).otherwise(0)
     cell = F.struct("pos", (F.col("tag") == "td").alias("is_td"), F.col("at.chars").alias("start"), F.col("cell_end.chars").alias("end"))
     row = F.struct("pos", in_row.alias("start"), F.col("row_end.n_cells").alias("end"))
     cell, row = F.when(starts(*CELL_TAGS), cell), F.when(F.col("row_start"), row)
     inline = ("piece", "opened", "closed", "dropped")
+    if not in_lists:
+        # An item ends the paragraph it begins in, so an open paragraph is the innermost of the two.
+        rows = rows.withColumn("cur_li", F.lit(None).cast("int"))
     rows = html_inline.with_fragments(rows) if marked else rows.withColumns({c: F.lit(None).cast("array<string>" if c == "dropped" else "string") for c in inline})
     rows = rows.select(
         id_col, "pos", "text", "at",
@@ -133,8 +174,11 @@ def leaf_blocks(rows: DataFrame, id_col: str, keep: tuple[str, ...] = (), whole_
         *[F.collect_list(c).alias(c) for c in ("piece", "opened", "closed", "dropped")], F.max("n_out").alias("n_out"),
         F.array_sort(F.collect_list("cell")).alias("cells"), F.array_sort(F.collect_list("row")).alias("rows"), F.max("end_rows").alias("end_rows"),
         F.max("_full").alias("has_text"), F.first("facts", ignorenulls=True).alias("at"))
-    marked = html_inline.plain_marks(html_inline.finish_inline("piece", "opened", "closed", "dropped", "n_out"))
-    text = F.when(F.col("block").isin("p", "li"), tidy_inline(marked)).otherwise(F.coalesce("raw", F.lit("")))
+    # Columns of their own: as one expression the Markdown would be put together once for every place that looks at it.
+    inline = F.col("block").isin("p", "li")
+    leaves = leaves.withColumn("_left", F.when(inline & (F.size("opened") > 0), F.array_except("opened", "closed")))
+    leaves = leaves.withColumn("_marked", F.when(inline, html_inline.finish_inline("piece", "opened", "_left", "dropped", "n_out")))
+    text = F.when(inline, tidy_inline(html_inline.plain_marks(F.col("_marked")))).otherwise(F.coalesce("raw", F.lit("")))
     return leaves.select(id_col, "block", "key", text.alias("text"), "has_text", "at", "cells", "rows", "end_rows")
 
 
@@ -255,7 +299,8 @@ def _list_markdown(items: Column, depth: Column, in_skipped: Column) -> Column:
                   F.concat(F.array_join(F.transform(shown, line), ""), F.lit("\n")))
 
 
-def html_blocks(rows: DataFrame, id_col: str = "page_id", keep: tuple[str, ...] = (), whole_page: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
+def html_blocks(rows: DataFrame, id_col: str = "page_id", keep: tuple[str, ...] = (), whole_page: bool = True, only: tuple[str, ...] | None = None,
+                around: tuple[str, ...] = AROUND) -> DataFrame:
     """One row per block element and title source of a page, in ``block_pos`` order.
 
     Columns: ``block`` (h, p, pre, code, table, list, page, og, tw, title), ``tag``, ``raw``
@@ -264,11 +309,11 @@ def html_blocks(rows: DataFrame, id_col: str = "page_id", keep: tuple[str, ...]
     ``page`` row.
 
     With ``only`` there are blocks of these kinds alone, each as it would be among all. Tokens without a ``container`` are
-    whole pages whose blocks are not told to be ``inside`` or not (NULL).
+    whole pages whose blocks are not told to be ``inside`` or not (NULL). Of ``AROUND`` what is not asked for is NULL.
     """
     rows = with_child_numbers(with_list_items(with_parents(rows, id_col), id_col), id_col)
-    members = {m for k in only for m in MEMBERS[k]} if only is not None else None
-    blocks = leaf_blocks(rows, id_col, keep, whole_page, members)
+    members = members_of(only)
+    blocks = leaf_blocks(rows, id_col, keep, whole_page, members, around)
     blocks = _with_code(blocks, id_col) if members is None or "code" in members else blocks.withColumn("code", F.lit(None).cast("struct<key:int,text:string,info:string>"))
     if members is None or members & {"cells", "li"}:
         blocks = _tables_and_lists(blocks, id_col)

@@ -70,14 +70,12 @@ def with_fragments(rows: DataFrame) -> DataFrame:
     }).drop("_code", "_begun", "_ended", "_mark")
 
 
-def finish_inline(pieces: str, opened: str, closed: str, dropped: str, n_out: str) -> Column:
-    """The Markdown of a block from what its tokens gave, ``n_out`` being the output up to its end.
+def finish_inline(pieces: str, opened: str, left: str, dropped: str, n_out: str) -> Column:
+    """The Markdown of a block from what its tokens gave, ``left`` being the tags still open and ``n_out`` the output up to its end.
 
     Formatting still open at the end of the block is closed there, the innermost first; pairs without
     content vanish. Each mark is looked up in a set, so the work grows with the marks, not their square.
     """
-    left = F.array_except(opened, closed)
-
     def end_of(o: Column) -> Column:
         return F.substring(o, 2 * WIDTH + 1, F.length(o))
 

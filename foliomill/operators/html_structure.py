@@ -211,6 +211,21 @@ def with_totals(tokens: DataFrame, id_col: str, measure_text: bool = True) -> Da
     return rows.withColumn("whole", F.last("sizes").over(page))
 
 
+def inside_any(tokens: DataFrame, id_col: str, tags: list[str], name: str) -> DataFrame:
+    """Add ``name``: whether an element of one of ``tags`` is open at a token.
+
+    An end tag closes something unless there have never been so few starts less ends, so this needs no pairs, and no other order
+    than that of the page.
+    """
+    run = _running(id_col)
+    rows = tokens.withColumns({f"_n{k}": F.sum(F.when(starts(t), 1).when(ends(t), -1).otherwise(0)).over(run) for k, t in enumerate(tags)})
+    rows = rows.withColumns({f"_low{k}": F.min(f"_n{k}").over(run) for k in range(len(tags))})
+    found = F.lit(False)
+    for k in range(len(tags)):
+        found |= F.col(f"_n{k}") > F.least(F.lit(0), F.col(f"_low{k}"))
+    return rows.withColumn(name, found).drop(*[f"{c}{k}" for c in ("_n", "_low") for k in range(len(tags))])
+
+
 def element_sizes(at_end: Column) -> dict[str, Column]:
     """Measures of an element's content, on its start tag."""
     def grown(name: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import clean_text, estimate_tokens, trim_ws
-from foliomill.operators.html_blocks import html_blocks, structured_tokens, with_title
+from foliomill.operators.html_blocks import AROUND, html_blocks, structured_tokens, with_title
 from foliomill.operators.html_tokens import co_locate
 
 BLOCKS = ("h", "p", "pre", "code", "table", "list")
@@ -14,14 +14,15 @@ TITLE_SOURCES = ("page", "h", "og", "tw", "title")
 
 
 def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = (),
-                whole_page: bool = True, only: tuple[str, ...] | None = None, inside: bool = True) -> DataFrame:
+                whole_page: bool = True, only: tuple[str, ...] | None = None, inside: bool = True,
+                around: tuple[str, ...] = AROUND) -> DataFrame:
     """All blocks of every page, or those of the kinds in ``only``; see ``html_blocks``.
 
-    Without ``inside`` the content container is not looked for.
+    Without ``inside`` the content container is not looked for, and what ``around`` does not name of ``AROUND`` is not worked out.
     """
     placed = co_locate(pages.select(id_col, html_col, *keep), id_col)
-    rows = structured_tokens(placed, id_col, html_col, keep, whole_page and inside)
-    return html_blocks(rows, id_col, keep, whole_page, only)
+    rows = structured_tokens(placed, id_col, html_col, keep, whole_page and inside, only, around)
+    return html_blocks(rows, id_col, keep, whole_page, only, around)
 
 
 def _is_block():

@@ -174,3 +174,50 @@ def test_partitions_of_pages_follow_their_bytes(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")
     monkeypatch.setattr(html_tokens, "scanned_bytes", lambda frame: 1 << 30)
     assert html_tokens.co_locate(pages, "page_id").rdd.getNumPartitions() == 512
+
+
+ODD_PAGES = [
+    (1, "<p>a <b>b</b><h2>c <i>d</i></h2></table><p>e<table><tr><td>f<p>g</td><th>h<table><td>i</table></tr></table>j</h1><h1>k"),
+    (2, "<div class=sidebar><p>a<li>b</div></p><h3>c<h3>d</h3>e</h3>f<pre>g <code class=language-x>h</code></pre><code>i</pre>j</code>k"),
+    (3, "</table></table><table><tr><td>a</td></tr></table>b<table><tr><td>c<ul><li>d</li></ul><div></table>e</div><td>f"),
+    (4, "<ul><li>a<p> b \t c .<ol><li>d</ul>e<p>f</p></ol><script>g</script><p>h<script>i</script><b></b> j</b></p><!-- k -->"),
+    (5, "only text"), (6, None), (7, "<title>a</title><meta property='og:title' content='b'><main><h1>c</h1></main><h1 hidden>d"),
+]
+
+
+def test_blocks_of_one_kind_are_as_among_all(spark):
+    pages = spark.createDataFrame(ODD_PAGES, "page_id long, html string")
+    for whole_page in (False, True):
+        found = page_blocks(pages, whole_page=whole_page, inside=False).collect()
+        for kind in ("h", "p", "pre", "code", "table", "list", "og", "title"):
+            if kind in ("og", "title") and not whole_page:
+                continue
+            alone = page_blocks(pages, whole_page=whole_page, only=(kind,), inside=False, around=()).collect()
+            # The text of a table or list is that of any of its parts.
+            key = lambda r: (r.page_id, r.block_pos, r.tag, r.md, *((r.raw, r.text) if kind not in ("table", "list") else ()))
+            assert sorted(map(key, alone), key=str) == sorted((key(r) for r in found if r.block == kind), key=str), kind
+
+
+def test_queries_of_one_kind_plan_few_sorts_and_tokens(spark, sf):
+    from foliomill.operators.html_blocks import structured_tokens
+    from foliomill.queries import REGISTRY
+
+    for name, most in (("headings_md", 5), ("inline_md", 5), ("paragraphs_md", 5), ("skip_hidden", 5), ("page_title_shell", 5), ("inline_code_md", 6), ("code_blocks_md", 6)):
+        plan = REGISTRY[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert sum("- Sort [" in line for line in plan.splitlines()) <= most, name
+    pages = spark.createDataFrame([(1, "<div><p>a <b>b</b></p><h2>c <i>d</i></h2><table><tr><td>e</td></tr></table>f</div>")], "page_id long, html string")
+    kept = structured_tokens(pages, whole_page=False, only=("h",), around=()).orderBy("pos").collect()
+    assert [r.text or r.tag for r in kept] == ["div", "h2", "c ", "d", "h2"]
+    kept = structured_tokens(pages, whole_page=False, only=("table",), around=()).orderBy("pos").collect()
+    assert [r.text for r in kept if r.text] == ["e"]
+
+
+def test_white_space_is_trimmed_at_both_ends(spark):
+    from foliomill.functions.constants import WS, WS_CHARACTERS
+    from foliomill.functions.text import tidy_inline, trim_ws
+
+    # Characters next to the white space of the pattern belong to neither.
+    near = spark.createDataFrame([(chr(k),) for k in range(0x10000) if not 0xD800 <= k <= 0xDFFF], "c string")
+    assert {r.c for r in near.where(F.col("c").rlike(f"[{WS}]")).collect()} == set(WS_CHARACTERS)
+    row = spark.createDataFrame([("﻿ \t a  b\t.　c\n  ",)], "v string").select(trim_ws("v").alias("t"), tidy_inline("v").alias("i")).first()
+    assert tuple(row) == ("a  b\t.　c", "a b.　c")
