@@ -24,6 +24,7 @@ from foliomill.llm.words import chunk_count, chunk_of, slices, word_codes
 GROUP_BYTES = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 CACHED, SHORT = 1_000_000, 64
+ENCODED, SLICE = 1_000, 4 << 20
 _TOKENIZERS: dict[str, object] = {}
 _WORDS: dict[str, "WordIds"] = {}
 
@@ -48,10 +49,10 @@ def _tokenizer(path: str):
 
 def ragged_take(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(offsets, values)`` of the chosen rows, one after the other."""
-    sizes = np.diff(offsets)[rows]
+    sizes = offsets[rows + 1] - offsets[rows]
     ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    at = np.arange(total) + np.repeat(offsets[rows] - (ends - sizes), sizes)
+    at = np.repeat(offsets[rows] - (ends - sizes), sizes)
+    at += np.arange(len(at))
     return np.concatenate([[0], ends]), values[at]
 
 
@@ -64,32 +65,39 @@ class WordIds:
         self.words = pa.array([], pa.string())
         self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         sizes: list[int] = []
         flat: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        for k in range(0, len(words), 10_000):
-            ids = [x.ids for x in encode(words[k:k + 10_000], add_special_tokens=False)]
+        # What the tokenizer gives for a word takes hundreds of times the room of its ids.
+        for k in range(0, len(words), ENCODED):
+            ids = [x.ids for x in encode(words.slice(k, ENCODED).to_pylist(), add_special_tokens=False)]
             sizes.extend(map(len, ids))
             flat.append(np.array(list(chain.from_iterable(ids)), np.uint32))
         return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate(flat)
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``(offsets, ids)`` of each word."""
+        """``(offsets, ids)`` of each word; no word comes twice."""
         words = words.cast(pa.string())
-        rows = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = np.flatnonzero(rows < 0)
+        # The words asked for are hashed, not the many remembered ones.
+        found = pc.fill_null(pc.index_in(self.words, value_set=words), -1).to_numpy(zero_copy_only=False)
+        known = np.flatnonzero(found >= 0)
+        is_new = np.ones(len(words), bool)
+        is_new[found[known]] = False
+        new = np.flatnonzero(is_new)
         fresh = words.take(pa.array(new))
-        offsets, ids = self.encoded(fresh.to_pylist())
-        known = len(self.offsets) - 1
-        rows[new] = known + np.arange(len(new))
-        joined = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]]), np.concatenate([self.ids, ids])
-        room = CACHED - known
+        offsets, ids = self.encoded(fresh)
+        old_offsets, old_ids = ragged_take(self.offsets, self.ids, known)
+        rows = np.empty(len(words), np.int64)
+        rows[found[known]] = np.arange(len(known))
+        rows[new] = len(known) + np.arange(len(new))
+        room = CACHED - len(self.words)
         if room > 0 and len(new):
             short = np.flatnonzero(pc.binary_length(fresh).to_numpy(zero_copy_only=False) <= SHORT)[:room]
             self.words = pa.concat_arrays([self.words, fresh.take(pa.array(short))])
-            self.offsets, self.ids = ragged_take(*joined, np.concatenate([np.arange(known), known + short]))
-        return ragged_take(*joined, rows)
+            more, kept = ragged_take(offsets, ids, short)
+            self.offsets, self.ids = np.concatenate([self.offsets, self.offsets[-1] + more[1:]]), np.concatenate([self.ids, kept])
+        return ragged_take(np.concatenate([old_offsets, old_offsets[-1] + offsets[1:]]), np.concatenate([old_ids, ids]), rows)
 
 
 def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                          StructField("ids", BinaryType())])
 
     def task(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             offsets, codes, words = word_codes(part.column(text))
             of_word, flat = word_ids(words, tokenizer_path)
             ends, ids = ragged_take(of_word, flat, codes)

@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -67,3 +69,28 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id bigint, text string")
     assert len(P.pack(docs, PATH).collect()) == 3
     assert P.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_remembered_words_are_not_copied():
+    words = P.WordIds(PATH)
+    words.words = pa.array([f"w{i}" for i in range(200_000)])
+    words.offsets, words.ids = np.arange(200_001), np.arange(200_000, dtype=np.uint32)
+    asked = ["w7", "unbelievably", "w199999", "w0"]
+    tracemalloc.start()
+    offsets, ids = words.of(pa.array(asked))
+    offsets, ids = words.of(pa.array(asked))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    new = Tokenizer.from_file(PATH).encode("unbelievably", add_special_tokens=False).ids
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[7], new, [199999], [0]]
+    assert len(words.words) == 200_001 and peak < 3_500_000
+
+
+def test_words_beyond_the_memory_are_encoded_each_time(monkeypatch):
+    monkeypatch.setattr(P, "CACHED", 3)
+    monkeypatch.setattr(P, "ENCODED", 2)
+    words, tokenizer = P.WordIds(PATH), Tokenizer.from_file(PATH)
+    for asked in (["one", "x" * 70, "naïve"], [], ["two", "one", "three", "x" * 70, "four"], ["four", "two", "one"]):
+        offsets, ids = words.of(pa.array(asked, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tokenizer.encode(w, add_special_tokens=False).ids for w in asked]
+    assert words.words.to_pylist() == ["one", "naïve", "two"]
