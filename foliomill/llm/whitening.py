@@ -142,6 +142,14 @@ def _deviations(x: np.ndarray, n: int, sums: list[int]) -> list[int | None]:
     return [int(v) if v <= LONGEST else None for v in exact]
 
 
+def _projected(x: np.ndarray, onto: np.ndarray) -> np.ndarray:
+    """``x @ onto`` with one order of summing for all rows: a matrix product rounds by a row's place in its batch, so equal vectors would differ."""
+    out = np.zeros((len(x), onto.shape[1]))
+    for column, weights in zip(x.T, onto):
+        out += column[:, None] * weights
+    return out
+
+
 def usable(column: str = "embedding"):
     """Not NULL, and without NULL or non-finite entries."""
     v = F.col(column)
@@ -169,7 +177,7 @@ def _whitened(vectors: DataFrame, dimension: int, wanted: int) -> DataFrame:
     def task(batches):
         for batch in batches:
             x = _matrix(batch.column("x"), dimension)
-            white = (x - mean) @ scaled
+            white = _projected(x - mean, scaled)
             rows = pa.array(np.repeat(np.arange(len(x)), k))
             deviation = pa.array(_deviations(x, n, sums), pa.int64()).take(rows)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))),

@@ -78,3 +78,12 @@ def test_large_entries_stay_exact(spark):
     exact = {i: sum((6 * a - s) ** 2 for a, s in zip(v, sums)) for i, v in x.items()}
     assert {r.vec_id: r.deviation for r in got} == {i: d if d < 1 << 63 else None for i, d in exact.items()}
     assert any(d >= 1 << 63 for d in exact.values())
+
+
+def test_equal_rows_are_projected_alike():
+    rng = np.random.default_rng(3)
+    onto = rng.standard_normal((48, 4))
+    x = np.tile(rng.standard_normal(48), (301, 1))
+    for n in (1, 2, 3, 7, 301):
+        got = W._projected(x[:n], onto)
+        assert (got == W._projected(x, onto)[0]).all() and np.allclose(got, x[:n] @ onto, rtol=1e-12)
