@@ -52,12 +52,17 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     rank = text.astype(np.int64)
     done = 1
     while done < depth:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: max(0, len(rank) - done)] = rank[done:] + 1
-        order = np.argsort(pair := rank * (int(rank.max(initial=0)) + 2) + ahead, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)]) if len(pair) else pair
-        rank = np.empty_like(rank)
-        rank[order] = new
+        # A shard's memory peaks here: no array lives longer than it is needed.
+        pair = rank * (int(rank.max(initial=0)) + 2)
+        pair[: max(0, len(rank) - done)] += rank[done:] + 1
+        del rank
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        new = np.zeros(len(pair), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        rank = np.cumsum(new, out=pair)
+        rank[order] = rank.copy()
+        del pair, new, order
         done *= 2
     return np.argsort(rank, kind="stable")
 

@@ -26,6 +26,7 @@ WINDOW = 35
 KMER = 8
 HOT = 1000
 CHUNK_BYTES = 8 << 20
+PIECE = 1 << 14  # windows whose hashes are laid side by side at a time
 _POWERS = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -49,8 +50,8 @@ class Segments:
         row = rows_of(self.offsets)
         starts = starts[row[starts] == row[starts + window - 1]]
         at = np.empty(len(starts), np.int64)
-        for k in range(0, len(starts), 1 << 18):
-            part = starts[k:k + (1 << 18)]
+        for k in range(0, len(starts), PIECE):
+            part = starts[k:k + PIECE]
             at[k:k + len(part)] = part + best[part].argmin(axis=1)
         new = np.ones(len(starts), bool)
         new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -141,6 +142,7 @@ def search_shard(blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     narrow[~usable] = 1
     narrow[0] = 0
     text = narrow[text]
+    del words, hashes, times, back, offsets, coded, counts, in_text, step
     sigma = int(text.max()) + 1
     fine = np.ones(sigma, bool)
     fine[:2] = False

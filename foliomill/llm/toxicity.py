@@ -9,6 +9,7 @@ scaled values. N-grams are hashed into a fixed number of weights, so a model has
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.words import mix, rows_of, slices, word_codes
+from foliomill.llm.words import give_back, mix, rows_of, slices, word_codes
 
 SIZES = (3, 4, 5)
 SLICE = 4 << 20
+PIECE, BLOCK = 1 << 14, 1 << 18  # words whose n-grams are made at a time, entries added at a time
 _FACTORS = mix(np.arange(1, max(SIZES) + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -31,23 +33,49 @@ class Model:
     intercept: float
 
 
-def word_ngrams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(word number, hashed n-gram)`` of each n-gram of each word."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def word_ngrams(words: list[str], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(word number, hashed n-gram)`` of each n-gram of each word, for each of ``SIZES``."""
     padded = [f" {w.lower()} " for w in words]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(padded), dtype=np.int32), [len(w) for w in padded])
     spread = mix(points + np.uint64(1))
-    owners, grams = [], []
+    found = []
     value = np.zeros(len(points), np.uint64)
     for k, factor in enumerate(_FACTORS):  # value: of the k + 1 characters from here on
         value = value[: max(0, len(points) - k)] + spread[k:] * factor
         if k + 1 in SIZES:
             inside = np.flatnonzero(owner[: len(value)] == owner[k:])
-            owners.append(owner[inside])
-            grams.append((value[inside] >> np.uint64(64 - bits)).astype(np.int32))
-    return np.concatenate(owners), np.concatenate(grams)
+            found.append((owner[inside], (value[inside] >> np.uint64(64 - bits)).astype(np.int32)))
+    return found
+
+
+def sample_ngrams(words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(word number, hashed n-gram)`` of each n-gram of all words, those of one size after the other."""
+    pieces = []
+    for k in range(0, len(words), PIECE):
+        pieces.append([(owner + np.int32(k), gram) for owner, gram in word_ngrams(words.slice(k, PIECE).to_pylist(), bits)])
+    empty = [np.zeros(0, np.int32)]
+    return tuple(np.concatenate(empty + [piece[i][side] for i in range(len(SIZES)) for piece in pieces]) for side in (0, 1))
+
+
+def word_scores(words: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The sum of the weights of the n-grams of each word."""
+    bits = int(len(weights)).bit_length() - 1
+    sums = np.zeros(len(words))
+    for k in range(0, len(words), PIECE):
+        piece = words.slice(k, PIECE)
+        owner, gram = map(np.concatenate, zip(*word_ngrams(piece.to_pylist(), bits)))
+        sums[k:k + len(piece)] = np.bincount(owner, weights[gram].astype(np.float64), minlength=len(piece))
+    return sums
+
+
+def _sums(index: np.ndarray, values: Callable[[slice], np.ndarray], n: int) -> np.ndarray:
+    """What ``np.bincount`` gives for the values, added in the same order, with room for one block of them."""
+    out = np.zeros(n)
+    for k in range(0, len(index), BLOCK):
+        block = slice(k, k + BLOCK)
+        np.add.at(out, index[block].astype(np.intp), values(block))
+    return out
 
 
 def distinct_words(offsets: np.ndarray, codes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,18 +88,23 @@ def _fit(rows: list[tuple[pa.Array, np.ndarray]], weight_of: dict[int, float], b
     texts = pa.concat_arrays([t for t, _ in rows])
     y = np.concatenate([label for _, label in rows]).astype(np.float64)
     offsets, codes, words = word_codes(texts)
-    doc, word = distinct_words(offsets, codes, len(words))
-    gram_word, gram = word_ngrams(words.to_pylist(), bits)
+    doc, word = (x.astype(np.int32) for x in distinct_words(offsets, codes, len(words)))
     n, v, m = len(y), len(words), 1 << bits
+    del texts, offsets, codes
+    gram_word, gram = sample_ngrams(words, bits)
+    del words
     norm = 1 / np.sqrt(np.maximum(np.bincount(doc, minlength=n), 1))
     row_weight = np.where(y == 1, weight_of[1], weight_of[0])
     row_weight = row_weight / row_weight.sum()
 
     def spread(values):  # from rows to n-grams
-        return np.bincount(gram, np.bincount(word, (values * norm)[doc], minlength=v)[gram_word], minlength=m)
+        scaled = values * norm
+        of_word = _sums(word, lambda block: scaled[doc[block]], v)
+        return _sums(gram, lambda block: of_word[gram_word[block]], m)
 
     def gathered(values):  # from n-grams to rows
-        return np.bincount(doc, np.bincount(gram_word, values[gram], minlength=v)[word], minlength=n) * norm
+        of_word = _sums(gram_word, lambda block: values[gram[block]], v)
+        return _sums(doc, lambda block: of_word[word[block]], n) * norm
 
     positive, negative = spread(y) + 1, spread(1 - y) + 1
     ratio = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
@@ -114,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
         rows = [(b.column("t").fill_null(""), b.column("y").to_numpy(zero_copy_only=False)) for b in batches]
         if rows:
             model = _fit(rows, weight_of, bits, rounds, penalty)
+            rows.clear()
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.intercept])], ["w", "b"])
 
     # In a fixed order, so that a repeated fit adds up in the same order.
@@ -124,7 +159,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability of class 1 to each row, 0 to 1. A NULL or empty text scores by the intercept."""
-    bits = int(len(model.weights)).bit_length() - 1
     schema = docs.select(*[c for c in docs.columns if c != out], F.lit(0.0).alias(out)).schema
     names = schema.names
 
@@ -132,8 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         for part in slices(batches, text, SLICE):
             offsets, codes, words = word_codes(part.column(text), lower=True)
             doc, word = distinct_words(offsets, codes, len(words))
-            gram_word, gram = word_ngrams(words.to_pylist(), bits)
-            of_word = np.bincount(gram_word, model.weights[gram].astype(np.float64), minlength=len(words))
+            of_word = word_scores(words, model.weights)
             norm = 1 / np.sqrt(np.maximum(np.bincount(doc, minlength=part.num_rows), 1))
             z = np.bincount(doc, of_word[word], minlength=part.num_rows) * norm + model.intercept
             scores = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))

@@ -1,11 +1,13 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliomill.llm import substrings as S
-from foliomill.llm.fm_index import FMIndex, repeated_windows
+from foliomill.llm.fm_index import FMIndex, repeated_windows, sorted_suffixes
 
 
 def brute(rows, window):
@@ -80,3 +82,18 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, same), (1, same), (None, "a")], "doc_id bigint, text string")
     assert sorted(((r.doc_id, r.n_removed) for r in S.repeated_words(docs).collect()), key=str) == [(1, 50), (1, 50), (None, 0)]
     assert S.repeated_words(docs.limit(0)).count() == 0
+
+
+def peak(work):
+    tracemalloc.start()
+    work()
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return most
+
+
+def test_memory_of_a_shard_is_a_few_arrays():
+    text = np.random.default_rng(3).integers(0, 5000, 1 << 18)
+    assert peak(lambda: sorted_suffixes(text, 64)) < 5 * text.nbytes
+    lines = pa.array([" ".join(f"w{i}" for i in range(k, k + 2000)) for k in range(150)])
+    assert peak(lambda: S.Segments(lines, 35, 8)) < 120 * 300_000

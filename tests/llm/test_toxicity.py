@@ -1,4 +1,8 @@
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from foliomill.llm import toxicity as T
 
@@ -33,3 +37,25 @@ def test_edges(spark):
     assert all(r.score < 1e-9 for r in T.score(docs, nothing).collect())
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None)], "doc_id bigint, toxic int")
     assert [tuple(r) for r in T.labels_of(labels).collect()] == [(1, 1)]
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_memory_of_ngrams_is_bounded():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(120_000)]
+    texts = pa.array([" ".join(words[i:i + 60]) for i in range(0, len(words), 60)])
+    rows = [(texts, np.arange(len(texts)) % 2)]
+    assert peak_mb(lambda: T._fit(rows, {0: 2.0, 1: 1.0}, 18, 2, 1e-6)) < 70
+    weights = np.random.default_rng(1).standard_normal(1 << 18).astype(np.float32)
+    assert peak_mb(lambda: T.word_scores(pa.array(words), weights)) < 20
+    # Pieces and blocks add up in the same order as the whole.
+    owner, gram = map(np.concatenate, zip(*T.word_ngrams(words, 18)))
+    assert (np.bincount(owner, weights[gram].astype(float)) == T.word_scores(pa.array(words), weights)).all()
+    assert all((a == b).all() for a, b in zip((owner, gram), T.sample_ngrams(pa.array(words), 18)))
