@@ -217,3 +217,16 @@ def test_white_space_is_trimmed_at_both_ends(spark):
     assert {r.c for r in near.where(F.col("c").rlike(f"[{WS}]")).collect()} == set(WS_CHARACTERS)
     row = spark.createDataFrame([("﻿ \t a  b\t.　c\n  ",)], "v string").select(trim_ws("v").alias("t"), tidy_inline("v").alias("i")).first()
     assert tuple(row) == ("a  b\t.　c", "a b.　c")
+
+
+def test_scopes_need_one_sort_of_their_own(spark, sf):
+    from foliomill.queries import REGISTRY
+
+    html = "<div><b>a<i></b>b</i><div></div><section><u></section>c</u></div>d<b>e"
+    page = H.with_totals(H.tagged_tokens(spark.createDataFrame([(1, html)], "page_id int, html string"), "page_id", "html"), "page_id")
+    rows = H.with_scopes(H.with_nesting(H.with_extents(page, "page_id"), "page_id"), "page_id").orderBy("pos").collect()
+    assert [(r.text or r.tag, r.scope and r.scope.pos) for r in rows] == [
+        ("div", None), ("b", 0), ("a", 1), ("i", 1), ("b", 1), ("b", 1), ("i", 0), ("div", 0), ("div", 0), ("section", 0), ("u", 9), ("section", 9), ("c", 9),
+        ("u", 0), ("div", None), ("d", None), ("b", None), ("e", None)]
+    plan = REGISTRY["fragment_markdown"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert sum("- Sort [" in line for line in plan.splitlines()) <= 12
